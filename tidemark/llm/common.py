@@ -50,7 +50,7 @@ def ascii_lower(c: Column) -> Column:
 
 def alnum_words(lowered: Column) -> Column:
     """The runs of digits, letters and non-ASCII characters of a text."""
-    return F.filter(F.split(lowered, NOT_ALNUM), lambda w: w != "")
+    return F.array_remove(F.split(lowered, NOT_ALNUM), "")
 
 
 def with_rolling(df: DataFrame, words: str, widths: list[int]) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, ascii_lower
+from .common import alnum_words, ascii_lower, with_rolling
 
 #: The base phrases and their labels.
 BASE = [
@@ -64,23 +64,18 @@ def scan(docs: DataFrame, templates: DataFrame, gap: int = GAP, cover: float = C
     commas, "" without any. Repeated rows stay; other columns are ignored; no rows, no result.
     """
     few = templates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    tpl = templates.withColumn("thash", F.xxhash64("tw1", "tw2"))
+    # hashed as with_rolling() hashes the pairs of a text
+    tpl = templates.withColumn("thash", F.xxhash64(F.xxhash64("tw1"), F.xxhash64("tw2")))
     worded = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", alnum_words(ascii_lower(F.coalesce("text", F.lit("")))).alias("words")
     )
-    words = F.col("words")
-    pairs = F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda w, i: F.struct(i.alias("pos"), w.alias("w1"), F.get(words, i + 1).alias("w2")),
-    )
-    mark = F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("w1"), F.lit(None).cast("string").alias("w2"))
-    # a mark for each text besides its pairs, so that one pass gives texts without a match too
-    probes = worded.select("row", "doc_id", F.size(words).cast("long").alias("n_words"), F.explode_outer(F.concat(F.array(mark), pairs)).alias("p")).select(
-        "row", "doc_id", "n_words", "p.pos", "p.w1", "p.w2"
-    ).withColumn("hash", F.when(F.col("pos") >= 0, F.xxhash64("w1", "w2")))
-    same = (F.col("hash") == F.col("thash")) & (F.col("w1") == F.col("tw1")) & (F.col("w2") == F.col("tw2"))
+    # the words stay beside the exploded pairs, and are looked at where a hash matches
+    paired = with_rolling(worded.select("row", "doc_id", "words", F.size("words").cast("long").alias("n_words"), F.col("words").alias("again")), "again", [2])
+    probes = paired.select("row", "doc_id", "n_words", "words", F.posexplode_outer("rolling_2").alias("pos", "hash"))
+    same = (F.col("hash") == F.col("thash")) & (F.get("words", F.col("pos")) == F.col("tw1")) & (F.get("words", F.col("pos") + 1) == F.col("tw2"))
+    # the first pair, or none, stands for a text without a match, so that one pass gives these too
     votes = (
-        probes.join(F.broadcast(tpl) if few else tpl, same, "left").where((F.col("pos") < 0) | F.col("template").isNotNull())
+        probes.join(F.broadcast(tpl) if few else tpl, same, "left").where("pos is null or pos = 0 or template is not null")
         .select("row", "doc_id", "n_words", "template", "label", "base", "seeds", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
         .repartition("row")  # all that follows is by text, so it is the only exchange
     )

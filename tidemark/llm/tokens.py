@@ -15,6 +15,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,22 +31,23 @@ BLOCK_BYTES, BLOCK_DOCS = 1 << 19, 2048
 #: Documents whose ids train the dictionary (those of the smallest hashes of their ids), ids of each
 #: that are used, bytes of the dictionary, and compression level.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES, LEVEL = 1000, 8192, 64 * 1024, 3
-#: Pieces whose ids a worker remembers.
-CACHE = 300_000
-
-_loaded: dict[str, Encoder] = {}
-
+#: Pieces whose ids a worker remembers (those it meets first, among them the common ones).
+CACHE = 600_000
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    A byte-level BPE cuts texts before single spaces that stand before a non-space, and no merge
-    crosses such a cut; so pieces between them are encoded once and remembered. Texts with other
-    spaces, or with a string that the tokenizer adds as a token, go to the library whole.
+    A byte-level BPE cuts texts before single spaces that stand before a non-space, and between a
+    letter and the sign that ends a piece; no merge crosses such a cut. So pieces between them are
+    encoded once and remembered. Texts with other spaces, or with a string that the tokenizer adds as
+    a token, go to the library whole.
     """
 
     #: A space with white space or nothing after it: the cut rule does not hold there.
     odd = re.compile(r" (?:\s|\Z)")
+    #: New pieces are sent to the library many at a time, with this between them, which no token holds
+    #: besides its own.
+    between = "\0"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,37 +58,74 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.cuts = kind == "ByteLevel" and self.tokenizer.normalizer is None
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        # byte-level models show bytes that are no printable characters as those from U+0100 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in printable)}
+        if self.cuts:
+            (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+            spelled = self.tokenizer.id_to_token(self.mark)
+            self.cuts = not any(spelled in t and t != spelled for t in self.tokenizer.get_vocab())
         self.cache: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def pieces(self, new: list[str]) -> list[bytes]:
+        """Ids of each of some pieces without ``between`` in them."""
+        out, width = [], self.dtype.itemsize
+        for i in range(0, len(new), 512):
+            joined = self.between.join(new[i : i + 512])
+            found = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+            body, at = found.tobytes(), 0
+            for end in [*np.flatnonzero(found == self.mark).tolist(), len(found)]:
+                out.append(body[at * width : end * width])
+                at = end + 1
+        return out
+
+    def word(self, piece: str) -> bytes:
+        """Ids of a piece of letters after at most one space: one unit for the merges of the library's
+        model, which takes bytes as printable characters."""
+        found = self.tokenizer.model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown))
+        return array(self.code, [t.id for t in found]).tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of each text, without an end id."""
         out: list[bytes] = [b""] * len(texts)
         whole, cut = [], []
         for i, t in enumerate(texts):
-            if not self.cuts or self.odd.search(t) or any(a in t for a in self.added):
+            if not t:
+                continue
+            if not self.cuts or self.odd.search(t) or self.between in t or any(a in t for a in self.added):
                 whole.append(i)
             else:
-                first, *rest = t.split(" ")
-                cut.append((i, [first, *[" " + p for p in rest]] if rest else [first]))
+                cut.append((i, t.replace(" ", "\0 ").split("\0")))
         for i in range(0, len(whole), 64):
             for k, b in zip(whole[i : i + 64], self.whole([texts[k] for k in whole[i : i + 64]])):
                 out[k] = b
-        if len(self.cache) > CACHE:
-            self.cache.clear()
         cache = self.cache
-        new = list({p for _, pieces in cut for p in pieces if p not in cache})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            cache.update(zip(part, self.whole(part)))
+        new = {p for _, pieces in cut for p in pieces if p not in cache}
+        ended = [p for p in new if p[-1:] in ".,;:!?" and p[-2:-1].isalpha()]
+        new.difference_update(ended)
+        new.update(c for e in ended for c in (e[:-1], e[-1]) if c not in cache)
+        new.discard("")
+        found = {p: self.word(p) for p in new if p.isalpha() or p[0] == " " and p[1:].isalpha()}
+        other = list(new.difference(found))
+        found.update(zip(other, self.pieces(other)))
+        for e in ended:
+            found[e] = (found.get(e[:-1]) or cache[e[:-1]]) + (found.get(e[-1]) or cache[e[-1]])
+        if len(cache) < CACHE:
+            cache.update(found)
+            found = {}
         for i, pieces in cut:
-            out[i] = b"".join([cache[p] for p in pieces])
+            out[i] = b"".join([cache.get(p) or found[p] for p in pieces if p])
         return out
 
 
+_loaded: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
     if path not in _loaded:
         _loaded[path] = Encoder(path)
@@ -149,8 +188,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc_id, shard_of, body in zip(part.column("doc_id").to_pylist(), part.column("shard").to_pylist(), enc.ids(texts)):
                     shard = shard_of
