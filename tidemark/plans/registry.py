@@ -1,9 +1,308 @@
-"""Registered queries."""
+"""Registered queries: each applies operators to the driver's tables, with SQL that gives the same rows.
 
+A query's column list ("name:kind ...") fixes how both sides are written out: t timestamp and d date as
+text, f number rounded to 4 places, i whole number, b flag as 0 or 1, s text."""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import columns as fn
+from tidemark.operators import checks, decisions, forecast, metrics, reports, splits, timeseries, uncertainty
+from tidemark.operators import documents as docs
+from tidemark.sources.tables import read_contract, read_table
+
+from . import adapters as ad
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+KEY = "series_id:s timestamp_utc:t"
+ROWS = ["series_id", "timestamp_utc"]
+#: Added before rounding, so that a number halfway between two results rounds up in both engines.
+NUDGE = 1.2345e-9
+
+
+def _spark_out(c: str, kind: str):
+    x = F.col(c)
+    return {
+        "t": F.date_format(x, "yyyy-MM-dd HH:mm:ss") if kind == "t" else None, "d": F.date_format(x, "yyyy-MM-dd") if kind == "d" else None,
+        "f": F.round(x.cast("double") + NUDGE, 4) + F.lit(0.0), "i": x.cast("long"), "b": x.cast("boolean").cast("long"), "s": x.cast("string"),
+    }[kind].alias(c)
+
+
+def _sql_out(c: str, kind: str) -> str:
+    q = f'"{c}"'
+    return {
+        "t": f"strftime({q}, '%Y-%m-%d %H:%M:%S')", "d": f"strftime({q}, '%Y-%m-%d')", "f": f"round(CAST({q} AS DOUBLE) + {NUDGE}, 4) + 0.0",
+        "i": f"CAST({q} AS BIGINT)", "b": f"CAST(CAST({q} AS BOOLEAN) AS BIGINT)", "s": f"CAST({q} AS VARCHAR)",
+    }[kind] + f" AS {q}"
+
+
+def register(name: str, spec: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    """``sql``: "CTEs ;; SELECT", the CTEs without WITH."""
+    kinds = [x.split(":") for x in spec.split()]
+    _QUERIES[name] = lambda spark, d: run(spark, d).select(*[_spark_out(c, k) for c, k in kinds])
+    if sql:
+        ctes, _, body = sql.rpartition(";;")
+        _SQL[name] = (f"WITH {ctes.strip()} " if ctes.strip() else "") + f"SELECT {', '.join(_sql_out(c, k) for c, k in kinds)} FROM ({body.strip()}) last_step"
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return _SQL
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["st_backtest"](spark, sf_dir)
+
+
+ts = lambda s: F.to_timestamp(F.lit(s))
+B = ad.berlin
+
+# --- sources, cleaning, time ------------------------------------------------------------------------
+register("src_parquet_contract", "o_orderkey:i o_orderdate:d o_totalprice:f", lambda s, d: read_contract(s, f"{d}/orders.parquet", ["o_orderkey", "o_orderdate", "o_totalprice"]),
+         "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders")
+register("cln_dedupe", "series_id:s timestamp_utc:t event_id:i value:f",
+         lambda s, d: timeseries.dedupe(ad.events(s, d).select(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("timestamp_utc"), "event_id", "value"), ROWS, [F.col("event_id")]),
+         "SELECT event_type AS series_id, date_trunc('hour', ts) AS timestamp_utc, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY 1, 2")
+register("aud_duplicate_profile", "series_id:s timestamp_utc:t n:i n_values:i lo:f hi:f identical:b",
+         lambda s, d: docs.duplicate_profile(ad.events(s, d).select(F.col("event_type").alias("series_id"), F.date_trunc("minute", "ts").alias("timestamp_utc"), "value"), ROWS, "value"),
+         "SELECT event_type AS series_id, date_trunc('minute', ts) AS timestamp_utc, count(*) AS n, count(DISTINCT value) AS n_values, min(value) AS lo, max(value) AS hi, count(DISTINCT value) <= 1 AS identical FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+register("chk_unique_key", "series_id:s timestamp_utc:t n:i",
+         lambda s, d: checks.duplicate_keys(ad.events(s, d).select(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("timestamp_utc")), ROWS),
+         "SELECT event_type AS series_id, date_trunc('hour', ts) AS timestamp_utc, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+register("cln_duplicate_fraction", "n_rows:i n_keys:i duplicate_fraction:f",
+         lambda s, d: timeseries.duplicate_fraction(ad.events(s, d).select(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("timestamp_utc")), ROWS),
+         "SELECT sum(n) AS n_rows, count(*) AS n_keys, 1 - count(*) / sum(n) AS duplicate_fraction FROM (SELECT count(*) AS n FROM events GROUP BY event_type, date_trunc('hour', ts))")
+register("cln_resample_hourly", f"{KEY} value:f user_id:i",
+         lambda s, d: timeseries.resample_hourly(ad.events(s, d).groupBy(F.col("event_type").alias("series_id"), F.col("ts").alias("timestamp_utc")).agg(F.avg("value").alias("value"), F.min("user_id").alias("user_id")), "value", ("user_id",)),
+         """e AS (SELECT event_type AS series_id, ts, avg(value) AS value, min(user_id) AS user_id FROM events GROUP BY 1, 2),
+h AS (SELECT series_id, date_trunc('hour', ts) AS t, avg(value) AS value, arg_min(user_id, ts) AS user_id FROM e GROUP BY 1, 2),
+g AS (SELECT series_id, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM h GROUP BY 1)
+;; SELECT g.series_id, g.t AS timestamp_utc, value, user_id FROM g LEFT JOIN h ON h.series_id = g.series_id AND h.t = g.t""")
+register("cln_resample_after_cutover", f"{KEY} price:f", lambda s, d: timeseries.resample_after(ad.a2(s, d), "price", ts("2024-01-14 23:00:00")),
+         """a2 AS (SELECT event_type AS series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS t, round(avg(value) - 40, 6) AS price FROM events GROUP BY 1, 2),
+h AS (SELECT series_id, date_trunc('hour', t) AS t, avg(price) AS price FROM a2 WHERE t >= TIMESTAMP '2024-01-14 23:00:00' GROUP BY 1, 2),
+g AS (SELECT series_id, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM h GROUP BY 1)
+;; SELECT series_id, t AS timestamp_utc, price FROM a2 WHERE t < TIMESTAMP '2024-01-14 23:00:00' UNION ALL SELECT g.series_id, g.t, price FROM g LEFT JOIN h ON h.series_id = g.series_id AND h.t = g.t""")
+register("sel_resolution", f"{KEY} price:f", lambda s, d: docs.select_resolution(ad.a2(s, d), ts("2024-01-14 23:00:00")),
+         "SELECT event_type AS series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS timestamp_utc, round(avg(value) - 40, 6) AS price FROM events GROUP BY 1, 2")
+register("cln_regime_flag", f"{KEY} post:i", lambda s, d: ad.a1(s, d).withColumn("post", (F.col("timestamp_utc") >= ts("2024-01-14 23:00:00")).cast("int")),
+         f"{ad.A1} ;; SELECT series_id, t AS timestamp_utc, (t >= TIMESTAMP '2024-01-14 23:00:00')::INT AS post FROM a1")
+_LOCAL_SPEC = f"{KEY} delivery_timestamp_local:t delivery_date:d hour_local:i dow_local:i month_local:i weekend:i"
+_LOCAL_SQL = "series_id, t AS timestamp_utc, lt AS delivery_timestamp_local, lt::DATE AS delivery_date, hour(lt) AS hour_local, isodow(lt) - 1 AS dow_local, month(lt) AS month_local, (isodow(lt) >= 6)::INT AS weekend"
+register("cln_local_time", _LOCAL_SPEC, lambda s, d: timeseries.add_local_columns(ad.a4(s, d)), f"{ad.A4} ;; SELECT {_LOCAL_SQL} FROM (SELECT 'orders' AS series_id, t, {B('t')} AS lt FROM a4)")
+register("ts_dst_days", "delivery_date:d offsets:i hours:i", lambda s, d: timeseries.dst_days(ad.a4(s, d)),
+         f"{ad.A4} ;; SELECT {B('t')}::DATE AS delivery_date, count(DISTINCT epoch({B('t')}) - epoch(t)) AS offsets, count(DISTINCT t) AS hours FROM a4 GROUP BY 1 HAVING offsets > 1")
+register("ts_decision_cutoff", "delivery_date:d cutoff:t start_utc:t",
+         lambda s, d: ad.a4(s, d).select(fn.local_date(F.col("timestamp_utc")).alias("delivery_date")).distinct().withColumns({"cutoff": fn.decision_cutoff(F.col("delivery_date")), "start_utc": fn.local_midnight(F.col("delivery_date"))}),
+         f"{ad.A4} ;; SELECT d AS delivery_date, ((d - INTERVAL 1 DAY + INTERVAL '11:45' HOUR TO MINUTE) AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS cutoff, (d::TIMESTAMP AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS start_utc FROM (SELECT DISTINCT {B('t')}::DATE AS d FROM a4)".replace("INTERVAL '11:45' HOUR TO MINUTE", "INTERVAL 705 MINUTE"))
+register("ts_date_range", "first_day:d start_utc:t end_utc:t",
+         lambda s, d: ad.a4(s, d).agg(F.min("timestamp_utc").alias("lo"), F.max("timestamp_utc").alias("hi")).select(fn.local_date(F.col("lo")).alias("first_day"), fn.local_midnight(fn.local_date(F.col("lo"))).alias("start_utc"), fn.local_midnight(F.trunc(fn.local_date(F.col("hi")), "month")).alias("end_utc")),
+         f"{ad.A4} ;; SELECT lo::DATE AS first_day, (lo::DATE::TIMESTAMP AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS start_utc, (date_trunc('month', hi)::TIMESTAMP AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS end_utc FROM (SELECT {B('min(t)')} AS lo, {B('max(t)')} AS hi FROM a4)")
+register("ts_chunk_windows", "chunk_start:t chunk_end:t", lambda s, d: timeseries.chunk_windows(ad.a4(s, d).agg(F.min("timestamp_utc").alias("start"), F.max("timestamp_utc").alias("end")), 365),
+         f"{ad.A4} ;; SELECT x AS chunk_start, least(x + INTERVAL 365 DAY, hi) AS chunk_end FROM (SELECT hi, unnest(generate_series(lo, hi - INTERVAL 1 SECOND, INTERVAL 365 DAY)) AS x FROM (SELECT min(t) AS lo, max(t) AS hi FROM a4))")
+register("ts_interval_position", f"{KEY} position:i", lambda s, d: timeseries.interval_position(ad.a2(s, d)),
+         f"SELECT event_type AS series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS timestamp_utc, (epoch({B('time_bucket(INTERVAL 15 MINUTE, ts)')}) - epoch({B('time_bucket(INTERVAL 15 MINUTE, ts)')}::DATE::TIMESTAMP)) / 900 + 1 AS position FROM events GROUP BY ALL")
+register("ts_regularize_grid", f"{KEY} price:f", lambda s, d: timeseries.regularize(ad.a1(s, d)), f"{ad.REG} ;; SELECT series_id, t AS timestamp_utc, price FROM reg")
+register("cln_coverage_gaps", KEY, lambda s, d: timeseries.coverage_gaps(ad.a1(s, d), ts("2024-01-01"), ts("2024-01-31")),
+         f"{ad.A1}, h AS (SELECT DISTINCT series_id, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS t FROM a1) ;; SELECT series_id, t AS timestamp_utc FROM h EXCEPT SELECT series_id, t FROM a1")
+register("cln_clip_range", f"{KEY} price:f", lambda s, d: timeseries.clip_range(ad.a1(s, d), ts("2024-01-05"), ts("2024-01-20")),
+         f"{ad.A1} ;; SELECT series_id, t AS timestamp_utc, price FROM a1 WHERE t >= TIMESTAMP '2024-01-05' AND t < TIMESTAMP '2024-01-20'")
+register("prj_pivot_types", "timestamp_utc:t price:f load_mw:f wind_on_mw:f wind_off_mw:f solar_mw:f", ad.a3, f"{ad.A3} ;; SELECT t AS timestamp_utc, price, load_mw, wind_on_mw, wind_off_mw, solar_mw FROM a3")
+
+
+def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r = ad.a1(s, d)
+    return tuple(r.where(F.col("series_id") == t).select("timestamp_utc", F.col("price").alias(n)) for t, n in (("purchase", "p"), ("view", "l"), ("click", "w")))
+
+
+def _outer_merge(s: SparkSession, d: str) -> DataFrame:
+    p, l, w = _sides(s, d)
+    return p.join(l, "timestamp_utc", "full").join(w, "timestamp_utc", "full")
+
+
+register("cln_outer_merge", "timestamp_utc:t p:f l:f w:f", _outer_merge,
+         f"{ad.A1}, p AS (SELECT t, price AS p FROM a1 WHERE series_id = 'purchase'), l AS (SELECT t, price AS l FROM a1 WHERE series_id = 'view'), w AS (SELECT t, price AS w FROM a1 WHERE series_id = 'click') ;; SELECT t AS timestamp_utc, p, l, w FROM p FULL JOIN l USING (t) FULL JOIN w USING (t)")
+register("set_distinct_days", "series_id:s n:i", lambda s, d: ad.a1(s, d).groupBy("series_id").agg(F.count_distinct(fn.local_date(F.col("timestamp_utc"))).alias("n")),
+         f"{ad.A1} ;; SELECT series_id, count(DISTINCT {B('t')}::DATE) AS n FROM a1 GROUP BY 1")
+
+# --- features ---------------------------------------------------------------------------------------
+register("fn_fundamentals", "timestamp_utc:t wind_total:f solar_filled:f residual_load:f renewable_share:f",
+         lambda s, d: ad.a3(s, d).withColumns({"wind_total": F.col("wind_on_mw") + F.col("wind_off_mw"), "solar_filled": F.coalesce("solar_mw", F.lit(0.0))})
+         .withColumn("residual_load", F.col("load_mw") - F.col("wind_total") - F.col("solar_filled")).withColumn("renewable_share", fn.share_of(F.col("wind_total") + F.col("solar_filled"), F.col("load_mw"))),
+         f"{ad.A3} ;; SELECT t AS timestamp_utc, wind_on_mw + wind_off_mw AS wind_total, coalesce(solar_mw, 0) AS solar_filled, load_mw - (wind_on_mw + wind_off_mw) - coalesce(solar_mw, 0) AS residual_load, CASE WHEN load_mw > 0 THEN (wind_on_mw + wind_off_mw + coalesce(solar_mw, 0)) / load_mw END AS renewable_share FROM a3")
+register("fn_cyclic", f"{KEY} hour_sin:f hour_cos:f dow_sin:f dow_cos:f weekend_hour_sin:f",
+         lambda s, d: timeseries.add_local_columns(ad.a1(s, d)).withColumns(dict(zip(("hour_sin", "hour_cos"), fn.cyclic(F.col("hour_local"), 24))) | dict(zip(("dow_sin", "dow_cos"), fn.cyclic(F.col("dow_local"), 7)))).withColumn("weekend_hour_sin", F.col("weekend") * F.col("hour_sin")),
+         f"{ad.A1}, l AS (SELECT series_id, t, hour({B('t')}) AS h, isodow({B('t')}) - 1 AS w FROM a1) ;; SELECT series_id, t AS timestamp_utc, sin(2 * pi() * h / 24) AS hour_sin, cos(2 * pi() * h / 24) AS hour_cos, sin(2 * pi() * w / 7) AS dow_sin, cos(2 * pi() * w / 7) AS dow_cos, (w >= 5)::INT * sin(2 * pi() * h / 24) AS weekend_hour_sin FROM l")
+register("fn_conditional_bucket", "series_id:s n_negative:i n_above_200:i n_above_400:i",
+         lambda s, d: ad.a1(s, d).groupBy("series_id").agg(F.sum((F.col("price") < 0).cast("long")).alias("n_negative"), F.sum((F.col("price") > 200).cast("long")).alias("n_above_200"), F.sum((F.col("price") > 400).cast("long")).alias("n_above_400")),
+         f"{ad.A1} ;; SELECT series_id, count(*) FILTER (price < 0) AS n_negative, count(*) FILTER (price > 200) AS n_above_200, count(*) FILTER (price > 400) AS n_above_400 FROM a1 GROUP BY 1")
+for _h in (24, 48):
+    register("win_safe_lag" if _h == 24 else f"win_safe_lag_{_h}", f"{KEY} price:f lagged:f", lambda s, d, h=_h: timeseries.safe_lag(timeseries.regularize(ad.a1(s, d)), "price", h, "lagged"),
+             f"{ad.REG} ;; SELECT r.series_id, r.t AS timestamp_utc, r.price, CASE WHEN {B(f'(r.t - INTERVAL {_h} HOUR)')}::DATE < {B('r.t')}::DATE THEN p.price END AS lagged FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id AND p.t + INTERVAL {_h} HOUR = r.t")
+register("win_rolling_mean_std", f"{KEY} roll_mean:f roll_std:f",
+         lambda s, d: timeseries.rolling_stats(timeseries.safe_lag(timeseries.regularize(ad.a1(s, d)), "price", 24, "lagged"), "lagged", 24, "roll"),
+         f"{ad.REG}, lg AS (SELECT r.series_id, r.t, p.price AS lagged FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id AND p.t + INTERVAL 24 HOUR = r.t) ;; SELECT series_id, t AS timestamp_utc, CASE WHEN lagged IS NOT NULL AND count(lagged) OVER w >= 19 THEN avg(lagged) OVER w END AS roll_mean, CASE WHEN lagged IS NOT NULL AND count(lagged) OVER w >= 19 THEN stddev_samp(lagged) OVER w END AS roll_std FROM lg WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)")
+register("win_ffill", f"{KEY} price:f", lambda s, d: timeseries.carry_forward(timeseries.regularize(ad.a1(s, d)), "price"),
+         f"{ad.REG} ;; SELECT series_id, t AS timestamp_utc, last_value(price IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS price FROM reg")
+register("chk_information_set", "column:s violations:i", lambda s, d: timeseries.information_set_violations(timeseries.safe_lag(timeseries.regularize(ad.a1(s, d)), "price", 24, "lag_24"), {"lag_24": 24, "price": 0}),
+         f"{ad.REG} ;; SELECT 'lag_24' AS \"column\", 0 AS violations UNION ALL SELECT 'price', count(price) FROM reg")
+
+# --- splits -----------------------------------------------------------------------------------------
+_FOLDS = [("f1", "2024-01-01", "2024-01-08", "2024-01-08", "2024-01-15"), ("f2", "2024-01-01", "2024-01-15", "2024-01-15", "2024-01-22"), ("f3", "2024-01-01", "2024-01-22", "2024-01-22", "2024-01-29")]
+_FOLD_SQL = "folds AS (SELECT n AS fold, a::TIMESTAMP AS a, b::TIMESTAMP AS b, c::TIMESTAMP AS c, e::TIMESTAMP AS e FROM (VALUES " + ", ".join(str(f) for f in _FOLDS) + ") v(n, a, b, c, e))"
+register("spl_fold_assign", "fold:s role:s series_id:s n:i price:f", lambda s, d: splits.assign(ad.a1(s, d), splits.fold_table(s, _FOLDS)).groupBy("fold", "role", "series_id").agg(F.count("*").alias("n"), F.sum("price").alias("price")),
+         f"{ad.A1}, {_FOLD_SQL} ;; SELECT fold, CASE WHEN t < b THEN 'train' ELSE 'val' END AS role, series_id, count(*) AS n, sum(price) AS price FROM a1 JOIN folds ON (t >= a AND t < b) OR (t >= c AND t < e) GROUP BY ALL")
+register("spl_day_aligned_cv", "series_id:s fold:i test_start:d test_end:d train_days:i test_days:i", lambda s, d: splits.day_aligned_cv(ad.a1(s, d), 3),
+         f"{ad.A1}, days AS (SELECT DISTINCT series_id, {B('t')}::DATE AS day FROM a1), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY day) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS n FROM days), f AS (SELECT *, n // 4 AS test, n - (3 - fold) * (n // 4) AS st FROM r, (SELECT unnest([0, 1, 2]) AS fold)) ;; SELECT series_id, fold, min(day) FILTER (r >= st AND r < st + test) AS test_start, max(day) FILTER (r >= st AND r < st + test) AS test_end, count(*) FILTER (r < st) AS train_days, count(*) FILTER (r >= st AND r < st + test) AS test_days FROM f GROUP BY 1, 2")
+register("chk_no_holdout", "series_id:s n:i first:t", lambda s, d: ad.a1(s, d).where(F.col("timestamp_utc") >= ts("2024-01-25")).groupBy("series_id").agg(F.count("*").alias("n"), F.min("timestamp_utc").alias("first")),
+         f"{ad.A1} ;; SELECT series_id, count(*) AS n, min(t) AS first FROM a1 WHERE t >= TIMESTAMP '2024-01-25' GROUP BY 1")
+
+# --- aggregates -------------------------------------------------------------------------------------
+_MODELS = ["pred_full", "pred_alt"]
+_LONG = "m AS (SELECT *, 'pred_full' AS model, pred_full AS p FROM a5 UNION ALL SELECT *, 'pred_alt', pred_alt FROM a5), k AS (SELECT * FROM m WHERE pred_full IS NOT NULL AND pred_alt IS NOT NULL AND price IS NOT NULL)"
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    rows = timeseries.add_local_columns(metrics.common_mask(ad.a5(s, d), ["price", *_MODELS]))
+    return metrics.long_predictions(rows, _MODELS, ["series_id", "price", "hour_local", "fold"])
+
+
+_METRIC = "count(*) AS n, avg(abs(price - p)) AS mae, sqrt(avg((price - p) ** 2)) AS rmse, median(abs(price - p)) AS median_ae"
+register("agg_point_metrics", "series_id:s model:s n:i mae:f rmse:f median_ae:f", lambda s, d: metrics.point_metrics(_scored(s, d), ["series_id", "model"]), f"{ad.A5}, {_LONG} ;; SELECT series_id, model, {_METRIC} FROM k GROUP BY 1, 2")
+register("agg_metrics_by_group", "model:s hour_local:i n:i mae:f rmse:f median_ae:f", lambda s, d: metrics.point_metrics(_scored(s, d), ["model", "hour_local"]), f"{ad.A5}, {_LONG} ;; SELECT model, hour({B('t')}) AS hour_local, {_METRIC} FROM k GROUP BY 1, 2")
+register("agg_coverage_counts", "n_rows:i n_pred_full:i n_pred_alt:i n_common:i", lambda s, d: metrics.coverage_counts(ad.a5(s, d), _MODELS), f"{ad.A5} ;; SELECT count(*) AS n_rows, count(pred_full) AS n_pred_full, count(pred_alt) AS n_pred_alt, count(*) FILTER (pred_full IS NOT NULL AND pred_alt IS NOT NULL) AS n_common FROM a5")
+_COLS3 = ["price", "load_mw", "wind_on_mw", "wind_off_mw", "solar_mw"]
+_U3 = "u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v FROM a3" for c in _COLS3) + ")"
+register("agg_describe", "column:s n:i mean:f std:f lo:f p25:f p50:f p75:f hi:f", lambda s, d: metrics.describe(ad.a3(s, d), _COLS3),
+         f"{ad.A3}, {_U3} ;; SELECT \"column\", count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS lo, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, max(v) AS hi FROM u GROUP BY 1")
+register("agg_missingness", "column:s n_missing:i pct_missing:f", lambda s, d: metrics.missingness(ad.a3(s, d), _COLS3), f"{ad.A3}, {_U3} ;; SELECT \"column\", count(*) - count(v) AS n_missing, (count(*) - count(v)) * 100.0 / count(*) AS pct_missing FROM u GROUP BY 1")
+register("agg_count_share", "series_id:s n_negative:i n_zero:i share_negative:f",
+         lambda s, d: ad.a1(s, d).groupBy("series_id").agg(F.sum((F.col("price") < 0).cast("long")).alias("n_negative"), F.sum((F.col("price") == 0).cast("long")).alias("n_zero"), (F.sum((F.col("price") < 0).cast("long")) / F.count("price")).alias("share_negative")),
+         f"{ad.A1} ;; SELECT series_id, count(*) FILTER (price < 0) AS n_negative, count(*) FILTER (price = 0) AS n_zero, count(*) FILTER (price < 0) / count(price) AS share_negative FROM a1 GROUP BY 1")
+register("agg_seasonality", "grouping_key:s level:i mean:f std:f n:i", lambda s, d: metrics.seasonality(timeseries.add_local_columns(ad.a1(s, d)), "price", ["hour_local", "dow_local", "month_local"]),
+         f"{ad.A1}, l AS (SELECT price, {B('t')} AS lt FROM a1), u AS (SELECT price, 'hour_local' AS grouping_key, hour(lt) AS level FROM l UNION ALL SELECT price, 'dow_local', isodow(lt) - 1 FROM l UNION ALL SELECT price, 'month_local', month(lt) FROM l) ;; SELECT grouping_key, level, avg(price) AS mean, stddev_samp(price) AS std, count(price) AS n FROM u GROUP BY 1, 2")
+register("agg_regime_compare", "post:i mean:f median:f std:f lo:f hi:f n:i",
+         lambda s, d: ad.a1(s, d).groupBy((F.col("timestamp_utc") >= ts("2024-01-14 23:00:00")).cast("int").alias("post")).agg(F.avg("price").alias("mean"), F.median("price").alias("median"), F.stddev_samp("price").alias("std"), F.min("price").alias("lo"), F.max("price").alias("hi"), F.count("*").alias("n")),
+         f"{ad.A1} ;; SELECT (t >= TIMESTAMP '2024-01-14 23:00:00')::INT AS post, avg(price) AS mean, median(price) AS median, stddev_samp(price) AS std, min(price) AS lo, max(price) AS hi, count(*) AS n FROM a1 GROUP BY 1")
+register("agg_weekend_hour_profile", "weekend:i hour_local:i mean:f", lambda s, d: timeseries.add_local_columns(ad.a1(s, d)).groupBy("weekend", "hour_local").agg(F.avg("price").alias("mean")),
+         f"{ad.A1} ;; SELECT (isodow({B('t')}) >= 6)::INT AS weekend, hour({B('t')}) AS hour_local, avg(price) AS mean FROM a1 GROUP BY 1, 2")
+register("agg_corr", "wk:i n:i pearson:f spearman:f", lambda s, d: metrics.correlations(ad.a3(s, d).withColumn("wk", F.weekofyear("timestamp_utc")), ["wk"], "price", "load_mw"),
+         f"{ad.A3}, r AS (SELECT weekofyear(t) AS wk, price AS x, load_mw AS y, rank() OVER (PARTITION BY weekofyear(t) ORDER BY price) + (count(*) OVER (PARTITION BY weekofyear(t), price) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY weekofyear(t) ORDER BY load_mw) + (count(*) OVER (PARTITION BY weekofyear(t), load_mw) - 1) / 2.0 AS ry FROM a3 WHERE price IS NOT NULL AND load_mw IS NOT NULL) ;; SELECT wk, count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM r GROUP BY 1")
+register("agg_quantile_bins", "bin:i median_x:f median_y:f mean_y:f n:i", lambda s, d: metrics.quantile_bins(ad.a3(s, d), "load_mw", "price", 20),
+         f"{ad.A3}, r AS (SELECT load_mw AS x, price AS y FROM a3 WHERE load_mw IS NOT NULL AND price IS NOT NULL), e AS (SELECT list_distinct(quantile_cont(x, [i / 20.0 FOR i IN range(21)])) AS edges FROM r), b AS (SELECT x, y, greatest(len([v FOR v IN edges IF v < x]) - 1, 0) AS bin FROM r, e) ;; SELECT bin, median(x) AS median_x, median(y) AS median_y, avg(y) AS mean_y, count(*) AS n FROM b GROUP BY 1".replace("quantile_cont(x, [i / 20.0 FOR i IN range(21)])", "quantile_cont(x, [" + ", ".join(str(i / 20) for i in range(21)) + "])"))
+register("agg_extreme_threshold", f"{KEY} is_extreme:b", lambda s, d: metrics.extreme_flags(ad.a1(s, d).where(F.col("timestamp_utc") < ts("2024-01-15")), ad.a1(s, d), "price"),
+         f"{ad.A1}, tr AS (SELECT price FROM a1 WHERE t < TIMESTAMP '2024-01-15'), c AS (SELECT median(price) AS c FROM tr), l AS (SELECT quantile_cont(abs(price - c), 0.95) AS l FROM tr, c) ;; SELECT series_id, t AS timestamp_utc, abs(price - c) > l AS is_extreme FROM a1, c, l")
+register("agg_day_flags", "series_id:s delivery_date:d any_negative:b any_high:b", lambda s, d: ad.a1(s, d).groupBy("series_id", fn.local_date(F.col("timestamp_utc")).alias("delivery_date")).agg(F.bool_or(F.col("price") < 0).alias("any_negative"), F.bool_or(F.col("price") > 300).alias("any_high")),
+         f"{ad.A1} ;; SELECT series_id, {B('t')}::DATE AS delivery_date, bool_or(price < 0) AS any_negative, bool_or(price > 300) AS any_high FROM a1 GROUP BY 1, 2")
+register("agg_residual_summary", "series_id:s n:i mean:f median:f std:f q05:f q95:f worst_10:f worst_5:f", lambda s, d: metrics.residual_summary(ad.a5(s, d), ["series_id"], "residual"),
+         f"{ad.A5}, r AS (SELECT series_id, residual AS v, row_number() OVER (PARTITION BY series_id ORDER BY residual) AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM a5 WHERE residual IS NOT NULL) ;; SELECT series_id, count(*) AS n, avg(v) AS mean, median(v) AS median, stddev_samp(v) AS std, quantile_cont(v, 0.05) AS q05, quantile_cont(v, 0.95) AS q95, avg(v) FILTER (rn <= greatest(1, floor(n * 0.1))) AS worst_10, avg(v) FILTER (rn <= greatest(1, floor(n * 0.05))) AS worst_5 FROM r GROUP BY 1")
+register("top_k_extremes", "series_id:s timestamp_utc:t price:f", lambda s, d: ad.a1(s, d).orderBy(F.desc("price"), "timestamp_utc", "series_id").limit(10), f"{ad.A1} ;; SELECT series_id, t AS timestamp_utc, price FROM a1 ORDER BY price DESC, t, series_id LIMIT 10")
+
+# --- sequence comparison ----------------------------------------------------------------------------
+register("jn_sequence_compare", "timestamp_utc:t price_seq1:f price_seq2:f diff:f", lambda s, d: ad.a6(s, d).withColumn("diff", F.abs(F.col("price_seq1") - F.col("price_seq2"))).where("diff > 0.01"),
+         f"{ad.A6} ;; SELECT t AS timestamp_utc, price_seq1, price_seq2, abs(price_seq1 - price_seq2) AS diff FROM a6 WHERE abs(price_seq1 - price_seq2) > 0.01")
+register("jn_sequence2_only", "timestamp_utc:t", lambda s, d: ad.a6(s, d).where("price_seq1 is null and price_seq2 is not null"), f"{ad.A6} ;; SELECT t AS timestamp_utc FROM a6 WHERE price_seq1 IS NULL AND price_seq2 IS NOT NULL")
+register("jn_reference_crosscheck", "match:s n:i", lambda s, d: ad.a6(s, d).groupBy(fn.classify_match(F.col("price_ref"), F.col("price_seq1"), F.col("price_seq2"), 0.01).alias("match")).agg(F.count("*").alias("n")),
+         f"{ad.A6} ;; SELECT CASE WHEN price_ref IS NULL THEN 'no_data' WHEN a AND b THEN 'both' WHEN a THEN 'seq1' WHEN b THEN 'seq2' ELSE 'neither' END AS match, count(*) AS n FROM (SELECT *, coalesce(abs(price_ref - price_seq1) <= 0.01, false) AS a, coalesce(abs(price_ref - price_seq2) <= 0.01, false) AS b FROM a6) GROUP BY 1")
+
+# --- uncertainty ------------------------------------------------------------------------------------
+register("unc_residuals", f"{KEY} fold:i residual:f", lambda s, d: ad.a5(s, d).where("fold is not null"), f"{ad.A5} ;; SELECT series_id, t AS timestamp_utc, fold, residual FROM a5 WHERE fold IS NOT NULL")
+register("unc_day_safe_quantiles", f"{KEY} L:f U:f", ad.a5, f"{ad.A5} ;; SELECT series_id, t AS timestamp_utc, l AS L, u AS U FROM a5")
+_CAL = "coverage:f below:f above:f width:f interval_score:f"
+_CALSQL = "count(*) AS n, avg((price BETWEEN l AND u)::INT) AS coverage, avg((price < l)::INT) AS below, avg((price > u)::INT) AS above, avg(u - l) AS width, avg((u - l) + (greatest(l - price, 0) + greatest(price - u, 0)) * 10) AS interval_score"
+register("unc_calibration", f"series_id:s n:i {_CAL}", lambda s, d: uncertainty.calibration(ad.a5(s, d), ["series_id"]), f"{ad.A5} ;; SELECT series_id, {_CALSQL} FROM a5 WHERE l IS NOT NULL AND price IS NOT NULL GROUP BY 1")
+register("unc_calibration_by_fold", f"fold:i n:i {_CAL}", lambda s, d: uncertainty.calibration(ad.a5(s, d).where("fold is not null"), ["fold"]), f"{ad.A5} ;; SELECT fold, {_CALSQL} FROM a5 WHERE l IS NOT NULL AND price IS NOT NULL AND fold IS NOT NULL GROUP BY 1")
+register("unc_calibration_group", f"hour_local:i n:i {_CAL}", lambda s, d: uncertainty.calibration(timeseries.add_local_columns(ad.a5(s, d)), ["hour_local"]), f"{ad.A5} ;; SELECT hour({B('t')}) AS hour_local, {_CALSQL} FROM a5 WHERE l IS NOT NULL AND price IS NOT NULL GROUP BY 1")
+_QW = "qw AS (SELECT series_id, w, (d + k::INT)::DATE AS d, quantile_cont(r, 0.1) AS lo, quantile_cont(r, 0.9) AS hi, count(DISTINCT d) AS nd FROM (SELECT series_id, d, residual AS r, w, unnest(generate_series(1, w)) AS k FROM rolled, (SELECT unnest([5, 7, 10]) AS w) WHERE residual IS NOT NULL) GROUP BY 1, 2, 3 HAVING nd >= greatest(1, w // 4)), cand AS (SELECT r.series_id, r.t, r.price, w, pred_full + lo AS l, pred_full + hi AS u FROM rolled r JOIN qw ON qw.series_id = r.series_id AND qw.d = r.d WHERE pred_full IS NOT NULL AND price IS NOT NULL)"
+
+
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    rows = ad.a5(s, d).select("series_id", "timestamp_utc", "price", "pred_full", "residual")
+    return uncertainty.window_candidates(rows, "pred_full", "residual", [5, 7, 10])
+
+
+register("unc_window_candidate", f"window_days:i n:i {_CAL}", lambda s, d: uncertainty.calibration(_candidates(s, d), ["window_days"]), f"{ad.A5}, {_QW} ;; SELECT w AS window_days, {_CALSQL} FROM cand GROUP BY 1")
+_COMMON = "com AS (SELECT series_id, t FROM cand GROUP BY 1, 2 HAVING count(*) = 3), sc AS (SELECT w AS window_days, " + _CALSQL + " FROM cand SEMI JOIN com USING (series_id, t) GROUP BY 1)"
+register("unc_window_selection", "window_days:i interval_score:f", lambda s, d: uncertainty.select_window(uncertainty.calibration(uncertainty.common_rows(_candidates(s, d), 3), ["window_days"])),
+         f"{ad.A5}, {_QW}, {_COMMON} ;; SELECT arg_min(window_days, interval_score) AS window_days, min(interval_score) AS interval_score FROM sc")
+register("unc_common_start", "window_days:i first_valid:t", lambda s, d: _candidates(s, d).where("L is not null").groupBy("window_days").agg(F.min("timestamp_utc").alias("first_valid")), f"{ad.A5}, {_QW} ;; SELECT w AS window_days, min(t) AS first_valid FROM cand GROUP BY 1")
+register("win_rolling_coverage", f"{KEY} coverage:f width:f n:i", lambda s, d: uncertainty.rolling_coverage(ad.a5(s, d), 5),
+         f"{ad.A5}, k AS (SELECT * FROM a5 WHERE price IS NOT NULL AND l IS NOT NULL AND u IS NOT NULL) ;; SELECT series_id, t AS timestamp_utc, avg((price BETWEEN l AND u)::INT) OVER w AS coverage, avg(u - l) OVER w AS width, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 431999 SECOND PRECEDING AND CURRENT ROW)")
+register("win_worst_window", f"{KEY} coverage:f n:i", lambda s, d: uncertainty.worst_window(uncertainty.rolling_coverage(ad.a5(s, d), 5)),
+         f"{ad.A5}, k AS (SELECT * FROM a5 WHERE price IS NOT NULL AND l IS NOT NULL AND u IS NOT NULL), r AS (SELECT series_id, t, avg((price BETWEEN l AND u)::INT) OVER w AS coverage, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 431999 SECOND PRECEDING AND CURRENT ROW)), x AS (SELECT *, max(n) OVER (PARTITION BY series_id) AS most FROM r) ;; SELECT series_id, t AS timestamp_utc, coverage, n FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY coverage, t) AS rn FROM x WHERE n >= most / 2) WHERE rn = 1")
+register("win_latest_offsets", "series_id:s q_lo:f q_hi:f",
+         lambda s, d: uncertainty.latest_offsets(ad.a5(s, d).withColumns({"q_lo": F.col("L") - F.col("pred_full"), "q_hi": F.col("U") - F.col("pred_full")}), ["q_lo", "q_hi"]),
+         f"{ad.A5} ;; SELECT series_id, arg_max(l - pred_full, t) AS q_lo, arg_max(u - pred_full, t) AS q_hi FROM a5 WHERE l IS NOT NULL GROUP BY 1")
+register("win_residual_quantile_hourly", f"{KEY} q90:f", lambda s, d: uncertainty.hourly_quantiles(ad.a5(s, d), "residual", 3, 24, 0.9, "q90"),
+         f"{ad.A5} ;; SELECT series_id, t AS timestamp_utc, CASE WHEN count(residual) OVER w >= 24 THEN quantile_cont(residual, 0.9) OVER w END AS q90 FROM a5 WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 72 HOUR PRECEDING AND INTERVAL 1 SECOND PRECEDING)")
+
+# --- decisions and reports --------------------------------------------------------------------------
+_DAYS = "series_id:s delivery_date:d"
+register("st_common_days", f"{_DAYS} n_hours:i", lambda s, d: decisions.common_days(ad.a5(s, d), ad.REQUIRED), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, n_hours FROM days")
+register("st_common_days_unfilled", f"{_DAYS} n_hours:i", lambda s, d: decisions.common_days(forecast.day_of(timeseries.regularize(ad.a1(s, d))), ["price"]),
+         f"{ad.REG} ;; SELECT series_id, {B('t')}::DATE AS delivery_date, count(*) AS n_hours FROM reg GROUP BY 1, 2 HAVING bool_and(price IS NOT NULL)")
+register("st_backtest", f"{_DAYS} strategy:s traded:b i:i j:i gross_pnl:f net_pnl:f oracle_pnl:f n_hours:i", ad.a7, f"{ad.a7_sql()} ;; SELECT *, d AS delivery_date FROM a7")
+_CELLS = [(e, c) for e in (0.80, 0.85, 0.90) for c in (5.0, 10.0, 15.0)]
+_DELTA = ", ".join(f"sum(CASE WHEN strategy = '{a}' THEN net_pnl ELSE 0 END) - sum(CASE WHEN strategy = '{b}' THEN net_pnl ELSE 0 END) AS delta_{a}_{b}" for a, b in reports.DELTAS)
+_DELTA_SPEC = " ".join(f"delta_{a}_{b}:f" for a, b in reports.DELTAS)
+register("st_grid", f"eta:f c:f {_DELTA_SPEC}", lambda s, d: reports.named_deltas(ad.a7(s, d, _CELLS), ["eta", "c"]), f"{ad.a7_sql(_CELLS)} ;; SELECT eta, c, {_DELTA} FROM a7 GROUP BY 1, 2")
+register("st_verdict", "primary_delta:f positive_cells:i cells:i verdict:s", lambda s, d: reports.verdict(reports.named_deltas(ad.a7(s, d, _CELLS), ["eta", "c"]), "delta_S2_S1", "eta = 0.85 and c = 10"),
+         f"{ad.a7_sql(_CELLS)}, g AS (SELECT eta, c, {_DELTA} FROM a7 GROUP BY 1, 2), v AS (SELECT max(delta_S2_S1) FILTER (eta = 0.85 AND c = 10) AS primary_delta, count(*) FILTER (delta_S2_S1 > 0) AS positive_cells, count(*) AS cells FROM g) ;; SELECT *, CASE WHEN primary_delta <= 0 THEN 'FAILURE' WHEN positive_cells = cells THEN 'CONFIRMATION' ELSE 'PARTIAL' END AS verdict FROM v")
+register("fn_sign_label", "sign:s n:i", lambda s, d: reports.named_deltas(ad.a7(s, d, _CELLS), ["eta", "c"]).groupBy(fn.sign_label(F.round("delta_S2_S1", 6)).alias("sign")).agg(F.count("*").alias("n")),
+         f"{ad.a7_sql(_CELLS)}, g AS (SELECT eta, c, {_DELTA} FROM a7 GROUP BY 1, 2) ;; SELECT CASE WHEN round(delta_S2_S1, 6) > 0 THEN '+' WHEN round(delta_S2_S1, 6) < 0 THEN '-' ELSE '0' END AS sign, count(*) AS n FROM g GROUP BY 1")
+register("rep_primary_table", "strategy:s traded_days:i idle_days:i gross:f net:f mean_net:f median_net:f profitable_rate:f hit_rate:f worst:f", lambda s, d: reports.primary_table(ad.a7(s, d), ["strategy"]),
+         f"{ad.a7_sql()} ;; SELECT strategy, count(*) FILTER (traded) AS traded_days, count(*) FILTER (NOT traded) AS idle_days, sum(gross_pnl) AS gross, sum(net_pnl) AS net, avg(net_pnl) AS mean_net, median(net_pnl) AS median_net, avg((net_pnl > 0)::INT) AS profitable_rate, avg((net_pnl > 0)::INT) FILTER (traded) AS hit_rate, min(net_pnl) AS worst FROM a7 GROUP BY 1")
+register("rep_named_deltas", f"series_id:s {_DELTA_SPEC}", lambda s, d: reports.named_deltas(ad.a7(s, d), ["series_id"]), f"{ad.a7_sql()} ;; SELECT series_id, {_DELTA} FROM a7 GROUP BY 1")
+register("rep_value_capture", "strategy:s net:f oracle:f capture:f", lambda s, d: reports.value_capture(ad.a7(s, d), ["strategy"]), f"{ad.a7_sql()} ;; SELECT strategy, sum(net_pnl) AS net, sum(oracle_pnl) AS oracle, CASE WHEN sum(oracle_pnl) > 0 THEN sum(net_pnl) / sum(oracle_pnl) END AS capture FROM a7 GROUP BY 1")
+register("rep_split", f"high:b {_DELTA_SPEC}", lambda s, d: reports.named_deltas(ad.a7(s, d).withColumn("high", F.col("oracle_pnl") > 300), ["high"]), f"{ad.a7_sql()} ;; SELECT oracle_pnl > 300 AS high, {_DELTA} FROM a7 GROUP BY 1")
+register("rep_decompose", "category:s n_days:i delta:f", lambda s, d: reports.decompose(ad.a7(s, d), "S2", "S4", ["series_id"]),
+         f"{ad.a7_sql()}, z AS (SELECT CASE WHEN NOT a.traded AND NOT b.traded THEN 'both_idle' WHEN a.traded AND NOT b.traded THEN CASE WHEN a.net_pnl >= 0 THEN 'forgone' ELSE 'avoided' END WHEN NOT a.traded THEN 'reverse' WHEN a.i = b.i AND a.j = b.j THEN 'same_pair' ELSE 'pair_effect' END AS category, b.net_pnl - a.net_pnl AS x FROM a7 a JOIN a7 b ON a.series_id = b.series_id AND a.d = b.d AND a.strategy = 'S2' AND b.strategy = 'S4') ;; SELECT category, count(*) AS n_days, sum(x) AS delta FROM z GROUP BY 1")
+register("rep_cumulative_pnl", f"series_id:s strategy:s delivery_date:d cum_pnl:f", lambda s, d: reports.cumulative(ad.a7(s, d), ["series_id", "strategy"]), f"{ad.a7_sql()} ;; SELECT series_id, strategy, d AS delivery_date, sum(net_pnl) OVER (PARTITION BY series_id, strategy ORDER BY d ROWS UNBOUNDED PRECEDING) AS cum_pnl FROM a7")
+register("win_cumulative_drawdown", "series_id:s strategy:s max_drawdown:f worst_day:f worst_span:f", lambda s, d: reports.drawdown(ad.a7(s, d), ["series_id", "strategy"]),
+         f"{ad.a7_sql()}, k AS (SELECT series_id, strategy, d, net_pnl, sum(net_pnl) OVER (PARTITION BY series_id, strategy ORDER BY d ROWS UNBOUNDED PRECEDING) AS cum, CASE WHEN count(*) OVER w5 = 5 THEN sum(net_pnl) OVER w5 END AS s5 FROM a7 WINDOW w5 AS (PARTITION BY series_id, strategy ORDER BY d ROWS 4 PRECEDING)), p AS (SELECT *, max(cum) OVER (PARTITION BY series_id, strategy ORDER BY d ROWS UNBOUNDED PRECEDING) AS peak FROM k) ;; SELECT series_id, strategy, max(peak - cum) AS max_drawdown, min(net_pnl) AS worst_day, min(s5) AS worst_span FROM p GROUP BY 1, 2")
+_TOP = ", ".join(f"sum(net_pnl) FILTER (rn <= ceil(n * {p} / 100.0)) AS top_{p}, CASE WHEN sum(net_pnl) > 0 THEN sum(net_pnl) FILTER (rn <= ceil(n * {p} / 100.0)) / sum(net_pnl) END AS share_{p}" for p in (1, 5, 10))
+register("top_share", "series_id:s strategy:s total:f top_1:f share_1:f top_5:f share_5:f top_10:f share_10:f", lambda s, d: reports.concentration(ad.a7(s, d), ["series_id", "strategy"]),
+         f"{ad.a7_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id, strategy ORDER BY net_pnl DESC, d) AS rn, count(*) OVER (PARTITION BY series_id, strategy) AS n FROM a7) ;; SELECT series_id, strategy, sum(net_pnl) AS total, {_TOP} FROM r GROUP BY 1, 2")
+register("risk_var_es", "strategy:s level:f var:f es:f n_total:i n_tail:f low_precision:b", lambda s, d: reports.var_es(ad.a7(s, d), ["strategy"]),
+         f"{ad.a7_sql()}, l AS (SELECT strategy, -net_pnl AS x, row_number() OVER (PARTITION BY strategy ORDER BY -net_pnl DESC) AS rn, count(*) OVER (PARTITION BY strategy) AS n FROM a7), k AS (SELECT *, (1 - level) * n AS m FROM l, (SELECT unnest([0.9::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS level)), v AS (SELECT strategy, quantile_cont(x, [0.9, 0.95, 0.99]) AS q FROM l GROUP BY 1) ;; SELECT k.strategy, level, any_value(CASE WHEN level = 0.9 THEN q[1] WHEN level = 0.95 THEN q[2] ELSE q[3] END) AS var, sum(greatest(0, least(1, m - (rn - 1))) * x) / any_value(m) AS es, any_value(n) AS n_total, any_value(m) AS n_tail, any_value(m) < 20 AS low_precision FROM k JOIN v ON v.strategy = k.strategy GROUP BY 1, 2")
+register("risk_descriptive", "strategy:s mean_loss:f median_loss:f worst_loss:f best_loss:f", lambda s, d: reports.descriptive_losses(ad.a7(s, d), ["strategy"]), f"{ad.a7_sql()} ;; SELECT strategy, avg(-net_pnl) AS mean_loss, median(-net_pnl) AS median_loss, max(-net_pnl) AS worst_loss, min(-net_pnl) AS best_loss FROM a7 GROUP BY 1")
+_CON = "con AS (SELECT d, sum(CASE WHEN strategy = 'S2' THEN net_pnl WHEN strategy = 'S1' THEN -net_pnl ELSE 0 END) AS x FROM a7 GROUP BY 1)"
+register("bs_contrast_stats", "n:i total:f mean:f sd:f wins:i losses:i ties:i", lambda s, d: reports.contrast_stats(reports.contrast(ad.a7(s, d), "S2", "S1")), f"{ad.a7_sql()}, {_CON} ;; SELECT count(*) AS n, sum(x) AS total, avg(x) AS mean, stddev_samp(x) AS sd, count(*) FILTER (x > 1e-9) AS wins, count(*) FILTER (x < -1e-9) AS losses, count(*) FILTER (abs(x) <= 1e-9) AS ties FROM con")
+register("agg_monthly_sum", "month:s n:i delta:f", lambda s, d: reports.contrast(ad.a7(s, d), "S2", "S1").groupBy(F.date_format("delivery_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("delta").alias("delta")), f"{ad.a7_sql()}, {_CON} ;; SELECT strftime(d, '%Y-%m') AS month, count(*) AS n, sum(x) AS delta FROM con GROUP BY 1")
+register("bs_block_ci", "reps:i low:f high:f", lambda s, d: reports.block_bootstrap(reports.contrast(ad.a7(s, d), "S2", "S1"), 7, 2000, 11))
+register("st_threshold_frontier", "strategy:s tau:f trades:i pnl:f hit_rate:f worst:f", lambda s, d: reports.threshold_frontier(ad.a7(s, d), "gross_pnl", [0.0, 50.0, 100.0, 200.0], ["strategy"]),
+         f"{ad.a7_sql()}, k AS (SELECT *, gross_pnl > tau AS hot FROM a7, (SELECT unnest([0.0, 50.0, 100.0, 200.0]) AS tau)) ;; SELECT strategy, tau, count(*) FILTER (hot) AS trades, sum(CASE WHEN hot THEN net_pnl ELSE 0 END) AS pnl, avg((net_pnl > 0)::INT) FILTER (hot) AS hit_rate, min(CASE WHEN hot THEN net_pnl ELSE 0 END) AS worst FROM k GROUP BY 1, 2")
+register("chk_backtest_rows", "rule:s violations:i", lambda s, d: checks.conditions(ad.a7(s, d), checks.BACKTEST_RULES), f"{ad.a7_sql()} ;; SELECT 'n_hours' AS rule, count(*) AS violations FROM a7 WHERE n_hours NOT IN (23, 24, 25) HAVING count(*) > 0")
+register("rep_backtest_summary", "strategy:s total:f trading_days:i profitable_days:i", lambda s, d: ad.a7(s, d).groupBy("strategy").agg(F.sum("net_pnl").alias("total"), F.sum(F.col("traded").cast("long")).alias("trading_days"), F.sum((F.col("net_pnl") > 0).cast("long")).alias("profitable_days")), f"{ad.a7_sql()} ;; SELECT strategy, sum(net_pnl) AS total, count(*) FILTER (traded) AS trading_days, count(*) FILTER (net_pnl > 0) AS profitable_days FROM a7 GROUP BY 1")
+
+# --- forecasts --------------------------------------------------------------------------------------
+register("ml_trailing_profile", "series_id:s delivery_date:d hour_local:i profile_pred:f", lambda s, d: forecast.trailing_profile(ad.a1(s, d), "price", 5),
+         f"{ad.A1}, r AS (SELECT series_id, {B('t')}::DATE AS day, hour({B('t')}) AS h, price AS v FROM a1), i AS (SELECT series_id, day, row_number() OVER (PARTITION BY series_id ORDER BY day) AS k FROM (SELECT DISTINCT series_id, day FROM r)) ;; SELECT b.series_id, b.day AS delivery_date, h AS hour_local, avg(v) AS profile_pred FROM r JOIN i a ON a.series_id = r.series_id AND a.day = r.day JOIN i b ON b.series_id = a.series_id AND a.k BETWEEN b.k - 5 AND b.k - 1 GROUP BY 1, 2, 3")
+register("ml_promotion_rule", "base_mae:f challenger_mae:f improvement:f promoted:b", lambda s, d: forecast.promotion(metrics.point_metrics(_scored(s, d).where("fold is not null"), ["model", "fold"]), "pred_full", "pred_alt"),
+         f"{ad.A5}, {_LONG}, w AS (SELECT avg(abs(price - p)) FILTER (model = 'pred_full') AS b, avg(abs(price - p)) FILTER (model = 'pred_alt') AS c FROM k WHERE fold IS NOT NULL) ;; SELECT b AS base_mae, c AS challenger_mae, 1 - c / b AS improvement, 1 - c / b >= 0.01 AS promoted FROM w")
+register("agg_weighted_mae", "model:s mae:f", lambda s, d: metrics.point_metrics(_scored(s, d).where("fold is not null"), ["model", "fold"]).groupBy("model").agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("mae")), f"{ad.A5}, {_LONG} ;; SELECT model, avg(abs(price - p)) AS mae FROM k WHERE fold IS NOT NULL GROUP BY 1")
+
+
+def _model(kind: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        rows = ad.a5(s, d).select("series_id", "timestamp_utc", "price", "pred_full", "pred_alt", "fold")
+        train = rows.where("fold is null or fold < 4")
+        features = ["pred_full", "pred_alt"]
+        model = forecast.elastic_net(train, features, "price", 0.1, 0.5) if kind == "linear" else forecast.boosted_trees(train, features, "price", maxDepth=3, maxIter=10)
+        return forecast.predict_complete(model, rows.where("fold = 4"), features, ROWS, "predicted")
+
+    return run
+
+
+register("ml_elasticnet", f"{KEY} price:f predicted:f", _model("linear"))
+register("ml_gbt", f"{KEY} price:f predicted:f", _model("trees"))
+register("chk_dataset_fingerprint", "n:i fingerprint:s", lambda s, d: checks.fingerprint(read_table(s, d, "orders")))
+register("smp_random", f"{KEY} price:f", lambda s, d: ad.a1(s, d).orderBy(F.xxhash64("series_id", "timestamp_utc", F.lit(42))).limit(500))
