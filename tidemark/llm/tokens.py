@@ -111,8 +111,13 @@ class Encoder:
         new.update(c for e in ended for c in (e[:-1], e[-1]) if c not in cache)
         new.discard("")
         found = {p: self.word(p) for p in new if p.isalpha() or p[0] == " " and p[1:].isalpha()}
-        other = list(new.difference(found))
-        found.update(zip(other, self.pieces(other)))
+        other = new.difference(found)
+        # a sign at the start would be joined with the mark before it, and white space at the end be cut by
+        # the mark after it
+        alone = [p for p in other if p[0] != " " and not p[0].isalnum() or p[-1].isspace()]
+        joined = list(other.difference(alone))
+        found.update(zip(joined, self.pieces(joined)))
+        found.update(zip(alone, self.whole(alone)))
         for e in ended:
             found[e] = (found.get(e[:-1]) or cache[e[:-1]]) + (found.get(e[-1]) or cache[e[-1]])
         if len(cache) < CACHE:
