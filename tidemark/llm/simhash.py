@@ -85,16 +85,17 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
     width = per * (blocks - distance)
     if width > 48:
         raise ValueError("a cell and the number of its grid must fit 63 bits")
-    parts = [_popcounts(F.col("fingerprint"), i, blocks) for i in range(blocks)]
 
     def cell(n: int, chosen: tuple[int, ...]) -> Column:
         # the grid's number and the chosen blocks' counts side by side: an exact key of one long
         key = F.lit(n << width).cast("long")
         for j, i in enumerate(chosen):
-            key = key.bitwiseOR(F.shiftleft(parts[i], per * j))
+            key = key.bitwiseOR(F.shiftleft(F.col(f"part{i}"), per * j))
         return key
 
-    points = prints.select("fingerprint", F.explode(F.array(*[cell(n, c) for n, c in enumerate(keep)])).alias("cell"))
+    # the counts are columns of their own, so that the plan holds each expression once
+    counted = prints.select("fingerprint", *[_popcounts(F.col("fingerprint"), i, blocks).alias(f"part{i}") for i in range(blocks)])
+    points = counted.select("fingerprint", F.explode(F.array(*[cell(n, c) for n, c in enumerate(keep)])).alias("cell"))
     left = points.withColumnRenamed("fingerprint", "a")
     right = points.withColumnRenamed("fingerprint", "b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
