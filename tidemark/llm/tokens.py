@@ -146,7 +146,7 @@ def _train(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int) ->
     # enough characters for SAMPLE_IDS ids of each; the sample is of use, not a part of the output
     text = F.substring(F.coalesce("text", F.lit("")), 1, 4 * SAMPLE_IDS)
     rows = docs.where(hashed <= kept[-1]).select(hashed.alias("h"), text.alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
-    enc = encoder(tokenizer)
+    enc = Encoder(tokenizer)  # not kept: the driver needs it here alone
     end = np.array([end_id], enc.dtype).tobytes()
     samples = [b[: SAMPLE_IDS * enc.dtype.itemsize] + end for b in enc.ids([r["t"] for r in rows])]
     try:
