@@ -16,13 +16,18 @@ def minutes_of(resolution: Column) -> Column:
     return F.when(resolution == "PT15M", 15).when(resolution == "PT30M", 30).when(resolution.isin("PT60M", "PT1H"), 60)
 
 
+def instant(text: str) -> Column:
+    """A time of a document, with or without seconds; null if malformed."""
+    return F.coalesce(F.try_to_timestamp(F.col(text), F.lit("yyyy-MM-dd'T'HH:mmX")), F.try_to_timestamp(F.col(text)))
+
+
 def flatten(documents: DataFrame, column: str = "xml") -> DataFrame:
     """A row for each point of each document; namespaces do not matter."""
     parsed = documents.withColumn("d", F.from_xml(column, DOCUMENT_SCHEMA)).select("*", F.posexplode("d.TimeSeries").alias("ts_index", "t")).drop("d", column)
     periods = parsed.select("*", F.posexplode("t.Period").alias("period_index", "p"))
     sequence = F.col("t")["classificationSequence_AttributeInstanceComponent.position"]
     flat = periods.select(*[c for c in documents.columns if c != column], "ts_index", "period_index", F.col("t.mRID").alias("ts_uid"), F.col("t.curveType").alias("curve_type"), sequence.alias("sequence"),
-                          F.to_timestamp("p.timeInterval.start").alias("start"), F.to_timestamp("p.timeInterval.end").alias("end"), F.col("p.resolution").alias("resolution"), F.explode("p.Point").alias("q"))
+                          instant("p.timeInterval.start").alias("start"), instant("p.timeInterval.end").alias("end"), F.col("p.resolution").alias("resolution"), F.explode("p.Point").alias("q"))
     return flat.select("*", F.col("q.position").alias("position"), F.coalesce(F.col("q")["price.amount"], F.col("q.quantity")).alias("value")).drop("q")
 
 
