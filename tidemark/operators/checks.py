@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,16 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """Count and an order-insensitive sum of row hashes."""
     h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("fingerprint"))
+
+
+def audit_dates(days: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` days of each series worth a look: first, last, of fewest and of most rows, then
+    those of few rows. ``days``: ``series_id, delivery_date, n``."""
+    by = Window.partitionBy("series_id")
+    rank = lambda *order: F.row_number().over(by.orderBy(*order))
+    ranked = days.withColumns({"first": rank("delivery_date"), "last": rank(F.desc("delivery_date")), "fewest": rank("n", "delivery_date"), "most": rank(F.desc("n"), "delivery_date")})
+    names = ["first", "last", "fewest", "most"]
+    reason, priority = F.lit("few"), F.lit(len(names))
+    for p, name in reversed(list(enumerate(names))):
+        reason, priority = F.when(F.col(name) == 1, name).otherwise(reason), F.when(F.col(name) == 1, p).otherwise(priority)
+    return ranked.withColumns({"reason": reason, "priority": priority}).withColumn("rn", rank("priority", "fewest")).where(F.col("rn") <= most).select("series_id", "delivery_date", "reason")

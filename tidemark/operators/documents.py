@@ -66,10 +66,10 @@ def point_violations(periods: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def period_gaps(periods: DataFrame) -> DataFrame:
-    """Gap and overlap of each period against the furthest end before it in its series."""
+    """Gap and overlap of each period against the furthest end before it in its series (``frontier``)."""
     w = Window.partitionBy("ts_uid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     front = F.max("end").over(w)
-    return periods.withColumns({"gap": F.coalesce(F.col("start") > front, F.lit(False)), "overlap": F.coalesce(F.col("start") < front, F.lit(False))})
+    return periods.withColumns({"frontier": front, "gap": F.coalesce(F.col("start") > front, F.lit(False)), "overlap": F.coalesce(F.col("start") < front, F.lit(False))})
 
 
 def curve_summary(points: DataFrame, periods: DataFrame, year: Column) -> DataFrame:

@@ -44,3 +44,16 @@ def day_aligned_cv(df: DataFrame, k: int) -> DataFrame:
         F.min(F.when(inside, F.col("day"))).alias("test_start"), F.max(F.when(inside, F.col("day"))).alias("test_end"),
         F.sum((F.col("r") < F.col("start")).cast("long")).alias("train_days"), F.sum(inside.cast("long")).alias("test_days"),
     )
+
+
+def row_cv(df: DataFrame, k: int) -> DataFrame:
+    """The same over rows in time order, each series in parts of N div (k + 1) rows."""
+    w = Window.partitionBy("series_id")
+    ranked = df.select("series_id", "timestamp_utc").withColumns({"r": F.row_number().over(w.orderBy("timestamp_utc")) - 1, "n": F.count("*").over(w)})
+    test = F.floor(F.col("n") / (k + 1))
+    placed = ranked.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("start", F.col("n") - (k - F.col("fold")) * test)
+    inside = (F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + test)
+    return placed.groupBy("series_id", "fold").agg(
+        F.sum((F.col("r") < F.col("start")).cast("long")).alias("train_rows"), F.sum(inside.cast("long")).alias("test_rows"),
+        F.min(F.when(inside, F.col("timestamp_utc"))).alias("test_start"), F.max(F.when(inside, F.col("timestamp_utc"))).alias("test_end"),
+    )

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that executors share; of this machine only where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -20,10 +29,10 @@ def read_contract(spark: SparkSession, path: str, required: list[str]) -> DataFr
 
 
 def read_csv_series(spark: SparkSession, paths: list[str], schema: str, columns: list[str], tag: str = "fold") -> DataFrame:
-    """Listed columns of CSV files with UTC times, tagged by file name; the first row of a timestamp."""
+    """Listed columns of CSV files with UTC times, tagged by the name of file or folder; the first row of a timestamp."""
     from tidemark.operators.timeseries import dedupe
 
-    rows = spark.read.schema(schema).option("header", True).csv(paths).withColumn(tag, F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv[^/]*$", 1))
+    rows = spark.read.schema(schema).option("header", True).csv(paths).withColumn(tag, F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv(?:/[^/]*)?$", 1))
     return dedupe(rows.select(*columns, tag), ["timestamp_utc", tag], [F.col(c) for c in columns if c != "timestamp_utc"])
 
 
