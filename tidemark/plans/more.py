@@ -159,8 +159,8 @@ register("jn_self_lag", f"{KEY} lagged:f", lambda s, d: timeseries.regularize(ad
 _two = lambda s, d: [ad.a1(s, d).where(F.col("series_id") == n).select("timestamp_utc", F.col("price").alias(n)) for n in ("purchase", "view")]
 _TWO = f"{ad.A1}, p AS (SELECT t, price AS purchase FROM a1 WHERE series_id = 'purchase'), v AS (SELECT t, price AS view FROM a1 WHERE series_id = 'view')"
 register("jn_inner_two_models", "timestamp_utc:t purchase:f view:f", lambda s, d: _two(s, d)[0].join(_two(s, d)[1], "timestamp_utc"), f"{_TWO} ;; SELECT t AS timestamp_utc, purchase, view FROM p JOIN v USING (t)")
-_side = F.when(F.col("purchase").isNull(), "right").when(F.col("view").isNull(), "left").otherwise("both")
-register("jn_outer_indicator", "timestamp_utc:t side:s", lambda s, d: _two(s, d)[0].join(_two(s, d)[1], "timestamp_utc", "full").withColumn("side", _side).where("side <> 'both'"),
+_side = "CASE WHEN purchase IS NULL THEN 'right' WHEN view IS NULL THEN 'left' ELSE 'both' END"
+register("jn_outer_indicator", "timestamp_utc:t side:s", lambda s, d: _two(s, d)[0].join(_two(s, d)[1], "timestamp_utc", "full").withColumn("side", F.expr(_side)).where("side <> 'both'"),
          f"{_TWO} ;; SELECT t AS timestamp_utc, CASE WHEN purchase IS NULL THEN 'right' ELSE 'left' END AS side FROM p FULL JOIN v USING (t) WHERE purchase IS NULL OR view IS NULL")
 register("set_grid_difference", "timestamp_utc:t side:s", lambda s, d: checks.set_difference(*[x.select("timestamp_utc") for x in _two(s, d)]),
          f"{_TWO} ;; SELECT t AS timestamp_utc, 'left' AS side FROM (SELECT t FROM p EXCEPT SELECT t FROM v) UNION ALL SELECT t, 'right' FROM (SELECT t FROM v EXCEPT SELECT t FROM p)")
