@@ -68,3 +68,9 @@ def degradation_cost(c: Column, eta: Column) -> Column:
 def winkler(actual: Column, low: Column, high: Column, alpha: float) -> Column:
     zero = F.lit(0.0)
     return (high - low) + (F.greatest(low - actual, zero) + F.greatest(actual - high, zero)) * F.lit(2.0 / alpha)
+
+
+def draw(*cols: Column) -> Column:
+    """A whole number from 0 to 2 ** 60 - 1 that depends on the columns' texts alone (from their MD5), so that a lost
+    task draws the same again and other engines can repeat it."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *[c.cast("string") for c in cols])), 1, 15), 16, 10).cast("long")

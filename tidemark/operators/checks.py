@@ -65,6 +65,17 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("fingerprint"))
 
 
+def availability(df: DataFrame, tiers: dict[str, int], needs: dict[str, list[str]]) -> DataFrame:
+    """``column, tier, n_present``: 1 if a column is surely published before the decision, 2 if not. A column
+    that is derived (``needs``) has the highest tier of those it needs; n_present: its rows that are not null."""
+    known = dict(tiers)
+    for name, parts in needs.items():
+        known[name] = max(known[c] for c in parts)
+    long = df.select(*[F.col(c).isNotNull().cast("long").alias(c) for c in known]).unpivot([], list(known), "column", "present")
+    tier = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])[F.col("column")]
+    return long.groupBy("column").agg(F.sum("present").alias("n_present")).withColumn("tier", tier)
+
+
 def audit_dates(days: DataFrame, most: int) -> DataFrame:
     """At most ``most`` days of each series worth a look: first, last, of fewest and of most rows, then
     those of few rows. ``days``: ``series_id, delivery_date, n``."""

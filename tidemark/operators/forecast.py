@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import local_date, local_time
@@ -58,6 +58,15 @@ def predict_complete(model, df: DataFrame, features: list[str], keys: list[str],
     return df.join(made, keys, "left")
 
 
+def coefficients(model, features: list[str]) -> DataFrame:
+    """``rank, feature, weight`` of a fitted model, largest magnitude first (ties by name): coefficients of
+    the standardized features, or importances of trees. As many rows as features."""
+    last = model.stages[-1]
+    weights = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
+    rows = sorted(zip(features, weights.toArray().tolist()), key=lambda x: (-abs(x[1]), x[0]))
+    return SparkSession.active().createDataFrame([(n + 1, *r) for n, r in enumerate(rows)], "rank int, feature string, weight double")
+
+
 def promotion(metrics: DataFrame, base: str, challenger: str, threshold: float = 0.01) -> DataFrame:
     """Row-weighted mean absolute errors over folds, and whether the challenger's is lower by enough."""
     w = lambda m: F.sum(F.when(F.col("model") == m, F.col("mae") * F.col("n"))) / F.sum(F.when(F.col("model") == m, F.col("n")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import draw
+
 DELTAS = [("S2", "S1"), ("S3", "S2"), ("S4", "S2"), ("S5", "S3")]
 
 
@@ -115,7 +117,7 @@ def block_bootstrap(delta: DataFrame, block: int, reps: int, seed: int, levels=(
     last = n - block * (blocks - 1)
     offset = F.pmod(F.col("day") - F.col("start"), F.lit(n))
     sums = ext.groupBy("start").agg(F.sum("delta").alias("full"), F.sum(F.when(offset < last, F.col("delta")).otherwise(0.0)).alias("part"))
-    draws = spark.range(reps).select("id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk")).withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "id", "blk"), F.lit(n)))
+    draws = spark.range(reps).select("id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk")).withColumn("start", draw(F.lit(seed), F.col("id"), F.col("blk")) % n)
     totals = draws.join(sums, "start").groupBy("id").agg(F.sum(F.when(F.col("blk") == blocks - 1, F.col("part")).otherwise(F.col("full"))).alias("total"))
     return totals.agg(F.count("*").alias("reps"), F.percentile("total", F.lit(levels[0])).alias("low"), F.percentile("total", F.lit(levels[1])).alias("high"))
 

@@ -65,6 +65,10 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 ts = lambda s: F.to_timestamp(F.lit(s))
 B = ad.berlin
 
+#: fn.draw() in SQL, for an expression of the columns' texts.
+DRAW = lambda text: f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+_SECOND = "series_id || '/' || strftime(t, '%Y-%m-%d %H:%M:%S') || '/42'"
+
 # --- sources, cleaning, time ------------------------------------------------------------------------
 register("src_parquet_contract", "o_orderkey:i o_orderdate:d o_totalprice:f", lambda s, d: read_contract(s, f"{d}/orders.parquet", ["o_orderkey", "o_orderdate", "o_totalprice"]),
          "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders")
@@ -277,7 +281,11 @@ register("risk_descriptive", "strategy:s mean_loss:f median_loss:f worst_loss:f
 _CON = "con AS (SELECT d, sum(CASE WHEN strategy = 'S2' THEN net_pnl WHEN strategy = 'S1' THEN -net_pnl ELSE 0 END) AS x FROM a7 GROUP BY 1)"
 register("bs_contrast_stats", "n:i total:f mean:f sd:f wins:i losses:i ties:i", lambda s, d: reports.contrast_stats(reports.contrast(ad.a7(s, d), "S2", "S1")), f"{ad.a7_sql()}, {_CON} ;; SELECT count(*) AS n, sum(x) AS total, avg(x) AS mean, stddev_samp(x) AS sd, count(*) FILTER (x > 1e-9) AS wins, count(*) FILTER (x < -1e-9) AS losses, count(*) FILTER (abs(x) <= 1e-9) AS ties FROM con")
 register("agg_monthly_sum", "month:s n:i delta:f", lambda s, d: reports.contrast(ad.a7(s, d), "S2", "S1").groupBy(F.date_format("delivery_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("delta").alias("delta")), f"{ad.a7_sql()}, {_CON} ;; SELECT strftime(d, '%Y-%m') AS month, count(*) AS n, sum(x) AS delta FROM con GROUP BY 1")
-register("bs_block_ci", "reps:i low:f high:f", lambda s, d: reports.block_bootstrap(reports.contrast(ad.a7(s, d), "S2", "S1"), 7, 2000, 11))
+register("bs_block_ci", "reps:i low:f high:f", lambda s, d: reports.block_bootstrap(reports.contrast(ad.a7(s, d), "S2", "S1"), 7, 20000, 11), f"""{ad.a7_sql()}, {_CON},
+nb AS (SELECT row_number() OVER (ORDER BY d) - 1 AS k, x FROM con), sz AS (SELECT count(*) AS n, (count(*) + 6) // 7 AS blocks FROM con),
+dr AS (SELECT id, blk, {DRAW("'11/' || id || '/' || blk")} % n AS start, n, blocks FROM sz, range(20000) r(id), range(100000) b(blk) WHERE blk < blocks),
+el AS (SELECT id, (start + o) % n AS k FROM dr, range(7) q(o) WHERE blk < blocks - 1 OR o < n - 7 * (blocks - 1)),
+tt AS (SELECT id, sum(x) AS total FROM el JOIN nb USING (k) GROUP BY id) ;; SELECT count(*) AS reps, quantile_cont(total, 0.025) AS low, quantile_cont(total, 0.975) AS high FROM tt""")
 register("st_threshold_frontier", "strategy:s tau:f trades:i pnl:f hit_rate:f worst:f", lambda s, d: reports.threshold_frontier(ad.a7(s, d), "gross_pnl", [0.0, 50.0, 100.0, 200.0], ["strategy"]),
          f"{ad.a7_sql()}, k AS (SELECT *, gross_pnl > tau AS hot FROM a7, (SELECT unnest([0.0, 50.0, 100.0, 200.0]) AS tau)) ;; SELECT strategy, tau, count(*) FILTER (hot) AS trades, sum(CASE WHEN hot THEN net_pnl ELSE 0 END) AS pnl, avg((net_pnl > 0)::INT) FILTER (hot) AS hit_rate, min(CASE WHEN hot THEN net_pnl ELSE 0 END) AS worst FROM k GROUP BY 1, 2")
 register("chk_backtest_rows", "rule:s violations:i", lambda s, d: checks.conditions(ad.a7(s, d), checks.BACKTEST_RULES), f"{ad.a7_sql()} ;; SELECT 'n_hours' AS rule, count(*) AS violations FROM a7 WHERE n_hours NOT IN (23, 24, 25) HAVING count(*) > 0")
@@ -305,4 +313,30 @@ def _model(kind: str):
 register("ml_elasticnet", f"{KEY} price:f predicted:f", _model("linear"))
 register("ml_gbt", f"{KEY} price:f predicted:f", _model("trees"))
 register("chk_dataset_fingerprint", "n:i fingerprint:s", lambda s, d: checks.fingerprint(read_table(s, d, "orders")))
-register("smp_random", f"{KEY} price:f", lambda s, d: ad.a1(s, d).orderBy(F.xxhash64("series_id", "timestamp_utc", F.lit(42))).limit(500))
+register("smp_random", f"{KEY} price:f", lambda s, d: ad.a1(s, d).orderBy(fn.draw(F.col("series_id"), F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss"), F.lit(42))).limit(500),
+         f"{ad.A1} ;; SELECT series_id, t AS timestamp_utc, price FROM a1 ORDER BY {DRAW(_SECOND)} LIMIT 500")
+
+
+def _least_squares(s: SparkSession, d: str, features: list[str]):
+    rows = ad.a5(s, d).select(*ROWS, "price", "pred_full", "pred_alt", "fold")
+    return rows, forecast.elastic_net(rows.where("fold is null or fold < 4"), features, "price", 0.0, 0.5)
+
+
+def _predicted(s: SparkSession, d: str) -> DataFrame:
+    rows, model = _least_squares(s, d, ["pred_full"])
+    return forecast.predict_complete(model, rows.where("fold is null or fold = 4"), ["pred_full"], ROWS, "predicted")
+
+
+# without a penalty the elastic net is least squares, which SQL's covariances give
+_TRAIN = "tr AS (SELECT price AS y, pred_full AS a, pred_alt AS b FROM a5 WHERE (fold IS NULL OR fold < 4) AND price IS NOT NULL AND pred_full IS NOT NULL AND pred_alt IS NOT NULL)"
+register("ml_predict_complete", f"{KEY} price:f predicted:f", _predicted,
+         f"{ad.A5}, co AS (SELECT regr_slope(price, pred_full) AS k, regr_intercept(price, pred_full) AS c FROM a5 WHERE (fold IS NULL OR fold < 4) AND price IS NOT NULL AND pred_full IS NOT NULL) ;; "
+         "SELECT series_id, t AS timestamp_utc, price, c + k * pred_full AS predicted FROM a5, co WHERE fold IS NULL OR fold = 4")
+register("ml_coefficients", "rank:i feature:s weight:f", lambda s, d: forecast.coefficients(_least_squares(s, d, ["pred_full", "pred_alt"])[1], ["pred_full", "pred_alt"]),
+         f"{ad.A5}, {_TRAIN}, m AS (SELECT var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS ab, covar_samp(a, y) AS ay, covar_samp(b, y) AS by_ FROM tr), "
+         "w AS (SELECT 'pred_full' AS feature, sqrt(va) * (ay * vb - by_ * ab) / (va * vb - ab * ab) AS weight FROM m UNION ALL SELECT 'pred_alt', sqrt(vb) * (by_ * va - ay * ab) / (va * vb - ab * ab) FROM m) ;; "
+         "SELECT row_number() OVER (ORDER BY abs(weight) DESC, feature) AS rank, feature, weight FROM w")
+register("chk_availability_tier", "column:s tier:i n_present:i",
+         lambda s, d: checks.availability(ad.a3(s, d).withColumn("wind_mw", F.col("wind_on_mw") + F.col("wind_off_mw")), {"load_mw": 1, "wind_on_mw": 2, "wind_off_mw": 2, "solar_mw": 2}, {"wind_mw": ["wind_on_mw", "wind_off_mw"]}),
+         f"{ad.A3} ;; " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {t} AS tier, count({v}) AS n_present FROM a3" for c, t, v in [
+             ("load_mw", 1, "load_mw"), ("wind_on_mw", 2, "wind_on_mw"), ("wind_off_mw", 2, "wind_off_mw"), ("solar_mw", 2, "solar_mw"), ("wind_mw", 2, "wind_on_mw + wind_off_mw")]))
