@@ -75,7 +75,65 @@ QUERIES = {
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, (bool, int)) else _text(x) for x in r) + ")" for r in rows)
+
+
+#: Phrases and templates with their words as text, rules and patterns: the constants of the operators.
+_TEMPLATES = _values([(n, label, n < len(licenses.BASE), text) for n, (text, label) in enumerate([*licenses.BASE, *licenses.TEMPLATES])])
+_RULES = _values([(n, *r) for n, r in enumerate(urls.BASE)])
+_PATTERNS = _values([(n, p, v) for n, (p, _, v) in enumerate(urls.PATTERNS)])
+_COMMON = "[" + ", ".join(map(_text, licenses.COMMON)) + "]"
+
 ORACLE_SQL = {
+    "op3_licenses": rf"""
+WITH templates(no, label, base, phrase) AS (VALUES {_TEMPLATES}),
+t AS (SELECT no, label, base, string_split(phrase, ' ') AS w FROM templates),
+tp AS (SELECT no, label, base, j, w[j + 1] AS w1, w[j + 2] AS w2 FROM (SELECT *, unnest(range(len(w) - 1)) AS j FROM t)),
+pairs AS (SELECT * FROM tp WHERE base OR NOT (list_contains({_COMMON}, w1) AND list_contains({_COMMON}, w2))),
+seeds AS (SELECT no, count(*) AS seeds FROM pairs GROUP BY no),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+dp AS (SELECT r, i, w[i + 1] AS w1, w[i + 2] AS w2 FROM (SELECT r, w, unnest(range(len(w) - 1)) AS i FROM d WHERE len(w) > 1)),
+votes AS (SELECT r, no, label, base, j, i - j AS diagonal FROM dp JOIN pairs USING (w1, w2)),
+diagonals AS (SELECT r, no, label, base, seeds, diagonal, list(j) AS js, base AND count(*) = seeds AS place FROM votes JOIN seeds USING (no) GROUP BY r, no, label, base, seeds, diagonal),
+begun AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, no ORDER BY diagonal) <= {licenses.GAP}, false) AS goes_on FROM diagonals),
+spans AS (SELECT *, count(*) FILTER (NOT goes_on) OVER (PARTITION BY r, no ORDER BY diagonal) AS span FROM begun),
+merged AS (
+  SELECT r, label, base, count(*) FILTER (place) AS places, min(diagonal) FILTER (place) AS lo, max(diagonal) FILTER (place) AS hi,
+    CASE WHEN base THEN bool_or(place)::INT::DOUBLE ELSE len(list_distinct(flatten(list(js)))) / seeds::DOUBLE END AS share
+  FROM spans GROUP BY r, no, label, base, seeds, span),
+scans AS (
+  SELECT r, sum(places)::BIGINT AS n_base, min(lo) AS first_word, max(hi) AS last_word, max(share) AS score,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND places > 0) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= {licenses.COVER}) AS labels
+  FROM merged GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN scans USING (r)
+""",
+    "op8_urls": rf"""
+WITH rules(no, r_host, r_path, verdict) AS (VALUES {_RULES}), patterns(no, pattern, verdict) AS (VALUES {_PATTERNS}),
+u AS (
+  SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT r, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM u),
+p AS (
+  SELECT r, page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM h),
+ruled AS (
+  SELECT r, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(verdict, length(r_host || r_path)) AS verdict
+  FROM p JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY r),
+matched AS (
+  SELECT r, arg_max(pattern, length(pattern) * 1000 + no) AS pattern, arg_max(patterns.verdict, length(pattern) * 1000 + no) AS verdict
+  FROM p JOIN patterns ON regexp_matches(host || path, pattern) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(ruled.verdict, matched.verdict, 'allow') AS verdict, CASE WHEN rule IS NULL THEN pattern END AS pattern
+FROM p LEFT JOIN ruled USING (r) LEFT JOIN matched USING (r)
+""",
     "op7_decontamination": rf"""
 WITH item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 items AS (
