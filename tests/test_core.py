@@ -1,5 +1,6 @@
 """Hand-computed cases, daylight-saving days, hostile perturbations and two-way checks."""
 
+import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tidemark.operators import checks, decisions, documents, reports, splits, timeseries, uncertainty
+from tidemark.functions.columns import draw
+from tidemark.operators import checks, decisions, documents, forecast, reports, splits, timeseries, uncertainty
 from tidemark.streaming import resample_hourly_stream
 from tidemark.plans import registry
 
@@ -149,3 +151,23 @@ def test_written_tables_come_back_and_versions_stay(spark):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("x", 1.5), ("y", None)]
     with pytest.raises(Exception, match="(?i)exists"):
         tables.write_version(rows, path)
+
+
+def test_draw_depends_on_texts_alone(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (1, None)], "n int, t string")
+    got = [r[0] for r in rows.select(draw(F.col("n"), F.col("t"))).collect()]
+    assert got == [int(hashlib.md5(t).hexdigest()[:15], 16) for t in (b"1/a", b"2/a", b"1")]
+
+
+def test_availability_of_derived_columns(spark):
+    rows = spark.createDataFrame([(1.0, None), (None, None), (2.0, 3.0)], "a double, b double").withColumn("ab", F.col("a") + F.col("b"))
+    got = {r["column"]: (r["tier"], r["n_present"]) for r in checks.availability(rows, {"a": 1, "b": 2}, {"ab": ["a", "b"]}).collect()}
+    assert got == {"a": (1, 2), "b": (2, 1), "ab": (2, 1)}
+
+
+def test_coefficients_are_ordered_by_magnitude(spark):
+    rows = spark.createDataFrame([(float(i), float(i % 3), 2.0 * i - 50.0 * (i % 3)) for i in range(30)], "a double, b double, y double")
+    got = forecast.coefficients(forecast.elastic_net(rows, ["a", "b"], "y", 0.0, 0.5), ["a", "b"]).orderBy("rank").collect()
+    sd = {c: rows.agg(F.stddev_samp(c)).first()[0] for c in "ab"}
+    assert [(r["rank"], r["feature"]) for r in got] == [(1, "b"), (2, "a")]
+    assert abs(got[0]["weight"] + 50 * sd["b"]) < 1e-6 and abs(got[1]["weight"] - 2 * sd["a"]) < 1e-6
