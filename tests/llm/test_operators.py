@@ -138,6 +138,17 @@ def test_licenses(spark, docs):
     assert licenses.scan(empty(docs), licenses.template_table(spark)).count() == 0
 
 
+def test_every_template_pair_votes(spark):
+    notice = "Redistribution and use in source and %s forms, with or without modification, are permitted"
+    table = spark.createDataFrame([(1, notice % "binary"), (2, notice % "compiled"), (3, "in use and with or without it")], "doc_id long, text string")
+    by = {r.doc_id: r for r in licenses.scan(table, licenses.template_table(spark)).collect()}
+    assert (by[1].labels, by[1].score) == ("bsd", 1.0)
+    assert by[2].labels == "bsd" and abs(by[2].score - 11 / 13) < 1e-12
+    assert by[3].labels == "" and abs(by[3].score - 2 / 13) < 1e-12
+    for text, label in licenses.TEMPLATES:
+        assert licenses.template_table(spark, [], [(text, label)]).count() == len(text.split()) - 1
+
+
 def test_fingerprints(spark, docs):
     got = fingerprints.compare_edited(docs).collect()
     texts = sorted(((d if d is not None else -(2**63), xxhash.xxh64_intdigest(t or "", 42), t or "") for d, t, _, _ in some_docs()), reverse=True)

@@ -35,7 +35,7 @@ TEMPLATES = [
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
     ("dedicated to the public domain", "public-domain"),
 ]
-#: Pairs of these words alone seed no vote for a template (they do for a base phrase).
+#: Very common words. Pairs of them vote like all others; only the SQL form still leaves them out for templates.
 COMMON = "a an and any are by for from in is it of on or that the this to use was with without".split()
 #: Neighbouring diagonals are merged up to this distance; share of a template that a span must cover.
 GAP, COVER = 3, 0.8
@@ -44,11 +44,11 @@ MOST_BROADCAST = 100_000
 
 
 def template_table(spark: SparkSession, base=BASE, templates=TEMPLATES) -> DataFrame:
-    """A row for each seeding word pair: ``template, label, base, seeds, tpos, tw1, tw2``."""
+    """A row for each word pair: ``template, label, base, seeds, tpos, tw1, tw2`` (seeds: the template's pairs)."""
     rows = []
     for no, (text, label, is_base) in enumerate([(*x, True) for x in base] + [(*x, False) for x in templates]):
         words = text.split()
-        pairs = [(j, *p) for j, p in enumerate(zip(words, words[1:])) if is_base or not {*p} <= {*COMMON}]
+        pairs = [(j, *p) for j, p in enumerate(zip(words, words[1:]))]
         rows += [(no, label, is_base, len(pairs), *p) for p in pairs]
     return spark.createDataFrame(rows, "template int, label string, base boolean, seeds int, tpos int, tw1 string, tw2 string")
 
