@@ -237,6 +237,18 @@ def test_decontamination(spark, docs):
     assert decontaminate.matches(empty(docs), bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_a_leak_takes_no_other_text_of_its_doc_id(spark):
+    leak, clean = " ".join(WORDS[:20]), " ".join(WORDS[10:])
+    table = [(None, leak), (None, clean), (None, None), (7, clean), (7, f"x {leak} y"), (8, leak), (8, leak), (9, clean)]
+    docs = spark.createDataFrame([(d, t, 0) for d, t in table], "doc_id long, text string, text_hash int")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    left = decontaminate.without_leaks(docs, bench)
+    assert left.columns == docs.columns
+    assert rows(left.select("doc_id", "text")) == sorted([(7, clean), (9, clean), (None, None), (None, clean)], key=lambda r: [(x is None, x) for x in r])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()} == {(None, 1), (7, 1), (8, 1)}
+    assert decontaminate.without_leaks(docs, bench.limit(0)).count() == len(table)
+
+
 def test_urls(spark):
     hosts = ["example.org", "a.example.org", "EXAMPLE.org", "xexample.org", "a.com", "com", "x.net", "org", "shop.cheap-pills.net", "example.org:80"]
     paths = ["", "/", "/es/x", "/en/1", "/en/12?x=/es/", "/fr/", "/de/9#top", "/fr", "?a=/de/", "/a/cgi-bin/x", "/EN/1"]

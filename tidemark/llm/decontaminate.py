@@ -40,22 +40,14 @@ def _hash_of(k: int) -> Column:
     return F.xxhash64(*[F.xxhash64(F.get(words, j)) for j in range(k)])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
-    """``doc_id, item_id, item_shingles, found, containment`` for each document text and item of which
-    the text holds at least ``containment`` of the distinct shingles.
-
-    Texts are taken whole, A-Z lower-cased, words being runs of digits, letters and non-ASCII
-    characters. An item of fewer than ``words`` words is one shingle of all of them; an item without
-    words, or null, matches nothing, and so does a null or empty document. Repeated rows of a
-    document or an item give one row. A null doc_id or item_id is an id like any other. Other
-    columns are ignored; empty tables give no rows.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, words: int, containment: float) -> DataFrame:
+    """``doc_id, text_hash, item_id, item_shingles, found`` for each text and item as matches() tells."""
     item_words = benchmark.select("item_id", _words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     item_words = item_words.withColumn("k", F.least(F.size("words"), F.lit(words)))
     widths = sorted(r[0] for r in item_words.select("k").distinct().collect())  # at most ``words`` values
     if not widths:
         return docs.join(benchmark.select("item_id").limit(0)).select(
-            "doc_id", "item_id", F.lit(0).cast("long").alias("item_shingles"), F.lit(0).cast("long").alias("found"), F.lit(0.0).alias("containment")
+            "doc_id", F.lit(None).cast("long").alias("text_hash"), "item_id", F.lit(0).cast("long").alias("item_shingles"), F.lit(0).cast("long").alias("found")
         ).where("false")
     chosen, hashed = F.array().cast("array<string>"), F.lit(None).cast("long")
     for k in widths:
@@ -113,12 +105,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, containme
     spelled = again.select("doc_id", "text_hash", F.explode_outer(F.concat(*[_shingles("words", k) for k in widths])).alias("shingle")).distinct()
     facts = items.select("item", "item_id", "item_shingles", "shingle")
     expected = candidates.join(F.broadcast(facts) if small else facts, "item")
-    found = (
+    return (
         expected.select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "item", "item_id", "item_shingles", F.col("shingle").alias("c_shingle"))
         .join(spelled, (F.col("text_hash") == F.col("c_hash")) & (F.col("shingle") == F.col("c_shingle")) & F.col("doc_id").eqNullSafe(F.col("c_id")))
         .groupBy("doc_id", "item", "item_id", "item_shingles", "text_hash").agg(F.count("*").alias("found"))
         .where(F.col("found") >= F.ceil(F.col("item_shingles") * containment - 1e-9))
     )
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
+    """``doc_id, item_id, item_shingles, found, containment`` for each document text and item of which
+    the text holds at least ``containment`` of the distinct shingles.
+
+    Texts are taken whole, A-Z lower-cased, words being runs of digits, letters and non-ASCII
+    characters. An item of fewer than ``words`` words is one shingle of all of them; an item without
+    words, or null, matches nothing, and so does a null or empty document. Repeated rows of a
+    document or an item give one row. A null doc_id or item_id is an id like any other. Other
+    columns are ignored; empty tables give no rows.
+    """
+    found = _found(docs, benchmark, words, containment)
     return (
         found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("found") / F.col("item_shingles")).alias("containment"), "item_shingles", "found")).alias("best"))
         .select("doc_id", "item_id", "best.item_shingles", "best.found", "best.containment")
@@ -126,6 +131,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, containme
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
-    """``docs`` without the documents that hold a test item."""
-    bad = matches(docs, benchmark, words, containment).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    """``docs`` without the texts that hold a test item; other texts of the same doc_id, or of a null one, stay."""
+    bad = _found(docs, benchmark, words, containment).select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__bad_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs["text"]) == F.col("__bad_hash"))
+    return docs.join(bad, same, "left_anti")
