@@ -171,3 +171,18 @@ def test_coefficients_are_ordered_by_magnitude(spark):
     sd = {c: rows.agg(F.stddev_samp(c)).first()[0] for c in "ab"}
     assert [(r["rank"], r["feature"]) for r in got] == [(1, "b"), (2, "a")]
     assert abs(got[0]["weight"] + 50 * sd["b"]) < 1e-6 and abs(got[1]["weight"] - 2 * sd["a"]) < 1e-6
+
+
+def test_frontier_thresholds_the_decision_score(spark):
+    at = lambda n: datetime(2024, 1, n).date()
+    days = [("a", at(1), "S2", True, 70.0, 10.0), ("a", at(2), "S2", True, 45.0, -30.0), ("a", at(3), "S2", True, 10.0, 200.0), ("a", at(4), "S2", False, None, 0.0)]
+    days += [("a", at(n), "S4", n in (2, 3), 5.0 if n in (2, 3) else None, 1.0) for n in range(1, 5)]
+    table = spark.createDataFrame(days, "series_id string, delivery_date date, strategy string, traded boolean, score double, net_pnl double").withColumn("gross_pnl", F.lit(500.0))
+    got = {r.tau: r for r in reports.threshold_frontier(table, "score", [0.0, 42.5, 60.0], ["series_id", "strategy"], "S4").where("strategy = 'S2'").collect()}
+    cells = lambda r: (r.trades, r.pnl, r.hit_rate, r.worst, r.max_drawdown, r.overlap, r.threshold_only, r.other_only)
+    assert cells(got[0.0]) == (3, 180.0, 2 / 3, -30.0, -30.0, 2, 1, 0)
+    assert cells(got[42.5]) == (2, -20.0, 0.5, -30.0, -30.0, 1, 1, 1)
+    assert cells(got[60.0]) == (1, 10.0, 1.0, 0.0, 0.0, 0, 1, 2)
+    hours_of = spark.createDataFrame([("a", at(1), datetime(2024, 1, 1, i), p, f) for i, (p, f) in enumerate([(10.0, 0.0), (5.0, 100.0)])], "series_id string, delivery_date date, timestamp_utc timestamp, price double, f double")
+    one = decisions.backtest(hours_of, {"S1": ("f", "f")}, spark.createDataFrame([(1.0, 10.0)], "eta double, c double")).where("strategy = 'S1'").first()
+    assert (one.score, one.net_pnl) == (80.0, -25.0)

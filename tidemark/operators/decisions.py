@@ -59,15 +59,15 @@ def backtest(hours: DataFrame, rules: dict[str, tuple[str, str]], cells: DataFra
     oracle = done.where("strategy = 'oracle'").select(*DAY, "eta", "c", F.col("net_pnl").alias("oracle_pnl"))
     still = done.where("strategy = 'oracle'").select(
         *DAY, F.lit("S0").alias("strategy"), "eta", "c", F.lit(False).alias("traded"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j"),
-        F.lit(0.0).alias("gross_pnl"), F.lit(0.0).alias("net_pnl"),
+        F.lit(0.0).alias("gross_pnl"), F.lit(0.0).alias("net_pnl"), F.lit(None).cast("double").alias("score"),
     )
     return done.where("strategy <> 'oracle'").unionByName(still).join(oracle, [*DAY, "eta", "c"])
 
 
 def realized(pairs: DataFrame, long: DataFrame, by: list[str]) -> DataFrame:
-    """``pairs`` with gross ``eta * P_j - P_i`` and net of cost at the realized ``price``; 0 without a trade."""
+    """``pairs`` (with their score) with gross ``eta * P_j - P_i`` and net of cost at the realized ``price``; 0 without a trade."""
     rows = long.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("pos", "price"))).alias("prices"), F.first("cost").alias("cost"))  # a day has 25 hours at most
     both = pairs.join(rows, by)
     traded = F.col("i").isNotNull()
     gross = F.when(traded, F.col("eta") * F.element_at("prices", F.col("j")) - F.element_at("prices", F.col("i"))).otherwise(0.0)
-    return both.select(*by, traded.alias("traded"), "i", "j", gross.alias("gross_pnl"), F.when(traded, gross - F.col("cost")).otherwise(0.0).alias("net_pnl"))
+    return both.select(*by, traded.alias("traded"), "i", "j", gross.alias("gross_pnl"), F.when(traded, gross - F.col("cost")).otherwise(0.0).alias("net_pnl"), "score")

@@ -122,12 +122,23 @@ def block_bootstrap(delta: DataFrame, block: int, reps: int, seed: int, levels=(
     return totals.agg(F.count("*").alias("reps"), F.percentile("total", F.lit(levels[0])).alias("low"), F.percentile("total", F.lit(levels[1])).alias("high"))
 
 
-def threshold_frontier(days: DataFrame, scores: str, taus: list[float], by: list[str]) -> DataFrame:
-    """Trades only above each threshold: trades, P&L, hit rate, worst day."""
-    cut = days.withColumn("tau", F.explode(F.array(*map(F.lit, taus))))
-    on = F.coalesce(F.col(scores) > F.col("tau"), F.lit(False))
-    pnl = F.when(on, F.col("net_pnl")).otherwise(0.0)
-    return cut.groupBy(*by, "tau").agg(F.sum(on.cast("long")).alias("trades"), F.sum(pnl).alias("pnl"), F.avg(F.when(on, (F.col("net_pnl") > 0).cast("double"))).alias("hit_rate"), F.min(pnl).alias("worst"))
+def threshold_frontier(days: DataFrame, scores: str, taus: list[float], by: list[str], other: str) -> DataFrame:
+    """Trades only where the decision score is above each threshold: trades, P&L, hit rate, worst day,
+    drawdown (lowest distance from the running peak of the cumulative P&L, 0 or below), and the days that
+    strategy ``other`` trades too, that it does not, and that it trades alone. Null scores never trade;
+    ``by`` has one row a day."""
+    rule = days.where(F.col("strategy") == other).select("series_id", "delivery_date", F.col("traded").alias("__other"))
+    cut = days.join(rule, ["series_id", "delivery_date"], "left").withColumn("tau", F.explode(F.array(*map(F.lit, taus))))
+    on, too = F.coalesce(F.col(scores) > F.col("tau"), F.lit(False)), F.coalesce("__other", F.lit(False))
+    along = Window.partitionBy(*by, "tau").orderBy("delivery_date").rowsBetween(Window.unboundedPreceding, 0)
+    run = cut.select(*by, "tau", "delivery_date", "net_pnl", on.alias("on"), too.alias("too"), F.when(on, F.col("net_pnl")).otherwise(0.0).alias("pnl"))
+    run = run.withColumn("cum", F.sum("pnl").over(along)).withColumn("peak", F.max("cum").over(along))
+    count = lambda c: F.sum(c.cast("long"))
+    return run.groupBy(*by, "tau").agg(
+        count(F.col("on")).alias("trades"), F.avg(F.when(F.col("on"), (F.col("net_pnl") > 0).cast("double"))).alias("hit_rate"), F.min("pnl").alias("worst"),
+        F.min(F.col("cum") - F.col("peak")).alias("max_drawdown"), count(F.col("on") & F.col("too")).alias("overlap"),
+        count(F.col("on") & ~F.col("too")).alias("threshold_only"), count(~F.col("on") & F.col("too")).alias("other_only"), F.sum("pnl").alias("pnl"),
+    )
 
 
 def table_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -41,10 +41,10 @@ def _sql_out(c: str, kind: str) -> str:
     }[kind] + f" AS {q}"
 
 
-def register(name: str, spec: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
-    """``sql``: "CTEs ;; SELECT", the CTEs without WITH."""
+def register(name: str, spec: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, more: str = "") -> None:
+    """``sql``: "CTEs ;; SELECT", the CTEs without WITH; ``more``: columns that the query has and its SQL lacks."""
     kinds = [x.split(":") for x in spec.split()]
-    _QUERIES[name] = lambda spark, d: run(spark, d).select(*[_spark_out(c, k) for c, k in kinds])
+    _QUERIES[name] = lambda spark, d: run(spark, d).select(*[_spark_out(c, k) for c, k in [*kinds, *(x.split(":") for x in more.split())]])
     if sql:
         ctes, _, body = sql.rpartition(";;")
         _SQL[name] = (f"WITH {ctes.strip()} " if ctes.strip() else "") + f"SELECT {', '.join(_sql_out(c, k) for c, k in kinds)} FROM ({body.strip()}) last_step"
@@ -286,8 +286,11 @@ nb AS (SELECT row_number() OVER (ORDER BY d) - 1 AS k, x FROM con), sz AS (SELEC
 dr AS (SELECT id, blk, {DRAW("'11/' || id || '/' || blk")} % n AS start, n, blocks FROM sz, range(20000) r(id), range(100000) b(blk) WHERE blk < blocks),
 el AS (SELECT id, (start + o) % n AS k FROM dr, range(7) q(o) WHERE blk < blocks - 1 OR o < n - 7 * (blocks - 1)),
 tt AS (SELECT id, sum(x) AS total FROM el JOIN nb USING (k) GROUP BY id) ;; SELECT count(*) AS reps, quantile_cont(total, 0.025) AS low, quantile_cont(total, 0.975) AS high FROM tt""")
-register("st_threshold_frontier", "strategy:s tau:f trades:i pnl:f hit_rate:f worst:f", lambda s, d: reports.threshold_frontier(ad.a7(s, d), "gross_pnl", [0.0, 50.0, 100.0, 200.0], ["strategy"]),
-         f"{ad.a7_sql()}, k AS (SELECT *, gross_pnl > tau AS hot FROM a7, (SELECT unnest([0.0, 50.0, 100.0, 200.0]) AS tau)) ;; SELECT strategy, tau, count(*) FILTER (hot) AS trades, sum(CASE WHEN hot THEN net_pnl ELSE 0 END) AS pnl, avg((net_pnl > 0)::INT) FILTER (hot) AS hit_rate, min(CASE WHEN hot THEN net_pnl ELSE 0 END) AS worst FROM k GROUP BY 1, 2")
+#: Thresholds of the decision score; the rule compared is the one on bounds (S4).
+_TAUS = [0.0, 20.0, 30.0, 40.0, 42.5, 50.0, 60.0]
+register("st_threshold_frontier", "strategy:s tau:f trades:i pnl:f hit_rate:f worst:f", lambda s, d: reports.threshold_frontier(ad.a7(s, d), "score", _TAUS, ["series_id", "strategy"], "S4"),
+         f"{ad.a7_sql()}, k AS (SELECT *, gross_pnl > tau AS hot FROM a7, (SELECT unnest([0.0, 50.0, 100.0, 200.0]) AS tau)) ;; SELECT strategy, tau, count(*) FILTER (hot) AS trades, sum(CASE WHEN hot THEN net_pnl ELSE 0 END) AS pnl, avg((net_pnl > 0)::INT) FILTER (hot) AS hit_rate, min(CASE WHEN hot THEN net_pnl ELSE 0 END) AS worst FROM k GROUP BY 1, 2",
+         more="series_id:s max_drawdown:f overlap:i threshold_only:i other_only:i")
 register("chk_backtest_rows", "rule:s violations:i", lambda s, d: checks.conditions(ad.a7(s, d), checks.BACKTEST_RULES), f"{ad.a7_sql()} ;; SELECT 'n_hours' AS rule, count(*) AS violations FROM a7 WHERE n_hours NOT IN (23, 24, 25) HAVING count(*) > 0")
 register("rep_backtest_summary", "strategy:s total:f trading_days:i profitable_days:i", lambda s, d: ad.a7(s, d).groupBy("strategy").agg(F.sum("net_pnl").alias("total"), F.sum(F.col("traded").cast("long")).alias("trading_days"), F.sum((F.col("net_pnl") > 0).cast("long")).alias("profitable_days")), f"{ad.a7_sql()} ;; SELECT strategy, sum(net_pnl) AS total, count(*) FILTER (traded) AS trading_days, count(*) FILTER (net_pnl > 0) AS profitable_days FROM a7 GROUP BY 1")
 
