@@ -186,3 +186,23 @@ def test_frontier_thresholds_the_decision_score(spark):
     hours_of = spark.createDataFrame([("a", at(1), datetime(2024, 1, 1, i), p, f) for i, (p, f) in enumerate([(10.0, 0.0), (5.0, 100.0)])], "series_id string, delivery_date date, timestamp_utc timestamp, price double, f double")
     one = decisions.backtest(hours_of, {"S1": ("f", "f")}, spark.createDataFrame([(1.0, 10.0)], "eta double, c double")).where("strategy = 'S1'").first()
     assert (one.score, one.net_pnl) == (80.0, -25.0)
+
+
+def test_audit_dates_put_dst_days_first_and_space_the_rest(spark):
+    day = lambda n: (datetime(2024, 3, 1) + timedelta(days=n)).date()
+    gaps = {n: 1.0 + n % 7 / 10 for n in range(40)} | {5: 9.0, 20: 0.5}
+    rows = spark.createDataFrame([("a", day(n), g) for n, g in gaps.items()] + [("a", day(0), 0.1)], "series_id string, delivery_date date, abs_diff double")
+    dst = spark.createDataFrame([(day(30),), (datetime(2023, 3, 26).date(),)], "delivery_date date")
+    got = {r.delivery_date: r.reason for r in checks.disagreement_dates(rows, dst, 8).collect()}
+    assert got == {day(30): "dst", day(0): "first", day(39): "last", day(5): "largest", day(20): "smallest", day(6): "spaced", day(11): "spaced", day(17): "spaced"}
+    assert [r.reason for r in checks.disagreement_dates(rows, dst, 1).collect()] == ["dst"]
+    assert checks.disagreement_dates(rows.limit(0), dst, 8).count() == 0
+
+
+def test_common_start_is_the_latest_and_profile_gains_are_shares(spark):
+    at = lambda n: datetime(2024, 1, n)
+    cand = spark.createDataFrame([(5, at(3), 1.0), (5, at(9), 1.0), (7, at(4), None), (7, at(6), 1.0)], "window_days int, timestamp_utc timestamp, L double")
+    assert {(r.window_days, r.first_valid, r.common_start) for r in uncertainty.common_start(cand, 2).collect()} == {(5, at(3), at(6)), (7, at(6), at(6))}
+    assert {r.common_start for r in uncertainty.common_start(cand, 3).collect()} == {None}
+    days = spark.createDataFrame([("S1", 10.0), ("S2", 30.0), ("S2", 20.0), ("p3", 25.0), ("p5", 5.0)], "strategy string, net_pnl double")
+    assert {tuple(r) for r in reports.profile_gains(days, {"p3": 3, "p5": 5}, "S2", "S1").collect()} == {(3, 25.0, 25.0, 15.0, 0.375), (5, 5.0, 45.0, -5.0, -0.125)}

@@ -87,3 +87,25 @@ def audit_dates(days: DataFrame, most: int) -> DataFrame:
     for p, name in reversed(list(enumerate(names))):
         reason, priority = F.when(F.col(name) == 1, name).otherwise(reason), F.when(F.col(name) == 1, p).otherwise(priority)
     return ranked.withColumns({"reason": reason, "priority": priority}).withColumn("rn", rank("priority", "fewest")).where(F.col("rn") <= most).select("series_id", "delivery_date", "reason")
+
+
+def disagreement_dates(rows: DataFrame, dst: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` days of each series to look at where two sources disagree: affected days of ``dst``
+    (``delivery_date``), first, last, of the largest and of the smallest gap, evenly spaced ones, then by
+    gap. ``rows``: ``series_id, delivery_date, abs_diff`` of disagreeing times. Ties go to the earlier day."""
+    days = rows.groupBy("series_id", "delivery_date").agg(F.max("abs_diff").alias("gap"))
+    by = Window.partitionBy("series_id")
+    rank = lambda *order: F.row_number().over(by.orderBy(*order))
+    days = days.join(dst.select("delivery_date", F.lit(True).alias("dst")), "delivery_date", "left").withColumns({
+        "n": F.count("*").over(by), "up": rank("delivery_date"), "large": rank(F.desc("gap"), "delivery_date"), "small": rank("gap", "delivery_date"),
+    })
+    slots = F.least(F.lit(most), "n")
+    places = F.transform(F.sequence(F.lit(0), slots - 1), lambda i: F.bround(i * (F.col("n") - 1) / (slots - 1)).cast("long"))
+    spaced = F.when(slots == 1, F.col("up") - 1 == F.floor(F.col("n") / 2)).otherwise(F.array_contains(places, (F.col("up") - 1).cast("long")))
+    rules = {"dst": F.coalesce("dst", F.lit(False)), "first": F.col("up") == 1, "last": F.col("up") == F.col("n"), "largest": F.col("large") == 1, "smallest": F.col("small") == 1, "spaced": spaced}
+    reason, priority = F.lit("rest"), F.lit(len(rules))
+    for p, (name, holds) in reversed(list(enumerate(rules.items()))):
+        reason, priority = F.when(holds, name).otherwise(reason), F.when(holds, p).otherwise(priority)
+    placed = days.withColumns({"reason": reason, "priority": priority})
+    within = F.when(F.col("priority") == len(rules), F.col("large")).otherwise(F.col("up"))
+    return placed.withColumn("within", within).withColumn("rn", rank("priority", "within")).where(F.col("rn") <= most).select("series_id", "delivery_date", "reason")

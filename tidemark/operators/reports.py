@@ -141,6 +141,17 @@ def threshold_frontier(days: DataFrame, scores: str, taus: list[float], by: list
     )
 
 
+def profile_gains(days: DataFrame, windows: dict[str, int], full: str, base: str) -> DataFrame:
+    """``window_days, pnl, full_minus, gain, share_of_gain`` of each profile strategy: its P&L, what ``full`` makes
+    beyond it, its gain over ``base``, and this as a share of full's gain (null if that is 0)."""
+    total = lambda n: F.sum(F.when(F.col("strategy") == n, F.col("net_pnl")))
+    cells = F.explode(F.array(*[F.struct(F.lit(w).alias("window_days"), F.col(f"t_{n}").alias("pnl")) for n, w in windows.items()])).alias("x")
+    wide = days.agg(*[total(n).alias(f"t_{n}") for n in [*windows, full, base]])
+    gain, most = F.col("pnl") - F.col("base"), F.col("full") - F.col("base")
+    return wide.select(F.col(f"t_{full}").alias("full"), F.col(f"t_{base}").alias("base"), cells).select("x.*", "full", "base").select(
+        "window_days", "pnl", (F.col("full") - F.col("pnl")).alias("full_minus"), gain.alias("gain"), F.when(most != 0, gain / most).alias("share_of_gain"))
+
+
 def table_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Cell-wise old, new, difference and percentage of two tables; unmatched and null cells dropped."""
     values = [c for c in old.columns if c not in keys]

@@ -77,6 +77,14 @@ def common_rows(candidates: DataFrame, n: int) -> DataFrame:
     return candidates.join(full.select("series_id", "timestamp_utc"), ["series_id", "timestamp_utc"], "left_semi")
 
 
+def common_start(candidates: DataFrame, n_windows: int) -> DataFrame:
+    """``window_days, first_valid, common_start``: each window's first bound and the latest of these, from which
+    all ``n_windows`` can be compared; null if a window has no bound at all."""
+    first = candidates.where("L is not null").groupBy("window_days").agg(F.min("timestamp_utc").alias("first_valid"))
+    latest = first.agg(F.when(F.count("*") == n_windows, F.max("first_valid")).alias("common_start"))
+    return first.crossJoin(F.broadcast(latest))  # a row
+
+
 def select_window(scores: DataFrame) -> DataFrame:
     """The window with the lowest score, the smaller on ties."""
     return scores.agg(F.min_by("window_days", F.struct("interval_score", "window_days")).alias("window_days"), F.min("interval_score").alias("interval_score"))

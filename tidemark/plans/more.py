@@ -181,7 +181,12 @@ register("win_first_appearance_order", "series_id:s first_seen:t n:i", lambda s,
 register("srt_select_min_score", "series_id:s hour_local:i score:f",
          lambda s, d: timeseries.add_local_columns(ad.a1(s, d)).groupBy("series_id", "hour_local").agg(F.round(F.avg("price"), 6).alias("score")).groupBy("series_id").agg(F.min(F.struct("score", "hour_local")).alias("m")).select("series_id", "m.hour_local", "m.score"),
          f"{ad.A1}, h AS (SELECT series_id, hour({B('t')}) AS h, round(avg(price), 6) AS score FROM a1 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score, h) AS rn FROM h) ;; SELECT series_id, h AS hour_local, score FROM r WHERE rn = 1")
-register("smp_audit_dates", f"{_DAYS} reason:s", lambda s, d: checks.audit_dates(forecast.day_of(ad.a1(s, d)).groupBy("series_id", "delivery_date").agg(F.count("*").alias("n")), 6),
+def _audit_dates(s: SparkSession, d: str) -> DataFrame:
+    rows = forecast.day_of(ad.a6(s, d)).withColumns({"series_id": F.lit("events"), "abs_diff": F.abs(F.col("price_seq1") - F.col("price_seq2"))})
+    return checks.disagreement_dates(rows.where("abs_diff > 0.01"), timeseries.dst_days(rows), 6)
+
+
+register("smp_audit_dates", f"{_DAYS} reason:s", _audit_dates,
          f"""{ad.A1}, dd AS (SELECT series_id, {B('t')}::DATE AS d, count(*) AS n FROM a1 GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d) AS up, row_number() OVER (PARTITION BY series_id ORDER BY d DESC) AS down, row_number() OVER (PARTITION BY series_id ORDER BY n, d) AS few, row_number() OVER (PARTITION BY series_id ORDER BY n DESC, d) AS many FROM dd),
 p AS (SELECT *, CASE WHEN up = 1 THEN 0 WHEN down = 1 THEN 1 WHEN few = 1 THEN 2 WHEN many = 1 THEN 3 ELSE 4 END AS pr FROM r), q AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pr, few) AS rn FROM p)
@@ -322,11 +327,23 @@ def _profile_windows(s: SparkSession, d: str) -> DataFrame:
     for w in (3, 5, 7):
         made = rows.join(forecast.trailing_profile(ad.a1(s, d), "price", w), ["series_id", "delivery_date", "hour_local"]).groupBy(F.lit(w).alias("window_days")).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("price") - F.col("profile_pred"))).alias("mae"))
         out = made if out is None else out.unionByName(made)
-    return out
+    return out.join(_profile_pnl(s, d, (3, 5, 7)), "window_days", "left")
+
+
+def _profile_pnl(s: SparkSession, d: str, windows: tuple[int, ...]) -> DataFrame:
+    """Each window's P&L against those of S2 (full) and S1 (lag 24), on days that all of them forecast whole."""
+    hours, key = ad.complete(s, d).drop("n_hours").withColumn("hour_local", F.hour(fn.local_time(F.col("timestamp_utc")))), ["series_id", "delivery_date", "hour_local"]
+    for w in windows:
+        hours = hours.join(forecast.trailing_profile(ad.a1(s, d), "price", w).withColumnRenamed("profile_pred", f"p{w}"), key, "left")
+    hours = hours.join(decisions.common_days(hours, [f"p{w}" for w in windows]), ["series_id", "delivery_date"])
+    rules = {n: ad.RULES[n] for n in ("S1", "S2")} | {f"p{w}": (f"p{w}", f"p{w}") for w in windows}
+    days = decisions.backtest(hours, rules, s.createDataFrame([(ad.ETA, ad.C)], "eta double, c double"))
+    return reports.profile_gains(days, {f"p{w}": w for w in windows}, "S2", "S1")
 
 
 register("rep_profile_window_table", "window_days:i n:i mae:f", _profile_windows,
-         f"{ad.A1}, r AS (SELECT series_id, {B('t')}::DATE AS day, hour({B('t')}) AS h, price AS v FROM a1), i AS (SELECT series_id, day, row_number() OVER (PARTITION BY series_id ORDER BY day) AS k FROM (SELECT DISTINCT series_id, day FROM r)), rk AS (SELECT r.*, k FROM r JOIN i USING (series_id, day)), pr AS (SELECT w, b.series_id, b.k, a.h, avg(a.v) AS p FROM (SELECT unnest([3, 5, 7]) AS w) ww, i b JOIN rk a ON a.series_id = b.series_id AND a.k < b.k WHERE a.k >= b.k - w GROUP BY ALL) ;; SELECT w AS window_days, count(*) AS n, avg(abs(v - p)) AS mae FROM rk JOIN pr ON pr.series_id = rk.series_id AND pr.k = rk.k AND pr.h = rk.h GROUP BY 1")
+         f"{ad.A1}, r AS (SELECT series_id, {B('t')}::DATE AS day, hour({B('t')}) AS h, price AS v FROM a1), i AS (SELECT series_id, day, row_number() OVER (PARTITION BY series_id ORDER BY day) AS k FROM (SELECT DISTINCT series_id, day FROM r)), rk AS (SELECT r.*, k FROM r JOIN i USING (series_id, day)), pr AS (SELECT w, b.series_id, b.k, a.h, avg(a.v) AS p FROM (SELECT unnest([3, 5, 7]) AS w) ww, i b JOIN rk a ON a.series_id = b.series_id AND a.k < b.k WHERE a.k >= b.k - w GROUP BY ALL) ;; SELECT w AS window_days, count(*) AS n, avg(abs(v - p)) AS mae FROM rk JOIN pr ON pr.series_id = rk.series_id AND pr.k = rk.k AND pr.h = rk.h GROUP BY 1",
+         more="pnl:f full_minus:f gain:f share_of_gain:f")
 
 
 def _recorded(s: SparkSession, d: str, odd: bool) -> DataFrame:

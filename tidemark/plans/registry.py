@@ -237,7 +237,7 @@ register("unc_window_candidate", f"window_days:i n:i {_CAL}", lambda s, d: uncer
 _COMMON = "com AS (SELECT series_id, t FROM cand GROUP BY 1, 2 HAVING count(*) = 3), sc AS (SELECT w AS window_days, " + _CALSQL + " FROM cand SEMI JOIN com USING (series_id, t) GROUP BY 1)"
 register("unc_window_selection", "window_days:i interval_score:f", lambda s, d: uncertainty.select_window(uncertainty.calibration(uncertainty.common_rows(_candidates(s, d), 3), ["window_days"])),
          f"{ad.A5}, {_QW}, {_COMMON} ;; SELECT arg_min(window_days, interval_score) AS window_days, min(interval_score) AS interval_score FROM sc")
-register("unc_common_start", "window_days:i first_valid:t", lambda s, d: _candidates(s, d).where("L is not null").groupBy("window_days").agg(F.min("timestamp_utc").alias("first_valid")), f"{ad.A5}, {_QW} ;; SELECT w AS window_days, min(t) AS first_valid FROM cand GROUP BY 1")
+register("unc_common_start", "window_days:i first_valid:t", lambda s, d: uncertainty.common_start(_candidates(s, d), 3), f"{ad.A5}, {_QW} ;; SELECT w AS window_days, min(t) AS first_valid FROM cand GROUP BY 1", more="common_start:t")
 register("win_rolling_coverage", f"{KEY} coverage:f width:f n:i", lambda s, d: uncertainty.rolling_coverage(ad.a5(s, d), 5),
          f"{ad.A5}, k AS (SELECT * FROM a5 WHERE price IS NOT NULL AND l IS NOT NULL AND u IS NOT NULL) ;; SELECT series_id, t AS timestamp_utc, avg((price BETWEEN l AND u)::INT) OVER w AS coverage, avg(u - l) OVER w AS width, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 431999 SECOND PRECEDING AND CURRENT ROW)")
 register("win_worst_window", f"{KEY} coverage:f n:i", lambda s, d: uncertainty.worst_window(uncertainty.rolling_coverage(ad.a5(s, d), 5)),
