@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,13 @@ NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``). Only where the session names
-    none, as in local tests, a folder of this machine takes its place."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share (``spark.checkpoint.dir``). Only where the session names none and
+    runs on this machine alone, as in tests, a folder of this machine takes its place; elsewhere it is an
+    error, since executors would write to disks that others don't see."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -43,6 +45,33 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """Each of ``names``, with as many underscores before it as make it none of ``columns`` in any case: for
+    columns that an operator adds for itself to a table that may have any others."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame, but: Iterable[str] = ()) -> list[Column]:
+    """All columns of ``df`` but the named ones (in any case), whatever signs are in their names."""
+    gone = {c.lower() for c in but}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in gone]
+
+
+def broadcast_parts(right: DataFrame, keys: list[str], most: int) -> list[DataFrame]:
+    """``right`` in parts of about ``most`` rows, each to be broadcast: one if it is small, else several that
+    are joined one after the other, so that a hot key of the other side is never shuffled."""
+    parts = -(-right.count() // most)
+    if parts <= 1:
+        return [F.broadcast(right)]
+    return [F.broadcast(right.where(F.pmod(F.xxhash64(*keys), F.lit(parts)) == n)) for n in range(parts)]
+
+
 def ascii_lower(c: Column) -> Column:
     """``c`` with A-Z lower-cased and no other character touched."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -66,3 +95,13 @@ def with_rolling(df: DataFrame, words: str, widths: list[int]) -> DataFrame:
         return F.when(count >= 1, made).otherwise(F.array().cast("array<bigint>")).alias(f"rolling_{k}")
 
     return hashed.select(*rest, *map(windows, widths))
+
+
+def join_hot_apart(left: DataFrame, right: DataFrame, on: list[str], found: str, hot: Column) -> DataFrame:
+    """``left`` (written already: it is read twice) joined with ``right``, which has a row a key. Keys of
+    ``right`` that fulfil ``hot``, whose number must have a bound, are broadcast, so that ``left``'s rows of
+    them are not shuffled to one task; the others are joined by shuffling. ``found``: a column of ``right``
+    that is never null."""
+    tried = left.join(F.broadcast(right.where(hot)), on, "left")
+    rest = tried.where(F.col(found).isNull()).select(*left.columns).join(right.where(~hot), on)
+    return tried.where(F.col(found).isNotNull()).unionByName(rest)
