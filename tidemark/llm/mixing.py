@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, saved
+from .common import SPACE_CLASS, columns_of, saved, unused
 
 WEIGHTS, SHARE, CEILING = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Units of a chunk, and sources up to which their table is broadcast.
@@ -60,9 +60,20 @@ def targets(sized: DataFrame, weights: Iterable[float] = WEIGHTS, share: float =
     )
 
 
-def _flight(p: np.ndarray, amount: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """Inclusion probabilities after the flight phase with the totals of ``amount`` and of units
-    fixed; with ``land`` all of them 0 or 1."""
+def _direction(a: list[float], b: list[float]) -> tuple[float, ...]:
+    """A direction along which the sums weighted by ``a`` and by ``b`` (three numbers each) stay the same."""
+    move = (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    top = max(map(abs, move))
+    if top > 1e-9 * max(map(abs, a)) * max(map(abs, b)):
+        return tuple(m / top for m in move)
+    # the weights are in proportion (or one is all zero): what keeps the one that is not keeps both
+    v = a if any(a) else b
+    return (v[1], -v[0], 0.0) if v[0] or v[1] else (1.0, 0.0, 0.0)
+
+
+def _flight(p: np.ndarray, amount: np.ndarray, rows: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
+    """Inclusion probabilities after the flight phase with the totals of ``amount`` (words) and of
+    ``rows`` (documents) fixed; with ``land`` all of them 0 or 1."""
     p = p.astype(float).copy()
     draws = rng.random(len(p) + 1).tolist()
     eps = 1e-9
@@ -82,8 +93,7 @@ def _flight(p: np.ndarray, amount: np.ndarray, rng: np.random.Generator, land: b
         held.append(i)
         if len(held) < 3:
             continue
-        a, b, c = (float(amount[j]) for j in held)
-        move = (b - c, c - a, a - b) if not a == b == c else (1.0, -1.0, 0.0)
+        move = _direction([float(amount[j]) for j in held], [float(rows[j]) for j in held])
         up = min(((1 - p[j]) / m if m > 0 else p[j] / -m) for j, m in zip(held, move) if m)
         down = min((p[j] / m if m > 0 else (1 - p[j]) / -m) for j, m in zip(held, move) if m)
         by = up if draws[step] * (up + down) < down else -down
@@ -91,10 +101,13 @@ def _flight(p: np.ndarray, amount: np.ndarray, rng: np.random.Generator, land: b
             p[j] += by * m
         held = [j for j in held if undecided(j)]
     if land and held:
-        want, units = sum(p[j] * amount[j] for j in held), sum(p[j] for j in held)
+        want, docs = sum(p[j] * amount[j] for j in held), sum(p[j] * rows[j] for j in held)
         choices = [[n >> k & 1 for k in range(len(held))] for n in range(1 << len(held))]
-        best = min(choices, key=lambda x: (abs(sum(v * amount[j] for v, j in zip(x, held)) - want), abs(sum(x) - units), x))
-        for v, j in zip(best, held):
+
+        def off(x: list[int]) -> tuple:
+            return abs(sum(v * amount[j] for v, j in zip(x, held)) - want), abs(sum(v * rows[j] for v, j in zip(x, held)) - docs), x
+
+        for v, j in zip(min(choices, key=off), held):
             p[j] = float(v)
     return p
 
@@ -103,7 +116,8 @@ def _flyer(seed: int, level: int, names: list[str]):
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "size"], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, level, int(pdf["source_no"][0]), int(pdf["chunk"][0])])
-        p = _flight(pdf["p"].to_numpy(), (pdf["size"] * pdf["rows"]).to_numpy(), rng, bool(pdf["chunks"][0] <= 1))
+        rows = pdf["rows"].to_numpy(float)
+        p = _flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(float) * rows, rows, rng, bool(pdf["chunks"][0] <= 1))
         return pdf.assign(p=p)[names]
 
     return fly
@@ -154,12 +168,15 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, each as many times as plan() has copies for it; columns as they were."""
+    """The rows of ``docs``, each as many times as plan() has copies for it; columns as they were, whatever
+    their names. Null ids, sources and texts are values like any other; all rows that agree in doc_id, source
+    and text are taken equally often; a source without words, and an empty table, give no rows."""
+    m_source, m_id, m_hash, m_copies, own_hash, copy = unused(docs.columns, "m_source", "m_id", "m_hash", "m_copies", "own_hash", "copy")
     copies = plan(docs, **how).where("copies > 0").select(
-        F.col("source").alias("m_source"), F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), F.col("copies").alias("m_copies")
+        F.col("source").alias(m_source), F.col("doc_id").alias(m_id), F.col("text_hash").alias(m_hash), F.col("copies").alias(m_copies)
     )
-    left = docs.select(*docs.columns, F.xxhash64("text").alias("__hash"))
+    left = docs.select(*columns_of(docs), F.xxhash64("text").alias(own_hash))
     both = left.join(
-        copies, (F.col("__hash") == F.col("m_hash")) & left["doc_id"].eqNullSafe(F.col("m_id")) & left["source"].eqNullSafe(F.col("m_source"))
+        copies, (F.col(own_hash) == F.col(m_hash)) & F.col("doc_id").eqNullSafe(F.col(m_id)) & F.col("source").eqNullSafe(F.col(m_source))
     )
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("m_copies"))).alias("__copy")).drop("__copy")
+    return both.select(*columns_of(docs), F.explode(F.sequence(F.lit(1), F.col(m_copies))).alias(copy)).drop(copy)
