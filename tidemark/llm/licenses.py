@@ -2,17 +2,19 @@
 
 Templates are short license notices and phrases. Every rolling word pair of every text is joined
 with the templates' pairs. A match at word i of a text and word j of a template votes for the
-diagonal i - j; votes are summed by diagonal, neighbouring diagonals (words put in or left out) are
-merged, and a merged span counts if it covers enough of the template. The join compares the words
-themselves besides their hash, so covered words are verified.
+diagonal i - j; votes are summed by diagonal, and a diagonal is merged with its neighbours of the next
+few words (words put in or left out). The merged votes are verified as a span: they count as far as
+they follow each other in the text as in the template, each place once. A span of diagonals d to
+d + gap lies within the template's length and gap words of text. It counts if it covers enough of the
+template. The join compares the words themselves besides their hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, ascii_lower, with_rolling
+from .common import alnum_words, ascii_lower, broadcast_parts, saved, with_rolling
 
 #: The base phrases and their labels.
 BASE = [
@@ -35,10 +37,8 @@ TEMPLATES = [
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
     ("dedicated to the public domain", "public-domain"),
 ]
-#: Very common words. Pairs of them vote like all others; only the SQL form still leaves them out for templates.
-COMMON = "a an and any are by for from in is it of on or that the this to use was with without".split()
-#: Neighbouring diagonals are merged up to this distance; share of a template that a span must cover.
-GAP, COVER = 3, 0.8
+#: Diagonals up to this far apart are merged; share of a template's pairs that a span must cover.
+GAP, COVER = 4, 0.8
 #: Template pairs up to which the templates are broadcast.
 MOST_BROADCAST = 100_000
 
@@ -53,52 +53,66 @@ def template_table(spark: SparkSession, base=BASE, templates=TEMPLATES) -> DataF
     return spark.createDataFrame(rows, "template int, label string, base boolean, seeds int, tpos int, tw1 string, tw2 string")
 
 
+def _in_order(votes: Column) -> Column:
+    """The most of ``votes`` (array of ``pos, tpos``) that follow each other both in the text and in the
+    template: the longest increasing run of tpos by pos, by patience sorting. Votes of one pos in descending
+    order of tpos can't both be in it."""
+    by_place = F.transform(F.array_sort(F.transform(votes, lambda v: F.struct(v["pos"].alias("pos"), (-v["tpos"]).alias("back")))), lambda v: -v["back"])
+    none = F.array().cast("array<int>")
+
+    def put(tails: Column, t: Column) -> Column:
+        # t takes the place of the first tail that is not below it, or comes last
+        above = F.filter(tails, lambda x: x >= t)
+        return F.concat(F.filter(tails, lambda x: x < t), F.array(t), F.slice(above, 2, F.greatest(F.size(above), F.lit(1))))
+
+    return F.size(F.aggregate(by_place, none, put))
+
+
 def scan(docs: DataFrame, templates: DataFrame, gap: int = GAP, cover: float = COVER) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for each row.
 
     Words are the runs of digits, letters and non-ASCII characters of the whole text, A-Z
     lower-cased (null: none). n_base: places where a base phrase's words stand; first_word and
     last_word: the smallest and largest start of these, null without any. labels has those of base
-    phrases and of templates that a span covers to at least ``cover``; score is the largest share
-    covered of any template or phrase, 0 without a vote. Labels are distinct, sorted and joined by
-    commas, "" without any. Repeated rows stay; other columns are ignored; no rows, no result.
+    phrases and of templates that a verified span covers to at least ``cover``; score is the largest
+    share so covered of any template (a base phrase: 1 where it stands), 0 without a vote. Labels are
+    distinct, sorted and joined by commas, "" without any. Repeated rows stay; other columns are
+    ignored; no rows, no result.
     """
-    few = templates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     # hashed as with_rolling() hashes the pairs of a text
-    tpl = templates.withColumn("thash", F.xxhash64(F.xxhash64("tw1"), F.xxhash64("tw2")))
-    worded = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", alnum_words(ascii_lower(F.coalesce("text", F.lit("")))).alias("words")
-    )
+    tpl = broadcast_parts(templates.withColumn("thash", F.xxhash64(F.xxhash64("tw1"), F.xxhash64("tw2"))), ["template", "tpos"], MOST_BROADCAST)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if len(tpl) > 1:
+        rows = saved(rows, "texts")  # so that the rows have the same numbers each time
+    worded = rows.select("row", "doc_id", alnum_words(ascii_lower(F.col("text"))).alias("words"))
     # the words stay beside the exploded pairs, and are looked at where a hash matches
     paired = with_rolling(worded.select("row", "doc_id", "words", F.size("words").cast("long").alias("n_words"), F.col("words").alias("again")), "again", [2])
     probes = paired.select("row", "doc_id", "n_words", "words", F.posexplode_outer("rolling_2").alias("pos", "hash"))
     same = (F.col("hash") == F.col("thash")) & (F.get("words", F.col("pos")) == F.col("tw1")) & (F.get("words", F.col("pos") + 1) == F.col("tw2"))
     # the first pair, or none, stands for a text without a match, so that one pass gives these too
-    votes = (
-        probes.join(F.broadcast(tpl) if few else tpl, same, "left").where("pos is null or pos = 0 or template is not null")
-        .select("row", "doc_id", "n_words", "template", "label", "base", "seeds", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
-        .repartition("row")  # all that follows is by text, so it is the only exchange
-    )
+    votes = None
+    for part in tpl:
+        found = probes.join(part, same, "left").where("pos is null or pos = 0 or template is not null").select(
+            "row", "doc_id", "n_words", "template", "label", "base", "seeds", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
+        votes = found if votes is None else votes.unionByName(found)
+    votes = votes.repartition("row")  # all that follows is by text, so it is the only exchange
     diagonals = votes.groupBy("row", "template", "label", "base", "seeds", "diagonal").agg(
         F.collect_set("tpos").alias("covered"), F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words")
     ).withColumn("place", F.coalesce(F.col("base") & (F.size("covered") == F.col("seeds")), F.lit(False)))
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    starts = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= gap, 0).otherwise(1)
-    merged = diagonals.withColumn("starts", starts).withColumn("span", F.sum("starts").over(along)).groupBy("row", "template", "label", "base", "seeds", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"),
-        F.sum(F.col("place").cast("long")).alias("places"),
-        F.min(F.when(F.col("place"), F.col("diagonal"))).alias("first"),
-        F.max(F.when(F.col("place"), F.col("diagonal"))).alias("last"),
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-    )
-    share = F.when(F.col("base"), (F.col("places") > 0).cast("double")).otherwise(F.col("covered") / F.col("seeds"))
-    base_label = F.when(F.col("base") & (F.col("places") > 0), F.col("label"))
-    own_label = F.when(~F.col("base") & (share >= cover), F.col("label"))
+    # each diagonal with its neighbours of the next ``gap`` words: gap + 1 sets of the template's length at most
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, gap)
+    merged = diagonals.withColumn("spans", F.collect_list(F.struct("diagonal", "covered")).over(near))
+    span = F.flatten(F.transform("spans", lambda s: F.transform(s["covered"], lambda t: F.struct((s["diagonal"] + t).alias("pos"), t.alias("tpos")))))
+    # the votes of one diagonal are in order already
+    covered = F.when(F.size("spans") == 1, F.size("covered")).otherwise(_in_order(span))
+    share = F.when(F.col("template").isNull(), F.lit(0.0)).when(F.col("base"), F.col("place").cast("double")).otherwise(covered / F.col("seeds"))
+    shared = merged.select("row", "doc_id", "n_words", "label", "base", "place", "diagonal", share.alias("share"))
+    at = F.when(F.col("place"), F.col("diagonal")).cast("long")
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    out = merged.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sum("places").alias("n_base"),
-        F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"),
-        joined(base_label).alias("base_labels"), joined(F.coalesce(base_label, own_label)).alias("labels"),
-        F.coalesce(F.max(share), F.lit(0.0)).alias("score"),
-    )
-    return out.drop("row")
+    return shared.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sum(F.col("place").cast("long")).alias("n_base"),
+        F.min(at).alias("first_word"), F.max(at).alias("last_word"),
+        joined(F.when(F.col("place"), F.col("label"))).alias("base_labels"),
+        joined(F.when(F.col("place") | (~F.col("base") & (F.col("share") >= cover)), F.col("label"))).alias("labels"),
+        F.max("share").alias("score"),
+    ).drop("row")

@@ -89,29 +89,27 @@ def _values(rows: list[tuple]) -> str:
 _TEMPLATES = _values([(n, label, n < len(licenses.BASE), text) for n, (text, label) in enumerate([*licenses.BASE, *licenses.TEMPLATES])])
 _RULES = _values([(n, *r) for n, r in enumerate(urls.BASE)])
 _PATTERNS = _values([(n, p, v) for n, (p, _, v) in enumerate(urls.PATTERNS)])
-_COMMON = "[" + ", ".join(map(_text, licenses.COMMON)) + "]"
 
 ORACLE_SQL = {
     "op3_licenses": rf"""
 WITH templates(no, label, base, phrase) AS (VALUES {_TEMPLATES}),
 t AS (SELECT no, label, base, string_split(phrase, ' ') AS w FROM templates),
-tp AS (SELECT no, label, base, j, w[j + 1] AS w1, w[j + 2] AS w2 FROM (SELECT *, unnest(range(len(w) - 1)) AS j FROM t)),
-pairs AS (SELECT * FROM tp WHERE base OR NOT (list_contains({_COMMON}, w1) AND list_contains({_COMMON}, w2))),
+pairs AS (SELECT no, label, base, j, w[j + 1] AS w1, w[j + 2] AS w2 FROM (SELECT *, unnest(range(len(w) - 1)) AS j FROM t)),
 seeds AS (SELECT no, count(*) AS seeds FROM pairs GROUP BY no),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 dp AS (SELECT r, i, w[i + 1] AS w1, w[i + 2] AS w2 FROM (SELECT r, w, unnest(range(len(w) - 1)) AS i FROM d WHERE len(w) > 1)),
-votes AS (SELECT r, no, label, base, j, i - j AS diagonal FROM dp JOIN pairs USING (w1, w2)),
-diagonals AS (SELECT r, no, label, base, seeds, diagonal, list(j) AS js, base AND count(*) = seeds AS place FROM votes JOIN seeds USING (no) GROUP BY r, no, label, base, seeds, diagonal),
-begun AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, no ORDER BY diagonal) <= {licenses.GAP}, false) AS goes_on FROM diagonals),
-spans AS (SELECT *, count(*) FILTER (NOT goes_on) OVER (PARTITION BY r, no ORDER BY diagonal) AS span FROM begun),
+votes AS (SELECT r, no, label, base, i, j, i - j AS diagonal FROM dp JOIN pairs USING (w1, w2)),
+diagonals AS (SELECT r, no, label, base, seeds, diagonal, list(struct_pack(i := i, b := -j)) AS vs, base AND count(*) = seeds AS place FROM votes JOIN seeds USING (no) GROUP BY r, no, label, base, seeds, diagonal),
+near AS (SELECT *, list(vs) OVER (PARTITION BY r, no ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {licenses.GAP} FOLLOWING) AS spans FROM diagonals),
 merged AS (
-  SELECT r, label, base, count(*) FILTER (place) AS places, min(diagonal) FILTER (place) AS lo, max(diagonal) FILTER (place) AS hi,
-    CASE WHEN base THEN bool_or(place)::INT::DOUBLE ELSE len(list_distinct(flatten(list(js)))) / seeds::DOUBLE END AS share
-  FROM spans GROUP BY r, no, label, base, seeds, span),
+  SELECT r, label, base, place, diagonal,
+    CASE WHEN base THEN place::INT::DOUBLE ELSE len(list_reduce(list_transform(list_sort(flatten(spans)), lambda v: [-v.b]),
+      lambda tails, x: list_concat(list_concat(list_filter(tails, lambda y: y < x[1]), x), list_filter(tails, lambda y: y >= x[1])[2:]))) / seeds::DOUBLE END AS share
+  FROM near),
 scans AS (
-  SELECT r, sum(places)::BIGINT AS n_base, min(lo) AS first_word, max(hi) AS last_word, max(share) AS score,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND places > 0) AS base_labels,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= {licenses.COVER}) AS labels
+  SELECT r, count(*) FILTER (place) AS n_base, min(diagonal) FILTER (place) AS first_word, max(diagonal) FILTER (place) AS last_word, max(share) AS score,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place OR NOT base AND share >= {licenses.COVER}) AS labels
   FROM merged GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
   coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
