@@ -3,11 +3,16 @@
 Fingerprints are compared through a segment-popcount embedding. A fingerprint is mapped to the
 number of set bits of each of its 32 two-bit segments. The Manhattan distance of two such vectors
 never exceeds the Hamming distance of the fingerprints, so pairs within ``distance`` bits lie within
-``distance`` of each other in that lattice. The lattice is cut into blocks of segments. Two vectors
-within distance d agree exactly in all but d of the blocks, so a grid whose cells are the
-sub-vectors of ``blocks - d`` blocks, one grid for each choice of blocks, puts every such pair into
-a common cell. Pairs of a cell are joined, and the exact Hamming distance is part of the join
-condition. A pair that shares several cells is emitted in the first only.
+``distance`` of each other in that lattice: a range join. The lattice is cut into blocks of
+segments. Two vectors within distance d agree in all but d of the blocks, so a grid whose cells are
+the sub-vectors of ``blocks - d`` blocks, one grid for each choice of blocks, puts every such pair
+into a common cell. Pairs of a cell are held against the Manhattan distance of their whole vectors
+first (three operations on the packed counts), and what is left against the exact Hamming distance.
+
+A cell of very many fingerprints is that of a large group of near copies, of which all pairs would be
+made. Its fingerprints that differ in one bit are linked first, each with the smallest that shares all
+other bits, and what then belongs to the cell's largest group is compared with the other members of
+the cell alone. That loses no link between different groups, and no component changes by it.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, saved
+from .common import NO_ID, columns_of, join_hot_apart, saved, unused
 
 #: Bits by which linked fingerprints may differ, words of a shingle, seed of the hash.
 DISTANCE, SHINGLE, SEED = 4, 4, 42
@@ -65,56 +70,121 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return ready.mapInPandas(run, "id long, text_hash long, fingerprint long")
 
 
-def _popcounts(fp: Column, block: int, blocks: int) -> Column:
-    """The block's segment bit counts, each in two bits of a long."""
-    per = SEGMENTS // blocks
-    mask = (1 << (2 * per)) - 1
-    bits = F.shiftrightunsigned(fp, 2 * per * block).bitwiseAND(F.lit(mask))
-    low = bits.bitwiseAND(F.lit(0x5555555555555555 & mask))
-    high = F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(0x5555555555555555 & mask))
-    return low + high
+#: Fingerprints that are broadcast at most: those of 1 / HOT_KEYS of all rows or more.
+HOT_KEYS = 1000
+#: Fingerprints of a cell from which its near copies are grouped before pairs are made.
+HOT_CELL = 2048
+_ONES, _TWOS = 0x1111111111111111, 0x2222222222222222
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """``a < b`` for all pairs of the distinct ``fingerprint`` values of ``prints`` that differ in at
-    most ``distance`` bits, each once."""
-    if not 0 < distance < blocks <= SEGMENTS or SEGMENTS % blocks:
-        raise ValueError("blocks must divide 32 and exceed the distance")
-    keep = list(combinations(range(blocks), blocks - distance))
-    per = 2 * SEGMENTS // blocks
-    width = per * (blocks - distance)
-    if width > 48:
+def popcounts(fp: Column) -> tuple[Column, Column]:
+    """The embedding: the bit counts (0 to 2) of the 32 two-bit segments, each in four bits of two longs (even
+    and odd segments)."""
+    bit = lambda n: (F.shiftrightunsigned(fp, n) if n else fp).bitwiseAND(F.lit(_ONES))
+    return bit(0) + bit(1), bit(2) + bit(3)
+
+
+def manhattan(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """The Manhattan distance of two embeddings, by counting bits of all segments at once: with 2 added to each
+    count a difference d is 2 + d (0 to 4) in its four bits, and with bit 1 turned over |d| = 1 has bit 0
+    set, |d| = 2 bit 1 without bit 0."""
+    total = F.lit(0)
+    for x, y in zip(a, b):
+        turned = (x + F.lit(_TWOS) - y).bitwiseXOR(F.lit(_TWOS))
+        one = turned.bitwiseAND(F.lit(_ONES))
+        two = F.shiftrightunsigned(turned, 1).bitwiseAND(one.bitwiseXOR(F.lit(_ONES)))
+        total = total + F.bit_count(one) + 2 * F.bit_count(two.bitwiseAND(F.lit(_ONES)))
+    return total
+
+
+def _block_of(even: Column, odd: Column, block: int, blocks: int) -> Column:
+    """The counts of a block's segments side by side."""
+    bits = 4 * SEGMENTS // blocks // 2
+    mask = F.lit((1 << bits) - 1)
+    part = lambda c: F.shiftrightunsigned(c, bits * block).bitwiseAND(mask)
+    return F.shiftleft(part(odd), 2).bitwiseOR(part(even))
+
+
+def _grids(distance: int, blocks: int) -> list[tuple[int, ...]]:
+    if not 0 < distance < blocks <= SEGMENTS // 2 or SEGMENTS % (2 * blocks):
+        raise ValueError("blocks must divide 16 and exceed the distance")
+    if 2 * SEGMENTS // blocks * (blocks - distance) > 48:
         raise ValueError("a cell and the number of its grid must fit 63 bits")
+    return list(combinations(range(blocks), blocks - distance))
+
+
+def _points(prints: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """``fingerprint, cell`` for each grid."""
+    per = 2 * SEGMENTS // blocks
 
     def cell(n: int, chosen: tuple[int, ...]) -> Column:
         # the grid's number and the chosen blocks' counts side by side: an exact key of one long
-        key = F.lit(n << width).cast("long")
+        key = F.lit(n << per * len(chosen)).cast("long")
         for j, i in enumerate(chosen):
             key = key.bitwiseOR(F.shiftleft(F.col(f"part{i}"), per * j))
         return key
 
     # the counts are columns of their own, so that the plan holds each expression once
-    counted = prints.select("fingerprint", *[_popcounts(F.col("fingerprint"), i, blocks).alias(f"part{i}") for i in range(blocks)])
-    points = counted.select("fingerprint", F.explode(F.array(*[cell(n, c) for n, c in enumerate(keep)])).alias("cell"))
-    left = points.withColumnRenamed("fingerprint", "a")
-    right = points.withColumnRenamed("fingerprint", "b")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    near = F.bit_count(differ) <= distance
-    # the pair's first common grid: that of the first blocks on which its counts agree
-    same = [(_popcounts(F.col("a"), i, blocks) == _popcounts(F.col("b"), i, blocks)).cast("int") for i in range(blocks)]
+    embedded = prints.select("fingerprint", *[c.alias(n) for n, c in zip(("even", "odd"), popcounts(F.col("fingerprint")))])
+    counted = embedded.select("fingerprint", *[_block_of(F.col("even"), F.col("odd"), i, blocks).alias(f"part{i}") for i in range(blocks)])
+    return counted.select("fingerprint", F.explode(F.array(*[cell(n, c) for n, c in enumerate(_grids(distance, blocks))])).alias("cell"))
+
+
+def _pairs(left: DataFrame, right: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """Pairs ``a, b`` of a common cell: within the lower bound, then within the exact distance, and each in
+    the first only of the cells it shares, that of the first blocks on which its counts agree."""
+    both = left.withColumnRenamed("fingerprint", "a").join(right.withColumnRenamed("fingerprint", "b"), "cell")
+    a, b = popcounts(F.col("a")), popcounts(F.col("b"))
+    near = (manhattan(a, b) <= distance) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    keep = _grids(distance, blocks)
+    same = [(_block_of(*a, i, blocks) == _block_of(*b, i, blocks)).cast("int") for i in range(blocks)]
     agreeing = sum((F.shiftleft(s, i) for i, s in enumerate(same)), F.lit(0))
-    first = {}
+    first = []
     for mask in range(1 << blocks):
         on = [i for i in range(blocks) if mask >> i & 1]
-        first[mask] = keep.index(tuple(on[: blocks - distance])) if len(on) >= blocks - distance else -1
-    table = F.array(*[F.lit(first[m]) for m in range(1 << blocks)])
-    here = F.shiftright("cell", width) == F.get(table, agreeing)
-    return left.join(right, "cell").where((F.col("a") < F.col("b")) & near & here).select("a", "b")
+        first.append(keep.index(tuple(on[: blocks - distance])) if len(on) >= blocks - distance else -1)
+    width = 2 * SEGMENTS // blocks * (blocks - distance)
+    here = F.shiftright("cell", width) == F.get(F.array(*map(F.lit, first)), agreeing)
+    return both.where((F.col("a") < F.col("b") if left is right else F.col("a") != F.col("b")) & near & here)
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, hot_cell: int = HOT_CELL) -> DataFrame:
+    """``a < b``: pairs of the distinct ``fingerprint`` values of ``prints`` (no nulls; repeated ones count
+    once) that differ in at most ``distance`` bits, each once: all such pairs, but for those of two
+    fingerprints that a hot cell's group joins by other links, so that components are those of all pairs.
+    Other columns are ignored; an empty table gives none."""
+    points = _points(prints.select("fingerprint").distinct(), distance, blocks)
+    # most cells are of one fingerprint, and pair it with nothing
+    cells = saved(points.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
+    cool = points.join(cells.where(F.col("n") <= hot_cell).select("cell"), "cell")
+    found = _pairs(cool, cool, distance, blocks).select("a", "b")
+    hot = cells.where(F.col("n") > hot_cell).select("cell")
+    if not hot.take(1):
+        return found
+    warm = saved(points.join(hot, "cell"), "hot-cells")
+    stars = saved(_one_bit_stars(warm.select("fingerprint").distinct()), "stars")
+    groups = components(stars).withColumnRenamed("node", "fingerprint")
+    known = saved(warm.join(groups, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")), "hot-groups")
+    largest = known.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    placed = known.join(largest, "cell")
+    others = placed.where("root <> most").select("cell", "fingerprint", F.col("root").alias("root_a"))
+    # two of the others meet from both sides, and count from one
+    between = _pairs(others, placed, distance, blocks).where("root_a <> root and (root = most or a < b)")
+    return found.unionByName(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).unionByName(stars).distinct()
+
+
+def _one_bit_stars(prints: DataFrame) -> DataFrame:
+    """``a < b``: each fingerprint and the smallest that differs from it in one bit, for each bit: the one of a
+    pair with the bit clear. No more than 64 rows a fingerprint, whatever their number."""
+    bit = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")
+    keyed = prints.select("fingerprint", bit).withColumn("rest", F.expr("fingerprint & ~shiftleft(1L, bit)"))
+    both = keyed.groupBy("bit", "rest").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b"))
+    return both.where("a < b").select("a", "b")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``node, root`` for every node of ``edges (a, b)``: the smallest node that is reachable.
-    Large-star and small-star rounds; each is written to the shared folder, so that lineage stays
+    """``node, root`` for every node of ``edges (a, b)`` (no nulls; repeated edges count once): the smallest
+    node that is reachable. An edge of a node with itself is none. An empty table gives none. Large-star and small-star rounds; each is written to the shared folder, so that lineage stays
     short, and the driver sees only a count and a checksum."""
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
@@ -142,13 +212,15 @@ def _classified(docs: DataFrame, distance: int, blocks: int) -> DataFrame:
     prints = saved(fingerprints(docs), "fingerprints")
     # a null id is the least long, but comes after all others as a component's id
     order = F.struct((F.col("id") == NO_ID).alias("unknown"), "id", "text_hash")
-    classes = saved(prints.groupBy("fingerprint").agg(F.min(order).alias("least")), "prints")
+    classes = saved(prints.groupBy("fingerprint").agg(F.min(order).alias("least"), F.count("*").alias("copies")), "prints")
     roots = components(links(classes, distance, blocks))
-    least = roots.join(classes.withColumnRenamed("fingerprint", "node"), "node").groupBy("root").agg(F.min("least").alias("lowest"))
+    least = roots.join(classes.select(F.col("fingerprint").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("lowest"))
     named = roots.join(least, "root").select(F.col("node").alias("fingerprint"), "lowest")
-    # a row for each fingerprint, so that a large group of copies meets one row
-    to = saved(classes.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("lowest", "least").alias("least")), "classes")
-    return prints.join(to, "fingerprint")
+    # a row for each fingerprint, so that a large group of copies meets one row; fingerprints with a share of
+    # 1 / HOT_KEYS of all rows or more are HOT_KEYS at most, and broadcast
+    to = classes.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("lowest", "least").alias("least"), "copies")
+    to, total = saved(to, "classes"), prints.count()
+    return join_hot_apart(prints, to, ["fingerprint"], "least", F.col("copies") * HOT_KEYS >= total).drop("copies")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
@@ -168,11 +240,14 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, and of the smallest hash of
-    its text among rows of that doc_id. A null doc_id stays only where its component has no other."""
+    its text among rows of that doc_id; of repeated rows one. A null doc_id stays only where its component
+    has no other. Texts without words (null, empty) are one component. Columns stay as they were, whatever
+    their names; an empty table gives none."""
     found = _classified(docs, distance, blocks)
     first = (F.col("id") == F.col("least.id")) & (F.col("text_hash") == F.col("least.text_hash"))
-    gone = found.where(~first).select(F.col("id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct()
+    g_id, g_hash, own_id, own_hash = unused(docs.columns, "g_id", "g_hash", "own_id", "own_hash")
+    gone = found.where(~first).select(F.col("id").alias(g_id), F.col("text_hash").alias(g_hash)).distinct()
     repeated = found.where(first).groupBy("id", "text_hash").count().where("count > 1").take(1)
-    ready = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(NO_ID)), "__hash": F.xxhash64("text")})
-    kept = ready.join(gone, (F.col("__id") == F.col("g_id")) & (F.col("__hash") == F.col("g_hash")), "left_anti")
-    return (kept.dropDuplicates(["__id", "__hash"]) if repeated else kept).select(*docs.columns)
+    ready = docs.select(*columns_of(docs), F.coalesce("doc_id", F.lit(NO_ID)).alias(own_id), F.xxhash64("text").alias(own_hash))
+    kept = ready.join(gone, (F.col(own_id) == F.col(g_id)) & (F.col(own_hash) == F.col(g_hash)), "left_anti")
+    return (kept.dropDuplicates([own_id, own_hash]) if repeated else kept).select(*columns_of(docs))
