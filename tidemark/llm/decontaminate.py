@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, ascii_lower, saved, with_rolling
+from .common import alnum_words, ascii_lower, columns_of, saved, unused, with_rolling
 
 WORDS, CONTAINMENT = 5, 0.8
 #: Smallest sketch, and the number of sketch hashes up to which they are broadcast (12 bytes each).
 LEAST_SKETCH, MOST_BROADCAST = 8, 500_000
+#: Bytes of the items' shingle texts up to which these are broadcast.
+MOST_BYTES = 64 << 20
 
 
 def _words(text: Column) -> Column:
@@ -46,9 +48,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, words: int, containment: float
     item_words = item_words.withColumn("k", F.least(F.size("words"), F.lit(words)))
     widths = sorted(r[0] for r in item_words.select("k").distinct().collect())  # at most ``words`` values
     if not widths:
-        return docs.join(benchmark.select("item_id").limit(0)).select(
-            "doc_id", F.lit(None).cast("long").alias("text_hash"), "item_id", F.lit(0).cast("long").alias("item_shingles"), F.lit(0).cast("long").alias("found")
-        ).where("false")
+        kind = benchmark.schema["item_id"].dataType
+        return docs.where("false").select(
+            "doc_id", F.lit(None).cast("long").alias("text_hash"), F.lit(None).cast(kind).alias("item_id"), F.lit(0).cast("long").alias("item_shingles"), F.lit(0).cast("long").alias("found")
+        )
     chosen, hashed = F.array().cast("array<string>"), F.lit(None).cast("long")
     for k in widths:
         chosen = F.when(F.col("k") == k, _shingles("words", k)).otherwise(chosen)
@@ -73,6 +76,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, words: int, containment: float
         "sketches",
     )
     small = index.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    # the texts of all shingles are broadcast by their own size
+    n_bytes = items.agg(F.sum(F.octet_length("shingle") + 64)).first()[0] or 0
+    few_facts = n_bytes <= MOST_BYTES
 
     text_words = _words(F.col("text"))
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
@@ -104,7 +110,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, words: int, containment: float
     again = again.select("doc_id", "text_hash", text_words.alias("words"))
     spelled = again.select("doc_id", "text_hash", F.explode_outer(F.concat(*[_shingles("words", k) for k in widths])).alias("shingle")).distinct()
     facts = items.select("item", "item_id", "item_shingles", "shingle")
-    expected = candidates.join(F.broadcast(facts) if small else facts, "item")
+    expected = candidates.join(F.broadcast(facts) if few_facts else facts, "item")
     return (
         expected.select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "item", "item_id", "item_shingles", F.col("shingle").alias("c_shingle"))
         .join(spelled, (F.col("text_hash") == F.col("c_hash")) & (F.col("shingle") == F.col("c_shingle")) & F.col("doc_id").eqNullSafe(F.col("c_id")))
@@ -131,7 +137,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, containme
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
-    """``docs`` without the texts that hold a test item; other texts of the same doc_id, or of a null one, stay."""
-    bad = _found(docs, benchmark, words, containment).select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__bad_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs["text"]) == F.col("__bad_hash"))
-    return docs.join(bad, same, "left_anti")
+    """``docs`` without the texts that hold a test item; other texts of the same doc_id, or of a null one, stay.
+    Null and empty texts stay, repeated rows go or stay together, and columns stay as they were, whatever
+    their names. An empty benchmark takes nothing; an empty table gives none."""
+    bad, bad_hash, own_hash = unused(docs.columns, "bad", "bad_hash", "own_hash")
+    leaks = _found(docs, benchmark, words, containment).select(F.col("doc_id").alias(bad), F.col("text_hash").alias(bad_hash)).distinct()
+    ready = docs.select(*columns_of(docs), F.xxhash64("text").alias(own_hash))
+    kept = ready.join(leaks, F.col("doc_id").eqNullSafe(F.col(bad)) & (F.col(own_hash) == F.col(bad_hash)), "left_anti")
+    return kept.select(*columns_of(docs))
