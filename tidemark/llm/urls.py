@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, ascii_lower
+from .common import NOT_ALNUM, ascii_lower, broadcast_parts, saved
 
 #: The base rules (host, path, verdict).
 BASE = [
@@ -18,16 +18,20 @@ BASE = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: The method's own patterns: regular expression over host and path, literal tokens that any URL
-#: which fits holds whole, verdict.
-PATTERNS = [
-    (r"(^|[.-])cheap-pills\.", "cheap pills", "block"),
-    (r"(^|[.-])online-casino[.-]", "online casino", "block"),
-    (r"(^|[.-])free-loans[.-]", "free loans", "block"),
+#: The method's own patterns: regular expression over host and path, literal tokens that any URL which fits
+#: holds whole, verdict. Words that stand alone between dots and hyphens of a host, and paths of whole segments.
+HOST_WORDS = ["adult", "ads", "bets", "casino", "loans", "payday", "pharmacy", "pills", "poker", "porn", "slots", "spam", "xxx"]
+PATTERNS = [(rf"^([^/]*[.-])?{w}[.-]", w, "block") for w in HOST_WORDS] + [
+    (r"^([^/]*\.)?doubleclick\.net/", "doubleclick net", "block"),
     (r"/wp-login\.php$", "wp login php", "block"),
+    (r"/wp-admin/", "wp admin", "block"),
+    (r"/xmlrpc\.php$", "xmlrpc php", "block"),
     (r"/cgi-bin/", "cgi bin", "block"),
-    (r"(^|\.)doubleclick\.net/", "doubleclick net", "block"),
-]
+    (r"/cart/checkout(/|$)", "cart checkout", "block"),
+    (r"/user/login(/|$)", "user login", "block"),
+    (r"/search/results(/|$)", "search results", "block"),
+    (r"/calendar/[0-9]{4}/[0-9]{1,2}(/|$)", "calendar", "block"),
+] + [(rf"\.{w}$", w, "block") for w in ("apk", "dmg", "exe", "iso", "msi", "rar", "zip")]
 #: Rows of the index up to which it is broadcast.
 MOST_BROADCAST = 200_000
 
@@ -74,20 +78,19 @@ def _tokens(text: Column) -> Column:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """``page_id, host, path, rule, verdict, pattern`` for each row of ``pages``.
 
-    The longest base rule that fits wins; without one the method's patterns decide (the longest that
+    The longest base rule that fits wins (of equally long ones the last in the table); without one the method's patterns decide (the longest that
     fits), else ``default``. rule is null unless a base rule fits. Null or malformed URLs have empty
     host and path and get ``default``. Repeated rows stay; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("at", F.concat("host", "path"))
 
-    # the rarest of each rule's tokens, over all URLs; unseen ones count 0
+    # the rarest of each rule's tokens, over all URLs; unseen ones count 0. Both sides are aggregated before they
+    # meet, so no token is hot
     wanted = rules.select("rule_no", F.explode("tokens").alias("token"))
-    few = rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    hint = F.broadcast if few else (lambda x: x)
-    counts = (
-        urls.select(F.explode_outer(_tokens(F.col("at"))).alias("token")).join(hint(wanted.select("token").distinct()), "token", "left_semi").groupBy("token").count()
-    )
+    tokens = urls.select(F.explode_outer(_tokens(F.col("at"))).alias("token"))
+    asked = broadcast_parts(wanted.select("token").distinct(), ["token"], MOST_BROADCAST)
+    counts = (tokens.join(asked[0], "token", "left_semi") if len(asked) == 1 else tokens).groupBy("token").count()
     rarest = (
         wanted.join(counts, "token", "left")
         .groupBy("rule_no").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
@@ -95,10 +98,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     index = rules.join(rarest, "rule_no").select("token", "rule_no", "rule", "pattern", "verdict", "rank")
 
     # a row for each token and one without, so that every URL is left with one at least
-    probes = urls.withColumn("row", F.monotonically_increasing_id()).select(
+    parts = broadcast_parts(saved(index, "rules"), ["rule_no"], MOST_BROADCAST)
+    numbered = urls.withColumn("row", F.monotonically_increasing_id())
+    if len(parts) > 1:
+        numbered = saved(numbered, "urls")  # so that the rows have the same numbers each time
+    probes = numbered.select(
         "row", "page_id", "host", "path", "at", F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), _tokens(F.col("at")))).alias("token")
     )
-    tried = probes.join(hint(index), "token", "left").where(F.col("token").isNull() | (F.col("pattern").isNotNull() & F.expr("regexp_like(at, pattern)")))
+    tried = None
+    for part in parts:
+        found = probes.join(part, "token", "left").where(F.col("token").isNull() | (F.col("pattern").isNotNull() & F.expr("regexp_like(at, pattern)")))
+        tried = found if tried is None else tried.unionByName(found)
     best = F.max(F.when(F.col("rank").isNotNull(), F.struct("rank", "rule_no", "rule", "verdict", "pattern")))
     out = tried.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("b"))
     return out.select(
