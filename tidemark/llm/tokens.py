@@ -12,6 +12,7 @@ shard's first token stands in the whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -57,7 +58,11 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = type(self.tokenizer.pre_tokenizer).__name__
-        self.cuts = kind == "ByteLevel" and self.tokenizer.normalizer is None
+        spec = json.loads(self.tokenizer.to_str())
+        before, merges = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+        # a space put before each text, another cut rule or random merges: texts go to the library whole
+        usual = not before.get("add_prefix_space") and before.get("use_regex", True) and not merges.get("dropout")
+        self.cuts = kind == "ByteLevel" and self.tokenizer.normalizer is None and bool(usual)
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         # byte-level models show bytes that are no printable characters as those from U+0100 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -143,8 +148,11 @@ def _train(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int) ->
     kept = [r[0] for r in docs.select(hashed.alias("h")).orderBy("h").limit(SAMPLE_DOCS).collect()]
     if not kept:
         return b""
-    # enough characters for SAMPLE_IDS ids of each; the sample is of use, not a part of the output
-    text = F.substring(F.coalesce("text", F.lit("")), 1, 4 * SAMPLE_IDS)
+    # enough characters for SAMPLE_IDS ids of each, from a place of the text that the hash names; the sample
+    # is of use, not a part of the output
+    whole, most = F.coalesce("text", F.lit("")), 4 * SAMPLE_IDS
+    at = F.pmod(hashed, F.greatest(F.char_length(whole) - most, F.lit(0)) + 1) + 1
+    text = F.substring(whole, at.cast("int"), F.lit(most))
     rows = docs.where(hashed <= kept[-1]).select(hashed.alias("h"), text.alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
     enc = Encoder(tokenizer)  # not kept: the driver needs it here alone
     end = np.array([end_id], enc.dtype).tobytes()
@@ -212,7 +220,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             yield made()
 
     ordered = (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "h")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
         .select("doc_id", "text", F.spark_partition_id().alias("shard"))
     )
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
@@ -252,7 +260,8 @@ def _decoded(batches: Iterator[pa.RecordBatch], raw: bytes, sha: str) -> Iterato
 
 def read_tokens(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of all documents in a written folder, or of one doc_id; of
-    other documents' frames in its block none is decompressed then."""
+    other documents' frames in its block none is decompressed then. Documents with a null doc_id come with all
+    only; repeated rows come as often as they were written; a folder of an empty table gives none."""
     blocks, raw, sha = _blocks(spark, path)
     if doc_id is not None:
         blocks = blocks.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
@@ -277,7 +286,8 @@ def read_tokens(spark: SparkSession, path: str, doc_id: int | None = None) -> Da
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of all documents in a written folder: the unsigned CRC-32
-    of the ids as little-endian unsigned 32-bit integers."""
+    of the ids as little-endian unsigned 32-bit integers. Null doc_ids and repeated rows come as they were
+    written; a folder of an empty table gives none."""
     blocks, raw, sha = _blocks(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +308,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Write ``docs`` into the shared folder and read the digests back from there."""
+    """Write ``docs`` into the shared folder and read the digests back from there: a row for each row of
+    ``docs``, as write_tokens() and read_digests() say."""
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, end_id)
