@@ -119,32 +119,61 @@ def fingerprint(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFram
     return docs.withColumn("fingerprint", of("text"))
 
 
+def _cuts(keyed: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds that cut rows in the order of ``key, tie`` into about ``parts`` equal parts: their keys and ties.
+    A key that holds several parts (a null one's, say) is cut within by quantiles of its ties."""
+    probs = [i / parts for i in range(1, parts)]
+    found = keyed.agg(F.percentile_approx("key", probs, 10 * parts)).first()[0] if parts > 1 else None
+    keys, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+    low = np.iinfo(np.int64).min
+    cuts = [(int(k), low) for k in keys]
+    heavy = {int(k): int(n) for k, n in zip(keys, times) if n > 1}  # half of ``parts`` at most
+    if heavy:
+        inner = keyed.where(F.col("key").isin(*heavy)).groupBy("key").agg(F.percentile_approx("tie", probs, 10 * parts).alias("ties"))
+        for key, ties in inner.collect():
+            at = [round((i + 1) / (heavy[key] + 1) * len(ties)) - 1 for i in range(heavy[key])]
+            cuts += [(key, ties[i]) for i in at]
+    cuts = sorted(set(cuts))
+    return np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+
+
+def _buckets(keys: np.ndarray, ties: np.ndarray, cut_keys: np.ndarray, cut_ties: np.ndarray) -> np.ndarray:
+    """How many cuts are at or below each ``key, tie``."""
+    low, high = (np.searchsorted(cut_keys, keys, side=side) for side in ("left", "right"))
+    out = low.copy()
+    for k in np.unique(low[high > low]):  # rows of a key that is cut at
+        here = (low == k) & (high > low)
+        top = int(high[here][0])
+        out[here] = k + np.searchsorted(cut_ties[k:top], ties[here], side="right")
+    return out.astype(np.int32)
+
+
 def _partition_by_order(docs: DataFrame, key: Column) -> DataFrame:
-    """``docs`` dealt to partitions that follow each other in descending ``key`` and sorted so; the
+    """``docs`` dealt to partitions that follow each other in descending ``key, tie`` and sorted so; the
     first rows of a partition are also sent, marked ``edge``, to the end of the one before it (those
     of the first to the last), so that every row meets its successor. Only bucket bounds and each
     bucket's largest key come to the driver: a few numbers for each partition."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.withColumn("key", key)
-    bounds = keyed.stat.approxQuantile("key", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    cuts = np.unique(np.array(bounds, float))
+    cut_keys, cut_ties = _cuts(keyed.select("key", "tie"), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     @F.pandas_udf("int")
-    def bucket_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, keys.to_numpy().astype(float), side="right").astype(np.int32))
+    def bucket_of(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(_buckets(keys.to_numpy(np.int64), ties.to_numpy(np.int64), cut_keys, cut_ties))
 
-    tops = sorted(map(tuple, keyed.select("key").groupBy(bucket_of("key").alias("b")).agg(F.max("key")).collect()))
-    # the largest key of a bucket follows the last row of the next higher bucket; the largest of all the last row
+    largest = keyed.select("key", "tie").groupBy(bucket_of("key", "tie").alias("b")).agg(F.max(F.struct("key", "tie")).alias("top")).collect()
+    tops = sorted((b, tuple(top)) for b, top in largest)
+    # the largest row of a bucket follows the last row of the next higher bucket; the largest of all the last row
     goes = {top: tops[(n + 1) % len(tops)][0] for n, (_, top) in enumerate(tops)}
+    ends = {key for key, _ in goes}
 
     @F.pandas_udf("array<int>")
-    def places(keys: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, keys.to_numpy().astype(float), side="right")
-        return pd.Series([[int(b), goes[k]] if k in goes else [int(b)] for b, k in zip(own, keys.tolist())])
+    def places(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        own = _buckets(keys.to_numpy(np.int64), ties.to_numpy(np.int64), cut_keys, cut_ties).tolist()
+        return pd.Series([[b, goes[k, t]] if k in ends and (k, t) in goes else [b] for b, k, t in zip(own, keys.tolist(), ties.tolist())])
 
-    placed = keyed.select("*", F.posexplode(places("key")).alias("edge", "bucket"))
-    return placed.repartitionById(max(1, len(cuts) + 1), "bucket").sortWithinPartitions("edge", F.col("key").desc(), F.col("tie").desc())
+    placed = keyed.select("*", F.posexplode(places("key", "tie")).alias("edge", "bucket"))
+    return placed.repartitionById(len(cut_keys) + 1, "bucket").sortWithinPartitions("edge", F.col("key").desc(), F.col("tie").desc())
 
 
 def compare_edited(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFrame:
