@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved
+from .common import ascii_lower, columns_of, saved, unused
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
@@ -46,7 +46,8 @@ def trigrams(text: str | None) -> np.ndarray:
 
 def train(texts: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
     """Log probabilities, a row for each language and a last one for none, from ``texts (key, text,
-    language)``. Rows of other languages, or null, are not used."""
+    language)``. Rows of other languages, or null, are not used; a null key is a key like any other, a null
+    text has no trigrams. Of repeated rows each counts. Without any row all trigrams are as likely."""
     known = texts.where(F.col("language").isin(*languages))
     counts = {r[0]: r[1] for r in known.groupBy("language").count().collect()}  # as many as languages
     hashed = F.xxhash64("key").cast("double")
@@ -77,8 +78,9 @@ def domain_of(host: Column) -> Column:
 
 
 def declared_language(html: Column) -> Column:
-    """The primary tag of ``<html lang=...>``, null without one."""
-    return F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]{0,500}?\slang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
+    """The primary tag of ``<html lang=...>``, null without one (a null page too)."""
+    tag = F.regexp_extract(html, r"(?i)<html(\s[^>]*)", 1)
+    return F.nullif(F.lower(F.regexp_extract(tag, r"(?i)\slang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
 
 
 def visible_text(html: Column) -> Column:
@@ -89,15 +91,18 @@ def visible_text(html: Column) -> Column:
 def identify(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LANGUAGES, least_posterior: float = LEAST_POSTERIOR) -> DataFrame:
     """``rows`` without ``text``, with ``language, posterior, kept`` added.
 
-    ``rows`` has ``text, host, declared`` and any other columns (of the names added or starting with
-    two underscores none). Texts are scored whole. Null host and declared are no evidence; a text
+    ``rows`` has ``text, host, declared`` and any other columns, whatever their names; those of the three
+    names added are replaced. Texts are scored whole. Null host and declared are no evidence; a text
     without letters (null, empty) is "und" with posterior 1. kept: the language is known and its
     posterior is at least ``least_posterior``. Ties go to the first language. Repeated rows stay; an
     empty table gives none.
     """
     names = [*languages, UNKNOWN]
     k = len(names)
-    rest = [c for c in rows.columns if c != "text"]
+    # evidence is worked out beside the rows, which wait in one column under a name of their own
+    (carried,) = unused(["host", "declared", "text"], "carried")
+    rest = columns_of(rows, ("text", "language", "posterior", "kept"))
+    rows = rows.select("host", "declared", "text", F.struct(*rest).alias(carried))
 
     @F.pandas_udf("array<double>")
     def likelihoods(texts: pd.Series) -> pd.Series:
@@ -107,7 +112,7 @@ def identify(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LA
             out.append(model[:, b].sum(1, dtype=np.float64) * TEMPER if len(b) else np.zeros(0))
         return pd.Series(out, dtype=object)
 
-    got = saved(rows.select(*rest, likelihoods("text").alias("__ll")), "likelihoods")
+    got = saved(rows.select("host", "declared", carried, likelihoods("text").alias("__ll")), "likelihoods")
     ll = [F.get("__ll", i) for i in range(k)]
     top = F.array_max("__ll")
     weight = [F.exp(x - top) for x in ll]
@@ -150,12 +155,12 @@ def identify(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LA
             here = (less(tag, i) + 0.5) / ((total[i] or 0.0) + 0.5 * max(1, n))
             log = log + F.when(F.col(f"__k{tag}").isNotNull(), F.log(here)).otherwise(zero)
         logs.append(log)
-    fused = joined.select(*rest, F.array(*logs).alias("__log"), (F.size("__ll") == 0).alias("__none"))
+    fused = joined.select(carried, F.array(*logs).alias("__log"), (F.size("__ll") == 0).alias("__none"))
     best = F.array_max("__log")
     mass = F.aggregate("__log", zero, lambda a, x: a + F.exp(x - best))
     place = F.array_position("__log", best)
     out = fused.select(
-        *rest,
+        f"{carried}.*",
         F.when(F.col("__none"), F.lit(UNKNOWN)).otherwise(F.element_at(F.array(*map(F.lit, names)), place.cast("int"))).alias("language"),
         F.when(F.col("__none"), 1.0).otherwise(1.0 / mass).alias("posterior"),
     )
@@ -163,24 +168,29 @@ def identify(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LA
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """Rows for identify() from documents: the source stands for the host, nothing is declared."""
+    """Rows for identify() from documents: the source stands for the host, nothing is declared. Nulls stay
+    nulls and repeated rows stay; other columns than doc_id, source and text are left out."""
     return docs.select("doc_id", F.col("source").alias("host"), F.lit(None).cast("string").alias("declared"), "text")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Rows for identify() from raw pages: host and declared language from URL and markup."""
+    """Rows for identify() from raw pages: host and declared language from URL and markup. A null or
+    malformed URL has no host, a null page no text; other columns than page_id, url and html are left out."""
     host = F.nullif(F.regexp_extract(ascii_lower(F.coalesce("url", F.lit(""))), r"\A[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
     return pages.select("page_id", host.alias("host"), declared_language(F.col("html")).alias("declared"), visible_text(F.col("html")).alias("text"))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that identify() doesn't keep. Trained on a bounded sample of ``docs`` by
-    their column ``lang``; a table without known languages has nothing to reject by and stays whole."""
+    """``docs`` without the texts that identify() doesn't keep. Trained on a bounded sample of ``docs`` by
+    their column ``lang``; a table without known languages (an empty one too) has nothing to reject by and
+    stays whole. Texts without letters (null, empty) go. A text of a doc_id, or of a null one, goes or stays
+    with its repeated rows; columns stay as they were, whatever their names."""
     if not docs.where(F.col("lang").isin(*LANGUAGES)).take(1):
         return docs
     model = train(docs.select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("language")))
-    rows = document_rows(docs).withColumn("t_hash", F.xxhash64("text"))
-    gone = identify(rows, model).where("not kept").select(F.col("doc_id").alias("g_id"), F.col("t_hash").alias("g_hash")).distinct()
-    ready = docs.withColumn("__hash", F.xxhash64("text"))
-    kept = ready.join(gone, (F.col("__hash") == F.col("g_hash")) & ready["doc_id"].eqNullSafe(F.col("g_id")), "left_anti")
-    return kept.select(*docs.columns)
+    rows = document_rows(docs).withColumn("text_hash", F.xxhash64("text"))
+    g_id, g_hash, own_hash = unused(docs.columns, "g_id", "g_hash", "own_hash")
+    gone = identify(rows, model).where("not kept").select(F.col("doc_id").alias(g_id), F.col("text_hash").alias(g_hash)).distinct()
+    ready = docs.select(*columns_of(docs), F.xxhash64("text").alias(own_hash))
+    kept = ready.join(gone, (F.col(own_hash) == F.col(g_hash)) & F.col("doc_id").eqNullSafe(F.col(g_id)), "left_anti")
+    return kept.select(*columns_of(docs))
