@@ -153,14 +153,14 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, hot
     once) that differ in at most ``distance`` bits, each once: all such pairs, but for those of two
     fingerprints that a hot cell's group joins by other links, so that components are those of all pairs.
     Other columns are ignored; an empty table gives none."""
-    points = _points(prints.select("fingerprint").distinct(), distance, blocks)
-    # most cells are of one fingerprint, and pair it with nothing
-    cells = saved(points.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    cool = points.join(cells.where(F.col("n") <= hot_cell).select("cell"), "cell")
-    found = _pairs(cool, cool, distance, blocks).select("a", "b")
-    hot = cells.where(F.col("n") > hot_cell).select("cell")
+    # a fingerprint becomes a row for each grid: dealt to all tasks before, however small the table is
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = _points(prints.select("fingerprint").distinct().repartition(parts, "fingerprint"), distance, blocks)
+    hot = saved(points.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot_cell).select("cell"), "cells")
     if not hot.take(1):
-        return found
+        return _pairs(points, points, distance, blocks).select("a", "b")
+    cool = points.join(hot, "cell", "left_anti")
+    found = _pairs(cool, cool, distance, blocks).select("a", "b")
     warm = saved(points.join(hot, "cell"), "hot-cells")
     stars = saved(_one_bit_stars(warm.select("fingerprint").distinct()), "stars")
     groups = components(stars).withColumnRenamed("node", "fingerprint")
