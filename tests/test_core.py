@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidemark.functions.columns import draw
-from tidemark.operators import checks, decisions, documents, forecast, reports, splits, timeseries, uncertainty
-from tidemark.streaming import resample_hourly_stream
+from tidemark.operators import checks, decisions, documents, forecast, metrics, quantiles, reports, splits, timeseries, uncertainty
+from tidemark.streaming import dedupe_stream, resample_hourly_stream
 from tidemark.plans import registry
 
 
@@ -118,7 +118,21 @@ def test_hourly_means_on_a_stream(spark, tmp_path):
     q = resample_hourly_stream(stream, "price").writeStream.format("memory").queryName("hourly").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
-    assert spark.table("hourly").count() >= 40
+    got = {r.timestamp_utc.isoformat(): (r.price, r.n) for r in spark.table("hourly").collect()}
+    # the watermark is two hours before the last row, so the hours that end by then are given out
+    assert got == {(datetime(2024, 1, 1) + timedelta(hours=i)).isoformat(): (float(i), 1) for i in range(45)}
+
+
+def test_one_row_a_key_on_a_stream(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    table = spark.createDataFrame([("a", at, 1.0), ("a", at, 2.0), ("b", at, 3.0), ("a", at + timedelta(hours=1), 4.0)], "series_id string, timestamp_utc timestamp, price double")
+    table.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+    q = dedupe_stream(stream, ["series_id", "timestamp_utc"]).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.series_id, r.timestamp_utc.hour) for r in spark.table("once").collect())
+    assert got == [("a", 0), ("a", 1), ("b", 0)]
 
 
 def test_registry(spark):
@@ -206,3 +220,250 @@ def test_common_start_is_the_latest_and_profile_gains_are_shares(spark):
     assert {r.common_start for r in uncertainty.common_start(cand, 3).collect()} == {None}
     days = spark.createDataFrame([("S1", 10.0), ("S2", 30.0), ("S2", 20.0), ("p3", 25.0), ("p5", 5.0)], "strategy string, net_pnl double")
     assert {tuple(r) for r in reports.profile_gains(days, {"p3": 3, "p5": 5}, "S2", "S1").collect()} == {(3, 25.0, 25.0, 15.0, 0.375), (5, 5.0, 45.0, -5.0, -0.125)}
+
+
+def by_time(df, *columns):
+    return [tuple(r[c] for c in columns) for r in df.orderBy("timestamp_utc").collect()]
+
+
+def test_rolling_statistics_stand_where_a_rows_own_lag_is_missing(spark):
+    rows = hours(spark, "2024-01-01T00:00:00", 72).where("hour(timestamp_utc) <> 5 or day(timestamp_utc) <> 2")
+    lagged = timeseries.safe_lag(timeseries.regularize(rows), "price", 24, "lag")
+    got = {r.timestamp_utc: r for r in timeseries.rolling_stats(lagged, "lag", 24, "roll").collect()}
+    gap = got[datetime(2024, 1, 3, 5)]  # its lag is the missing hour; 23 of 24 values are there
+    assert gap.lag is None and gap.roll_mean == pytest.approx(sum(i for i in range(6, 30) if i != 29) / 23)
+    assert got[datetime(2024, 1, 2, 17)].roll_mean is None  # 18 values of 24
+    assert got[datetime(2024, 1, 2, 18)].roll_mean == pytest.approx(9.0)  # 19
+
+
+def test_rolling_statistics_are_null_where_a_rows_own_lag_is_unsafe(spark):
+    rows = timeseries.safe_lag(hours(spark, "2024-10-20T22:00:00", 24 * 9), "price", 24, "lag")
+    got = {r.timestamp_utc.isoformat(): r for r in timeseries.rolling_stats(rows, "lag", 24, "roll").collect()}
+    assert got["2024-10-27T22:00:00"].roll_mean is None and got["2024-10-27T21:00:00"].roll_mean is not None
+    after = got["2024-10-27T23:00:00"]  # the unsafe hour is in no later window either
+    assert after.roll_mean == pytest.approx(sum(i for i in range(122, 146) if i != 144) / 23)
+
+
+def test_regularize_fills_gaps_in_one_pass(spark):
+    rows = hours(spark, "2024-01-01T00:00:00", 6).where("hour(timestamp_utc) not in (2, 3)").unionByName(spark.createDataFrame([("b", datetime(2024, 1, 5), 9.0)], "series_id string, timestamp_utc timestamp, price double"))
+    got = timeseries.regularize(rows)
+    assert by_time(got.where("series_id = 'a'"), "price") == [(0.0,), (1.0,), (None,), (None,), (4.0,), (5.0,)]
+    assert got.where("series_id = 'b'").count() == 1 and timeseries.regularize(rows.limit(0)).count() == 0
+    twice = timeseries.regularize(rows.unionByName(rows))
+    assert twice.count() == 2 * 4 + 2 + 2
+
+
+def test_infinite_residuals_do_not_count(spark):
+    inf = float("inf")
+    base = hours(spark, "2024-01-01T00:00:00", 24 * 5)
+    bad = base.withColumn("price", F.when(F.col("price") == 30, inf).when(F.col("price") == 31, -inf).when(F.col("price") == 32, float("nan")).otherwise(F.col("price")))
+    got = {str(r.delivery_date): (r.q10, r.q90) for r in uncertainty.day_safe_quantiles(bad, "price", 3, 1).collect()}
+    want = {str(r.delivery_date): (r.q10, r.q90) for r in uncertainty.day_safe_quantiles(base.where("price not in (30, 31, 32)"), "price", 3, 1).collect()}
+    assert got == want
+    bounds = uncertainty.with_day_safe_bounds(bad.withColumn("p", F.lit(0.0)), "p", "price", 3, 1)
+    same = uncertainty.attach_bounds(bad.withColumn("p", F.lit(0.0)), "p", uncertainty.day_safe_quantiles(bad, "price", 3, 1))
+    assert by_time(bounds, "timestamp_utc", "L", "U") == by_time(same, "timestamp_utc", "L", "U")
+    few = uncertainty.with_day_safe_bounds(bad.withColumn("p", F.lit(0.0)), "p", "price", 3, 3)
+    assert {str(r.delivery_date) for r in few.where("L is not null").collect()} == {"2024-01-04", "2024-01-05", "2024-01-06"}
+
+
+def test_dedupe_refuses_too_many_duplicates(spark):
+    rows = hours(spark, "2024-01-01T00:00:00", 100)
+    assert timeseries.dedupe(rows.unionByName(rows.limit(1)), ["timestamp_utc"], [F.col("price")]).count() == 100
+    with pytest.raises(ValueError, match="repeat"):
+        timeseries.dedupe(rows.unionByName(rows.limit(2)), ["timestamp_utc"], [F.col("price")])
+    assert timeseries.dedupe(rows.unionByName(rows), ["timestamp_utc"], [F.col("price")], None).count() == 100
+    assert timeseries.dedupe(rows.limit(0), ["timestamp_utc"], [F.col("price")]).count() == 0
+
+
+def test_both_resolutions_are_selected_by_time(spark):
+    at, cut = datetime(2024, 1, 1), F.to_timestamp(F.lit("2024-01-01 02:00:00"))
+    table = [(at + timedelta(hours=h), m, float(h)) for h in range(4) for m in (15, 60)] + [(at + timedelta(hours=2, minutes=15), 15, 9.0), (at + timedelta(minutes=15), 15, 9.0)]
+    rows = spark.createDataFrame(table, "timestamp_utc timestamp, resolution_min int, price double")
+    got = {(r.timestamp_utc.hour, r.timestamp_utc.minute, r.resolution_min) for r in documents.select_resolution(rows, cut).collect()}
+    assert got == {(0, 0, 60), (1, 0, 60), (2, 0, 15), (2, 15, 15), (3, 0, 15)}
+
+
+def results(spark, rows):
+    """``series, day of January 2024, strategy, traded, i, j, net``."""
+    table = [(s, datetime(2024, 1, d).date(), n, t, i, j, p) for s, d, n, t, i, j, p in rows]
+    return spark.createDataFrame(table, "series_id string, delivery_date date, strategy string, traded boolean, i int, j int, net_pnl double")
+
+
+def test_decomposition_has_all_categories_for_each_group(spark):
+    days = [(1, True, 1, 5, 10.0, False, None, None, 0.0), (2, True, 1, 5, -4.0, False, None, None, 0.0), (3, False, None, None, 0.0, True, 2, 6, 3.0), (4, True, 1, 5, 7.0, True, 1, 5, 7.0), (5, True, 1, 5, 7.0, True, 2, 5, 9.0), (6, False, None, None, 0.0, False, None, None, 0.0)]
+    rows = [(s, d, n, *x) for s in "ab" for d, *rest in days for n, x in (("P", rest[:4]), ("U", rest[4:]))]
+    got = reports.decompose(results(spark, rows), "P", "U", ["series_id"]).collect()
+    assert {r.series_id for r in got} == {"a", "b"}
+    for r in got:
+        assert (r.n_days, r.n_both_abstain, r.n_point_only, r.n_uncertainty_only, r.n_same_pair, r.n_different_pair) == (6, 1, 2, 1, 1, 1)
+        assert (r.profits_forgone, r.losses_avoided, r.pair_effect, r.reverse_effect, r.same_pair_difference, r.total_gap, r.reconciles) == (10.0, 4.0, 2.0, 3.0, 0.0, -1.0, True)
+    off = [("a", 1, "P", True, 1, 5, 7.0), ("a", 1, "U", True, 1, 5, 7.5)]
+    assert not reports.decompose(results(spark, off), "P", "U", []).first().reconciles
+
+
+def test_backtest_rules_catch_each_damage(spark):
+    day = datetime(2024, 1, 1).date()
+    good = ("a", day, "S1", "true", "2", "5", 24, 1.0, 9.0)
+    schema = "series_id string, delivery_date date, strategy string, traded string, i string, j string, n_hours int, net_pnl double, oracle_pnl double"
+    change = lambda **to: tuple(to.get(n, v) for n, v in zip([x.split()[0] for x in schema.split(", ")], good))
+    cases = {
+        "null_day": change(delivery_date=None), "n_hours": change(n_hours=22), "traded_no_flag": change(traded="yes!"), "not_finite": change(net_pnl=float("nan")),
+        "trade_without_pair": change(i=None), "pair_without_trade": change(traded="false", net_pnl=0.0), "pair_no_number": change(i="x"), "pair_not_whole": change(i="2.5"),
+        "order": change(i="5"), "bounds": change(j="24"), "idle_pnl": change(traded="false", i=None, j=None), "above_oracle": change(net_pnl=9.1), "s0_trades": change(strategy="S0"),
+    }
+    assert set(cases) == set(checks.BACKTEST_RULES)
+    assert checks.backtest_violations(spark.createDataFrame([good], schema)).count() == 0
+    for rule, row in cases.items():
+        assert {r.rule for r in checks.backtest_violations(spark.createDataFrame([row], schema)).collect()} == {rule}, rule
+    assert [tuple(r) for r in checks.backtest_violations(spark.createDataFrame([good] * 3, schema)).collect()] == [("duplicate_day", 2)]
+    late = {r.rule: r.violations for r in checks.pnl_violations(spark.createDataFrame([good, good, change(strategy="S0")], schema), "2024-01-01").collect()}
+    assert late == {"holdout": 3, "s0": 1, "duplicate_day": 1}
+
+
+def test_coverage_tells_missing_extra_and_bad_hours(spark):
+    whole = hours(spark, "2023-12-31T23:00:00", 48)  # the local days of January 1 and 2
+    assert checks.coverage_violations(whole, "2024-01-01", "2024-01-03").count() == 0
+    broken = whole.where("price <> 7").withColumn("price", F.when(F.col("price") == 9, float("nan")).otherwise(F.col("price")))
+    broken = broken.unionByName(whole.where("price = 3")).unionByName(hours(spark, "2024-01-03T05:00:00", 2))
+    got = {r.rule: r.violations for r in checks.coverage_violations(broken, "2024-01-01", "2024-01-03").collect()}
+    assert got == {"missing_hours": 1, "bad_targets": 1, "duplicate_hours": 1, "extra_hours": 2, "extra_days": 1}
+    assert {r.rule for r in checks.coverage_violations(whole, "2024-01-01", "2024-01-04").collect()} == {"missing_hours", "missing_days"}
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["x", "y", None]), rng.choice([rng.uniform(-5, 5), float(rng.randint(0, 3)), None])) for _ in range(500)] + [("z", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    for p in (0.0, 0.05, 0.5, 0.77, 1.0):
+        got = {r.g: r.q for r in quantiles.quantiles(df, ["g"], "v", {"q": p}).collect()}
+        want = {r.g: r.q for r in df.where("v is not null").groupBy("g").agg(F.percentile("v", F.lit(p)).alias("q")).collect()}
+        assert got == pytest.approx(want)
+    assert quantiles.quantiles(df, [], "v", {"q": 0.5}).first().q == pytest.approx(df.agg(F.median("v")).first()[0])
+    assert quantiles.quantiles(df.limit(0), ["g"], "v", {"q": 0.5}).count() == 0 and quantiles.quantiles(df.limit(0), [], "v", {"q": 0.5}).first().q is None
+    days = spark.createDataFrame([(datetime(2024, 1, d).date(),) for d in (9, 2, 30, 4)], "d date")
+    assert {(r.d.day, r.k) for r in quantiles.numbered(days, "d", "k").collect()} == {(2, 0), (4, 1), (9, 2), (30, 3)}
+
+
+def test_correlation_of_average_ranks(spark):
+    x, y = [1.0, 2.0, 2.0, 4.0, 5.0], [2.0, 1.0, 1.0, 5.0, 4.0]
+    r = metrics.correlations(spark.createDataFrame(list(zip(x, y)), "x double, y double"), [], "x", "y").first()
+    rx, ry = [1, 2.5, 2.5, 4, 5], [3, 1.5, 1.5, 5, 4]
+    n = lambda a: [v - sum(a) / 5 for v in a]
+    want = sum(p * q for p, q in zip(n(rx), n(ry))) / (sum(p * p for p in n(rx)) * sum(q * q for q in n(ry))) ** 0.5
+    assert r.spearman == pytest.approx(want) and r.n == 5
+
+
+def test_elastic_net_equals_coordinate_descent(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 3)) * [1, 5, 2] + [0, 3, -1]
+    y = x @ [3.0, -0.4, 0.0] + rng.standard_normal(200) * 2 + 10
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "a double, b double, c double, y double")
+    z = (x - x.mean(0)) / x.std(0)
+    for alpha, ratio in ((0.5, 0.5), (1.0, 1.0), (2.0, 0.0), (0.01, 0.1)):
+        w = np.zeros(3)
+        for _ in range(2000):  # minimizes |y - zw|^2 / 2n + alpha * (ratio * |w|_1 + (1 - ratio) / 2 * |w|^2)
+            for j in range(3):
+                c = z[:, j] @ (y - y.mean() - z @ w + z[:, j] * w[j]) / 200
+                w[j] = np.sign(c) * max(abs(c) - alpha * ratio, 0) / (1 + alpha * (1 - ratio))
+        made = forecast.elastic_net(df, ["a", "b", "c"], "y", alpha, ratio).transform(df).select("a", "prediction").collect()
+        want = dict(zip(x[:, 0], y.mean() + z @ w))
+        assert max(abs(r.prediction - want[r.a]) for r in made) < 1e-3
+
+
+def test_search_takes_the_cell_of_the_lowest_error(spark):
+    table = [("a", datetime(2024, 1, 1) + timedelta(hours=i), float(i % 24), float(i % 7), 3.0 * (i % 24) + (i % 5)) for i in range(480)]
+    df = spark.createDataFrame(table, "series_id string, timestamp_utc timestamp, f double, g double, y double")
+    grid = forecast.cells(alpha=[50.0, 0.01], l1_ratio=[0.5])
+    model, best, scores = forecast.search(df, ["f", "g"], "y", forecast.elastic_net, grid, 3, "days")
+    assert best == {"alpha": 0.01, "l1_ratio": 0.5} and scores.count() == 6
+    parts = {(r.part, r.n) for r in forecast.with_parts(df, 3, "days").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    # 21 local days, cut into 4: 5 test days in each part; the first and the last day are short
+    assert {p for p, _ in parts} == {-1, 0, 1, 2} and dict(parts)[0] == 120
+    rows = {(r.part, r.n) for r in forecast.with_parts(df, 3, "rows").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert rows == {(p, 120) for p in (-1, 0, 1, 2)}
+    trees, cell, _ = forecast.search(df, ["f", "g"], "y", forecast.boosted_trees, forecast.cells(maxDepth=[1, 3], maxIter=[5]), 2, "days")
+    assert cell["maxDepth"] == 3
+    naive = df.withColumns({"fold": F.when(F.col("timestamp_utc") >= datetime(2024, 1, 11), 2), "p": F.lit(30.0)})
+    fits = {"trees": lambda t: forecast.boosted_trees(t, ["f", "g"], "y", maxDepth=3, maxIter=5), "flat": lambda t: forecast.Naive("p")}
+    made = {r.model: r for r in metrics.point_metrics(forecast.evaluate_folds(naive, ["f", "g"], "y", fits, [2], ["p"]), ["model"], "y").collect()}
+    assert made["trees"].mae < made["flat"].mae and made["trees"].n == made["flat"].n == 240
+    with pytest.raises(ValueError, match="fewer"):
+        forecast.search(df.limit(50), ["f", "g"], "y", forecast.elastic_net, grid)
+    with pytest.raises(ValueError, match="twice"):
+        forecast.search(df.unionByName(df), ["f", "g"], "y", forecast.elastic_net, grid)
+    assert [len(forecast.cells(**p)) for p in forecast.LINEAR_PROFILES.values()] == [60, 95]
+
+
+def test_folds_that_overlap_cannot_be_stacked(spark):
+    rows = hours(spark, "2024-01-01T00:00:00", 10)
+    assert splits.stack_folds({"1": rows.where("price < 5"), "2": rows.where("price >= 5")}).count() == 10
+    with pytest.raises(ValueError, match="overlap"):
+        splits.stack_folds({"1": rows.where("price < 6"), "2": rows.where("price >= 5")})
+
+
+def test_pivot_refuses_a_type_twice(spark):
+    at = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(at, "a", 1.0), (at, "b", 2.0), (at + timedelta(hours=1), "b", 3.0)], "timestamp_utc timestamp, type string, value double")
+    got = timeseries.pivot_types(rows, ["a", "b", "c"])
+    assert by_time(got, "a", "b", "c") == [(1.0, 2.0, None), (None, 3.0, None)]
+    with pytest.raises(ValueError):
+        timeseries.pivot_types(rows.unionByName(rows.limit(1)), ["a", "b"])
+
+
+def test_windows_are_scored_from_their_common_start(spark):
+    rows = hours(spark, "2024-01-01T00:00:00", 24 * 20, lambda i: float(i * 7 % 13)).withColumns({"p": F.lit(5.0), "r": F.col("price") - 5})
+    cand = uncertainty.window_candidates(rows, "p", "r", [3, 8])
+    first = {r.window_days: r.first_valid for r in uncertainty.common_start(cand, 2).collect()}
+    assert first[3] == datetime(2024, 1, 1, 23) and first[8] == datetime(2024, 1, 2, 23)  # 1 and 2 days are needed
+    found = {r.window_days: (r.n, r.n_warmup) for r in uncertainty.window_scores(cand).collect()}
+    assert found == {3: (480 - 23, 23), 8: (480 - 47, 47)}
+    common = uncertainty.window_scores(uncertainty.from_common_start(cand, 2))
+    assert {r.n for r in common.collect()} == {480 - 47} and uncertainty.select_window(common).first().equal_n
+    assert not uncertainty.select_window(uncertainty.window_scores(cand)).first().equal_n
+    assert uncertainty.from_common_start(cand, 3).count() == 0
+
+
+def test_sequences_are_compared_and_judged(spark):
+    at = datetime(2024, 1, 1)
+    one = spark.createDataFrame([(at, 1.0), (at + timedelta(hours=1), 2.0), (at + timedelta(hours=2), 3.0)], "timestamp_utc timestamp, price double")
+    two = spark.createDataFrame([(at, 1.005), (at + timedelta(hours=1), 5.0), (at + timedelta(hours=3), 3.0)], "timestamp_utc timestamp, price double")
+    got = documents.compare_sequences(one, two)
+    assert by_time(got, "coverage", "disagrees") == [("both", False), ("both", True), ("seq1_only", False), ("seq2_only", False)]
+    assert tuple(documents.sequence_coverage(got).first()) == (2, 1, 1, 1)
+    with pytest.raises(ValueError):
+        documents.compare_sequences(one.unionByName(one), two)
+    told = lambda *n: documents.reference_verdict(spark.createDataFrame([(m,) for m, k in zip(("seq1", "seq2", "neither", "no_data"), n) for _ in range(k)], "match string")).first().verdict
+    assert [told(96, 0, 4, 50), told(95, 0, 5, 0), told(0, 97, 3, 0), told(0, 0, 0, 9), told(50, 50, 0, 0)] == ["seq1", "mixed", "seq2", "nothing", "mixed"]
+
+
+def test_sequence_fields_differ_or_are_ambiguous(spark):
+    span = "<timeInterval><start>2024-01-01T00:00Z</start><end>{}</end></timeInterval>"
+    series = lambda seq, mrid, res="PT15M", end="2024-01-02T00:00Z": f"<TimeSeries><mRID>{mrid}</mRID><curveType>A03</curveType><classificationSequence_AttributeInstanceComponent.position>{seq}</classificationSequence_AttributeInstanceComponent.position><Period>{span.format(end)}<resolution>{res}</resolution></Period></TimeSeries>"
+    cases = {1: series(1, "a") + series(2, "b"), 2: series(1, "a") + series(2, "a"), 3: series(1, "a") + series(2, "b") + series(2, "c"), 4: series(1, "a") + series(2, "b", "PT60M"), 5: series(1, "a") + series(2, "b", end="2024-01-01T12:00Z") + series(3, "z")}
+    table = spark.createDataFrame([(n, f'<Doc xmlns="urn:y">{x}</Doc>') for n, x in cases.items()], "n int, xml string")
+    day = (F.to_timestamp(F.lit("2024-01-01 12:00:00")), F.to_timestamp(F.lit("2024-01-02 12:00:00")))
+    got = {(r.n, r.path, r.text, r.n_a, r.n_b) for r in documents.sequence_diff(documents.paths(table, ["n"], day=day), ["n"]).collect()}
+    assert got == {(1, "mRID", "a", 1, 0), (1, "mRID", "b", 0, 1), (3, None, None, 1, 2)}
+
+
+def test_display_and_day_flags(spark):
+    from tidemark.functions.columns import display
+
+    r = spark.createDataFrame([(1234.5, 0.1234, 1200, None, float("nan"))], "a double, b double, c long, d double, e double").select(
+        display(F.col("a"), "eur").alias("a"), display(F.col("b"), "percent").alias("b"), display(F.col("c"), "count").alias("c"), display(F.col("d"), "eur").alias("d"), display(F.col("e"), "percent").alias("e")).first()
+    assert tuple(r) == ("EUR 1,234.50", "12.3%", "1,200", "N/A", "N/A")
+    rows = hours(spark, "2024-01-01T00:00:00", 48, lambda i: {3: -1.0, 30: 201.0}.get(i, 100.0))
+    flags = {str(f.delivery_date): (f.any_negative, f.any_above_200, f.any_above_500) for f in metrics.day_flags(rows).collect()}
+    assert flags["2024-01-01"] == (True, False, False) and flags["2024-01-02"] == (False, True, False)
+
+
+def test_backtest_reads_its_input_once(spark):
+    from tidemark.plans import adapters
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(adapters.a7(spark, "/root/testdata/sf0.001")).count("Relation [") == 1
+    rows = adapters.a5(spark, "/root/testdata/sf0.001")
+    assert plan(uncertainty.window_candidates(rows, "pred_full", "residual", [5, 7, 10])).count("Relation [") == 1

@@ -74,3 +74,17 @@ def draw(*cols: Column) -> Column:
     """A whole number from 0 to 2 ** 60 - 1 that depends on the columns' texts alone (from their MD5), so that a lost
     task draws the same again and other engines can repeat it."""
     return F.conv(F.substring(F.md5(F.concat_ws("/", *[c.cast("string") for c in cols])), 1, 15), 16, 10).cast("long")
+
+
+def display(x: Column, kind: str) -> Column:
+    """A number as text of a report: "eur" EUR 1,234.50, "percent" (of 1) 12.3%, "count" 1,234; N/A for null and NaN."""
+    text = {
+        "eur": lambda: F.concat(F.lit("EUR "), F.format_number(x, 2)), "percent": lambda: F.concat(F.format_number(x * 100, 1), F.lit("%")), "count": lambda: F.format_number(x, 0),
+    }[kind]()
+    return F.when(x.isNotNull() & ~F.isnan(x.cast("double")), text).otherwise("N/A")
+
+
+def buckets(x: Column) -> dict[str, Column]:
+    """The stress predicates of a price; null is none of them."""
+    tests = {"negative": x < 0, "above_200": x > 200, "above_500": x > 500}
+    return {k: F.coalesce(t, F.lit(False)) for k, t in tests.items()}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import ZONE, draw
+
 
 def raise_on(violations: DataFrame) -> None:
     found = violations.limit(20).collect()
@@ -18,20 +20,83 @@ def conditions(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     return df.agg(*sums).unpivot([], list(rules), "rule", "violations").where("violations > 0")
 
 
+#: Rules of a table of per-day results; a column that is kept as text is coerced first, so that what is no
+#: number or flag shows as such.
+_N = {c: f"try_cast({c} as double)" for c in ("n_hours", "i", "j", "net_pnl")}
+_FLAG = "try_cast(trim(lower(cast(traded as string))) as boolean)"
 BACKTEST_RULES = {
     "null_day": "delivery_date is null",
-    "n_hours": "n_hours not in (23, 24, 25)",
-    "not_finite": "isnan(net_pnl) or abs(net_pnl) = double('infinity')",
-    "trade_without_pair": "traded and (i is null or j is null)",
-    "pair_without_trade": "not traded and (i is not null or j is not null)",
-    "order": "i >= j",
-    "bounds": "i < 0 or j >= n_hours",
-    "idle_pnl": "not traded and (net_pnl <> 0 or gross_pnl <> 0)",
-    "above_oracle": "net_pnl > oracle_pnl + 1e-6",
-    "s0_trades": "strategy = 'S0' and (traded or net_pnl <> 0)",
+    "n_hours": f"coalesce({_N['n_hours']} not in (23, 24, 25), true)",
+    "traded_no_flag": f"lower(trim(cast(traded as string))) not in ('true', 'false') or traded is null",
+    "not_finite": f"coalesce(isnan({_N['net_pnl']}) or abs({_N['net_pnl']}) = double('infinity'), true)",
+    "trade_without_pair": f"{_FLAG} and (i is null or j is null)",
+    "pair_without_trade": f"not {_FLAG} and (i is not null or j is not null)",
+    "pair_no_number": f"{_FLAG} and (i is not null and {_N['i']} is null or j is not null and {_N['j']} is null)",
+    "pair_not_whole": f"{_FLAG} and ({_N['i']} % 1 <> 0 or {_N['j']} % 1 <> 0)",
+    "order": f"{_FLAG} and {_N['i']} >= {_N['j']}",
+    "bounds": f"{_FLAG} and ({_N['i']} < 0 or {_N['j']} >= {_N['n_hours']})",
+    "idle_pnl": f"not {_FLAG} and abs({_N['net_pnl']}) > 1e-9",
+    "above_oracle": f"abs({_N['net_pnl']}) < double('infinity') and {_N['net_pnl']} > oracle_pnl + 1e-6",
+    "s0_trades": f"strategy = 'S0' and ({_FLAG} or {_N['net_pnl']} <> 0)",
 }
 
 
+def backtest_violations(days: DataFrame, keys: tuple[str, ...] = ("series_id", "delivery_date", "strategy")) -> DataFrame:
+    """``rule, violations`` of BACKTEST_RULES and ``duplicate_day``: rows beyond the first of a key. No rows, no
+    violations."""
+    return _with_duplicates(conditions(days, BACKTEST_RULES), days, list(keys))
+
+
+def pnl_violations(days: DataFrame, boundary: str, keys: tuple[str, ...] = ("series_id", "delivery_date", "strategy")) -> DataFrame:
+    """``rule, violations`` of what a risk table must not read: missing or repeated days, days at or after
+    ``boundary``, results that are no finite number, and a strategy S0 that earns."""
+    rules = {"null_day": BACKTEST_RULES["null_day"], "holdout": f"delivery_date >= date'{boundary}'", "not_finite": BACKTEST_RULES["not_finite"], "s0": f"strategy = 'S0' and {_N['net_pnl']} <> 0"}
+    return _with_duplicates(conditions(days, rules), days, list(keys))
+
+
+def _with_duplicates(found: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    twice = duplicate_keys(rows, keys).agg(F.sum(F.col("n") - 1).alias("violations")).where("violations > 0")
+    return found.unionByName(twice.select(F.lit("duplicate_day").alias("rule"), "violations"))
+
+
+def coverage_violations(df: DataFrame, start: str, end: str, target: str = "price", zone: str = ZONE) -> DataFrame:
+    """``series_id, rule, violations`` of a table that must hold each hour of the local days ``[start, end)`` once
+    with a finite target: duplicate, missing and extra hours, bad targets, and local days that are missing or
+    extra. Series without a fault have no rows."""
+    lo, hi = (F.to_utc_timestamp(F.lit(d).cast("timestamp"), zone) for d in (start, end))
+    hours = df.select("series_id").distinct().select("series_id", F.explode(F.sequence(lo, hi - F.expr("interval 1 hour"), F.expr("interval 1 hour"))).alias("timestamp_utc"), F.lit(True).alias("__wanted"))
+    seen = df.groupBy("series_id", "timestamp_utc").agg(F.count("*").alias("__n"), F.sum(F.when(F.isnan(target) | (F.abs(target) == float("inf")) | F.col(target).isNull(), 1).otherwise(0)).alias("__bad"))
+    both = hours.join(seen, ["series_id", "timestamp_utc"], "full").withColumn("__day", F.to_date(F.from_utc_timestamp("timestamp_utc", zone)))
+    wanted, found = F.col("__wanted").isNotNull(), F.col("__n").isNotNull()
+    # a row a day first, so that days are counted once
+    days = both.groupBy("series_id", "__day").agg(
+        F.sum(F.coalesce(F.col("__n") - 1, F.lit(0))).alias("duplicate_hours"), F.sum((wanted & ~found).cast("long")).alias("missing_hours"), F.sum((~wanted & found).cast("long")).alias("extra_hours"),
+        F.sum(F.coalesce("__bad", F.lit(0))).alias("bad_targets"), F.bool_or(wanted).alias("__w"), F.bool_or(found).alias("__f"),
+    )
+    rules = ["duplicate_hours", "missing_hours", "extra_hours", "bad_targets", "missing_days", "extra_days"]
+    told = days.withColumns({"missing_days": (F.col("__w") & ~F.col("__f")).cast("long"), "extra_days": (~F.col("__w") & F.col("__f")).cast("long")})
+    return told.groupBy("series_id").agg(*[F.sum(r).alias(r) for r in rules]).unpivot(["series_id"], rules, "rule", "violations").where("violations > 0")
+
+
+def artifact_differences(hours: DataFrame, days: DataFrame, grid: DataFrame, tol: float = 1e-6) -> DataFrame:
+    """``series_id, rule, n``: days that the hourly and the per-day table don't share, or of which they have unlike
+    numbers of hours, and strategies whose total over days differs from that of the grid's same cell by more than
+    ``tol``. ``grid``: ``series_id, strategy, net_pnl`` totals of one cell."""
+    a = hours.groupBy("series_id", "delivery_date").agg(F.count("*").alias("__a"))
+    b = days.select("series_id", "delivery_date", F.col("n_hours").alias("__b")).distinct()
+    both = a.join(b, ["series_id", "delivery_date"], "full")
+    one_sided = both.where("__a is null or __b is null").groupBy("series_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("days"))
+    unlike = both.where("__a <> __b").groupBy("series_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("n_hours"))
+    totals = days.groupBy("series_id", "strategy").agg(F.sum("net_pnl").alias("__days")).join(grid.select("series_id", "strategy", F.col("net_pnl").alias("__grid")), ["series_id", "strategy"], "full")
+    off = totals.where((F.abs(F.col("__days") - F.col("__grid")) > tol) | F.col("__days").isNull() | F.col("__grid").isNull()).groupBy("series_id").agg(F.count("*").alias("n")).withColumn("rule", F.lit("totals"))
+    return one_sided.unionByName(unlike).unionByName(off).select("series_id", "rule", "n")
+
+
+def holdout_rows(df: DataFrame, boundary: Column) -> DataFrame:
+    """``series_id, n, first``: rows at or after ``boundary``, where there must be none."""
+    return df.where(F.col("timestamp_utc") >= boundary).groupBy("series_id").agg(F.count("*").alias("n"), F.min("timestamp_utc").alias("first"))
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1").withColumnRenamed("count", "n")
 
@@ -60,9 +125,10 @@ def lineage(manifests: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Count and an order-insensitive sum of row hashes."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("fingerprint"))
+    """``n, fingerprint``: the count of rows and a sum of their hashes, whatever their order. A row's hash is
+    draw() of its columns' texts in the order of their names; null stands for the text "\\N"."""
+    h = draw(*[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)]).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
 
 
 def availability(df: DataFrame, tiers: dict[str, int], needs: dict[str, list[str]]) -> DataFrame:

@@ -82,19 +82,97 @@ def curve_summary(points: DataFrame, periods: DataFrame, year: Column) -> DataFr
     return out.withColumn("pct_synthesized", F.col("n_synthesized") / F.col("n_points") * 100)
 
 
+def curve_types_before(periods: DataFrame, cutover: Column, minutes: int = 60) -> DataFrame:
+    """The distinct curve types of periods of ``minutes`` that start before ``cutover``, sorted."""
+    return geometry(periods).where((F.col("start") < cutover) & (F.col("minutes") == minutes)).select("curve_type").distinct().orderBy("curve_type")
+
+
 def series_shape(points: DataFrame, start: Column, end: Column, first: int = 4) -> DataFrame:
-    """Series that overlap a window: point counts, resolutions and first points."""
+    """Series that overlap a window: curve types and sequences, point counts, resolutions and first points."""
     rows = points.where((F.col("timestamp_utc") >= start) & (F.col("timestamp_utc") < end))
     ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("ts_uid").orderBy("timestamp_utc")))
     head = F.sort_array(F.collect_list(F.when(F.col("rn") <= first, F.struct("timestamp_utc", "value"))))
-    return ranked.groupBy("ts_uid").agg(F.count("*").alias("n_points"), F.sort_array(F.collect_set("minutes")).alias("resolutions"), head.alias("first_points"))
+    told = lambda c: F.sort_array(F.collect_set(c))  # noqa: E731  a few values a series
+    return ranked.groupBy("ts_uid").agg(F.count("*").alias("n_points"), told("curve_type").alias("curve_types"), told("sequence").alias("sequences"), told("minutes").alias("resolutions"), head.alias("first_points"))
+
+
+def paths(documents: DataFrame, keys: list[str], column: str = "xml", day: tuple[Column, Column] | None = None, resolution: str = "PT15M") -> DataFrame:
+    """``*keys, ts_index, sequence, path, text``: a row for each field of each document's series but its points,
+    repeats kept. With ``day (start, end)`` only series of which a period of ``resolution`` overlaps it; periods
+    without both boundaries don't. Series of a document whose sequence is not 1 or 2 are left out."""
+    sequence = "classificationSequence_AttributeInstanceComponent.position"
+    parsed = documents.select(*keys, F.from_xml(column, DOCUMENT_SCHEMA).alias("d")).select(*keys, F.posexplode("d.TimeSeries").alias("ts_index", "t"))
+    rows = parsed.withColumn("sequence", F.col("t")[sequence]).where("sequence in (1, 2)")
+    if day is not None:
+        lo, hi = day
+        at = lambda c: F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mmX")), F.try_to_timestamp(c))
+        fits = lambda p: F.coalesce((p["resolution"] == resolution) & (at(p["timeInterval"]["start"]) < hi) & (at(p["timeInterval"]["end"]) > lo), F.lit(False))
+        rows = rows.where(F.exists("t.Period", fits))
+    fields = [F.struct(F.lit(n).alias("path"), F.col("t")[n].cast("string").alias("text")) for n in ("mRID", "curveType", sequence)]
+    return rows.select(*keys, "ts_index", "sequence", F.explode(F.array(*fields)).alias("f")).select(*keys, "ts_index", "sequence", "f.path", "f.text").where("text is not null")
+
+
+def sequence_diff(fields: DataFrame, keys: list[str]) -> DataFrame:
+    """``*keys, path, text, n_a, n_b`` of paths() whose counts differ between sequence 1 (a) and 2 (b), but for the
+    sequence itself. Documents of which a sequence has several series are ambiguous: one row with path null and
+    their numbers of series, and no difference is told. Documents with one sequence alone have no rows."""
+    by = F.sum(F.when(F.col("sequence") == 1, 1).otherwise(0)), F.sum(F.when(F.col("sequence") == 2, 1).otherwise(0))
+    series = fields.select(*keys, "ts_index", "sequence").distinct().groupBy(*keys).agg(by[0].alias("n_a"), by[1].alias("n_b"))
+    none = F.lit(None).cast("string")
+    unclear = series.where("n_a > 1 or n_b > 1").select(*keys, none.alias("path"), none.alias("text"), "n_a", "n_b")
+    clear = fields.join(series.where("n_a = 1 and n_b = 1").select(*keys), keys, "left_semi").where("path not like 'classificationSequence%'")
+    return clear.groupBy(*keys, "path", "text").agg(by[0].alias("n_a"), by[1].alias("n_b")).where("n_a <> n_b").unionByName(unclear)
 
 
 def attribute_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """``path, text`` rows of two documents as multisets: what differs, with both counts."""
-    x, y = (d.groupBy("path", "text").count().withColumnRenamed("count", n) for d, n in ((a, "n_a"), (b, "n_b")))
-    both = x.join(y, [x["path"].eqNullSafe(y["path"]), x["text"].eqNullSafe(y["text"])], "full")
-    return both.select(F.coalesce(x["path"], y["path"]).alias("path"), F.coalesce(x["text"], y["text"]).alias("text"), F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b")).where("n_a <> n_b")
+    both = a.select("path", "text", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select("path", "text", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return both.groupBy("path", "text").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")).where("n_a <> n_b")
+
+
+def selection_effect(rows: DataFrame, cutover: Column) -> DataFrame:
+    """``stage, post, n_keys, n_rows``: times with several rows before and after select_sequence(), on either side
+    of ``cutover``. Both stages are counted in one grouping."""
+    kept = F.coalesce((F.col("sequence") == 1), F.lit(True))
+    n = rows.groupBy("timestamp_utc").agg(F.count("*").alias("before"), F.sum(kept.cast("long")).alias("after"))
+    long = n.unpivot(["timestamp_utc"], ["before", "after"], "stage", "n").where("n > 1")
+    return long.groupBy("stage", (F.col("timestamp_utc") >= cutover).alias("post")).agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_rows"))
+
+
+#: Times on which two sequences differ by more; shares of classified times that decide for a sequence.
+PRICE_TOLERANCE, CLEAR, RARE = 0.01, 0.95, 0.05
+
+
+def compare_sequences(first: DataFrame, second: DataFrame, value: str = "price", tol: float = PRICE_TOLERANCE) -> DataFrame:
+    """``timestamp_utc, price_seq1, price_seq2, diff, coverage, disagrees`` for each time of either: coverage is
+    both, seq1_only or seq2_only. A time that a sequence has twice is a ValueError."""
+    both = first.select("timestamp_utc", F.lit(1).alias("s"), F.col(value).alias("v")).unionByName(second.select("timestamp_utc", F.lit(2).alias("s"), F.col(value).alias("v")))
+    made = both.groupBy("timestamp_utc").agg(
+        *[F.max(F.when(F.col("s") == i, F.col("v"))).alias(f"price_seq{i}") for i in (1, 2)], *[F.count(F.when(F.col("s") == i, 1)).alias(f"__n{i}") for i in (1, 2)]
+    )
+    if made.where("__n1 > 1 or __n2 > 1").take(1):
+        raise ValueError("a sequence has a time twice")
+    diff = F.abs(F.col("price_seq1") - F.col("price_seq2"))
+    coverage = F.when(F.col("price_seq2").isNull(), "seq1_only").when(F.col("price_seq1").isNull(), "seq2_only").otherwise("both")
+    return made.select("timestamp_utc", "price_seq1", "price_seq2", diff.alias("diff"), coverage.alias("coverage"), F.coalesce(diff > tol, F.lit(False)).alias("disagrees"))
+
+
+def sequence_coverage(compared: DataFrame) -> DataFrame:
+    """``n_both, n_seq1_only, n_seq2_only, n_disagree`` of compare_sequences()."""
+    count = lambda c: F.sum((F.col("coverage") == c).cast("long"))
+    return compared.agg(count("both").alias("n_both"), count("seq1_only").alias("n_seq1_only"), count("seq2_only").alias("n_seq2_only"), F.sum(F.col("disagrees").cast("long")).alias("n_disagree"))
+
+
+def reference_verdict(matches: DataFrame, column: str = "match") -> DataFrame:
+    """``n_seq1, n_seq2, n_neither, n_both, n_no_data, verdict`` of times told by columns.classify_match(): a
+    sequence is confirmed if it alone matches more than 95 % and the other alone less than 5 % of the times that
+    match the first, the second or neither; "nothing" without any of these, else "mixed"."""
+    names = ("seq1", "seq2", "neither", "both", "no_data")
+    counted = matches.agg(*[F.coalesce(F.sum((F.col(column) == n).cast("long")), F.lit(0)).alias(f"n_{n}") for n in names])
+    all_ = F.col("n_seq1") + F.col("n_seq2") + F.col("n_neither")
+    clear = lambda a, b: (F.col(a) > CLEAR * all_) & (F.col(b) < RARE * all_)
+    verdict = F.when(all_ == 0, "nothing").when(clear("n_seq1", "n_seq2"), "seq1").when(clear("n_seq2", "n_seq1"), "seq2").otherwise("mixed")
+    return counted.withColumn("verdict", verdict)
 
 
 def select_sequence(df: DataFrame) -> DataFrame:
@@ -111,3 +189,15 @@ def duplicate_profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keys with several rows: rows, distinct values, range, and whether the values agree."""
     g = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(value).alias("n_values"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     return g.where("n > 1").withColumn("identical", F.col("n_values") <= 1)
+
+
+def duplicate_split(profile: DataFrame) -> DataFrame:
+    """``grouping_key, level, n_keys, n_rows, n_identical, n_different`` of duplicate_profile(): by year, by minute of
+    the hour, and overall (level null)."""
+    levels = F.array(
+        F.struct(F.lit("overall").alias("grouping_key"), F.lit(None).cast("int").alias("level")),
+        *[F.struct(F.lit(k).alias("grouping_key"), f("timestamp_utc").alias("level")) for k, f in (("year", F.year), ("minute", F.minute))],
+    )
+    long = profile.select("n", "identical", F.explode(levels).alias("k"))
+    same = F.col("identical").cast("long")
+    return long.groupBy("k.grouping_key", "k.level").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_rows"), F.sum(same).alias("n_identical"), F.sum(1 - same).alias("n_different"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import product
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -10,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import local_date, local_time
+from tidemark.sources.tables import saved
 
 
 def weekday_naive(df: DataFrame, lag_24: str, lag_168: str, name: str = "weekday_pred") -> DataFrame:
@@ -35,21 +41,96 @@ def _fit(df: DataFrame, features: list[str], estimator) -> object:
 
 def elastic_net(df: DataFrame, features: list[str], label: str, alpha: float, l1_ratio: float):
     """A scaled linear model; ``alpha`` and ``l1_ratio`` as in coordinate-descent libraries that penalize
-    the unscaled label, converted to Spark's parameters by the label's deviation."""
-    sd = df.dropna(subset=features + [label]).agg(F.stddev_samp(label)).first()[0] or 1.0
+    the unscaled label, converted to Spark's parameters by the label's deviation over the fitted rows. The
+    scaler is fitted with the model, so that a fold's scale knows nothing of later rows."""
+    rows = df.dropna(subset=features + [label])
+    sd = rows.agg(F.stddev_pop(label)).first()[0] or 1.0
     a = alpha * l1_ratio + alpha * (1 - l1_ratio) * sd
-    return _fit(df.where(F.col(label).isNotNull()), features, LinearRegression(featuresCol="x", labelCol=label, regParam=a, elasticNetParam=alpha * l1_ratio / a if a else 0.0))
+    return _fit(rows, features, LinearRegression(featuresCol="x", labelCol=label, regParam=a, elasticNetParam=alpha * l1_ratio / a if a else 0.0))
 
 
 def boosted_trees(df: DataFrame, features: list[str], label: str, **grid):
-    return _fit(df.where(F.col(label).isNotNull()), features, GBTRegressor(featuresCol="x", labelCol=label, lossType="absolute", seed=7, **grid))
-
-
-def search(df: DataFrame, folds: list[tuple[DataFrame, DataFrame]], fit, grid: list[dict], label: str) -> dict:
-    """The grid cell with the lowest mean absolute error over folds; each fit is a distributed job."""
+    """Boosted trees on absolute errors; ``grid``: parameters of Spark's GBTRegressor."""
+    return _fit(df.dropna(subset=features + [label]), features, GBTRegressor(featuresCol="x", labelCol=label, lossType="absolute", seed=7, **grid))
+
+
+class Naive:
+    """A column as a model's prediction, so that naive rules are evaluated beside fitted models."""
+
+    def __init__(self, column: str):
+        self.column = column
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", F.col(self.column))
+
+
+def cells(**values) -> list[dict]:
+    """All combinations of the values of each parameter, the last one varying fastest."""
+    return [dict(zip(values, c)) for c in product(*values.values())]
+
+
+#: The two search profiles of the linear model (15 alphas from 0.001 to 100 by equal ratios, the
+#: second with four smaller ones) and the parameters of the trees' search (36 cells).
+_ALPHAS = [10 ** (-3 + 5 * i / 14) for i in range(15)]
+LINEAR_PROFILES = {
+    "v1": {"alpha": _ALPHAS, "l1_ratio": [0.1, 0.5, 0.9, 1.0]},
+    "v2": {"alpha": [1e-5, 3e-5, 1e-4, 3e-4, *_ALPHAS], "l1_ratio": [0.01, 0.1, 0.5, 0.9, 1.0]},
+}
+LEAST_ROWS = 100
+
+
+def with_parts(df: DataFrame, k: int, unit: str = "rows") -> DataFrame:
+    """``df`` with ``part``: the test part (0 to k - 1) of an expanding cross-validation that a row falls in, -1
+    before the first. Each series' rows in time order, or its distinct local days (``unit`` "days"), are cut as
+    splits.row_cv() and splits.day_aligned_cv() cut them; fold i trains on parts below i."""
+    if unit not in ("rows", "days"):
+        raise ValueError("unit is rows or days")
+    w = Window.partitionBy("series_id")
+    if unit == "rows":
+        ranked = df.withColumns({"__r": F.row_number().over(w.orderBy("timestamp_utc")) - 1, "__n": F.count("*").over(w)})
+    else:
+        ranked = df.withColumn("__day", local_date(F.col("timestamp_utc"))).withColumn("__r", F.dense_rank().over(w.orderBy("__day")) - 1).withColumn("__n", F.max("__r").over(w) + 1).drop("__day")
+    test = F.floor(F.col("__n") / (k + 1))
+    start = F.col("__n") - k * test
+    return ranked.withColumn("part", F.when((F.col("__r") < start) | (test == 0), -1).otherwise(F.floor((F.col("__r") - start) / test)).cast("int")).drop("__r", "__n")
+
+
+def search(df: DataFrame, features: list[str], label: str, fit: Callable, grid: list[dict], k: int = 4, unit: str = "rows", at_once: int = 4) -> tuple[object, dict, DataFrame]:
+    """The grid's cell with the lowest mean over folds of the mean absolute error, refitted on all rows: the model,
+    the cell, and a table ``cell, fold, mae, parameters``. Rows that lack a feature or the label are left out;
+    a time that a series has twice, or fewer than 100 rows, is a ValueError. Of equal cells the first wins. Fits
+    are Spark jobs, ``at_once`` of them at a time; what comes to the driver is a number for each."""
+    rows = saved(with_parts(df.dropna(subset=[*features, label]).select("series_id", "timestamp_utc", *features, label), k, unit))
+    if rows.count() < LEAST_ROWS:
+        raise ValueError(f"fewer than {LEAST_ROWS} complete rows")
+    if rows.groupBy("series_id", "timestamp_utc").count().where("count > 1").take(1):
+        raise ValueError("a series has a time twice: folds in row order need one row a time")
     judge = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="mae")
-    scores = [(sum(judge.evaluate(fit(train, **g).transform(test)) for train, test in folds) / len(folds), n) for n, g in enumerate(grid)]
-    return grid[min(scores)[1]]
+
+    def score(task: tuple[int, int]) -> float:
+        cell, fold = task
+        return judge.evaluate(fit(rows.where(F.col("part") < fold), features, label, **grid[cell]).transform(rows.where(F.col("part") == fold)))
+
+    tasks = [(c, i) for c in range(len(grid)) for i in range(k)]
+    with ThreadPoolExecutor(at_once) as pool:
+        scores = list(pool.map(inheritable_thread_target(df.sparkSession)(score), tasks))
+    means = [sum(scores[c * k : c * k + k]) / k for c in range(len(grid))]
+    best = min(range(len(grid)), key=lambda c: (means[c], c))
+    table = df.sparkSession.createDataFrame([(c, i, s, str(grid[c])) for (c, i), s in zip(tasks, scores)], "cell int, fold int, mae double, parameters string")
+    return fit(rows, features, label, **grid[best]), grid[best], table
+
+
+def evaluate_folds(df: DataFrame, features: list[str], label: str, fits: dict[str, Callable[[DataFrame], object]], folds: list[int], keep: list[str]) -> DataFrame:
+    """Long predictions ``*keep, label, fold, model, prediction``: for each of ``folds`` every model of ``fits`` is
+    fitted on the rows of earlier folds (null: before all) and predicts the fold's, on rows that have all features
+    and the label, so that all models are scored on the same rows. Score with metrics.point_metrics()."""
+    rows, out = saved(df.dropna(subset=[*features, label])), None
+    for fold in folds:
+        train, test = rows.where(F.col("fold").isNull() | (F.col("fold") < fold)), rows.where(F.col("fold") == fold)
+        for name, fit in fits.items():
+            made = fit(train).transform(test).select(*keep, label, "fold", F.lit(name).alias("model"), "prediction")
+            out = made if out is None else out.unionByName(made)
+    return out
 
 
 def predict_complete(model, df: DataFrame, features: list[str], keys: list[str], name: str) -> DataFrame:

@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import draw
+from tidemark.sources.tables import saved
+
+from .quantiles import numbered, quantile_of, ranked_values, with_quantiles
 
 DELTAS = [("S2", "S1"), ("S3", "S2"), ("S4", "S2"), ("S5", "S3")]
 
 
 def primary_table(days: DataFrame, by: list[str]) -> DataFrame:
+    """Days traded and idle, totals, mean, median, rates (hit rate: of traded days, null without any) and worst
+    day of each strategy. The median is that of few large groups: see quantiles."""
     t = F.col("traded")
-    return days.groupBy(*by).agg(
+    table = days.groupBy(*by).agg(
         F.sum(t.cast("long")).alias("traded_days"), F.sum((~t).cast("long")).alias("idle_days"), F.sum("gross_pnl").alias("gross"), F.sum("net_pnl").alias("net"),
-        F.avg("net_pnl").alias("mean_net"), F.median("net_pnl").alias("median_net"), F.avg((F.col("net_pnl") > 0).cast("double")).alias("profitable_rate"),
+        F.avg("net_pnl").alias("mean_net"), F.avg((F.col("net_pnl") > 0).cast("double")).alias("profitable_rate"),
         F.avg(F.when(t, (F.col("net_pnl") > 0).cast("double"))).alias("hit_rate"), F.min("net_pnl").alias("worst"),
     )
+    return with_quantiles(table, days, by, "net_pnl", {"median_net": 0.5})
+
 
+def backtest_summary(days: DataFrame, by: list[str]) -> DataFrame:
+    """Total, trading days and profitable days."""
+    return days.groupBy(*by).agg(F.sum("net_pnl").alias("total"), F.sum(F.col("traded").cast("long")).alias("trading_days"), F.sum((F.col("net_pnl") > 0).cast("long")).alias("profitable_days"))
 
-def named_deltas(days: DataFrame, by: list[str]) -> DataFrame:
+
+def named_deltas(days: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Totals of the named pairs of strategies, one less the other; ``more``: further aggregates."""
     total = lambda s: F.sum(F.when(F.col("strategy") == s, F.col("net_pnl")).otherwise(0.0))
-    return days.groupBy(*by).agg(*[(total(a) - total(b)).alias(f"delta_{a}_{b}") for a, b in DELTAS])
+    return days.groupBy(*by).agg(*more, *[(total(a) - total(b)).alias(f"delta_{a}_{b}") for a, b in DELTAS])
+
+
+def with_day_flags(days: DataFrame, flags: DataFrame, cutover: str) -> DataFrame:
+    """``days`` with the market's flags of their day (metrics.day_flags(): one row a series and day) and ``post``:
+    whether the day is at or after ``cutover``. All are of the market, whatever a strategy chose."""
+    return days.join(flags, ["series_id", "delivery_date"], "left").withColumn("post", F.col("delivery_date") >= F.lit(cutover).cast("date"))
+
+
+def split_by_flags(days: DataFrame, flags: list[str]) -> DataFrame:
+    """``flag, is_set, n_days`` and the named deltas over days with each flag set and not set, in one scan."""
+    long = days.select("series_id", "delivery_date", "strategy", "net_pnl", F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.coalesce(F.col(f), F.lit(False)).alias("is_set")) for f in flags])).alias("x"))
+    # each day once for each series; S0 has a row of every day
+    n = F.sum((F.col("strategy") == "S0").cast("long")).alias("n_days")
+    return named_deltas(long.select("strategy", "net_pnl", "x.*"), ["flag", "is_set"], n)
 
 
 def value_capture(days: DataFrame, by: list[str]) -> DataFrame:
@@ -56,37 +82,68 @@ def concentration(days: DataFrame, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by).agg(total.alias("total"), *out)
 
 
-def decompose(days: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """Days of strategies a and b in five categories, with each one's share of the difference b - a."""
+#: Categories of a day by whether the point strategy and the uncertainty-aware one traded.
+CATEGORIES = ("both_abstain", "point_only", "uncertainty_only", "same_pair", "different_pair")
+TOLERANCE = 1e-6
+
+
+def decompose(days: DataFrame, point: str, uncertain: str, by: list[str]) -> DataFrame:
+    """What makes up the difference of two strategies' totals, for each group of ``by`` (``days`` has a row a day
+    and strategy in each). Days of each of five categories (``n_...``); profits forgone and losses avoided on days
+    that the uncertainty-aware strategy alone leaves out; the effects of choosing another pair, of days that it
+    alone trades, and of days of the same pair; the total; and ``reconciles``: whether these add up to it and the
+    same pair makes no difference, within 1e-6."""
     keys = [*by, "delivery_date"]
-    left = days.where(F.col("strategy") == a).select(*keys, F.col("traded").alias("ta"), F.col("i").alias("ia"), F.col("j").alias("ja"), F.col("net_pnl").alias("na"))
-    right = days.where(F.col("strategy") == b).select(*keys, F.col("traded").alias("tb"), F.col("i").alias("ib"), F.col("j").alias("jb"), F.col("net_pnl").alias("nb"))
-    same = (F.col("ia") == F.col("ib")) & (F.col("ja") == F.col("jb"))
-    category = (
-        F.when(~F.col("ta") & ~F.col("tb"), "both_idle").when(F.col("ta") & ~F.col("tb"), F.when(F.col("na") >= 0, "forgone").otherwise("avoided"))
-        .when(~F.col("ta") & F.col("tb"), "reverse").when(same, "same_pair").otherwise("pair_effect")
-    )
-    return left.join(right, keys).withColumn("category", category).groupBy("category").agg(F.count("*").alias("n_days"), F.sum(F.col("nb") - F.col("na")).alias("delta"))
+    pick = lambda strategy, tag: days.where(F.col("strategy") == strategy).select(*keys, *[F.col(c).alias(f"{c}_{tag}") for c in ("traded", "i", "j", "net_pnl")])
+    both = pick(point, "p").join(pick(uncertain, "u"), keys)
+    p, u, d = F.col("traded_p"), F.col("traded_u"), F.col("net_pnl_u") - F.col("net_pnl_p")
+    same = F.coalesce((F.col("i_p") == F.col("i_u")) & (F.col("j_p") == F.col("j_u")), F.lit(False))
+    category = F.when(~p & ~u, CATEGORIES[0]).when(p & ~u, CATEGORIES[1]).when(~p & u, CATEGORIES[2]).when(same, CATEGORIES[3]).otherwise(CATEGORIES[4])
+    told = both.withColumns({"category": category, "d": d})
+    on = lambda k, v: F.sum(F.when(F.col("category") == k, v).otherwise(0.0))
+    n = [F.sum((F.col("category") == k).cast("long")).alias(f"n_{k}") for k in CATEGORIES]
+    zero = F.lit(0.0)
+    parts = {
+        "profits_forgone": on("point_only", F.greatest(F.col("net_pnl_p"), zero)), "losses_avoided": on("point_only", F.greatest(-F.col("net_pnl_p"), zero)),
+        "pair_effect": on("different_pair", F.col("d")), "reverse_effect": on("uncertainty_only", F.col("d")), "same_pair_difference": on("same_pair", F.col("d")), "total_gap": F.sum("d"),
+    }
+    made = told.groupBy(*by).agg(F.count("*").alias("n_days"), *n, *[v.alias(k) for k, v in parts.items()])
+    rebuilt = -F.col("profits_forgone") + F.col("losses_avoided") + F.col("pair_effect") + F.col("same_pair_difference") + F.col("reverse_effect")
+    return made.withColumn("reconciles", (F.abs(rebuilt - F.col("total_gap")) <= TOLERANCE) & (F.abs("same_pair_difference") <= TOLERANCE))
+
+
+def losses(days: DataFrame) -> DataFrame:
+    """``days`` with ``loss``, the net result turned over."""
+    return days.withColumn("loss", -F.col("net_pnl"))
 
 
 def var_es(days: DataFrame, by: list[str], levels=(0.90, 0.95, 0.99)) -> DataFrame:
     """Loss quantile (interpolated) and the mean of exactly the worst (1 - level) * n losses, the boundary
-    one by its fraction; low precision under 20 of them."""
-    loss = days.select(*by, (-F.col("net_pnl")).alias("loss"))
-    w = Window.partitionBy(*by).orderBy(F.desc("loss"))
-    ranked = loss.withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(*by))})
-    table = ranked.select(*by, "loss", "rn", "n", F.explode(F.array(*map(F.lit, levels))).alias("level"))
-    m = (1 - F.col("level")) * F.col("n")
-    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), m - (F.col("rn") - 1)))
-    es = table.groupBy(*by, "level").agg((F.sum(weight * F.col("loss")) / F.first(m)).alias("es"), F.first("n").alias("n_total"), F.first(m).alias("n_tail"))
-    q = loss.groupBy(*by).agg(F.percentile("loss", list(levels)).alias("q"))
-    var = q.select(*by, F.posexplode("q").alias("k", "var")).withColumn("level", F.get(F.array(*map(F.lit, levels)), F.col("k"))).drop("k")
-    return es.join(var, [*by, "level"]).withColumn("low_precision", F.col("n_tail") < 20)
+    one by its fraction; low precision under 20 of them. Equal losses are counted together and ranked without
+    bringing a strategy's days into one task: see quantiles."""
+    ranks = ranked_values(losses(days), by, "loss")
+    made = None
+    for level in levels:
+        m = (1 - F.lit(level)) * F.col("total")
+        worse = F.col("total") - F.col("first") - F.col("n")  # losses above this one
+        weight = F.greatest(F.lit(0.0), F.least(F.col("n").cast("double"), m - worse))
+        one = F.struct(
+            F.lit(level).alias("level"), quantile_of(level).alias("var"), (F.sum(weight * F.col("value")) / F.max(m)).alias("es"), F.max("total").alias("n_total"), F.max(m).alias("n_tail")
+        )
+        made = [*(made or []), one]
+    out = ranks.groupBy(*by).agg(F.array(*made).alias("x")).select(*by, F.explode("x").alias("x")).select(*by, "x.*")
+    return out.withColumn("low_precision", F.col("n_tail") < 20)
 
 
 def descriptive_losses(days: DataFrame, by: list[str]) -> DataFrame:
-    loss = -F.col("net_pnl")
-    return days.groupBy(*by).agg(F.avg(loss).alias("mean_loss"), F.median(loss).alias("median_loss"), F.max(loss).alias("worst_loss"), F.min(loss).alias("best_loss"))
+    rows = losses(days)
+    table = rows.groupBy(*by).agg(F.avg("loss").alias("mean_loss"), F.max("loss").alias("worst_loss"), F.min("loss").alias("best_loss"))
+    return with_quantiles(table, rows, by, "loss", {"median_loss": 0.5})
+
+
+def monthly(delta: DataFrame) -> DataFrame:
+    """Days and sum of a daily contrast by month."""
+    return delta.groupBy(F.date_format("delivery_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("delta").alias("delta"))
 
 
 def contrast(days: DataFrame, a: str, b: str) -> DataFrame:
@@ -107,18 +164,19 @@ def block_bootstrap(delta: DataFrame, block: int, reps: int, seed: int, levels=(
     """Interval of the total by a circular moving-block bootstrap. Draws come from a hash of seed,
     repetition and block, so a lost task redraws the same. ``delta``: a row for each day."""
     spark: SparkSession = delta.sparkSession
-    order = Window.orderBy("delivery_date")  # one row a day of one contrast: a few thousand at most
-    numbered = delta.select((F.row_number().over(order) - 1).alias("k"), "delta")
-    n = delta.count()
+    rows = saved(delta.select("delivery_date", "delta"))
+    n = rows.count()
     if not n:
         return spark.createDataFrame([], "reps long, low double, high double")
-    ext = numbered.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda o: F.pmod(F.col("k") - o, F.lit(n)))).alias("start"), F.col("k").alias("day"), "delta")
+    placed = numbered(rows, "delivery_date", "k")
+    ext = placed.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda o: F.pmod(F.col("k") - o, F.lit(n)))).alias("start"), F.col("k").alias("day"), "delta")
     blocks = -(-n // block)
     last = n - block * (blocks - 1)
     offset = F.pmod(F.col("day") - F.col("start"), F.lit(n))
     sums = ext.groupBy("start").agg(F.sum("delta").alias("full"), F.sum(F.when(offset < last, F.col("delta")).otherwise(0.0)).alias("part"))
     draws = spark.range(reps).select("id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk")).withColumn("start", draw(F.lit(seed), F.col("id"), F.col("blk")) % n)
     totals = draws.join(sums, "start").groupBy("id").agg(F.sum(F.when(F.col("blk") == blocks - 1, F.col("part")).otherwise(F.col("full"))).alias("total"))
+    # a total for each repetition: their number is the parameter
     return totals.agg(F.count("*").alias("reps"), F.percentile("total", F.lit(levels[0])).alias("low"), F.percentile("total", F.lit(levels[1])).alias("high"))
 
 
@@ -127,8 +185,8 @@ def threshold_frontier(days: DataFrame, scores: str, taus: list[float], by: list
     drawdown (lowest distance from the running peak of the cumulative P&L, 0 or below), and the days that
     strategy ``other`` trades too, that it does not, and that it trades alone. Null scores never trade;
     ``by`` has one row a day."""
-    rule = days.where(F.col("strategy") == other).select("series_id", "delivery_date", F.col("traded").alias("__other"))
-    cut = days.join(rule, ["series_id", "delivery_date"], "left").withColumn("tau", F.explode(F.array(*map(F.lit, taus))))
+    day = Window.partitionBy("series_id", "delivery_date")
+    cut = days.withColumn("__other", F.bool_or((F.col("strategy") == other) & F.col("traded")).over(day)).withColumn("tau", F.explode(F.array(*map(F.lit, taus))))
     on, too = F.coalesce(F.col(scores) > F.col("tau"), F.lit(False)), F.coalesce("__other", F.lit(False))
     along = Window.partitionBy(*by, "tau").orderBy("delivery_date").rowsBetween(Window.unboundedPreceding, 0)
     run = cut.select(*by, "tau", "delivery_date", "net_pnl", on.alias("on"), too.alias("too"), F.when(on, F.col("net_pnl")).otherwise(0.0).alias("pnl"))
@@ -152,6 +210,20 @@ def profile_gains(days: DataFrame, windows: dict[str, int], full: str, base: str
         "window_days", "pnl", (F.col("full") - F.col("pnl")).alias("full_minus"), gain.alias("gain"), F.when(most != 0, gain / most).alias("share_of_gain"))
 
 
+def benchmark_summary(errors: DataFrame, days: DataFrame, strategy_of: dict[str, str]) -> DataFrame:
+    """``model, mae, rmse, net, capture``: point_metrics() of each model beside the value that the strategy which
+    uses it captures (``strategy_of``: strategy by model)."""
+    name = F.create_map(*[F.lit(x) for m, s in strategy_of.items() for x in (s, m)])[F.col("strategy")]
+    value = value_capture(days.where(F.col("strategy").isin(*strategy_of.values())), ["strategy"]).withColumn("model", name)
+    return errors.join(value, "model").select("model", "mae", "rmse", "net", "capture")
+
+
+def largest_changes(diff: DataFrame, k: int, by: str = "column") -> DataFrame:
+    """The ``k`` rows of the largest percentage of each table or column, ties by key order."""
+    rest = sorted(c for c in diff.columns if c not in (by, "old", "new", "diff", "pct"))
+    return diff.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.abs("pct").desc(), *rest))).where(F.col("rank") <= k)
+
+
 def table_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Cell-wise old, new, difference and percentage of two tables; unmatched and null cells dropped."""
     values = [c for c in old.columns if c not in keys]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import local_date
@@ -16,19 +16,49 @@ def fold_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     )
 
 
+#: Folds that a fold table has at most.
+MOST_FOLDS = 10_000
+
+
 def assign(df: DataFrame, folds: DataFrame) -> DataFrame:
-    """Each row once for each fold that uses it, with its role. ``folds`` has a few rows."""
+    """Each row once for each fold that uses it, with its role. ``folds`` is a table of parameters (a ValueError
+    beyond MOST_FOLDS rows) and becomes part of the expression: no join."""
+    table = folds.select("name", "train_start", "train_end", "val_start", "val_end").limit(MOST_FOLDS + 1).collect()
+    if len(table) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} folds")
     t = F.col("timestamp_utc")
-    train = (t >= F.col("train_start")) & (t < F.col("train_end"))
-    val = (t >= F.col("val_start")) & (t < F.col("val_end"))
-    return df.join(F.broadcast(folds), train | val).withColumn("role", F.when(train, "train").otherwise("val")).withColumnRenamed("name", "fold").drop("train_start", "train_end", "val_start", "val_end")
+    uses = []
+    for f in table:
+        train = (t >= F.lit(f["train_start"])) & (t < F.lit(f["train_end"]))
+        val = (t >= F.lit(f["val_start"])) & (t < F.lit(f["val_end"]))
+        uses.append(F.when(train | val, F.struct(F.lit(f["name"]).alias("fold"), F.when(train, "train").otherwise("val").alias("role"))))
+    used = F.filter(F.array(*uses), lambda x: x.isNotNull()) if uses else F.array().cast("array<struct<fold:string,role:string>>")
+    return df.select("*", F.explode(used).alias("__use")).select(*df.columns, "__use.fold", "__use.role")
+
+
+def final_and_holdout(df: DataFrame, boundary: Column) -> DataFrame:
+    """``df`` with ``role``: final_train before ``boundary``, holdout from it on."""
+    return df.withColumn("role", F.when(F.col("timestamp_utc") < boundary, "final_train").otherwise("holdout"))
+
+
+def stack_folds(parts: dict[str, DataFrame], keys: tuple[str, ...] = ("series_id", "timestamp_utc")) -> DataFrame:
+    """The folds' rows one below the other, tagged ``fold``; a ValueError if two folds have the same key."""
+    out = None
+    for name, df in parts.items():
+        one = df.withColumn("fold", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    twice = out.groupBy(*keys).count().where("count > 1").take(1)
+    if twice:
+        raise ValueError(f"folds overlap: {twice[0].asDict()}")
+    return out
 
 
 def violations(folds: DataFrame) -> DataFrame:
     """Folds that validate before training ends, and pairs whose validation windows overlap."""
     own = folds.where("train_end > val_start or train_start >= train_end or val_start >= val_end").select("name", F.lit(None).cast("string").alias("other"), F.lit("order").alias("rule"))
-    a, b = folds.alias("a"), folds.alias("b")
-    both = a.join(F.broadcast(b), F.expr("a.name < b.name and a.val_start < b.val_end and b.val_start < a.val_end")).select(F.col("a.name").alias("name"), F.col("b.name").alias("other"), F.lit("overlap").alias("rule"))
+    few = folds.limit(MOST_FOLDS + 1).count() <= MOST_FOLDS
+    a, b = folds.alias("a"), (F.broadcast(folds) if few else folds).alias("b")
+    both = a.join(b, F.expr("a.name < b.name and a.val_start < b.val_end and b.val_start < a.val_end")).select(F.col("a.name").alias("name"), F.col("b.name").alias("other"), F.lit("overlap").alias("rule"))
     return own.unionByName(both)
 
 

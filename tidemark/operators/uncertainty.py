@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import local_date, winkler
@@ -10,35 +10,82 @@ from tidemark.functions.columns import local_date, winkler
 QUANTILES = (0.1, 0.5, 0.9)
 
 
+def finite(c: str) -> Column:
+    """A column where it is a finite number, else null."""
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+
+
 def day_safe_quantiles(df: DataFrame, residual: str, window: int, least: int, quantiles=QUANTILES) -> DataFrame:
     """``series_id, delivery_date, q10, q50, ...``: quantiles of the finite residuals of local days in
-    ``[D - window, D - 1]``, given at least ``least`` distinct days with one. Each residual is sent to
-    the days that may use it, so this is an equi-grouping, not a range join."""
-    finite = df.where(F.col(residual).isNotNull() & ~F.isnan(residual)).select("series_id", local_date(F.col("timestamp_utc")).alias("day"), F.col(residual).alias("r"))
-    sent = finite.select("series_id", "day", "r", F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", window))).alias("delivery_date"))
+    ``[D - window, D - 1]``, given at least ``least`` distinct days with one (null, NaN and infinite ones don't
+    count). Each residual is sent to the days that may use it, so this is an equi-grouping, not a range join."""
+    rows = df.select("series_id", local_date(F.col("timestamp_utc")).alias("day"), finite(residual).alias("r")).where("r is not null")
+    sent = rows.select("series_id", "day", "r", F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", window))).alias("delivery_date"))
     made = sent.groupBy("series_id", "delivery_date").agg(F.percentile("r", list(quantiles)).alias("q"), F.count_distinct("day").alias("n_days")).where(F.col("n_days") >= least)
     return made.select("series_id", "delivery_date", *[F.get("q", i).alias(f"q{round(q * 100)}") for i, q in enumerate(quantiles)])
 
 
+def with_day_safe_quantiles(df: DataFrame, residuals: dict[str, tuple[str, int, int]], quantiles=QUANTILES) -> DataFrame:
+    """``df`` with ``delivery_date`` and, for each ``name: (residual, window, least)``, an array ``name`` of the
+    quantiles that day_safe_quantiles() gives for the row's day (null without enough days). All are windows over
+    the series' days, so that any number of them takes one pass and no join."""
+    out = df.withColumn("delivery_date", local_date(F.col("timestamp_utc"))).withColumn("__day", F.unix_date("delivery_date").cast("long"))
+    made = {}
+    for name, (residual, window, least) in residuals.items():
+        w = Window.partitionBy("series_id").orderBy("__day").rangeBetween(-window, -1)
+        r = finite(residual)
+        days = F.size(F.collect_set(F.when(r.isNotNull(), F.col("__day"))).over(w))
+        made[name] = F.when(days >= least, F.percentile(r, F.array(*map(F.lit, quantiles))).over(w))
+    return out.withColumns(made).drop("__day")
+
+
+def with_day_safe_bounds(df: DataFrame, prediction: str, residual: str, window: int, least: int, quantiles=(0.1, 0.9)) -> DataFrame:
+    """``df`` with ``delivery_date`` and ``L, U``: the prediction plus its day's first and last quantile."""
+    out = with_day_safe_quantiles(df, {"__q": (residual, window, least)}, quantiles)
+    return out.withColumns({"L": F.col(prediction) + F.get("__q", 0), "U": F.col(prediction) + F.get("__q", len(quantiles) - 1)}).drop("__q")
+
+
 def attach_bounds(df: DataFrame, prediction: str, offsets: DataFrame, low: str = "q10", high: str = "q90") -> DataFrame:
     """``df`` with ``L`` and ``U``: the prediction plus its day's offsets, null without any."""
     day = df.withColumn("delivery_date", local_date(F.col("timestamp_utc")))
     return day.join(offsets, ["series_id", "delivery_date"], "left").withColumns({"L": F.col(prediction) + F.col(low), "U": F.col(prediction) + F.col(high)}).drop(*[c for c in offsets.columns if c.startswith("q")])
 
 
-def hourly_quantiles(df: DataFrame, residual: str, days: int, least: int, q: float, name: str) -> DataFrame:
-    """Trailing quantile over ``[t - days, t)``; null under ``least`` residuals."""
+def hourly_quantiles(df: DataFrame, residual: str, days: int, least_days: int, quantiles=QUANTILES, prediction: str | None = None) -> DataFrame:
+    """``q10, q50, ...``: trailing quantiles over ``[t - days, t)``, added to ``prediction`` if given. Null under as
+    many residuals as ``least_days`` days have at the series' median gap between rows. A series of one row has
+    no gap and no quantile."""
+    along = Window.partitionBy("series_id").orderBy("timestamp_utc")
     w = Window.partitionBy("series_id").orderBy(F.unix_timestamp("timestamp_utc")).rangeBetween(-days * 86400, -1)
-    return df.withColumn(name, F.when(F.count(residual).over(w) >= least, F.percentile(residual, F.lit(q)).over(w)))
+    gap = (F.unix_timestamp("timestamp_utc") - F.unix_timestamp(F.lag("timestamp_utc").over(along))) / 3600
+    out = df.withColumn("__gap", gap).withColumn("__usual", F.median("__gap").over(Window.partitionBy("series_id")))
+    least = F.greatest(F.lit(1), F.floor(F.lit(least_days * 24) / F.col("__usual")))
+    q = F.when(F.count(residual).over(w) >= least, F.percentile(residual, F.array(*map(F.lit, quantiles))).over(w))
+    base = F.col(prediction) if prediction else F.lit(0.0)
+    return out.withColumn("__q", q).withColumns({f"q{round(p * 100)}": base + F.get("__q", i) for i, p in enumerate(quantiles)}).drop("__gap", "__usual", "__q")
 
 
-def calibration(df: DataFrame, by: list[str], actual: str = "price", low: str = "L", high: str = "U", alpha: float = 0.2) -> DataFrame:
-    a, lo, hi = F.col(actual), F.col(low), F.col(high)
-    rows = df.where(a.isNotNull() & lo.isNotNull() & hi.isNotNull())
-    return rows.groupBy(*by).agg(
+def _scores(a: Column, lo: Column, hi: Column, alpha: float) -> list[Column]:
+    return [
         F.count("*").alias("n"), F.avg(((a >= lo) & (a <= hi)).cast("double")).alias("coverage"), F.avg((a < lo).cast("double")).alias("below"),
         F.avg((a > hi).cast("double")).alias("above"), F.avg(hi - lo).alias("width"), F.avg(winkler(a, lo, hi, alpha)).alias("interval_score"),
-    )
+    ]
+
+
+def calibration(df: DataFrame, by: list[str], actual: str = "price", low: str = "L", high: str = "U", alpha: float = 0.2) -> DataFrame:
+    """Coverage, misses, width and interval score of each group, over rows that have all three values."""
+    a, lo, hi = F.col(actual), F.col(low), F.col(high)
+    return df.where(a.isNotNull() & lo.isNotNull() & hi.isNotNull()).groupBy(*by).agg(*_scores(a, lo, hi, alpha))
+
+
+def calibration_sets(df: DataFrame, models: dict[str, tuple[str, str]], keys: dict[str, Column], actual: str = "price", alpha: float = 0.2) -> DataFrame:
+    """``model, grouping_key, level`` with the columns of calibration(): overall (level null) and by each of
+    ``keys``, for each of ``models (name: lower and upper bound)``, in one scan."""
+    sides = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(lo).alias("lo"), F.col(hi).alias("hi")) for m, (lo, hi) in models.items()])).alias("m")
+    level = lambda k, c: F.named_struct(F.lit("grouping_key"), F.lit(k), F.lit("level"), c.cast("string"))
+    levels = [level("overall", F.lit(None)), *[level(k, c) for k, c in keys.items()]]
+    long = df.select(actual, F.array(*levels).alias("levels"), sides).select(actual, "m.*", F.explode("levels").alias("k")).select(actual, "model", "lo", "hi", "k.*")
+    return calibration(long, ["model", "grouping_key", "level"], actual, "lo", "hi", alpha)
 
 
 def rolling_coverage(df: DataFrame, days: int) -> DataFrame:
@@ -62,13 +109,21 @@ def latest_offsets(df: DataFrame, columns: list[str]) -> DataFrame:
     return got.select("series_id", *[F.col(f"o.{c}").alias(c) for c in columns])
 
 
-def window_candidates(df: DataFrame, prediction: str, residual: str, windows: list[int]) -> DataFrame:
-    """The rows with bounds of each candidate window (least days: a quarter of it, at least 1), stacked."""
-    out = None
-    for w in windows:
-        one = attach_bounds(df, prediction, day_safe_quantiles(df, residual, w, max(1, w // 4))).withColumn("window_days", F.lit(w))
-        out = one if out is None else out.unionByName(one)
-    return out
+def window_candidates(df: DataFrame, prediction: str, residual: str, windows: list[int], keep: tuple[str, ...] = ("price",)) -> DataFrame:
+    """A row for each row of ``df`` and candidate window (least days: a quarter of it, at least 1) with its
+    ``window_days, L, U`` (null while it warms up); one pass for all windows."""
+    made = with_day_safe_quantiles(df, {f"__q{w}": (residual, w, max(1, w // 4)) for w in windows}, (0.1, 0.9))
+    cells = F.explode(F.array(*[F.struct(F.lit(w).alias("window_days"), F.col(f"__q{w}").alias("q")) for w in windows])).alias("x")
+    out = made.select("series_id", "timestamp_utc", "delivery_date", *keep, prediction, cells)
+    return out.select("series_id", "timestamp_utc", "delivery_date", *keep, prediction, "x.window_days", *[(F.col(prediction) + F.get("x.q", i)).alias(n) for i, n in enumerate("LU")])
+
+
+def window_scores(candidates: DataFrame, by: tuple[str, ...] = (), start: Column | None = None) -> DataFrame:
+    """calibration() of each window with ``n_warmup``, its rows without bounds; of rows from ``start`` on."""
+    rows = candidates if start is None else candidates.where(F.col("timestamp_utc") >= start)
+    keys = ["window_days", *by]
+    lacking = rows.groupBy(*keys).agg(F.sum((F.col("L").isNull() | F.col("U").isNull()).cast("long")).alias("n_warmup"))
+    return calibration(rows, keys).join(lacking, keys)
 
 
 def common_rows(candidates: DataFrame, n: int) -> DataFrame:
@@ -85,6 +140,27 @@ def common_start(candidates: DataFrame, n_windows: int) -> DataFrame:
     return first.crossJoin(F.broadcast(latest))  # a row
 
 
+def from_common_start(candidates: DataFrame, n_windows: int) -> DataFrame:
+    """The candidate rows from the instant on at which all windows have had their first bounds: all windows are
+    scored on the same rows. None if a window has no bound at all."""
+    start = common_start(candidates, n_windows).agg(F.max("common_start").alias("__start"))
+    return candidates.crossJoin(F.broadcast(start)).where(F.col("timestamp_utc") >= F.col("__start")).drop("__start")  # a row
+
+
 def select_window(scores: DataFrame) -> DataFrame:
-    """The window with the lowest score, the smaller on ties."""
-    return scores.agg(F.min_by("window_days", F.struct("interval_score", "window_days")).alias("window_days"), F.min("interval_score").alias("interval_score"))
+    """``window_days, interval_score``: the window with the lowest score, the smaller on ties, and ``equal_n``:
+    whether all windows were scored on as many rows, without which the choice is void."""
+    return scores.agg(
+        F.min_by("window_days", F.struct("interval_score", "window_days")).alias("window_days"), F.min("interval_score").alias("interval_score"), (F.min("n") == F.max("n")).alias("equal_n")
+    )
+
+
+def off_nominal(scores: DataFrame, nominal: float = 0.8, most: float = 0.03) -> DataFrame:
+    """Groups whose coverage is further than ``most`` from ``nominal``, with the distance: told, not acted on."""
+    off = F.abs(F.col("coverage") - nominal)
+    return scores.withColumn("off", off).where(F.col("off") > most)
+
+
+def residuals(df: DataFrame, prediction: str, actual: str = "price") -> DataFrame:
+    """``df`` with ``residual``, the target less the prediction, on rows that a fold validates."""
+    return df.where("fold is not null").withColumn("residual", F.col(actual) - F.col(prediction))

@@ -9,6 +9,7 @@ from tidemark.functions import columns as fn
 from tidemark.operators import checks, decisions, forecast, metrics, reports, splits, timeseries, uncertainty
 from tidemark.operators import documents as docs
 from tidemark.sources import tables
+from tidemark.sources.tables import saved
 
 from . import adapters as ad
 from .registry import _CALSQL, _CAL, _DAYS, _LONG, _METRIC, KEY, ROWS, _scored, register, ts
@@ -71,11 +72,11 @@ register("win_frontier", "ts_uid:s start:t end:t frontier:t", _spans, f"{_SPAN}
 register("aud_curve_summary", "year:i minutes:i curve_type:s n_points:i n_synthesized:i n_periods:i n_series:i pct_synthesized:f",
          lambda s, d: docs.curve_summary(docs.expand_blocks(*_points(s, d)), _points(s, d)[0], F.year("timestamp_utc")),
          f"{BLK}, p AS (SELECT year(t) AS year, ct, count(*) AS n_points, count(*) FILTER (place <> position) AS n_syn FROM ex GROUP BY 1, 2), q AS (SELECT year(s) AS year, ct, count(*) AS n_periods, count(DISTINCT ts_uid) AS n_series FROM per GROUP BY 1, 2) ;; SELECT year, 60 AS minutes, ct AS curve_type, n_points, n_syn AS n_synthesized, n_periods, n_series, 100.0 * n_syn / n_points AS pct_synthesized FROM p FULL JOIN q USING (year, ct)")
-register("aud_curve_types_before", "curve_type:s", lambda s, d: docs.geometry(_points(s, d)[0]).where((F.col("start") < ts("2024-01-14 23:00:00")) & (F.col("minutes") == 60)).select("curve_type").distinct().orderBy("curve_type"),
+register("aud_curve_types_before", "curve_type:s", lambda s, d: docs.curve_types_before(_points(s, d)[0], ts("2024-01-14 23:00:00")),
          f"{PER} ;; SELECT DISTINCT ct AS curve_type FROM per WHERE s < TIMESTAMP '2024-01-14 23:00:00' ORDER BY 1")
-register("aud_series_shape", "ts_uid:s n_points:i minutes:i n_first:i first_value:f last_value:f",
-         lambda s, d: docs.series_shape(docs.expand_blocks(*_points(s, d)), ts("2024-01-10"), ts("2024-01-12")).select("ts_uid", "n_points", F.get("resolutions", 0).alias("minutes"), F.size("first_points").alias("n_first"), F.element_at("first_points", 1)["value"].alias("first_value"), F.element_at("first_points", -1)["value"].alias("last_value")),
-         f"{BLK}, r AS (SELECT *, row_number() OVER (PARTITION BY ts_uid ORDER BY t) AS rn FROM ex WHERE t >= TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-12') ;; SELECT ts_uid, count(*) AS n_points, 60 AS minutes, count(*) FILTER (rn <= 4) AS n_first, arg_min(value, rn) AS first_value, arg_max(value, rn) FILTER (rn <= 4) AS last_value FROM r GROUP BY 1")
+register("aud_series_shape", "ts_uid:s n_points:i curve_type:s sequence:i minutes:i n_first:i first_value:f last_value:f",
+         lambda s, d: docs.series_shape(docs.expand_blocks(*_points(s, d)), ts("2024-01-10"), ts("2024-01-12")).select("ts_uid", "n_points", F.get("curve_types", 0).alias("curve_type"), F.get("sequences", 0).alias("sequence"), F.get("resolutions", 0).alias("minutes"), F.size("first_points").alias("n_first"), F.element_at("first_points", 1)["value"].alias("first_value"), F.element_at("first_points", -1)["value"].alias("last_value")),
+         f"{BLK}, r AS (SELECT *, row_number() OVER (PARTITION BY ts_uid ORDER BY t) AS rn FROM ex WHERE t >= TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-12') ;; SELECT ts_uid, count(*) AS n_points, min(ct) AS curve_type, min(sequence) AS sequence, 60 AS minutes, count(*) FILTER (rn <= 4) AS n_first, arg_min(value, rn) AS first_value, arg_max(value, rn) FILTER (rn <= 4) AS last_value FROM r GROUP BY 1")
 
 
 def _paths(s: SparkSession, d: str, odd: int) -> DataFrame:
@@ -86,22 +87,40 @@ register("aud_attribute_diff", "path:s text:s n_a:i n_b:i", lambda s, d: docs.at
          "SELECT event_type AS path, strftime(ts, '%Y-%m-%d %H') AS text, count(*) FILTER (event_id % 2 = 1) AS n_a, count(*) FILTER (event_id % 2 = 0) AS n_b FROM events GROUP BY 1, 2 HAVING n_a <> n_b")
 
 
-def _sequenced(s: SparkSession, d: str) -> DataFrame:
-    return ad.events(s, d).select("event_id", F.date_trunc("hour", "ts").alias("timestamp_utc"), "value", F.nullif(F.col("event_id") % 3, F.lit(0)).alias("sequence"))
+def _sequence_documents(s: SparkSession, d: str) -> DataFrame:
+    """A document a day with two series, one of each sequence; their fields differ by the day, on every fifth day
+    the second is there twice, and on every seventh its periods have another resolution."""
+    days = ad.events(s, d).select(F.to_date("ts").alias("day")).distinct()
+    n = F.dayofmonth("day")
+    tag = lambda t, v: F.concat(F.lit(f"<{t}>"), v.cast("string"), F.lit(f"</{t}>"))
+    when = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm'Z'")
+    span = tag("timeInterval", F.concat(tag("start", when(F.col("day").cast("timestamp"))), tag("end", when(F.date_add("day", 1).cast("timestamp")))))
 
+    def series(sequence: int, mrid, curve, resolution):
+        fields = F.concat(tag("mRID", mrid), tag("curveType", curve), tag("classificationSequence_AttributeInstanceComponent.position", F.lit(sequence)))
+        return tag("TimeSeries", F.concat(fields, tag("Period", F.concat(span, tag("resolution", resolution), F.lit("<Point><position>1</position><price.amount>1.5</price.amount></Point>")))))
+
+    quarter = F.lit("PT15M")
+    second = series(2, F.when(n % 2 == 0, "a").otherwise("b"), F.when(n % 3 == 0, "A01").otherwise("A03"), F.when(n % 7 == 0, "PT60M").otherwise(quarter))
+    body = F.concat(series(1, F.lit("a"), F.lit("A03"), quarter), second, F.when(n % 5 == 0, second).otherwise(""))
+    return days.select("day", F.concat(F.lit("<Doc>"), body, F.lit("</Doc>")).alias("xml"))
+
+
+register("aud_sequence_diff", "day:d path:s text:s n_a:i n_b:i",
+         lambda s, d: docs.sequence_diff(docs.paths(_sequence_documents(s, d), ["day"], day=(ts("2024-01-01"), ts("2024-02-01"))), ["day"]),
+         """dy AS (SELECT DISTINCT ts::DATE AS d, day(ts::DATE) AS n FROM events), ok AS (SELECT * FROM dy WHERE n % 7 <> 0),
+df AS (SELECT d, 'mRID' AS path, unnest(['a', 'b']) AS text, unnest([1, 0]) AS n_a, unnest([0, 1]) AS n_b FROM ok WHERE n % 2 = 1 AND n % 5 <> 0
+  UNION ALL SELECT d, 'curveType', unnest(['A03', 'A01']), unnest([1, 0]), unnest([0, 1]) FROM ok WHERE n % 3 = 0 AND n % 5 <> 0
+  UNION ALL SELECT d, NULL, NULL, 1, 2 FROM ok WHERE n % 5 = 0) ;; SELECT d AS day, path, text, n_a, n_b FROM df""")
 
-def _selection_effect(s: SparkSession, d: str) -> DataFrame:
-    post = (F.col("timestamp_utc") >= ts("2024-01-14 23:00:00")).alias("post")
-    rows, out = _sequenced(s, d), None
-    for stage, r in (("before", rows), ("after", docs.select_sequence(rows))):
-        n = checks.duplicate_keys(r, ["timestamp_utc"]).groupBy(post).agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_rows")).withColumn("stage", F.lit(stage))
-        out = n if out is None else out.unionByName(n)
-    return out
+
+def _sequenced(s: SparkSession, d: str) -> DataFrame:
+    return ad.events(s, d).select("event_id", F.date_trunc("hour", "ts").alias("timestamp_utc"), "value", F.nullif(F.col("event_id") % 3, F.lit(0)).alias("sequence"))
 
 
 _SEQ = "sq AS (SELECT event_id, date_trunc('hour', ts) AS t, value, nullif(event_id % 3, 0) AS sequence FROM events), k AS (SELECT * FROM sq WHERE sequence IS NULL OR sequence = 1)"
 _DUP = "SELECT '{0}' AS stage, t >= TIMESTAMP '2024-01-14 23:00:00' AS post, count(*) AS n_keys, sum(n) AS n_rows FROM (SELECT t, count(*) AS n FROM {1} GROUP BY 1 HAVING n > 1) GROUP BY 2"
-register("aud_selection_effect", "stage:s post:b n_keys:i n_rows:i", _selection_effect, f"{_SEQ} ;; {_DUP.format('before', 'sq')} UNION ALL {_DUP.format('after', 'k')}")
+register("aud_selection_effect", "stage:s post:b n_keys:i n_rows:i", lambda s, d: docs.selection_effect(_sequenced(s, d), ts("2024-01-14 23:00:00")), f"{_SEQ} ;; {_DUP.format('before', 'sq')} UNION ALL {_DUP.format('after', 'k')}")
 register("sel_sequence", "event_id:i value:f", lambda s, d: docs.select_sequence(_sequenced(s, d)), f"{_SEQ} ;; SELECT event_id, value FROM k")
 
 # --- outputs, written into the shared folder and read back ------------------------------------------
@@ -186,11 +205,14 @@ def _audit_dates(s: SparkSession, d: str) -> DataFrame:
     return checks.disagreement_dates(rows.where("abs_diff > 0.01"), timeseries.dst_days(rows), 6)
 
 
+_PLACES = "[round_even(i * (n - 1) / (sl - 1), 0)::BIGINT FOR i IN range(sl)]"
 register("smp_audit_dates", f"{_DAYS} reason:s", _audit_dates,
-         f"""{ad.A1}, dd AS (SELECT series_id, {B('t')}::DATE AS d, count(*) AS n FROM a1 GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d) AS up, row_number() OVER (PARTITION BY series_id ORDER BY d DESC) AS down, row_number() OVER (PARTITION BY series_id ORDER BY n, d) AS few, row_number() OVER (PARTITION BY series_id ORDER BY n DESC, d) AS many FROM dd),
-p AS (SELECT *, CASE WHEN up = 1 THEN 0 WHEN down = 1 THEN 1 WHEN few = 1 THEN 2 WHEN many = 1 THEN 3 ELSE 4 END AS pr FROM r), q AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pr, few) AS rn FROM p)
-;; SELECT series_id, d AS delivery_date, ['first', 'last', 'fewest', 'most', 'few'][pr + 1] AS reason FROM q WHERE rn <= 6""")
+         f"""{ad.A6}, dd AS (SELECT {B('t')}::DATE AS d, max(abs(price_seq1 - price_seq2)) AS gap FROM a6 WHERE abs(price_seq1 - price_seq2) > 0.01 GROUP BY 1),
+ds AS (SELECT {B('t')}::DATE AS d FROM a6 GROUP BY 1 HAVING count(DISTINCT epoch({B('t')}) - epoch(t)) > 1),
+r AS (SELECT *, count(*) OVER () AS n, least(6, count(*) OVER ()) AS sl, row_number() OVER (ORDER BY d) AS up, row_number() OVER (ORDER BY gap DESC, d) AS large, row_number() OVER (ORDER BY gap, d) AS small FROM dd),
+p AS (SELECT *, CASE WHEN d IN (SELECT d FROM ds) THEN 0 WHEN up = 1 THEN 1 WHEN up = n THEN 2 WHEN large = 1 THEN 3 WHEN small = 1 THEN 4 WHEN list_contains({_PLACES}, up - 1) THEN 5 ELSE 6 END AS pr FROM r),
+q AS (SELECT *, row_number() OVER (ORDER BY pr, CASE WHEN pr = 6 THEN large ELSE up END) AS rn FROM p)
+;; SELECT 'events' AS series_id, d AS delivery_date, ['dst', 'first', 'last', 'largest', 'smallest', 'spaced', 'rest'][pr + 1] AS reason FROM q WHERE rn <= 6""")
 
 # --- folds and forecasts ----------------------------------------------------------------------------
 _W = "w AS (SELECT strftime(wk, '%Y-%m-%d') AS name, wk::TIMESTAMP AS wk, min(t) AS first FROM (SELECT date_trunc('week', t) AS wk, t FROM a1) GROUP BY 1, 2)"
@@ -205,11 +227,16 @@ def _weeks(s: SparkSession, d: str) -> DataFrame:
 
 register("spl_validate", "name:s other:s rule:s", lambda s, d: splits.violations(_weeks(s, d)),
          f"{ad.A1}, {_W} ;; SELECT name, NULL AS other, 'order' AS rule FROM w UNION ALL SELECT a.name, b.name, 'overlap' FROM w a JOIN w b ON a.name < b.name AND b.wk < a.wk + INTERVAL 8 DAY")
-register("spl_final_and_holdout", "role:s series_id:s n:i price:f", lambda s, d: ad.a1(s, d).withColumn("role", F.when(F.col("timestamp_utc") < ts("2024-01-22"), "final_train").otherwise("holdout")).groupBy("role", "series_id").agg(F.count("*").alias("n"), F.sum("price").alias("price")),
+register("spl_final_and_holdout", "role:s series_id:s n:i price:f", lambda s, d: splits.final_and_holdout(ad.a1(s, d), ts("2024-01-22")).groupBy("role", "series_id").agg(F.count("*").alias("n"), F.sum("price").alias("price")),
          f"{ad.A1} ;; SELECT CASE WHEN t < TIMESTAMP '2024-01-22' THEN 'final_train' ELSE 'holdout' END AS role, series_id, count(*) AS n, sum(price) AS price FROM a1 GROUP BY 1, 2")
 register("spl_row_cv", "series_id:s fold:i train_rows:i test_rows:i test_start:t test_end:t", lambda s, d: splits.row_cv(ad.a1(s, d), 3),
          f"{ad.A1}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS n FROM a1), f AS (SELECT *, n // 4 AS test, n - (3 - fold) * (n // 4) AS st FROM r, (SELECT unnest([0, 1, 2]) AS fold)) ;; SELECT series_id, fold, count(*) FILTER (r < st) AS train_rows, count(*) FILTER (r >= st AND r < st + test) AS test_rows, min(t) FILTER (r >= st AND r < st + test) AS test_start, max(t) FILTER (r >= st AND r < st + test) AS test_end FROM f GROUP BY 1, 2")
-register("set_union_folds", "fold:i n:i n_keys:i", lambda s, d: ad.a5(s, d).where("fold = 2").unionByName(ad.a5(s, d).where("fold = 3")).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("series_id", "timestamp_utc").alias("n_keys")),
+def _stacked(s: SparkSession, d: str) -> DataFrame:
+    rows = saved(ad.a5(s, d))
+    return splits.stack_folds({str(n): rows.where(F.col("fold") == n) for n in (2, 3)})
+
+
+register("set_union_folds", "fold:i n:i n_keys:i", lambda s, d: _stacked(s, d).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("series_id", "timestamp_utc").alias("n_keys")),
          f"{ad.A5} ;; SELECT fold, count(*) AS n, count(DISTINCT (series_id, t)) AS n_keys FROM a5 WHERE fold IN (2, 3) GROUP BY 1")
 
 
@@ -221,24 +248,39 @@ def _naive(s: SparkSession, d: str) -> DataFrame:
 _NAIVE = f"{ad.REG}, nv AS (SELECT r.series_id, r.t, CASE WHEN {B('(r.t - INTERVAL 24 HOUR)')}::DATE < {B('r.t')}::DATE THEN p.price END AS lag_24, q.price AS lag_168, isodow({B('r.t')}) AS dow FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id AND p.t + INTERVAL 24 HOUR = r.t LEFT JOIN reg q ON q.series_id = r.series_id AND q.t + INTERVAL 168 HOUR = r.t)"
 register("ml_naive", f"{KEY} lag_24:f lag_168:f", _naive, f"{_NAIVE} ;; SELECT series_id, t AS timestamp_utc, lag_24, lag_168 FROM nv")
 register("ml_weekday_naive", f"{KEY} weekday_pred:f", _naive, f"{_NAIVE} ;; SELECT series_id, t AS timestamp_utc, CASE WHEN dow BETWEEN 2 AND 5 THEN lag_24 ELSE lag_168 END AS weekday_pred FROM nv")
-register("ml_evaluate_fold", "model:s fold:i n:i mae:f rmse:f median_ae:f", lambda s, d: metrics.point_metrics(_scored(s, d).where("fold is not null"), ["model", "fold"]), f"{ad.A5}, {_LONG} ;; SELECT model, fold, {_METRIC} FROM k WHERE fold IS NOT NULL GROUP BY 1, 2")
+def _evaluated(s: SparkSession, d: str) -> DataFrame:
+    """The lag and a linear model fitted on the folds before, on the same rows."""
+    rows, features = ad.a5(s, d).select(*ROWS, "price", "pred_full", "pred_alt", "fold"), ["pred_full", "pred_alt"]
+    fits = {"lag": lambda train: forecast.Naive("pred_full"), "linear": lambda train: forecast.elastic_net(train, features, "price", 0.0, 0.5)}
+    made = forecast.evaluate_folds(rows, features, "price", fits, [2, 3, 4], ROWS)
+    return metrics.point_metrics(made, ["model", "fold"])
+
+
+register("ml_evaluate_fold", "model:s fold:i n:i mae:f rmse:f median_ae:f", _evaluated,
+         f"{ad.A5}, cr AS (SELECT coalesce(fold, 0) AS f, price AS y, pred_full AS a, pred_alt AS b FROM a5 WHERE price IS NOT NULL AND pred_full IS NOT NULL AND pred_alt IS NOT NULL), "
+         "mo AS (SELECT i, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS bb FROM cr JOIN (SELECT unnest([2, 3, 4]) AS i) ON f < i GROUP BY i), "
+         "so AS (SELECT *, (ay * vb - bb * ab) / (va * vb - ab * ab) AS wa, (bb * va - ay * ab) / (va * vb - ab * ab) AS wb FROM mo), "
+         f"k AS (SELECT 'lag' AS model, f AS fold, y AS price, a AS p FROM cr WHERE f >= 2 UNION ALL SELECT 'linear', f, y, my + wa * (a - ma) + wb * (b - mb) FROM cr JOIN so ON so.i = cr.f) ;; SELECT model, fold, {_METRIC} FROM k GROUP BY 1, 2")
 
 # --- uncertainty ------------------------------------------------------------------------------------
 register("unc_interval_score", f"{KEY} score:f", lambda s, d: ad.a5(s, d).where("L is not null and price is not null").withColumn("score", fn.winkler(F.col("price"), F.col("L"), F.col("U"), 0.2)),
          f"{ad.A5} ;; SELECT series_id, t AS timestamp_utc, (u - l) + (greatest(l - price, 0) + greatest(price - u, 0)) * 10 AS score FROM a5 WHERE l IS NOT NULL AND price IS NOT NULL")
 register("unc_day_safe_offset", f"{_DAYS} q10:f q50:f q90:f", lambda s, d: uncertainty.day_safe_quantiles(ad.a5(s, d), "residual", 7, 1), f"{ad.A5} ;; SELECT series_id, d AS delivery_date, q10, q50, q90 FROM q")
 register("unc_sequential_update", f"{_DAYS} q10:f q50:f q90:f", lambda s, d: uncertainty.day_safe_quantiles(ad.a5(s, d).where("fold is not null"), "residual", 7, 1),
-         f"{ad.A5}, f AS (SELECT series_id, d, residual AS r, unnest(generate_series(1, 7)) AS k FROM rolled WHERE residual IS NOT NULL AND fold IS NOT NULL) ;; SELECT series_id, (d + k::INT)::DATE AS delivery_date, quantile_cont(r, 0.1) AS q10, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 0.9) AS q90 FROM f GROUP BY 1, 2")
+         f"{ad.A5}, f AS (SELECT series_id, d, residual AS r, unnest(generate_series(1, 7)) AS k FROM rolled WHERE isfinite(residual) AND fold IS NOT NULL) ;; SELECT series_id, (d + k::INT)::DATE AS delivery_date, quantile_cont(r, 0.1) AS q10, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 0.9) AS q90 FROM f GROUP BY 1, 2")
 register("fn_price_bounds", f"{KEY} L:f U:f", lambda s, d: uncertainty.attach_bounds(ad.a5(s, d).select(*ROWS, "pred_alt"), "pred_alt", uncertainty.day_safe_quantiles(ad.a5(s, d), "residual", 7, 1)),
          f"{ad.A5} ;; SELECT series_id, t AS timestamp_utc, pred_alt + q10 AS L, pred_alt + q90 AS U FROM a5")
-_TIERS = f"{ad.A5}, sa AS (SELECT series_id, d, price - pred_alt AS r, unnest(generate_series(1, 7)) AS k FROM rolled WHERE price - pred_alt IS NOT NULL), qa AS (SELECT series_id, (d + k::INT)::DATE AS d, quantile_cont(r, 0.1) AS a10, quantile_cont(r, 0.9) AS a90 FROM sa GROUP BY 1, 2), tt AS (SELECT a5.*, a10, a90 FROM a5 LEFT JOIN qa ON qa.series_id = a5.series_id AND qa.d = a5.d)"
+_TIERS = f"{ad.A5}, {ad.QA}, tt AS (SELECT a5.*, a10, a90 FROM a5 LEFT JOIN qa ON qa.series_id = a5.series_id AND qa.d = a5.d)"
 
 
 def _tiers(s: SparkSession, d: str) -> DataFrame:
-    rows = ad.a5(s, d)
-    off = {n: uncertainty.day_safe_quantiles(rows.withColumn("r", F.col("price") - F.col(p)), "r", 7, 1, (0.1, 0.9)).withColumnsRenamed({"q10": f"{n}10", "q90": f"{n}90"}) for n, p in (("f", "pred_full"), ("a", "pred_alt"))}
-    day = ["series_id", "delivery_date"]
-    return forecast.day_of(rows.select(*ROWS, "price", "pred_full", "pred_alt")).join(off["f"], day, "left").join(off["a"], day, "left")
+    """Predictions with the offsets of each model's residuals, attached by day."""
+    rows = saved(ad.a5(s, d))
+    out = forecast.day_of(rows.select(*ROWS, "price", "pred_full", "pred_alt"))
+    for n, p in (("f", "pred_full"), ("a", "pred_alt")):
+        off = uncertainty.day_safe_quantiles(rows.withColumn("r", F.col("price") - F.col(p)), "r", 7, 1, (0.1, 0.9))
+        out = out.join(off.withColumnsRenamed({"q10": f"{n}10", "q90": f"{n}90"}), ["series_id", "delivery_date"], "left")
+    return out
 
 
 def _crossed(s: SparkSession, d: str, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -258,92 +300,161 @@ register("jn_left_attach_bounds", f"{KEY} f10:f f90:f a10:f a90:f", _tiers, f"{_
 
 def _pairs_of(s: SparkSession, d: str, naive: bool) -> DataFrame:
     rows = decisions.positions(ad.complete(s, d)).select("series_id", "delivery_date", "pos", F.col("pred_full").alias("bid"), F.col("pred_full").alias("ask"), F.lit(0.85).alias("eta"), F.lit(18.5).alias("cost"))
+    rows = saved(rows) if naive else rows
     return (decisions.best_pair_naive if naive else decisions.best_pair)(rows, ["series_id", "delivery_date"])
 
 
 _BEST = f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, CASE WHEN score > 0 THEN i END AS i, CASE WHEN score > 0 THEN j END AS j, CASE WHEN score > 0 THEN score END AS score FROM best WHERE strategy = 'S1'"
-for _name, _naive_way in (("st_best_pair", False), ("st_best_pair_naive", True), ("jn_self_pair_theta", True)):
+for _name, _naive_way in (("st_best_pair", False), ("st_best_pair_naive", True)):
     register(_name, f"{_DAYS} i:i j:i score:f", lambda s, d, w=_naive_way: _pairs_of(s, d, w), _BEST)
+
+
+def _all_pairs(s: SparkSession, d: str) -> DataFrame:
+    """How many ordered pairs each day has, how many of them pay, and the mean of their scores."""
+    rows = saved(decisions.positions(ad.complete(s, d)).select("series_id", "delivery_date", "pos", F.col("pred_full").alias("bid"), F.col("pred_full").alias("ask"), F.lit(0.85).alias("eta"), F.lit(18.5).alias("cost")))
+    pairs = decisions.all_pairs(rows, ["series_id", "delivery_date"])
+    return pairs.groupBy("series_id", "delivery_date").agg(F.count("*").alias("n_pairs"), F.sum((F.col("score") > 0).cast("long")).alias("n_paying"), F.avg("score").alias("mean_score"))
+
+
+register("jn_self_pair_theta", f"{_DAYS} n_pairs:i n_paying:i mean_score:f", _all_pairs,
+         f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, count(*) AS n_pairs, count(*) FILTER (score > 0) AS n_paying, avg(score) AS mean_score FROM pairs WHERE strategy = 'S1' GROUP BY 1, 2")
 register("st_realized", f"{_DAYS} gross_pnl:f net_pnl:f", lambda s, d: ad.a7(s, d).where("strategy = 'S2'"), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, gross_pnl, net_pnl FROM a7 WHERE strategy = 'S2'")
 register("st_oracle", f"{_DAYS} oracle_pnl:f", lambda s, d: ad.a7(s, d).where("strategy = 'S0'"), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, net_pnl AS oracle_pnl FROM done WHERE strategy = 'oracle'")
-register("st_invariants", f"{_DAYS} strategy:s", lambda s, d: ad.a7(s, d).where("i >= j or net_pnl > oracle_pnl + 1e-6"), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, strategy FROM a7 WHERE i >= j OR net_pnl > oracle_pnl + 1e-6")
-register("st_input_checks", f"{_DAYS} n_hours:i n_price:i n_bounds:i", lambda s, d: ad.a5(s, d).groupBy("series_id", "delivery_date").agg(F.count("*").alias("n_hours"), F.count("price").alias("n_price"), F.count("L").alias("n_bounds")).where("n_hours not in (23, 24, 25) or n_price < n_hours or n_bounds < n_hours"),
-         f"{ad.A5} ;; SELECT series_id, d AS delivery_date, count(*) AS n_hours, count(price) AS n_price, count(l) AS n_bounds FROM a5 GROUP BY 1, 2 HAVING n_hours NOT IN (23, 24, 25) OR n_price < n_hours OR n_bounds < n_hours")
-register("risk_loss", f"{_DAYS} strategy:s loss:f", lambda s, d: ad.a7(s, d).withColumn("loss", -F.col("net_pnl")), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, strategy, -net_pnl AS loss FROM a7")
-_model = lambda s, d, m: metrics.point_metrics(_scored(s, d), ["series_id", "model"]).where(F.col("model") == m).select("series_id", "mae", "rmse")
+def _swapped(days: DataFrame) -> DataFrame:
+    """Results of which some days' pairs are turned over and some results lifted above the oracle's."""
+    day, high = F.dayofmonth("delivery_date"), F.col("oracle_pnl") + 0.01
+    turn = lambda a, b: F.when(day % 4 == 1, F.col(b)).otherwise(F.col(a)).alias(a)
+    return days.select("series_id", "delivery_date", "strategy", turn("i", "j"), turn("j", "i"), F.when((F.col("strategy") == "S3") & (day % 6 == 2), high).otherwise(F.col("net_pnl")).alias("net_pnl"), "oracle_pnl")
+
+
+register("st_invariants", f"{_DAYS} strategy:s", lambda s, d: decisions.invariant_violations(_swapped(ad.a7(s, d))),
+         f"{ad.a7_sql()}, sw AS (SELECT series_id, d, strategy, CASE WHEN day(d) % 4 = 1 THEN j ELSE i END AS i, CASE WHEN day(d) % 4 = 1 THEN i ELSE j END AS j, CASE WHEN strategy = 'S3' AND day(d) % 6 = 2 THEN oracle_pnl + 0.01 ELSE net_pnl END AS net_pnl, oracle_pnl FROM a7) ;; SELECT series_id, d AS delivery_date, strategy FROM sw WHERE i >= j OR net_pnl > oracle_pnl + 1e-6")
+register("st_invariants_clean", f"{_DAYS} strategy:s", lambda s, d: decisions.invariant_violations(ad.a7(s, d)), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, strategy FROM a7 WHERE i >= j OR net_pnl > oracle_pnl + 1e-6")
+register("st_input_checks", f"{_DAYS} n_hours:i n_price:i n_L:i", lambda s, d: decisions.input_violations(ad.a5(s, d), ["price", "L"]),
+         f"{ad.A5} ;; SELECT series_id, d AS delivery_date, count(*) AS n_hours, count(price) AS n_price, count(l) AS n_L FROM a5 GROUP BY 1, 2 HAVING n_hours NOT IN (23, 24, 25) OR n_price < n_hours OR n_L < n_hours")
+register("risk_loss", f"{_DAYS} strategy:s loss:f", lambda s, d: reports.losses(ad.a7(s, d)), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, strategy, -net_pnl AS loss FROM a7")
+
+
+def _changes(s: SparkSession, d: str) -> DataFrame:
+    scores = saved(metrics.point_metrics(_scored(s, d), ["series_id", "model"]))
+    old, new = (scores.where(F.col("model") == m).select("series_id", "mae", "rmse") for m in ("pred_full", "pred_alt"))
+    return reports.table_diff(old, new, ["series_id"])
+
+
 _DIFF = f"""{ad.A5}, {_LONG}, pm AS (SELECT series_id, model, {_METRIC} FROM k GROUP BY 1, 2), lg2 AS (SELECT series_id, model, 'mae' AS "column", mae AS v FROM pm UNION ALL SELECT series_id, model, 'rmse', rmse FROM pm),
 df AS (SELECT o.series_id, o."column", o.v AS old, n.v AS new, n.v - o.v AS diff, (n.v - o.v) / o.v * 100 AS pct FROM lg2 o JOIN lg2 n ON o.series_id = n.series_id AND o."column" = n."column" WHERE o.model = 'pred_full' AND n.model = 'pred_alt')"""
-register("rep_table_diff", "series_id:s column:s old:f new:f diff:f pct:f", lambda s, d: reports.table_diff(_model(s, d, "pred_full"), _model(s, d, "pred_alt"), ["series_id"]), f"{_DIFF} ;; SELECT * FROM df")
-register("top_changes", "series_id:s column:s pct:f", lambda s, d: reports.table_diff(_model(s, d, "pred_full"), _model(s, d, "pred_alt"), ["series_id"]).withColumn("rn", F.row_number().over(Window.partitionBy("column").orderBy(F.abs("pct").desc(), "series_id"))).where("rn <= 3"),
+register("rep_table_diff", "series_id:s column:s old:f new:f diff:f pct:f", lambda s, d: _changes(s, d), f"{_DIFF} ;; SELECT * FROM df")
+register("top_changes", "series_id:s column:s pct:f", lambda s, d: reports.largest_changes(_changes(s, d), 3),
          f'{_DIFF}, r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY abs(pct) DESC, series_id) AS rn FROM df) ;; SELECT * FROM r WHERE rn <= 3')
-register("fn_display_format", "strategy:s shown:s", lambda s, d: ad.a7(s, d).groupBy("strategy").agg(F.sum("net_pnl").alias("x"), F.bool_or("traded").alias("on")).select("strategy", F.when(F.col("on"), F.format_number(F.round(F.col("x") + 1.2345e-9, 2), 2)).otherwise("N/A").alias("shown")),
-         f"{ad.a7_sql()} ;; SELECT strategy, CASE WHEN bool_or(traded) THEN format('{{:,.2f}}', round(sum(net_pnl) + 1.2345e-9, 2)) ELSE 'N/A' END AS shown FROM a7 GROUP BY 1")
-register("chk_pnl_rows", "rule:s violations:i", lambda s, d: checks.conditions(ad.a7(s, d), {"no_day": "delivery_date is null", "outside": "delivery_date < date'2024-01-20'", "not_finite": "isnan(net_pnl)", "s0": "strategy = 'S0' and net_pnl <> 0"}),
-         f"{ad.a7_sql()} ;; SELECT 'outside' AS rule, count(*) AS violations FROM a7 WHERE d < DATE '2024-01-20' HAVING count(*) > 0")
-register("chk_reproduction", "field:s mismatches:i", lambda s, d: checks.reproduction(ad.a7(s, d), ad.a7(s, d).where("strategy <> 'S5'").withColumn("net_pnl", F.col("net_pnl") + F.when(F.col("strategy") == "S3", 0.01).otherwise(0.0)), ["series_id", "delivery_date", "strategy"], ["traded"], ["net_pnl", "gross_pnl"]),
+_SHOWN = lambda c, kind: fn.display(F.col(c) + F.lit(1.2345e-9), kind).alias(c)
+register("fn_display_format", "strategy:s net:s hit_rate:s traded_days:s", lambda s, d: reports.primary_table(ad.a7(s, d), ["strategy"]).select("strategy", _SHOWN("net", "eur"), _SHOWN("hit_rate", "percent"), fn.display(F.col("traded_days"), "count").alias("traded_days")),
+         f"{ad.a7_sql()}, p AS (SELECT strategy, sum(net_pnl) + 1.2345e-9 AS net, avg((net_pnl > 0)::INT) FILTER (traded) + 1.2345e-9 AS hit, count(*) FILTER (traded) AS n FROM a7 GROUP BY 1) ;; "
+         "SELECT strategy, format('EUR {{:,.2f}}', net) AS net, coalesce(format('{{:.1f}}%', hit * 100), 'N/A') AS hit_rate, format('{{:,}}', n) AS traded_days FROM p".replace("{{", "{").replace("}}", "}"))
+register("chk_pnl_rows", "rule:s violations:i", lambda s, d: checks.pnl_violations(saved(ad.broken(ad.a7(s, d))), "2024-01-25"),
+         f"{ad.a7_sql()}, {ad.BROKEN} ;; SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) AS violations FROM br WHERE {c}" for r, c in {"null_day": "d IS NULL", "holdout": "d >= DATE '2024-01-25'", "not_finite": "NOT isfinite(net_pnl)", "s0": "strategy = 'S0' AND net_pnl <> 0"}.items())
+         + " UNION ALL SELECT 'duplicate_day', sum(n - 1) FROM (SELECT count(*) AS n FROM br GROUP BY series_id, d, strategy HAVING count(*) > 1)) WHERE violations > 0")
+def _twice(s: SparkSession, d: str, change) -> tuple[DataFrame, DataFrame]:
+    rows = saved(ad.a7(s, d))
+    return rows, change(rows)
+
+
+register("chk_reproduction", "field:s mismatches:i", lambda s, d: checks.reproduction(*_twice(s, d, lambda r: r.where("strategy <> 'S5'").withColumn("net_pnl", F.col("net_pnl") + F.when(F.col("strategy") == "S3", 0.01).otherwise(0.0))), ["series_id", "delivery_date", "strategy"], ["traded"], ["net_pnl", "gross_pnl"]),
          f"{ad.a7_sql()} ;; SELECT 'only_saved' AS field, count(*) FILTER (strategy = 'S5') AS mismatches FROM a7 UNION ALL SELECT 'only_computed', 0 UNION ALL SELECT 'traded', 0 UNION ALL SELECT 'net_pnl', count(*) FILTER (strategy = 'S3') FROM a7 UNION ALL SELECT 'gross_pnl', 0")
-register("chk_exact_coverage", "series_id:s n:i n_keys:i n_missing:i n_null:i", lambda s, d: timeseries.regularize(ad.a1(s, d)).groupBy("series_id").agg(F.count("*").alias("n"), F.count_distinct("timestamp_utc").alias("n_keys"), F.sum(F.col("price").isNull().cast("long")).alias("n_null"), (F.lit(720) - F.count("*")).alias("n_missing")),
-         f"{ad.REG} ;; SELECT series_id, count(*) AS n, count(DISTINCT t) AS n_keys, 720 - count(*) AS n_missing, count(*) FILTER (price IS NULL) AS n_null FROM reg GROUP BY 1")
-register("chk_metric_reproduction", "series_id:s column:s pct:f", lambda s, d: reports.table_diff(_model(s, d, "pred_full"), _model(s, d, "pred_alt"), ["series_id"]).where("abs(pct) > 0.1"), f"{_DIFF} ;; SELECT * FROM df WHERE abs(pct) > 0.1")
-register("chk_artifact_consistency", "series_id:s strategy:s daily:f grid:f",
-         lambda s, d: ad.a7(s, d).groupBy("series_id", "strategy").agg(F.sum("net_pnl").alias("daily")).join(ad.a7(s, d, _CELLS).where("eta = 0.8 and c = 10").groupBy("series_id", "strategy").agg(F.sum("net_pnl").alias("grid")), ["series_id", "strategy"]).where("abs(daily - grid) > 1e-6"),
-         f"{ad.a7_sql([(0.85, 10.0), (0.80, 10.0)])}, g AS (SELECT series_id, strategy, sum(net_pnl) FILTER (eta = 0.85) AS daily, sum(net_pnl) FILTER (eta = 0.8) AS grid FROM a7 GROUP BY 1, 2) ;; SELECT * FROM g WHERE abs(daily - grid) > 1e-6")
-_COUNTS = lambda v: [("n_rows", F.count("*")), ("n_hours", F.count_distinct(F.date_trunc("hour", "ts")))]
-register("cln_report", "series_id:s n_rows:i n_hours:i n_duplicates:i n_gaps:i",
-         lambda s, d: ad.events(s, d).groupBy(F.col("event_type").alias("series_id")).agg(*[x.alias(n) for n, x in _COUNTS(0)], ((F.unix_timestamp(F.date_trunc("hour", F.max("ts"))) - F.unix_timestamp(F.date_trunc("hour", F.min("ts")))) / 3600 + 1).alias("span")).withColumns({"n_duplicates": F.col("n_rows") - F.col("n_hours"), "n_gaps": F.col("span") - F.col("n_hours")}),
-         "SELECT event_type AS series_id, count(*) AS n_rows, count(DISTINCT date_trunc('hour', ts)) AS n_hours, count(*) - count(DISTINCT date_trunc('hour', ts)) AS n_duplicates, date_diff('hour', min(ts), max(ts)) + 1 - count(DISTINCT date_trunc('hour', ts)) AS n_gaps FROM events GROUP BY 1")
+def _holed(s: SparkSession, d: str) -> DataFrame:
+    """Hours of which some are there twice and some lack their price."""
+    rows = ad.a1(s, d)
+    none = (F.hour("timestamp_utc") == 5) & (F.dayofmonth("timestamp_utc") % 3 == 0)
+    return rows.withColumn("price", F.when(~none, F.col("price"))).unionByName(rows.where("hour(timestamp_utc) = 7"))
+
+
+register("chk_exact_coverage", "series_id:s rule:s violations:i", lambda s, d: checks.coverage_violations(_holed(s, d), "2024-01-02", "2024-01-30"),
+         f"""{ad.A1}, ho AS (SELECT series_id, t, CASE WHEN hour(t) = 5 AND day(t) % 3 = 0 THEN NULL ELSE price END AS price FROM a1 UNION ALL SELECT series_id, t, price FROM a1 WHERE hour(t) = 7),
+ex AS (SELECT series_id, t, {B('t')}::DATE AS d FROM (SELECT DISTINCT series_id, unnest(generate_series(TIMESTAMP '2024-01-01 23:00:00', TIMESTAMP '2024-01-29 22:00:00', INTERVAL 1 HOUR)) AS t FROM a1)),
+se AS (SELECT series_id, t, {B('t')}::DATE AS d, count(*) AS n, count(*) - count(price) AS bad FROM ho GROUP BY 1, 2, 3),
+bo AS (SELECT coalesce(ex.series_id, se.series_id) AS series_id, coalesce(ex.d, se.d) AS d, ex.t IS NOT NULL AS w, se.t IS NOT NULL AS f, coalesce(n - 1, 0) AS twice, coalesce(bad, 0) AS bad FROM ex FULL JOIN se ON se.series_id = ex.series_id AND se.t = ex.t),
+dy AS (SELECT series_id, d, sum(twice) AS duplicate_hours, count(*) FILTER (w AND NOT f) AS missing_hours, count(*) FILTER (f AND NOT w) AS extra_hours, sum(bad) AS bad_targets, (bool_or(w) AND NOT bool_or(f))::INT AS missing_days, (bool_or(f) AND NOT bool_or(w))::INT AS extra_days FROM bo GROUP BY 1, 2),
+su AS (SELECT series_id, sum(duplicate_hours)::BIGINT AS duplicate_hours, sum(missing_hours)::BIGINT AS missing_hours, sum(extra_hours)::BIGINT AS extra_hours, sum(bad_targets)::BIGINT AS bad_targets, sum(missing_days)::BIGINT AS missing_days, sum(extra_days)::BIGINT AS extra_days FROM dy GROUP BY 1)
+;; SELECT * FROM (UNPIVOT su ON duplicate_hours, missing_hours, extra_hours, bad_targets, missing_days, extra_days INTO NAME rule VALUE violations) WHERE violations > 0""")
+register("chk_metric_reproduction", "series_id:s column:s pct:f", lambda s, d: _changes(s, d).where("abs(pct) > 0.1"), f"{_DIFF} ;; SELECT * FROM df WHERE abs(pct) > 0.1")
+def _artifacts(s: SparkSession, d: str) -> DataFrame:
+    """Hourly, per-day and grid tables of one run; the per-day table lacks a day, has another number of hours on one
+    and another result of S2 on the 21st."""
+    hours, day = saved(ad.complete(s, d)), F.dayofmonth("delivery_date")
+    days = decisions.backtest(hours, ad.RULES, [(ad.ETA, ad.C)])
+    grid = decisions.backtest(hours, ad.RULES, _CELLS).where((F.col("eta") == ad.ETA) & (F.col("c") == ad.C)).groupBy("series_id", "strategy").agg(F.sum("net_pnl").alias("net_pnl"))
+    days = days.where(day != 23).withColumns({"n_hours": F.when(day == 22, 25).otherwise(F.col("n_hours")), "net_pnl": F.col("net_pnl") + F.when((day == 21) & (F.col("strategy") == "S2"), 0.5).otherwise(0.0)})
+    return checks.artifact_differences(hours, days, grid)
+
+
+register("chk_artifact_consistency", "series_id:s rule:s n:i", _artifacts,
+         f"""{ad.a7_sql(_CELLS)}, b AS (SELECT * FROM a7 WHERE eta = 0.85 AND c = 10), h AS (SELECT DISTINCT series_id, d, n_hours FROM b),
+tt AS (SELECT series_id, strategy, sum(net_pnl) FILTER (day(d) <> 23) + coalesce(0.5 * count(*) FILTER (day(d) = 21 AND strategy = 'S2'), 0) AS x, sum(net_pnl) AS y FROM b GROUP BY 1, 2)
+;; SELECT series_id, 'days' AS rule, count(*) AS n FROM days WHERE day(d) = 23 OR NOT EXISTS (SELECT * FROM h WHERE h.series_id = days.series_id AND h.d = days.d) GROUP BY 1 UNION ALL SELECT series_id, 'n_hours', count(*) FROM h WHERE day(d) = 22 GROUP BY 1 UNION ALL SELECT series_id, 'totals', count(*) FROM tt WHERE abs(x - y) > 1e-6 GROUP BY 1""")
+_PRICED, _LOADED = "purchase", "view"
+
+
+def _raw(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Two sources: prices by the hour before the cutover (one event an hour) and all after, and loads."""
+    rows = ad.events(s, d).select(F.col("event_type").alias("kind"), F.col("ts").alias("timestamp_utc"), F.col("event_id").alias("order"), "value")
+    price = rows.where(F.col("kind") == _PRICED).drop("kind")
+    hourly = price.where(F.col("timestamp_utc") < ts("2024-01-14 23:00:00")).withColumn("timestamp_utc", F.date_trunc("hour", "timestamp_utc"))
+    return {"price": hourly.unionByName(price.where(F.col("timestamp_utc") >= ts("2024-01-14 23:00:00"))), "load_mw": rows.where(F.col("kind") == _LOADED).drop("kind")}
 
 
 def _build(s: SparkSession, d: str) -> DataFrame:
-    """One event of each time, hourly means, merged, flagged and clipped."""
-    raw = ad.events(s, d).select(F.col("event_type").alias("series_id"), F.col("ts").alias("timestamp_utc"), "event_id", "value")
-    hourly = timeseries.resample_hourly(timeseries.dedupe(raw, ROWS, [F.col("event_id")]).select(*ROWS, "value"), "value")
-    sides = [hourly.where(F.col("series_id") == n).select("timestamp_utc", F.col("value").alias(c)) for n, c in (("purchase", "price"), ("view", "load_mw"))]
-    flagged = sides[0].join(sides[1], "timestamp_utc", "full").withColumn("post", F.col("timestamp_utc") >= ts("2024-01-14 23:00:00"))
-    return timeseries.clip_range(flagged, ts("2024-01-02"), ts("2024-01-29"))
+    return timeseries.build_clean(_raw(s, d), "price", ts("2024-01-14 23:00:00"), ts("2024-01-02"), ts("2024-01-29"), most=None)
 
 
-_H = lambda n, c: f"(SELECT date_trunc('hour', ts) AS t, avg(value) AS {c} FROM e WHERE event_type = '{n}' GROUP BY 1)"
-register("cln_build", "timestamp_utc:t price:f load_mw:f post:b", _build,
-         f"""e AS (SELECT event_type, ts, arg_min(value, event_id) AS value FROM events WHERE event_type IN ('purchase', 'view') GROUP BY 1, 2), hh AS (SELECT DISTINCT event_type, date_trunc('hour', ts) AS t FROM e),
-g AS (SELECT DISTINCT unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS t FROM (SELECT event_type, min(t) AS lo, max(t) AS hi FROM hh GROUP BY 1))
-;; SELECT g.t AS timestamp_utc, price, load_mw, g.t >= TIMESTAMP '2024-01-14 23:00:00' AS post FROM g LEFT JOIN {_H('purchase', 'price')} p ON p.t = g.t LEFT JOIN {_H('view', 'load_mw')} v ON v.t = g.t WHERE g.t >= TIMESTAMP '2024-01-02' AND g.t < TIMESTAMP '2024-01-29'""")
-_OF = {"S1": "pred_full", "S2": "pred_alt"}
+_CUT = "TIMESTAMP '2024-01-14 23:00:00'"
+_BUILD = f"""ra AS (SELECT 'price' AS k, CASE WHEN ts < {_CUT} THEN date_trunc('hour', ts) ELSE ts END AS t, event_id, value FROM events WHERE event_type = '{_PRICED}' UNION ALL SELECT 'load_mw', ts, event_id, value FROM events WHERE event_type = '{_LOADED}'),
+dd AS (SELECT k, t, arg_min(value, event_id) AS v FROM ra GROUP BY 1, 2),
+hh AS (SELECT k, date_trunc('hour', t) AS t, avg(v) AS v FROM dd GROUP BY 1, 2),
+g AS (SELECT k, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM hh WHERE k = 'load_mw' OR t >= {_CUT} GROUP BY 1 UNION SELECT k, t FROM hh),
+cl AS (SELECT g.t, max(v) FILTER (g.k = 'price') AS price, max(v) FILTER (g.k = 'load_mw') AS load_mw FROM g LEFT JOIN hh ON hh.k = g.k AND hh.t = g.t WHERE g.t >= TIMESTAMP '2024-01-02' AND g.t < TIMESTAMP '2024-01-29' GROUP BY 1)"""
+register("cln_build", "timestamp_utc:t price:f load_mw:f post:i delivery_date:d hour_local:i weekend:i", _build,
+         f"{_BUILD} ;; SELECT t AS timestamp_utc, price, load_mw, (t >= {_CUT})::INT AS post, {B('t')}::DATE AS delivery_date, hour({B('t')}) AS hour_local, (isodow({B('t')}) >= 6)::INT AS weekend FROM cl")
+register("cln_report", "dataset:s n_raw:i n_keys:i n_duplicates:i n_clean:i n_missing:i", lambda s, d: timeseries.cleaning_report(_raw(s, d), saved(_build(s, d))),
+         f"{_BUILD}, rr AS (SELECT k AS dataset, count(*) AS n_raw, count(DISTINCT t) AS n_keys FROM ra GROUP BY 1), cc AS (SELECT 'price' AS dataset, count(price) AS n_clean, count(*) - count(price) AS n_missing FROM cl UNION ALL SELECT 'load_mw', count(load_mw), count(*) - count(load_mw) FROM cl) ;; SELECT *, n_raw - n_keys AS n_duplicates FROM rr JOIN cc USING (dataset)")
 
 
 def _benchmark(s: SparkSession, d: str) -> DataFrame:
-    errors = metrics.point_metrics(_scored(s, d), ["model"])
-    name = F.create_map(*[F.lit(x) for kv in _OF.items() for x in kv])[F.col("strategy")]
-    value = reports.value_capture(ad.a7(s, d).where(F.col("strategy").isin(*_OF)), ["strategy"]).withColumn("model", name)
-    return errors.join(value, "model").select("model", "mae", "rmse", "net", "capture")
+    return reports.benchmark_summary(metrics.point_metrics(_scored(s, d), ["model"]), ad.a7(s, d), {"pred_full": "S1", "pred_alt": "S2"})
 
 
 register("rep_benchmark_summary", "model:s mae:f rmse:f net:f capture:f", _benchmark,
          f"{ad.a7_sql()}, {_LONG}, pm AS (SELECT model, {_METRIC} FROM k GROUP BY 1), pv AS (SELECT CASE strategy WHEN 'S1' THEN 'pred_full' ELSE 'pred_alt' END AS model, sum(net_pnl) AS net, sum(net_pnl) / sum(oracle_pnl) AS capture FROM a7 WHERE strategy IN ('S1', 'S2') GROUP BY 1) ;; SELECT model, mae, rmse, net, capture FROM pm JOIN pv USING (model)")
 
 
+_WIDTHS = (3, 5, 7)
+
+
 def _profile_windows(s: SparkSession, d: str) -> DataFrame:
-    rows, out = timeseries.add_local_columns(ad.a1(s, d)).select("series_id", "delivery_date", "hour_local", "price"), None
-    for w in (3, 5, 7):
-        made = rows.join(forecast.trailing_profile(ad.a1(s, d), "price", w), ["series_id", "delivery_date", "hour_local"]).groupBy(F.lit(w).alias("window_days")).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("price") - F.col("profile_pred"))).alias("mae"))
-        out = made if out is None else out.unionByName(made)
-    return out.join(_profile_pnl(s, d, (3, 5, 7)), "window_days", "left")
-
-
-def _profile_pnl(s: SparkSession, d: str, windows: tuple[int, ...]) -> DataFrame:
-    """Each window's P&L against those of S2 (full) and S1 (lag 24), on days that all of them forecast whole."""
-    hours, key = ad.complete(s, d).drop("n_hours").withColumn("hour_local", F.hour(fn.local_time(F.col("timestamp_utc")))), ["series_id", "delivery_date", "hour_local"]
-    for w in windows:
-        hours = hours.join(forecast.trailing_profile(ad.a1(s, d), "price", w).withColumnRenamed("profile_pred", f"p{w}"), key, "left")
-    hours = hours.join(decisions.common_days(hours, [f"p{w}" for w in windows]), ["series_id", "delivery_date"])
-    rules = {n: ad.RULES[n] for n in ("S1", "S2")} | {f"p{w}": (f"p{w}", f"p{w}") for w in windows}
-    days = decisions.backtest(hours, rules, s.createDataFrame([(ad.ETA, ad.C)], "eta double, c double"))
-    return reports.profile_gains(days, {f"p{w}": w for w in windows}, "S2", "S1")
-
-
-register("rep_profile_window_table", "window_days:i n:i mae:f", _profile_windows,
-         f"{ad.A1}, r AS (SELECT series_id, {B('t')}::DATE AS day, hour({B('t')}) AS h, price AS v FROM a1), i AS (SELECT series_id, day, row_number() OVER (PARTITION BY series_id ORDER BY day) AS k FROM (SELECT DISTINCT series_id, day FROM r)), rk AS (SELECT r.*, k FROM r JOIN i USING (series_id, day)), pr AS (SELECT w, b.series_id, b.k, a.h, avg(a.v) AS p FROM (SELECT unnest([3, 5, 7]) AS w) ww, i b JOIN rk a ON a.series_id = b.series_id AND a.k < b.k WHERE a.k >= b.k - w GROUP BY ALL) ;; SELECT w AS window_days, count(*) AS n, avg(abs(v - p)) AS mae FROM rk JOIN pr ON pr.series_id = rk.series_id AND pr.k = rk.k AND pr.h = rk.h GROUP BY 1",
-         more="pnl:f full_minus:f gain:f share_of_gain:f")
+    rows, out = saved(timeseries.add_local_columns(ad.a1(s, d)).select("series_id", "timestamp_utc", "delivery_date", "hour_local", "price")), None
+    hours, key = saved(ad.complete(s, d)).drop("n_hours").withColumn("hour_local", F.hour(fn.local_time(F.col("timestamp_utc")))), ["series_id", "delivery_date", "hour_local"]
+    for w in _WIDTHS:
+        made = saved(forecast.trailing_profile(rows, "price", w))
+        score = rows.join(made, key).groupBy(F.lit(w).alias("window_days")).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("price") - F.col("profile_pred"))).alias("mae"))
+        out = score if out is None else out.unionByName(score)
+        hours = hours.join(made.withColumnRenamed("profile_pred", f"p{w}"), key, "left")
+    # P&L beside those of S2 (full) and S1 (lag 24), on days that all of them forecast whole
+    hours = decisions.on_common_days(hours, [f"p{w}" for w in _WIDTHS])
+    rules = {n: ad.RULES[n] for n in ("S1", "S2")} | {f"p{w}": (f"p{w}", f"p{w}") for w in _WIDTHS}
+    gains = reports.profile_gains(decisions.backtest(hours, rules, [(ad.ETA, ad.C)]), {f"p{w}": w for w in _WIDTHS}, "S2", "S1")
+    return out.join(gains, "window_days", "left")
+
+
+_PROFILES = f"""{ad.a7_sql()}, r AS (SELECT series_id, {B('t')}::DATE AS day, hour({B('t')}) AS h, price AS v FROM a1), i AS (SELECT series_id, day, row_number() OVER (PARTITION BY series_id ORDER BY day) AS k FROM (SELECT DISTINCT series_id, day FROM r)), rk AS (SELECT r.*, k FROM r JOIN i USING (series_id, day)),
+pr AS (SELECT w, b.series_id, b.k, b.day, a.h, avg(a.v) AS p FROM (SELECT unnest([3, 5, 7]) AS w) ww, i b JOIN rk a ON a.series_id = b.series_id AND a.k < b.k WHERE a.k >= b.k - w GROUP BY ALL),
+er AS (SELECT w, count(*) AS n, avg(abs(v - p)) AS mae FROM rk JOIN pr ON pr.series_id = rk.series_id AND pr.k = rk.k AND pr.h = rk.h GROUP BY 1),
+hp AS (SELECT x.series_id, x.d, x.pos, x.price, pred_full, pred_alt, max(p) FILTER (w = 3) AS p3, max(p) FILTER (w = 5) AS p5, max(p) FILTER (w = 7) AS p7 FROM placed x LEFT JOIN pr ON pr.series_id = x.series_id AND pr.day = x.d AND pr.h = hour({B('x.t')}) GROUP BY ALL),
+od AS (SELECT series_id, d FROM hp GROUP BY 1, 2 HAVING bool_and(p3 IS NOT NULL AND p5 IS NOT NULL AND p7 IS NOT NULL)),
+pl AS (SELECT hp.series_id, hp.d, pos, price, s, CASE s WHEN 'S1' THEN pred_full WHEN 'S2' THEN pred_alt WHEN 'p3' THEN p3 WHEN 'p5' THEN p5 ELSE p7 END AS f FROM hp JOIN od ON od.series_id = hp.series_id AND od.d = hp.d, (SELECT unnest(['S1', 'S2', 'p3', 'p5', 'p7']) AS s)),
+pp AS (SELECT a.series_id, a.d, a.s, a.price AS p_i, b.price AS p_j, a.pos AS i, b.pos AS j, {ad.ETA} * b.f - a.f - {ad.C} * (1 + {ad.ETA}) AS score FROM pl a JOIN pl b ON a.series_id = b.series_id AND a.d = b.d AND a.s = b.s AND a.pos < b.pos),
+pb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, d, s ORDER BY score DESC, i, j) AS rn FROM pp) WHERE rn = 1),
+pt2 AS (SELECT s, sum(CASE WHEN score > 0 THEN {ad.ETA} * p_j - p_i - {ad.C} * (1 + {ad.ETA}) ELSE 0 END) AS x FROM pb GROUP BY 1),
+tot AS (SELECT max(x) FILTER (s = 'S1') AS base, max(x) FILTER (s = 'S2') AS most FROM pt2)"""
+register("rep_profile_window_table", "window_days:i n:i mae:f pnl:f full_minus:f gain:f share_of_gain:f", _profile_windows,
+         f"{_PROFILES} ;; SELECT w AS window_days, n, mae, x AS pnl, most - x AS full_minus, x - base AS gain, CASE WHEN most <> base THEN (x - base) / (most - base) END AS share_of_gain FROM er LEFT JOIN pt2 ON pt2.s = 'p' || w, tot")
 
 
 def _recorded(s: SparkSession, d: str, odd: bool) -> DataFrame:
