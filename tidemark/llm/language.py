@@ -159,12 +159,13 @@ def identify(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LA
     best = F.array_max("__log")
     mass = F.aggregate("__log", zero, lambda a, x: a + F.exp(x - best))
     place = F.array_position("__log", best)
-    out = fused.select(
-        f"{carried}.*",
+    named = fused.select(
+        carried,
         F.when(F.col("__none"), F.lit(UNKNOWN)).otherwise(F.element_at(F.array(*map(F.lit, names)), place.cast("int"))).alias("language"),
         F.when(F.col("__none"), 1.0).otherwise(1.0 / mass).alias("posterior"),
     )
-    return out.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("posterior") >= least_posterior))
+    kept = (F.col("language") != UNKNOWN) & (F.col("posterior") >= least_posterior)
+    return named.select(carried, "language", "posterior", kept.alias("kept")).select(f"{carried}.*", "language", "posterior", "kept")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
