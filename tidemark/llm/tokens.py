@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,7 @@ class Encoder:
             (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
             spelled = self.tokenizer.id_to_token(self.mark)
             self.cuts = not any(spelled in t and t != spelled for t in self.tokenizer.get_vocab())
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -110,11 +111,12 @@ class Encoder:
             for k, b in zip(whole[i : i + 64], self.whole([texts[k] for k in whole[i : i + 64]])):
                 out[k] = b
         cache = self.cache
-        new = {p for _, pieces in cut for p in pieces if p not in cache}
+        new: set[str] = set()
+        for _, pieces in cut:
+            new.update(filterfalse(cache.__contains__, pieces))
         ended = [p for p in new if p[-1:] in ".,;:!?" and p[-2:-1].isalpha()]
         new.difference_update(ended)
         new.update(c for e in ended for c in (e[:-1], e[-1]) if c not in cache)
-        new.discard("")
         found = {p: self.word(p) for p in new if p.isalpha() or p[0] == " " and p[1:].isalpha()}
         other = new.difference(found)
         # a sign at the start would be joined with the mark before it, and white space at the end be cut by
@@ -125,11 +127,12 @@ class Encoder:
         found.update(zip(alone, self.whole(alone)))
         for e in ended:
             found[e] = (found.get(e[:-1]) or cache[e[:-1]]) + (found.get(e[-1]) or cache[e[-1]])
-        if len(cache) < CACHE:
-            cache.update(found)
-            found = {}
+        cache.update(found)
         for i, pieces in cut:
-            out[i] = b"".join([cache.get(p) or found[p] for p in pieces if p])
+            out[i] = b"".join(map(cache.__getitem__, pieces))
+        if len(cache) > CACHE:
+            for p in found:
+                del cache[p]
         return out
 
 
