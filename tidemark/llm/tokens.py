@@ -18,7 +18,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ BLOCK_BYTES, BLOCK_DOCS = 1 << 19, 2048
 #: that are used, bytes of the dictionary, and compression level.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES, LEVEL = 1000, 8192, 64 * 1024, 3
 #: Pieces whose ids a worker remembers (those it meets first, among them the common ones).
-CACHE = 600_000
+CACHE = 1_200_000
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
@@ -68,6 +67,7 @@ class Encoder:
         # byte-level models show bytes that are no printable characters as those from U+0100 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in printable)}
+        self.space = chr(self.shown[32])
         if self.cuts:
             (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
             spelled = self.tokenizer.id_to_token(self.mark)
@@ -93,7 +93,11 @@ class Encoder:
     def word(self, piece: str) -> bytes:
         """Ids of a piece of letters after at most one space: one unit for the merges of the library's
         model, which takes bytes as printable characters."""
-        found = self.tokenizer.model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown))
+        if piece.isascii():  # letters are shown as they are
+            shown = self.space + piece[1:] if piece[0] == " " else piece
+        else:
+            shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+        found = self.tokenizer.model.tokenize(shown)
         return array(self.code, [t.id for t in found]).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -111,9 +115,10 @@ class Encoder:
             for k, b in zip(whole[i : i + 64], self.whole([texts[k] for k in whole[i : i + 64]])):
                 out[k] = b
         cache = self.cache
-        new: set[str] = set()
-        for _, pieces in cut:
-            new.update(filterfalse(cache.__contains__, pieces))
+        # one look at each piece: the ids of those known, and where the others stand
+        known = [list(map(cache.get, pieces)) for _, pieces in cut]
+        gaps = [[k for k, v in enumerate(got) if v is None] if None in got else [] for got in known]
+        new = {pieces[k] for (_, pieces), at in zip(cut, gaps) for k in at}
         ended = [p for p in new if p[-1:] in ".,;:!?" and p[-2:-1].isalpha()]
         new.difference_update(ended)
         new.update(c for e in ended for c in (e[:-1], e[-1]) if c not in cache)
@@ -127,12 +132,12 @@ class Encoder:
         found.update(zip(alone, self.whole(alone)))
         for e in ended:
             found[e] = (found.get(e[:-1]) or cache[e[:-1]]) + (found.get(e[-1]) or cache[e[-1]])
-        cache.update(found)
-        for i, pieces in cut:
-            out[i] = b"".join(map(cache.__getitem__, pieces))
-        if len(cache) > CACHE:
-            for p in found:
-                del cache[p]
+        for (i, pieces), got, at in zip(cut, known, gaps):
+            for k in at:
+                got[k] = found[pieces[k]]
+            out[i] = b"".join(got)
+        if len(cache) < CACHE:
+            cache.update(found)
         return out
 
 
