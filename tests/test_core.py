@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidemark.functions.columns import draw
-from tidemark.operators import checks, decisions, documents, forecast, metrics, quantiles, reports, splits, timeseries, uncertainty
+from tidemark.operators import checks, decisions, documents, forecast, joins, metrics, quantiles, reports, splits, timeseries, uncertainty
 from tidemark.streaming import dedupe_stream, resample_hourly_stream
 from tidemark.plans import registry
 
@@ -467,3 +467,69 @@ def test_backtest_reads_its_input_once(spark):
     assert plan(adapters.a7(spark, "/root/testdata/sf0.001")).count("Relation [") == 1
     rows = adapters.a5(spark, "/root/testdata/sf0.001")
     assert plan(uncertainty.window_candidates(rows, "pred_full", "residual", [5, 7, 10])).count("Relation [") == 1
+
+
+def test_windows_in_buckets_equal_windows_over_the_series(spark):
+    rows = timeseries.regularize(hours(spark, "2024-03-01T00:00:00", 24 * 60, lambda i: float(i * 37 % 101)).where("hour(timestamp_utc) <> 3 or day(timestamp_utc) % 4 <> 0"))
+    f = lambda df: timeseries.rolling_stats(timeseries.safe_lag(df, "price", 24, "lag"), "lag", 168, "r")
+    whole, cut = (by_time(x, "series_id", "timestamp_utc", "price", "lag", "r_mean", "r_std") for x in (f(rows), timeseries.in_buckets(rows, 14, 24 + 168, f)))
+    assert len(whole) == len(cut) == 24 * 60
+    for a, b in zip(whole, cut):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:])
+    with pytest.raises(ValueError):
+        timeseries.in_buckets(rows, 1, 48, f)
+
+
+def test_joins_by_time_and_day(spark):
+    a, b = hours(spark, "2024-01-01T00:00:00", 5), hours(spark, "2024-01-01T02:00:00", 5, lambda i: 10.0 * i)
+    both = joins.two_models(a, b, ("x", "y"), "price")
+    assert by_time(both, "x", "y") == [(2.0, 0.0), (3.0, 10.0), (4.0, 20.0)]
+    assert [(r.timestamp_utc.hour, r.side) for r in joins.one_sided(a.unionByName(a), b, ["timestamp_utc"]).orderBy("timestamp_utc").collect()] == [(0, "left"), (1, "left"), (5, "right"), (6, "right")]
+    assert by_time(joins.only_in(a, b, ["timestamp_utc"]), "price") == [(0.0,), (1.0,)]
+    assert by_time(joins.lag_join(a, "price", 2, "lag"), "lag") == [(None,), (None,), (0.0,), (1.0,), (2.0,)]
+    days = {str(r.delivery_date): (r.n, r.total) for r in joins.trailing_days(hours(spark, "2024-01-01T23:00:00", 48), "price", 2).collect()}
+    assert days == {"2024-01-03": (24, 276.0), "2024-01-04": (48, 1128.0), "2024-01-05": (24, 852.0)}
+    cells = joins.with_cells(a.limit(1), [(0.8, 5.0), (0.9, 5.0)])
+    assert sorted((r.eta, r.c) for r in cells.collect()) == [(0.8, 5.0), (0.9, 5.0)]
+    with pytest.raises(ValueError):
+        joins.with_cells(a, [(0.8, 5.0)] * 10_001)
+    assert joins.distinct_days(hours(spark, "2024-01-01T22:00:00", 3)).first().n == 2
+    table = spark.createDataFrame([("x", "p", 2.0), ("x", "o", 2.0), ("y", "q", 1.0), ("y", "a", 5.0)], "k string, l string, v double")
+    assert sorted(map(tuple, joins.lowest(table, ["k"], "l", F.col("v")).collect())) == [("x", "o", 2.0), ("y", "q", 1.0)]
+
+
+def test_cleaning_of_several_sources(spark):
+    at = datetime(2024, 1, 1)
+    table = lambda rows: spark.createDataFrame([(at + timedelta(minutes=m), n, v) for m, n, v in rows], "timestamp_utc timestamp, order long, value double")
+    raw = {"price": table([(0, 1, 10.0), (60, 2, 20.0), (120, 3, 1.0), (135, 4, 3.0), (135, 5, 99.0), (240, 6, 5.0)]), "load": table([(0, 1, 4.0), (30, 2, 6.0), (120, 3, 8.0), (300, 4, 9.0)])}
+    cut = F.to_timestamp(F.lit("2024-01-01 02:00:00"))
+    got = timeseries.build_clean(raw, "price", cut, F.to_timestamp(F.lit("2024-01-01")), F.to_timestamp(F.lit("2024-01-01 05:00:00")), most=0.5)
+    # prices pass as they are before the cutover and are hourly means after it; one row a time, the first in order
+    assert by_time(got, "price", "load", "post", "hour_local") == [(10.0, 5.0, 0, 1), (20.0, None, 0, 2), (2.0, 8.0, 1, 3), (None, None, 1, 4), (5.0, None, 1, 5)]
+    report = {r.dataset: tuple(r)[1:] for r in timeseries.cleaning_report(raw, got).collect()}
+    assert report == {"price": (6, 5, 1, 4, 1), "load": (4, 4, 0, 2, 3)}
+    with pytest.raises(ValueError):
+        timeseries.build_clean(raw, "price", cut, cut, cut)
+
+
+def test_artifacts_of_one_run_agree_or_differ(spark):
+    day = datetime(2024, 1, 2).date()
+    hourly = hours(spark, "2024-01-01T23:00:00", 24).withColumn("delivery_date", F.lit(day))
+    days = spark.createDataFrame([("a", day, "S1", 24, 5.0), ("a", day, "S2", 24, 7.0)], "series_id string, delivery_date date, strategy string, n_hours int, net_pnl double")
+    grid = spark.createDataFrame([("a", "S1", 5.0), ("a", "S2", 7.0)], "series_id string, strategy string, net_pnl double")
+    assert checks.artifact_differences(hourly, days, grid).count() == 0
+    off = grid.withColumn("net_pnl", F.col("net_pnl") + 1e-3)
+    got = {(r.rule, r.n) for r in checks.artifact_differences(hourly.limit(23), days, off).collect()}
+    assert got == {("n_hours", 1), ("totals", 2)}
+    later = days.withColumn("delivery_date", F.date_add("delivery_date", 1))
+    assert {(r.rule, r.n) for r in checks.artifact_differences(hourly, later, grid).collect()} == {("days", 2)}
+
+
+def test_splits_by_flags_and_frontier_use_market_days(spark):
+    rows = [("a", d, s, s != "S0", None, None, p) for d, per in ((1, {"S0": 0.0, "S1": 1.0, "S2": 4.0}), (2, {"S0": 0.0, "S1": 2.0, "S2": 1.0})) for s, p in per.items()]
+    days = results(spark, rows)
+    flags = spark.createDataFrame([("a", datetime(2024, 1, 1).date(), True)], "series_id string, delivery_date date, any_negative boolean")
+    table = reports.split_by_flags(reports.with_day_flags(days, flags, "2024-01-02"), ["any_negative", "post"])
+    got = {(r.flag, r.is_set): (r.n_days, r.delta_S2_S1) for r in table.collect()}
+    assert got == {("any_negative", True): (1, 3.0), ("any_negative", False): (1, -1.0), ("post", False): (1, 3.0), ("post", True): (1, -1.0)}
+

@@ -67,7 +67,8 @@ def all_pairs(rows: DataFrame, by: list[str], eta: str = "eta", cost: str = "cos
 MOST_CELLS = 10_000
 
 
-def _cells(cells: DataFrame | list[tuple[float, float]]) -> list[tuple[float, float]]:
+def cells_of(cells: DataFrame | list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Cells ``(eta, c)`` of a list or of a small table; a ValueError beyond MOST_CELLS."""
     if isinstance(cells, DataFrame):
         cells = [tuple(r) for r in cells.select("eta", "c").limit(MOST_CELLS + 1).collect()]
     if len(cells) > MOST_CELLS:
@@ -85,7 +86,7 @@ def backtest(hours: DataFrame, rules: dict[str, tuple[str, str]], cells: DataFra
         F.struct(F.lit(n).alias("strategy"), F.expr(b).cast("double").alias("bid"), F.expr(a).cast("double").alias("ask"))
         for n, (b, a) in {**rules, "oracle": ("price", "price")}.items()
     ])).alias("s")
-    table = F.explode(F.array(*[F.struct(F.lit(float(e)).alias("eta"), F.lit(float(c)).alias("c")) for e, c in _cells(cells)])).alias("x")
+    table = F.explode(F.array(*[F.struct(F.lit(float(e)).alias("eta"), F.lit(float(c)).alias("c")) for e, c in cells_of(cells)])).alias("x")
     long = placed.select(*DAY, "n_hours", "pos", "price", sides).select(*DAY, "n_hours", "pos", "price", "s.*", table).select(*DAY, "n_hours", "pos", "price", "strategy", "bid", "ask", "x.*")
     by = [*DAY, "n_hours", "strategy", "eta", "c"]
     done = realized(best_pair(long.withColumns({"e": F.col("eta"), "cost": degradation_cost(F.col("c"), F.col("eta"))}), by, "e", "cost", "price"))

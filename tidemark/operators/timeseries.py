@@ -3,6 +3,8 @@ series (or a series and day), which is what windows are partitioned by; a lag is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,6 +113,19 @@ def rolling_stats(df: DataFrame, lagged: str, hours: int, prefix: str, lag: int
     })
 
 
+def in_buckets(df: DataFrame, days: int, lookback_hours: int, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``f(df)`` for an ``f`` that makes windows over series and looks back ``lookback_hours`` at most, with each
+    series cut into buckets of ``days``: for series too long for a task. Rows are sent to the buckets that may
+    look back to them, and each bucket's own rows are kept. Within ``f`` series_id is a struct of the series and
+    its bucket."""
+    size, at = days * 86400, seconds("timestamp_utc")
+    if not 0 <= lookback_hours * 3600 <= size:
+        raise ValueError("a bucket must be as long as the time looked back")
+    spread = df.withColumn("__bucket", F.explode(F.sequence(F.floor(at / size), F.floor((at + lookback_hours * 3600) / size))))
+    keyed = spread.withColumn("series_id", F.struct(F.col("series_id").alias("id"), F.col("__bucket").alias("bucket"))).drop("__bucket")
+    return f(keyed).where(F.col("series_id.bucket") == F.floor(at / size)).withColumn("series_id", F.col("series_id.id"))
+
+
 def interval_position(df: DataFrame, minutes: int = 15, zone: str = ZONE) -> DataFrame:
     """1-based position in the local day by elapsed minutes, so that a gap shifts nothing."""
     start = local_midnight(local_date(F.col("timestamp_utc"), zone), zone)

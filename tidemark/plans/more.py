@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
-from tidemark.operators import checks, decisions, forecast, metrics, reports, splits, timeseries, uncertainty
+from tidemark.operators import checks, decisions, forecast, joins, metrics, reports, splits, timeseries, uncertainty
 from tidemark.operators import documents as docs
 from tidemark.sources import tables
 from tidemark.sources.tables import saved
@@ -166,20 +166,22 @@ _CELL_SQL = "cells AS (SELECT e::DOUBLE AS eta, c::DOUBLE AS c FROM (VALUES " +
 
 def _grid(s: SparkSession, d: str) -> DataFrame:
     days = forecast.day_of(ad.a1(s, d)).select("series_id", "delivery_date").distinct()
-    return days.crossJoin(F.broadcast(s.createDataFrame(_CELLS, "eta double, c double"))).withColumn("cost", fn.degradation_cost(F.col("c"), F.col("eta")))  # nine parameter rows
+    return joins.with_cells(days, _CELLS).withColumn("cost", fn.degradation_cost(F.col("c"), F.col("eta")))
 
 
+register("win_in_buckets", f"{KEY} lagged:f r_mean:f r_std:f",
+         lambda s, d: timeseries.in_buckets(timeseries.regularize(ad.a1(s, d)), 7, 48, lambda r: timeseries.rolling_stats(timeseries.safe_lag(r, "price", 24, "lagged"), "lagged", 24, "r")),
+         f"{ad.REG}, lg AS (SELECT r.series_id, r.t, p.price AS lagged FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id AND p.t + INTERVAL 24 HOUR = r.t) ;; SELECT series_id, t AS timestamp_utc, lagged, CASE WHEN count(lagged) OVER w >= 19 THEN avg(lagged) OVER w END AS r_mean, CASE WHEN count(lagged) OVER w >= 19 THEN stddev_samp(lagged) OVER w END AS r_std FROM lg WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)")
 register("jn_cross_grid", f"{_DAYS} eta:f c:f", _grid, f"{ad.A1}, {_CELL_SQL} ;; SELECT series_id, d AS delivery_date, eta, c FROM dd, cells")
 register("fn_degradation_cost", f"{_DAYS} eta:f c:f cost:f", _grid, f"{ad.A1}, {_CELL_SQL} ;; SELECT series_id, d AS delivery_date, eta, c, c * (1 + eta) AS cost FROM dd, cells")
 
 # --- joins, sets, order -----------------------------------------------------------------------------
-register("jn_self_lag", f"{KEY} lagged:f", lambda s, d: timeseries.regularize(ad.a1(s, d)).join(timeseries.regularize(ad.a1(s, d)).select("series_id", (F.col("timestamp_utc") + F.expr("interval 6 hours")).alias("timestamp_utc"), F.col("price").alias("lagged")), ROWS, "left"),
+register("jn_self_lag", f"{KEY} lagged:f", lambda s, d: joins.lag_join(timeseries.regularize(ad.a1(s, d)), "price", 6, "lagged"),
          f"{ad.REG} ;; SELECT r.series_id, r.t AS timestamp_utc, p.price AS lagged FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id AND p.t + INTERVAL 6 HOUR = r.t")
-_two = lambda s, d: [ad.a1(s, d).where(F.col("series_id") == n).select("timestamp_utc", F.col("price").alias(n)) for n in ("purchase", "view")]
+_two = lambda s, d: [ad.a1(s, d).where(F.col("series_id") == n).select("timestamp_utc", "price") for n in ("purchase", "view")]
 _TWO = f"{ad.A1}, p AS (SELECT t, price AS purchase FROM a1 WHERE series_id = 'purchase'), v AS (SELECT t, price AS view FROM a1 WHERE series_id = 'view')"
-register("jn_inner_two_models", "timestamp_utc:t purchase:f view:f", lambda s, d: _two(s, d)[0].join(_two(s, d)[1], "timestamp_utc"), f"{_TWO} ;; SELECT t AS timestamp_utc, purchase, view FROM p JOIN v USING (t)")
-_side = "CASE WHEN purchase IS NULL THEN 'right' WHEN view IS NULL THEN 'left' ELSE 'both' END"
-register("jn_outer_indicator", "timestamp_utc:t side:s", lambda s, d: _two(s, d)[0].join(_two(s, d)[1], "timestamp_utc", "full").withColumn("side", F.expr(_side)).where("side <> 'both'"),
+register("jn_inner_two_models", "timestamp_utc:t purchase:f view:f", lambda s, d: joins.two_models(*_two(s, d), ("purchase", "view"), "price"), f"{_TWO} ;; SELECT t AS timestamp_utc, purchase, view FROM p JOIN v USING (t)")
+register("jn_outer_indicator", "timestamp_utc:t side:s", lambda s, d: joins.one_sided(*_two(s, d), ["timestamp_utc"]),
          f"{_TWO} ;; SELECT t AS timestamp_utc, CASE WHEN purchase IS NULL THEN 'right' ELSE 'left' END AS side FROM p FULL JOIN v USING (t) WHERE purchase IS NULL OR view IS NULL")
 register("set_grid_difference", "timestamp_utc:t side:s", lambda s, d: checks.set_difference(*[x.select("timestamp_utc") for x in _two(s, d)]),
          f"{_TWO} ;; SELECT t AS timestamp_utc, 'left' AS side FROM (SELECT t FROM p EXCEPT SELECT t FROM v) UNION ALL SELECT t, 'right' FROM (SELECT t FROM v EXCEPT SELECT t FROM p)")
@@ -188,17 +190,12 @@ register("set_day_equality", "n_different:i", lambda s, d: checks.set_difference
 register("jn_semi_days", f"{KEY} price:f", lambda s, d: ad.a5(s, d).join(decisions.common_days(ad.a5(s, d), ad.REQUIRED), ["series_id", "delivery_date"], "left_semi"), f"{ad.a7_sql()} ;; SELECT series_id, t AS timestamp_utc, price FROM placed")
 
 
-def _days_before(s: SparkSession, d: str) -> DataFrame:
-    rows = forecast.day_of(ad.a1(s, d)).select("series_id", "price", F.explode(F.sequence(F.date_add("delivery_date", 1), F.date_add("delivery_date", 7))).alias("delivery_date"))
-    return rows.groupBy("series_id", "delivery_date").agg(F.count("*").alias("n"), F.sum("price").alias("total"))
-
-
-register("jn_range_window", f"{_DAYS} n:i total:f", _days_before,
+register("jn_range_window", f"{_DAYS} n:i total:f", lambda s, d: joins.trailing_days(ad.a1(s, d), "price", 7),
          f"{ad.A1}, x AS (SELECT series_id, price, {B('t')}::DATE AS d, unnest(generate_series(1, 7)) AS k FROM a1) ;; SELECT series_id, (d + k::INT)::DATE AS delivery_date, count(*) AS n, sum(price) AS total FROM x GROUP BY 1, 2")
-register("win_first_appearance_order", "series_id:s first_seen:t n:i", lambda s, d: ad.a1(s, d).groupBy("series_id").agg(F.min("timestamp_utc").alias("first_seen"), F.count("*").alias("n")).orderBy("first_seen", "series_id"),
+register("win_first_appearance_order", "series_id:s first_seen:t n:i", lambda s, d: joins.by_first_appearance(ad.a1(s, d)),
          f"{ad.A1} ;; SELECT series_id, min(t) AS first_seen, count(*) AS n FROM a1 GROUP BY 1")
 register("srt_select_min_score", "series_id:s hour_local:i score:f",
-         lambda s, d: timeseries.add_local_columns(ad.a1(s, d)).groupBy("series_id", "hour_local").agg(F.round(F.avg("price"), 6).alias("score")).groupBy("series_id").agg(F.min(F.struct("score", "hour_local")).alias("m")).select("series_id", "m.hour_local", "m.score"),
+         lambda s, d: joins.lowest(timeseries.add_local_columns(ad.a1(s, d)).groupBy("series_id", "hour_local").agg(F.round(F.avg("price"), 6).alias("v")), ["series_id"], "hour_local", F.col("v")),
          f"{ad.A1}, h AS (SELECT series_id, hour({B('t')}) AS h, round(avg(price), 6) AS score FROM a1 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score, h) AS rn FROM h) ;; SELECT series_id, h AS hour_local, score FROM r WHERE rn = 1")
 def _audit_dates(s: SparkSession, d: str) -> DataFrame:
     rows = forecast.day_of(ad.a6(s, d)).withColumns({"series_id": F.lit("events"), "abs_diff": F.abs(F.col("price_seq1") - F.col("price_seq2"))})

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as fn
-from tidemark.operators import checks, decisions, forecast, metrics, reports, splits, timeseries, uncertainty
+from tidemark.operators import checks, decisions, forecast, joins, metrics, reports, splits, timeseries, uncertainty
 from tidemark.operators import documents as docs
 from tidemark.sources.tables import read_contract, read_table, saved
 
@@ -136,7 +136,7 @@ def _outer_merge(s: SparkSession, d: str) -> DataFrame:
 
 register("cln_outer_merge", "timestamp_utc:t p:f l:f w:f", _outer_merge,
          f"{ad.A1}, p AS (SELECT t, price AS p FROM a1 WHERE series_id = 'purchase'), l AS (SELECT t, price AS l FROM a1 WHERE series_id = 'view'), w AS (SELECT t, price AS w FROM a1 WHERE series_id = 'click') ;; SELECT t AS timestamp_utc, p, l, w FROM p FULL JOIN l USING (t) FULL JOIN w USING (t)")
-register("set_distinct_days", "series_id:s n:i", lambda s, d: ad.a1(s, d).groupBy("series_id").agg(F.count_distinct(fn.local_date(F.col("timestamp_utc"))).alias("n")),
+register("set_distinct_days", "series_id:s n:i", lambda s, d: joins.distinct_days(ad.a1(s, d)),
          f"{ad.A1} ;; SELECT series_id, count(DISTINCT {B('t')}::DATE) AS n FROM a1 GROUP BY 1")
 
 # --- features ---------------------------------------------------------------------------------------
@@ -229,7 +229,7 @@ register("jn_sequence_compare", "timestamp_utc:t price_seq1:f price_seq2:f diff:
          f"{_CMP} ;; SELECT t AS timestamp_utc, price_seq1, price_seq2, diff, coverage FROM cm WHERE diff > 0.01 OR coverage <> 'both'")
 register("jn_sequence_coverage", "n_both:i n_seq1_only:i n_seq2_only:i n_disagree:i", lambda s, d: docs.sequence_coverage(docs.compare_sequences(*_sequences(s, d))),
          f"{_CMP} ;; SELECT count(*) FILTER (coverage = 'both') AS n_both, count(*) FILTER (coverage = 'seq1_only') AS n_seq1_only, count(*) FILTER (coverage = 'seq2_only') AS n_seq2_only, count(*) FILTER (diff > 0.01) AS n_disagree FROM cm")
-register("jn_sequence2_only", "timestamp_utc:t", lambda s, d: _sequences(s, d)[1].join(_sequences(s, d)[0], "timestamp_utc", "left_anti"), f"{ad.A6} ;; SELECT t AS timestamp_utc FROM a6 WHERE price_seq1 IS NULL AND price_seq2 IS NOT NULL")
+register("jn_sequence2_only", "timestamp_utc:t", lambda s, d: joins.only_in(*_sequences(s, d)[::-1], ["timestamp_utc"]), f"{ad.A6} ;; SELECT t AS timestamp_utc FROM a6 WHERE price_seq1 IS NULL AND price_seq2 IS NOT NULL")
 _MATCHED = lambda s, d: docs.compare_sequences(*_sequences(s, d)).where("disagrees").join(ad.a6(s, d).where("hour(timestamp_utc) <> 3").select("timestamp_utc", "price_ref"), "timestamp_utc", "left").withColumn("match", fn.classify_match(F.col("price_ref"), F.col("price_seq1"), F.col("price_seq2"), 0.01))
 _MATCH_SQL = f"{_CMP}, ma AS (SELECT CASE WHEN hour(t) = 3 THEN 'no_data' WHEN a AND b THEN 'both' WHEN a THEN 'seq1' WHEN b THEN 'seq2' ELSE 'neither' END AS match FROM (SELECT *, abs(price_ref - price_seq1) <= 0.01 AS a, abs(price_ref - price_seq2) <= 0.01 AS b FROM cm WHERE diff > 0.01))"
 register("jn_reference_crosscheck", "match:s n:i", lambda s, d: _MATCHED(s, d).groupBy("match").agg(F.count("*").alias("n")), f"{_MATCH_SQL} ;; SELECT match, count(*) AS n FROM ma GROUP BY 1")
