@@ -205,7 +205,7 @@ register("agg_weekend_hour_profile", "weekend:i hour_local:i mean:f", lambda s,
 _RANKS = "rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2.0"
 register("agg_corr", "wk:i n:i pearson:f spearman:f", lambda s, d: metrics.correlations(ad.a3(s, d).withColumn("wk", F.weekofyear("timestamp_utc")), ["wk"], "price", "load_mw").unionByName(metrics.correlations(ad.a3(s, d), [], "price", "load_mw").withColumn("wk", F.lit(None).cast("int"))),
          f"{ad.A3}, b AS (SELECT weekofyear(t) AS wk, price AS x, load_mw AS y FROM a3 WHERE price IS NOT NULL AND load_mw IS NOT NULL), u AS (SELECT * FROM b UNION ALL SELECT NULL, x, y FROM b), "
-         f"r AS (SELECT *, {_RANKS.format('wk', 'x')} AS rx, {_RANKS.format('wk', 'y')} AS ry FROM u) ;; SELECT wk, count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM r GROUP BY 1")
+         f"r AS (SELECT *, {_RANKS.format('wk', 'x')} AS rx, {_RANKS.format('wk', 'y')} AS ry FROM u) ;; SELECT wk, count(*) AS n, CASE WHEN count(*) > 1 THEN corr(x, y) END AS pearson, CASE WHEN count(*) > 1 THEN corr(rx, ry) END AS spearman FROM r GROUP BY 1")
 register("agg_quantile_bins", "bin:i median_x:f median_y:f mean_y:f n:i", lambda s, d: metrics.quantile_bins(ad.a3(s, d), "load_mw", "price", 20),
          f"{ad.A3}, r AS (SELECT load_mw AS x, price AS y FROM a3 WHERE load_mw IS NOT NULL AND price IS NOT NULL), e AS (SELECT list_distinct(quantile_cont(x, [i / 20.0 FOR i IN range(21)])) AS edges FROM r), b AS (SELECT x, y, greatest(len([v FOR v IN edges IF v < x]) - 1, 0) AS bin FROM r, e) ;; SELECT bin, median(x) AS median_x, median(y) AS median_y, avg(y) AS mean_y, count(*) AS n FROM b GROUP BY 1".replace("quantile_cont(x, [i / 20.0 FOR i IN range(21)])", "quantile_cont(x, [" + ", ".join(str(i / 20) for i in range(21)) + "])"))
 register("agg_extreme_threshold", f"{KEY} is_extreme:b", lambda s, d: metrics.extreme_flags(ad.a1(s, d).where(F.col("timestamp_utc") < ts("2024-01-15")), ad.a1(s, d), "price"),
