@@ -156,8 +156,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, hot
     # a fingerprint becomes a row for each grid: dealt to all tasks before, however small the table is
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = _points(prints.select("fingerprint").distinct().repartition(parts, "fingerprint"), distance, blocks)
-    hot = saved(points.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot_cell).select("cell"), "cells")
-    if not hot.take(1):
+    hot = _hot_cells(points, prints.count() * len(_grids(distance, blocks)), hot_cell)
+    if hot is None:
         return _pairs(points, points, distance, blocks).select("a", "b")
     cool = points.join(hot, "cell", "left_anti")
     found = _pairs(cool, cool, distance, blocks).select("a", "b")
@@ -173,6 +173,19 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, hot
     return found.unionByName(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).unionByName(stars).distinct()
 
 
+def _hot_cells(points: DataFrame, total: int, hot_cell: int) -> DataFrame | None:
+    """``cell`` of all cells of more than ``hot_cell`` points, None without any. Cells are counted by a hash of
+    them first, in buckets of half as many points on the average: a hot cell's bucket is full too, and only the
+    cells of full buckets are counted themselves."""
+    bucket = F.pmod(F.xxhash64("cell"), F.lit(2 * total // hot_cell + 1)).alias("bucket")
+    full = saved(points.groupBy(bucket).agg(F.count("*").alias("n")).where(F.col("n") > hot_cell).select("bucket"), "buckets")
+    if not full.take(1):
+        return None
+    inside = points.select("cell", bucket).join(full, "bucket", "left_semi")
+    hot = saved(inside.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot_cell).select("cell"), "cells")
+    return hot if hot.take(1) else None
+
+
 def _one_bit_stars(prints: DataFrame) -> DataFrame:
     """``a < b``: each fingerprint and the smallest that differs from it in one bit, for each bit: the one of a
     pair with the bit clear. No more than 64 rows a fingerprint, whatever their number."""
