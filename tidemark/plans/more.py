@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import streaming
 from tidemark.functions import columns as fn
 from tidemark.operators import checks, decisions, forecast, joins, metrics, reports, splits, timeseries, uncertainty
 from tidemark.operators import documents as docs
@@ -151,6 +152,27 @@ register("src_jsonl_log", "chunk:s n:i", _round_trip(lambda r, p: r.select(F.col
 register("snk_manifest", "source:s n_rows:i first:t last:t", _round_trip(lambda r, p: tables.write_manifest(r, {"source": "events"}, p), lambda s, p: s.read.schema("source string, n_rows long, first timestamp, last timestamp").json(p)),
          f"{ad.A1} ;; SELECT 'events' AS source, count(*) AS n_rows, min(t) AS first, max(t) AS last FROM a1")
 
+# --- streams over the files of a table, until what is there is read -----------------------------------
+
+
+def _streamed(change):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        # a pattern, since a table may be one file, which a stream's path must not be
+        path, schema = tables.scratch(s), tables.read_table(s, d, "events").schema
+        rows = s.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp").alias("timestamp_utc"), "event_id", "value")
+        query = change(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return s.read.parquet(f"{path}/out")
+
+    return run
+
+
+# an hour is given out when the watermark, two hours before the last event, has passed its end
+register("str_resample_hourly", f"{KEY} value:f n:i", _streamed(lambda r: streaming.resample_hourly_stream(r, "value")),
+         "SELECT event_type AS series_id, date_trunc('hour', ts) AS timestamp_utc, avg(value) AS value, count(*) AS n FROM events, (SELECT max(ts) AS last FROM events) GROUP BY 1, 2, last HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= last - INTERVAL 2 HOUR")
+register("str_dedupe", KEY, _streamed(lambda r: streaming.dedupe_stream(r.withColumn("timestamp_utc", F.date_trunc("second", "timestamp_utc")), ROWS)),
+         "SELECT DISTINCT event_type AS series_id, date_trunc('second', ts) AS timestamp_utc FROM events")
+
 # --- column functions -------------------------------------------------------------------------------
 register("fn_bool_coerce", "event_id:i flag:b", lambda s, d: ad.events(s, d).withColumn("flag", fn.bool_coerce(F.get(F.array(*[F.lit(x) for x in (" TRUE", "0", "x", None, "1 ", "False")]), (F.col("event_id") % 6).cast("int")))),
          "SELECT event_id, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 4 THEN true WHEN 5 THEN false END AS flag FROM events")
