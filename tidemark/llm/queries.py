@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, licenses, lines, mixing, quality, simhash, tokens, urls
+from . import decontaminate, fingerprints, infill, language, licenses, lines, mixing, quality, simhash, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,13 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    rebuilt = infill.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(rebuilt).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_tokens": op2_tokens,
@@ -71,6 +78,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_simhash": op9_simhash,
     "op10_lines": op10_lines,
+    "op13_infill": op13_infill,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -162,5 +170,22 @@ judged AS (
 SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    "op13_infill": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+draws AS (
+  SELECT *, list_transform(range(4), lambda k: list_reduce(list_prepend(0::BIGINT, list_transform(range(8), lambda i: (strpos('0123456789abcdef', h[8 * k + i + 1]) - 1)::BIGINT)),
+    lambda a, x: a * 16 + x)) AS d FROM t),
+cuts AS (
+  SELECT doc_id, text, n, least(d[1] % (n + 1), d[2] % (n + 1)) AS low, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS high,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 90 THEN 'plain'
+      WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+pieces AS (
+  SELECT *, substr(text, 1, low::INT) AS prefix, substr(text, low::INT + 1, (high - low)::INT) AS middle, substr(text, high::INT + 1) AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM pieces
 """,
 }
