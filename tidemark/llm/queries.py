@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, infill, language, licenses, lines, mixing, quality, simhash, tokens, urls
+from . import decontaminate, fingerprints, infill, language, licenses, lines, merkle, mixing, quality, simhash, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,19 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    leaf = lambda n_chars: merkle.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    tampers = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    leaves = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(tampers, leaf(F.col("n_chars") + 1)).alias("tampered"))
+    done = merkle.manifest(leaves, "lang", "doc_id")
+    shown = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return (
+        done.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"), shown.alias("folded_root"))
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+    )
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
@@ -78,6 +91,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_simhash": op9_simhash,
     "op10_lines": op10_lines,
+    "op11_merkle": op11_merkle,
     "op13_infill": op13_infill,
 }
 
@@ -170,6 +184,40 @@ judged AS (
 SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    "op11_merkle": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, n_chars,
+    concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(length(doc_id::VARCHAR)), lambda i: list_transform(range(8), lambda b: (ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT >> b) & 1)))),
+      lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)) AS crc
+  FROM documents),
+l AS (
+  SELECT doc_id, lang, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0 AND n_chars IS NOT NULL THEN sha256(head || length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS tampered
+  FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+low AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY i) AS hs FROM placed GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range((len(hs) + 1) // 2), lambda k: sha256(hs[2 * k + 1] || coalesce(hs[2 * k + 2], ''))) FROM low WHERE len(hs) > 1),
+subroots AS (SELECT lang, hs[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM low WHERE len(hs) = 1),
+high AS (
+  SELECT 0 AS level, list(subroot ORDER BY g) AS hs FROM subroots
+  UNION ALL SELECT level + 1, list_transform(range((len(hs) + 1) // 2), lambda k: sha256(hs[2 * k + 1] || coalesce(hs[2 * k + 2], ''))) FROM high WHERE len(hs) > 1),
+steps AS (
+  SELECT p.doc_id, p.lang, p.i, 0 AS part, level, (p.i >> level) % 2 AS slot, coalesce(hs[xor(p.i >> level, 1) + 1], '') AS sibling
+  FROM placed p JOIN low ON p.lang IS NOT DISTINCT FROM low.lang AND len(hs) > 1
+  UNION ALL SELECT p.doc_id, p.lang, p.i, 1, level, (g >> level) % 2, coalesce(hs[xor(g >> level, 1) + 1], '')
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN high ON len(hs) > 1),
+proofs AS (
+  SELECT lang, i, string_agg(sibling, '' ORDER BY part, level) AS siblings, list(CASE slot WHEN 1 THEN '<' ELSE '>' END || sibling ORDER BY part, level) AS path
+  FROM steps GROUP BY lang, i)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM (
+  SELECT p.doc_id, leaf, subroot, (SELECT hs[1] FROM high WHERE len(hs) = 1) AS root, siblings,
+    list_reduce(list_prepend(coalesce(tampered, leaf), coalesce(path, [])), lambda h, s: sha256(CASE s[1] WHEN '<' THEN substr(s, 2) || h ELSE h || substr(s, 2) END)) AS folded_root
+  FROM placed p LEFT JOIN proofs q ON p.lang IS NOT DISTINCT FROM q.lang AND p.i = q.i JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang)
 """,
     "op13_infill": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
