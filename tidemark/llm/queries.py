@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, infill, language, licenses, lines, merkle, mixing, quality, simhash, tokens, urls
+from . import decontaminate, fingerprints, infill, language, licenses, lines, merkle, mixing, packing, quality, simhash, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.placements(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
@@ -92,6 +96,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_lines": op10_lines,
     "op11_merkle": op11_merkle,
+    "op12_packing": op12_packing,
     "op13_infill": op13_infill,
 }
 
