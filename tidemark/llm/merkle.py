@@ -9,10 +9,10 @@ as ``SLOTS`` columns hold, so that the number of shuffles is a fraction of the t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, unused
+from .common import columns_of, saved
 
 #: Nodes that become one, and columns of one pivot at most.
 FANOUT, SLOTS = 2, 32
@@ -36,21 +36,20 @@ def leaf_hash(*columns: Column) -> Column:
     return sha(F.concat(*map(field, columns)))
 
 
-def ranked(df: DataFrame, order: list[str], rank: str, part: str) -> DataFrame:
-    """``df``, written, with its rank from 0 by ``order`` and the number of the range that a row lies in. Ranges
-    are dealt by ``order`` as a whole, so that no value of its first columns needs to fit into one task."""
+def ranked(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` (read twice), written, with its ``rank`` from 0 by ``order`` and the number ``part`` of the range that a row
+    lies in. Ranges are dealt by ``order`` as a whole, so that no value of its first columns needs to fit into a task."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # the id is the partition's number in its upper bits and a count of rows in the lower 33
-    held = saved(ordered.withColumn(rank, F.monotonically_increasing_id()).withColumn(part, F.shiftright(rank, 33).cast("int")), "ranked")
+    held = saved(ordered.withColumn("rank", F.monotonically_increasing_id()).withColumn("part", F.shiftright("rank", 33).cast("int")), "ranked")
     at, rows = 0, []
-    for p, n in sorted(map(tuple, held.groupBy(part).count().collect())):  # a row a partition
+    for p, n in sorted(map(tuple, held.groupBy("part").count().collect())):  # a row a partition
         rows.append((p, at - (p << 33)))
         at += n
-    (shift,) = unused(held.columns, "shift")
-    shifts = F.broadcast(spark.createDataFrame(rows, f"`{part}` int, `{shift}` long"))
-    return held.join(shifts, part).withColumn(rank, F.col(rank) + F.col(shift)).drop(shift)
+    shifts = F.broadcast(spark.createDataFrame(rows, "part int, shift long"))
+    return held.join(shifts, "part").withColumn("rank", F.col("rank") + F.col("shift")).drop("shift")
 
 
 def _steps(fanout: int) -> int:
@@ -112,25 +111,25 @@ def tree(leaves: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, list[DataF
     return nodes.select("g", "hash"), pivots
 
 
-def _below(nodes: DataFrame, parents: DataFrame, g: str, idx: str, fanout: int) -> DataFrame:
+def _below(nodes: DataFrame, parents: DataFrame, fanout: int) -> DataFrame:
     """``nodes`` with the columns of ``parents`` (``g, idx, below, path`` and others) and their own paths. Parents are
     unique and have a few nodes each, so that no key is hot."""
     width = fanout ** _steps(fanout)
     up = parents.withColumnsRenamed({"g": "g_up", "idx": "idx_up", "path": "path_up"})
-    met = nodes.join(up, (F.col(g) == F.col("g_up")) & (F.floor(F.col(idx) / width) == F.col("idx_up")))
-    return met.withColumn("path", F.concat(_siblings(F.col(idx), F.col("below_up"), fanout), "path_up")).drop("g_up", "idx_up", "below_up", "path_up")
+    met = nodes.join(up, (F.col("g") == F.col("g_up")) & (F.floor(F.col("idx") / width) == F.col("idx_up")))
+    return met.withColumn("path", F.concat(_siblings(F.col("idx"), F.col("below_up"), fanout), "path_up")).drop("g_up", "idx_up", "below_up", "path_up")
 
 
-def descend(roots: DataFrame, pivots: list[DataFrame], leaves: DataFrame, g: str = "g", idx: str = "idx", fanout: int = FANOUT) -> DataFrame:
-    """``leaves`` with their paths and the other columns of ``roots``, whose ``path`` leads on from a group's root
-    (``g``); ``g`` and ``idx`` of ``leaves`` may be named otherwise."""
+def descend(roots: DataFrame, pivots: list[DataFrame], leaves: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """``leaves`` (``g, idx`` and others) with their paths and the other columns of ``roots``, whose ``path`` leads on from
+    the root of group ``g``."""
     if not pivots:
-        return leaves.join(roots.withColumnRenamed("g", "g_up"), F.col(g) == F.col("g_up")).drop("g_up")
+        return leaves.join(roots, "g")
     above = roots.withColumn("idx", F.lit(0).cast("long"))
     for n in reversed(range(len(pivots))):
         keyed = pivots[n].select(F.col("g").alias("g_own"), F.col("idx").alias("idx_own"), F.col("below").alias("below_up"))
         parents = keyed.join(above, (F.col("g_own") == F.col("g")) & (F.col("idx_own") == F.col("idx"))).drop("g_own", "idx_own")
-        above = _below(pivots[n - 1].select("g", "idx") if n else leaves, parents, "g" if n else g, "idx" if n else idx, fanout)
+        above = _below(pivots[n - 1].select("g", "idx") if n else leaves, parents, fanout)
     return above
 
 
@@ -143,33 +142,31 @@ def manifest(rows: DataFrame, group: str, key: str, leaf: str = "leaf", fanout:
     carried along whatever their names, but for columns of the three names above, which are replaced. An empty table
     gives none and has no root.
     """
-    rest = [c for c in rows.columns if c.lower() not in ("path", "subroot", "root")]
-    rank, part = unused([*rest, "path", "subroot", "root", "g", "idx", "total"], "rank", "part")
-    g, idx, total, first = unused(rest, "g", "idx", "total", "first")
-    held = ranked(rows.select(*[F.col("`" + c.replace("`", "``") + "`") for c in rest]), [group, key, leaf], rank, part)
-    # ranges of a group follow each other: its first rank and its rows come from one row a range and group
-    spans = saved(held.groupBy(part, F.col(group).alias("grp")).agg(F.min(rank).alias("low"), F.count("*").alias("n")), "spans")
-    groups = spans.groupBy("grp").agg(F.min("low").alias("low"), F.sum("n").alias("total"))
-    groups = ranked(groups, ["grp"], "g", "range").select("g", F.col("grp").alias("grp_"), F.col("low").alias("first"), "total")
-    placed = spans.join(groups, F.col("grp").eqNullSafe(F.col("grp_"))).select(
-        F.col(part).alias("p_"), "grp", F.col("g").alias(g), F.col("first").alias(first), F.col("total").alias(total)
+    # other columns in one, so that none can clash; texts are hashed once
+    leaves = saved(
+        rows.select(F.struct(*columns_of(rows, ("path", "subroot", "root"))).alias("row"), F.col(group).alias("grp"), F.col(key).alias("key"), F.col(leaf).alias("hash")),
+        "leaves",
     )
+    held = ranked(leaves, ["grp", "key", "hash"])
+    # ranges of a group follow each other: its first rank and its rows come from one row a range and group
+    spans = saved(held.groupBy("part", "grp").agg(F.min("rank").alias("low"), F.count("*").alias("n")), "spans")
+    groups = saved(spans.groupBy("grp").agg(F.min("low").alias("first"), F.sum("n").alias("total")), "groups")
+    groups = ranked(groups, ["grp"]).select(F.col("rank").alias("g"), F.col("grp").alias("grp_of"), "first", "total")
+    placed = spans.join(groups, F.col("grp").eqNullSafe(F.col("grp_of"))).select(F.col("part").alias("part_of"), "grp_of", "g", "first", "total")
     if spans.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
-    (own,) = unused([*held.columns, g, idx, total, first], "own")
-    nodes = held.withColumnRenamed(group, own) if group != own else held
-    nodes = nodes.join(placed, (F.col(part) == F.col("p_")) & F.col(own).eqNullSafe(F.col("grp"))).drop("p_", "grp")
-    nodes = nodes.withColumnRenamed(own, group).withColumn(idx, F.col(rank) - F.col(first))
+    nodes = held.join(placed, (F.col("part") == F.col("part_of")) & F.col("grp").eqNullSafe(F.col("grp_of")))
+    nodes = nodes.select("row", "hash", "g", (F.col("rank") - F.col("first")).alias("idx"), "total")
     # the lower tree, and the tree of its roots
-    roots, pivots = tree(nodes.select(F.col(g).alias("g"), F.col(idx).alias("idx"), F.col(total).alias("total"), F.col(leaf).alias("hash")), fanout)
-    roots = saved(roots.withColumnRenamed("hash", "subroot"), "subroots")
-    tops = roots.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("idx"), F.lit(roots.count()).cast("long").alias("total"), F.col("subroot").alias("hash"))
+    roots, pivots = tree(nodes.select("g", "idx", "total", "hash"), fanout)
+    roots = saved(roots, "subroots")
+    tops = roots.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("idx"), F.lit(roots.count()).cast("long").alias("total"), "hash")
     root, above = tree(tops, fanout)
     top = root.select("g", F.col("hash").alias("root"), F.array().cast(f"array<{STEP}>").alias("path"))
-    subroots = descend(top, above, tops.select("g", "idx", F.col("hash").alias("subroot")), fanout=fanout)
+    subroots = descend(top, above, tops.select("g", "idx", F.col("hash").alias("subroot")), fanout)
     subroots = saved(subroots.select(F.col("idx").alias("g"), "subroot", "root", "path"), "subroots")
-    found = descend(subroots, pivots, nodes, g, idx, fanout)
-    return found.select(*[F.col("`" + c.replace("`", "``") + "`") for c in rest], "path", "subroot", "root")
+    found = descend(subroots, pivots, nodes.select("row", "g", "idx"), fanout)
+    return found.select("row.*", "path", "subroot", "root")
 
 
 def proof_hash(path: Column) -> Column:
