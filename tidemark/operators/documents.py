@@ -3,8 +3,12 @@ sequence, curve_type, start, end, resolution`` and points rows ``period_id, posi
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 DOCUMENT_SCHEMA = (
     "mRID string, TimeSeries array<struct<mRID: string, curveType: string, `classificationSequence_AttributeInstanceComponent.position`: int, "
@@ -96,20 +100,82 @@ def series_shape(points: DataFrame, start: Column, end: Column, first: int = 4)
     return ranked.groupBy("ts_uid").agg(F.count("*").alias("n_points"), told("curve_type").alias("curve_types"), told("sequence").alias("sequences"), told("minutes").alias("resolutions"), head.alias("first_points"))
 
 
+#: Fields of documents: where they stand (null index: of the document itself), the names above them, and their text.
+FIELDS = "array<struct<ts_index: int, place: int, path: string, text: string>>"
+
+
+def _leaves(element: ET.Element, above: str) -> list[tuple[str, str]]:
+    """Paths and texts of the elements without children, in the order of the document, whatever their names."""
+    name = element.tag.rpartition("}")[2]
+    path = f"{above}.{name}" if above else name
+    if len(element):
+        return [x for child in element for x in _leaves(child, path)]
+    text = (element.text or "").strip()
+    return [(path, text)] if text else []
+
+
+def _fields_of(xml: str | None, series: str, leave: tuple[str, ...]) -> list[dict] | None:
+    try:
+        root = ET.fromstring(xml) if xml else None
+    except ET.ParseError:
+        root = None
+    if root is None:
+        return None
+    out, index = [], 0
+    for child in root:
+        whole = child.tag.rpartition("}")[2] != series
+        found = _leaves(child, "") if whole else [x for c in child if c.tag.rpartition("}")[2] not in leave for x in _leaves(c, "")]
+        out += [{"ts_index": None if whole else index, "path": p, "text": t} for p, t in found]
+        index += not whole
+    return [x | {"place": n} for n, x in enumerate(out)]
+
+
+def document_fields(xml: Column, series: str = "TimeSeries", leave: tuple[str, ...] = ("Period",)) -> Column:
+    """The fields of a document as FIELDS, by no schema: each element without children and with a text, repeats kept in
+    order, namespaces and attributes left out. Fields of the document's ``series`` elements carry that element's number;
+    what is within their children ``leave`` is left out. Null if the document is null or no XML. An Arrow batch of
+    documents at a time: Spark's own reader needs a schema, and cannot read XML as a variant in generated code."""
+
+    @arrow_udf(FIELDS)
+    def fields(documents: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("ts_index", pa.int32()), ("place", pa.int32()), ("path", pa.string()), ("text", pa.string())]))
+        return pa.array([_fields_of(x, series, leave) for x in documents.to_pylist()], kind)
+
+    return fields(xml)
+
+
+def flatten_fields(documents: DataFrame, keys: list[str], column: str = "xml") -> DataFrame:
+    """``*keys, ts_index, place, path, text``: a row for each field of each document and of its series but their periods."""
+    return documents.select(*keys, F.explode(document_fields(F.col(column))).alias("f")).select(*keys, "f.*")
+
+
 def paths(documents: DataFrame, keys: list[str], column: str = "xml", day: tuple[Column, Column] | None = None, resolution: str = "PT15M") -> DataFrame:
-    """``*keys, ts_index, sequence, path, text``: a row for each field of each document's series but its points,
-    repeats kept. With ``day (start, end)`` only series of which a period of ``resolution`` overlaps it; periods
-    without both boundaries don't. Series of a document whose sequence is not 1 or 2 are left out."""
+    """``*keys, ts_index, sequence, place, path, text``: a row for each field of each document's series but its periods,
+    repeats kept in order, whatever the fields' names. With ``day (start, end)`` only series of which a period of
+    ``resolution`` overlaps it; periods without both boundaries don't. Series of a document whose sequence is not 1 or 2
+    are left out."""
     sequence = "classificationSequence_AttributeInstanceComponent.position"
-    parsed = documents.select(*keys, F.from_xml(column, DOCUMENT_SCHEMA).alias("d")).select(*keys, F.posexplode("d.TimeSeries").alias("ts_index", "t"))
-    rows = parsed.withColumn("sequence", F.col("t")[sequence]).where("sequence in (1, 2)")
+    parsed = documents.select(*keys, F.from_xml(column, DOCUMENT_SCHEMA).alias("d"), document_fields(F.col(column)).alias("fields"))
+    rows = parsed.select(*keys, "fields", F.posexplode("d.TimeSeries").alias("ts_index", "t")).withColumn("sequence", F.col("t")[sequence]).where("sequence in (1, 2)")
     if day is not None:
         lo, hi = day
         at = lambda c: F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mmX")), F.try_to_timestamp(c))
         fits = lambda p: F.coalesce((p["resolution"] == resolution) & (at(p["timeInterval"]["start"]) < hi) & (at(p["timeInterval"]["end"]) > lo), F.lit(False))
         rows = rows.where(F.exists("t.Period", fits))
-    fields = [F.struct(F.lit(n).alias("path"), F.col("t")[n].cast("string").alias("text")) for n in ("mRID", "curveType", sequence)]
-    return rows.select(*keys, "ts_index", "sequence", F.explode(F.array(*fields)).alias("f")).select(*keys, "ts_index", "sequence", "f.path", "f.text").where("text is not null")
+    own = F.filter("fields", lambda f: f["ts_index"] == F.col("ts_index"))
+    return rows.select(*keys, "ts_index", "sequence", F.explode(own).alias("f")).select(*keys, "ts_index", "sequence", "f.place", "f.path", "f.text")
+
+
+def field_diff(fields: DataFrame, keys: list[str]) -> DataFrame:
+    """``*keys, path, texts_a, texts_b`` of paths(): the fields whose lists of texts, in order, differ between sequence 1
+    (a) and 2 (b) of a document, but for the sequence itself; an empty list where a side lacks the field. Documents
+    of which a sequence has several series are ambiguous and have no rows, nor have those with one sequence alone. A
+    document's fields are few and meet in one group."""
+    of = lambda n: F.transform(F.sort_array(F.collect_list(F.when(F.col("sequence") == n, F.struct("place", "text")))), lambda x: x["text"])
+    count = lambda n: F.count_distinct(F.when(F.col("sequence") == n, F.col("ts_index")))
+    clear = fields.groupBy(*keys).agg(count(1).alias("__a"), count(2).alias("__b")).where("__a = 1 and __b = 1").select(*keys)
+    told = fields.where("path not like 'classificationSequence%'").join(clear, keys, "left_semi")
+    return told.groupBy(*keys, "path").agg(of(1).alias("texts_a"), of(2).alias("texts_b")).where("texts_a <> texts_b")
 
 
 def sequence_diff(fields: DataFrame, keys: list[str]) -> DataFrame:

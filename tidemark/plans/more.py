@@ -115,6 +115,52 @@ df AS (SELECT d, 'mRID' AS path, unnest(['a', 'b']) AS text, unnest([1, 0]) AS n
   UNION ALL SELECT d, NULL, NULL, 1, 2 FROM ok WHERE n % 5 = 0) ;; SELECT d AS day, path, text, n_a, n_b FROM df""")
 
 
+def _odd_documents(s: SparkSession, d: str) -> DataFrame:
+    """A document a day with fields that no code knows: of the document itself, and nested and repeated ones of its two
+    series. By the day the second series has its notes in another order, a field more, or another unit."""
+    days = ad.events(s, d).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n_events"))
+    n = F.dayofmonth("day")
+    tag = lambda t, v: F.concat(F.lit(f"<{t}>"), v.cast("string"), F.lit(f"</{t}>"))
+    sequence = lambda k: tag("classificationSequence_AttributeInstanceComponent.position", F.lit(k))
+    notes = lambda a, b: F.concat(tag("note", F.lit(a)), F.lit("<note> </note>"), tag("note", F.lit(b)))
+    quality = lambda unit, x: tag("quality.x", F.concat(tag("unit", unit), x))
+    first = tag("TimeSeries", F.concat(sequence(1), quality(F.lit("MW"), notes("a &amp; b", "c")), F.lit("<Period><resolution>PT15M</resolution></Period>")))
+    swapped = F.when(n % 2 == 0, notes("c", "a &amp; b")).otherwise(notes("a &amp; b", "c"))
+    more = F.when(n % 3 == 0, F.lit('<extra kind="k"><deep><deeper>7</deeper></deep></extra>')).otherwise("")
+    second = tag("TimeSeries", F.concat(sequence(2), quality(F.when(n % 5 == 0, "kW").otherwise("MW"), swapped), more))
+    head = F.concat(F.lit("<revision>007</revision>"), tag("sender", tag("events", F.col("n_events"))))
+    return days.select("day", F.concat(F.lit('<Doc xmlns="urn:x">'), head, first, second, F.lit("</Doc>")).alias("xml"))
+
+
+_DOC_DAYS = "dy AS (SELECT ts::DATE AS d, day(ts::DATE) AS n, count(*) AS n_events FROM events GROUP BY 1, 2)"
+_QUALITY = "'quality.x.unit', CASE WHEN n % 5 = 0 THEN 'kW' ELSE 'MW' END"
+register(
+    "src_document_fields", "day:d ts_index:i path:s text:s", lambda s, d: docs.flatten_fields(_odd_documents(s, d), ["day"]),
+    f"""{_DOC_DAYS},
+f AS (
+  SELECT d, NULL AS ts_index, unnest(['revision', 'sender.events']) AS path, unnest(['007', n_events::VARCHAR]) AS text FROM dy
+  UNION ALL SELECT d, 0, unnest(['classificationSequence_AttributeInstanceComponent.position', 'quality.x.unit', 'quality.x.note', 'quality.x.note']), unnest(['1', 'MW', 'a & b', 'c']) FROM dy
+  UNION ALL SELECT d, 1, unnest(['classificationSequence_AttributeInstanceComponent.position', {_QUALITY.split(',')[0]}, 'quality.x.note', 'quality.x.note']),
+    unnest(['2', {_QUALITY.split(',', 1)[1]}, 'a & b', 'c']) FROM dy
+  UNION ALL SELECT d, 1, 'extra.deep.deeper', '7' FROM dy WHERE n % 3 = 0) ;;
+SELECT d AS day, ts_index, path, text FROM f""",
+)
+
+
+def _field_diff(s: SparkSession, d: str) -> DataFrame:
+    found = docs.field_diff(docs.paths(_odd_documents(s, d), ["day"]), ["day"])
+    return found.withColumns({c: F.array_join(c, "|") for c in ("texts_a", "texts_b")})
+
+
+register(
+    "aud_field_diff", "day:d path:s texts_a:s texts_b:s", _field_diff,
+    f"""{_DOC_DAYS} ;;
+SELECT d AS day, 'quality.x.note' AS path, 'a & b|c' AS texts_a, 'c|a & b' AS texts_b FROM dy WHERE n % 2 = 0
+UNION ALL SELECT d, 'quality.x.unit', 'MW', 'kW' FROM dy WHERE n % 5 = 0
+UNION ALL SELECT d, 'extra.deep.deeper', '', '7' FROM dy WHERE n % 3 = 0""",
+)
+
+
 def _sequenced(s: SparkSession, d: str) -> DataFrame:
     return ad.events(s, d).select("event_id", F.date_trunc("hour", "ts").alias("timestamp_utc"), "value", F.nullif(F.col("event_id") % 3, F.lit(0)).alias("sequence"))
 
