@@ -4,6 +4,7 @@ import hashlib
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -533,3 +534,13 @@ def test_splits_by_flags_and_frontier_use_market_days(spark):
     got = {(r.flag, r.is_set): (r.n_days, r.delta_S2_S1) for r in table.collect()}
     assert got == {("any_negative", True): (1, 3.0), ("any_negative", False): (1, -1.0), ("post", False): (1, 3.0), ("post", True): (1, -1.0)}
 
+
+
+def test_hourly_quantiles_leave_out_what_is_not_finite(spark):
+    """One NaN and one infinite residual of 24: 22 are fewer than a day has, and 23 of 25 too; 24 finite ones are enough."""
+    at = datetime(2024, 1, 1)
+    value = lambda h: float("nan") if h == 3 else float("inf") if h == 7 else float(h)
+    rows = spark.createDataFrame([("a", at + timedelta(hours=h), value(h)) for h in range(40)], "series_id string, timestamp_utc timestamp, r double")
+    got = {r.timestamp_utc: (r.q10, r.q90) for r in uncertainty.hourly_quantiles(rows, "r", 1, 1).collect()}
+    assert all(got[at + timedelta(hours=h)] == (None, None) for h in range(32))
+    np.testing.assert_allclose(got[at + timedelta(hours=32)], np.quantile(np.arange(8.0, 32), [0.1, 0.9]))

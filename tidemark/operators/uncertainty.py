@@ -52,15 +52,16 @@ def attach_bounds(df: DataFrame, prediction: str, offsets: DataFrame, low: str =
 
 
 def hourly_quantiles(df: DataFrame, residual: str, days: int, least_days: int, quantiles=QUANTILES, prediction: str | None = None) -> DataFrame:
-    """``q10, q50, ...``: trailing quantiles over ``[t - days, t)``, added to ``prediction`` if given. Null under as
-    many residuals as ``least_days`` days have at the series' median gap between rows. A series of one row has
+    """``q10, q50, ...``: trailing quantiles of the finite residuals over ``[t - days, t)``, added to ``prediction`` if
+    given. Null under as many finite residuals as ``least_days`` days have at the series' median gap between rows. A series of one row has
     no gap and no quantile."""
     along = Window.partitionBy("series_id").orderBy("timestamp_utc")
     w = Window.partitionBy("series_id").orderBy(F.unix_timestamp("timestamp_utc")).rangeBetween(-days * 86400, -1)
     gap = (F.unix_timestamp("timestamp_utc") - F.unix_timestamp(F.lag("timestamp_utc").over(along))) / 3600
     out = df.withColumn("__gap", gap).withColumn("__usual", F.median("__gap").over(Window.partitionBy("series_id")))
     least = F.greatest(F.lit(1), F.floor(F.lit(least_days * 24) / F.col("__usual")))
-    q = F.when(F.count(residual).over(w) >= least, F.percentile(residual, F.array(*map(F.lit, quantiles))).over(w))
+    r = finite(residual)
+    q = F.when(F.count(r).over(w) >= least, F.percentile(r, F.array(*map(F.lit, quantiles))).over(w))
     base = F.col(prediction) if prediction else F.lit(0.0)
     return out.withColumn("__q", q).withColumns({f"q{round(p * 100)}": base + F.get("__q", i) for i, p in enumerate(quantiles)}).drop("__gap", "__usual", "__q")
 

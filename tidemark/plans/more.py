@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import streaming
+from tidemark.streaming import sequential
 from tidemark.functions import columns as fn
 from tidemark.operators import checks, decisions, forecast, joins, metrics, reports, splits, timeseries, uncertainty
 from tidemark.operators import documents as docs
@@ -333,6 +334,36 @@ register("unc_interval_score", f"{KEY} score:f", lambda s, d: ad.a5(s, d).where(
 register("unc_day_safe_offset", f"{_DAYS} q10:f q50:f q90:f", lambda s, d: uncertainty.day_safe_quantiles(ad.a5(s, d), "residual", 7, 1), f"{ad.A5} ;; SELECT series_id, d AS delivery_date, q10, q50, q90 FROM q")
 register("unc_sequential_update", f"{_DAYS} q10:f q50:f q90:f", lambda s, d: uncertainty.day_safe_quantiles(ad.a5(s, d).where("fold is not null"), "residual", 7, 1),
          f"{ad.A5}, f AS (SELECT series_id, d, residual AS r, unnest(generate_series(1, 7)) AS k FROM rolled WHERE isfinite(residual) AND fold IS NOT NULL) ;; SELECT series_id, (d + k::INT)::DATE AS delivery_date, quantile_cont(r, 0.1) AS q10, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 0.9) AS q90 FROM f GROUP BY 1, 2")
+
+
+def _sequential_stream(s: SparkSession, d: str) -> DataFrame:
+    """The residuals of ``a5`` as files of six days each, read some at a time by a stream that keeps seven days."""
+    path = tables.scratch(s)
+    rows = saved(ad.a5(s, d).where("fold is not null").select(*ROWS, "residual"))
+    for k in range(5):
+        part = rows.where(F.floor(F.datediff("timestamp_utc", F.lit("2024-01-01")) / 6) == k)
+        part.write.mode("append").parquet(f"{path}/in")
+    store = sequential.STORE[0]
+    old = s.conf.get(store, None)
+    sequential.use_rocksdb(s)
+    try:
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+        made = sequential.sequential_quantiles(stream, "residual", 7, 1, late="7 days")
+        made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.unset(store) if old is None else s.conf.set(store, old)
+    return s.read.parquet(f"{path}/out")
+
+
+register(
+    "unc_sequential_stream", f"{_DAYS} q10:f q50:f q90:f n_days:i", _sequential_stream,
+    f"""{ad.A5},
+sr AS (SELECT series_id, t, d, residual AS r FROM rolled WHERE isfinite(residual) AND fold IS NOT NULL),
+f AS (SELECT series_id, d, r, unnest(generate_series(1, 7)) AS k FROM sr),
+la AS (SELECT max(t) - INTERVAL 7 DAY AS mark FROM sr) ;;
+SELECT series_id, (d + k::INT)::DATE AS delivery_date, quantile_cont(r, 0.1) AS q10, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 0.9) AS q90, count(DISTINCT d) AS n_days
+FROM f, la GROUP BY 1, 2, mark HAVING (d + k::INT)::DATE::TIMESTAMP - INTERVAL 1 HOUR <= mark""",
+)
 register("fn_price_bounds", f"{KEY} L:f U:f", lambda s, d: uncertainty.attach_bounds(ad.a5(s, d).select(*ROWS, "pred_alt"), "pred_alt", uncertainty.day_safe_quantiles(ad.a5(s, d), "residual", 7, 1)),
          f"{ad.A5} ;; SELECT series_id, t AS timestamp_utc, pred_alt + q10 AS L, pred_alt + q90 AS U FROM a5")
 _TIERS = f"{ad.A5}, {ad.QA}, tt AS (SELECT a5.*, a10, a90 FROM a5 LEFT JOIN qa ON qa.series_id = a5.series_id AND qa.d = a5.d)"

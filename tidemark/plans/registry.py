@@ -284,6 +284,28 @@ register("win_residual_quantile_hourly", f"{KEY} q10:f q50:f q90:f", lambda s, d
          + ", ".join(f"CASE WHEN count(residual) OVER w >= greatest(1, floor(24 / g)) THEN pred_full + quantile_cont(residual, {q}) OVER w END AS q{round(q * 100)}" for q in (0.1, 0.5, 0.9))
          + " FROM a5 JOIN gp ON gp.series_id = a5.series_id WINDOW w AS (PARTITION BY a5.series_id ORDER BY t RANGE BETWEEN INTERVAL 72 HOUR PRECEDING AND INTERVAL 1 SECOND PRECEDING)")
 
+
+
+def _with_gaps(rows: DataFrame) -> DataFrame:
+    """Residuals of which some are NaN, infinite or missing."""
+    hour, r = F.floor(F.unix_timestamp("timestamp_utc") / 3600), F.col("residual")
+    odd = F.when(hour % 5 == 0, F.lit(float("nan"))).when(hour % 7 == 0, F.lit(float("inf"))).when(hour % 11 == 0, F.lit(float("-inf"))).when(hour % 13 != 0, r)
+    return rows.withColumn("residual", odd)
+
+
+_HOUR = "(epoch(t)::BIGINT // 3600)"
+register(
+    "win_residual_quantile_hourly_gaps", f"{KEY} q10:f q50:f q90:f", lambda s, d: uncertainty.hourly_quantiles(_with_gaps(ad.a5(s, d)), "residual", 3, 1),
+    f"""{ad.A5},
+gp AS (SELECT series_id, median(g) AS g FROM (SELECT series_id, (epoch(t) - epoch(lag(t) OVER (PARTITION BY series_id ORDER BY t))) / 3600 AS g FROM a5) GROUP BY 1),
+od AS (SELECT series_id, t, CASE WHEN {_HOUR} % 5 <> 0 AND {_HOUR} % 7 <> 0 AND {_HOUR} % 11 <> 0 AND {_HOUR} % 13 <> 0 THEN residual END AS r FROM a5) ;;
+SELECT od.series_id, t AS timestamp_utc, """
+    + ", ".join(f"CASE WHEN count(r) OVER w >= greatest(1, floor(24 / g)) THEN quantile_cont(r, {q}) OVER w END AS q{round(q * 100)}" for q in (0.1, 0.5, 0.9))
+    + """
+FROM od JOIN gp ON gp.series_id = od.series_id
+WINDOW w AS (PARTITION BY od.series_id ORDER BY t RANGE BETWEEN INTERVAL 72 HOUR PRECEDING AND INTERVAL 1 SECOND PRECEDING)""",
+)
+
 # --- decisions and reports --------------------------------------------------------------------------
 _DAYS = "series_id:s delivery_date:d"
 register("st_common_days", f"{_DAYS} n_hours:i", lambda s, d: decisions.common_days(ad.a5(s, d), ad.REQUIRED), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, n_hours FROM days")
