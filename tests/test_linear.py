@@ -1,5 +1,7 @@
 """Elastic nets from sums of products against direct formulas, optimality conditions and Spark's own fits."""
 
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -93,8 +95,8 @@ def test_folds_are_scored_on_common_rows(spark):
         "a": F.when(F.col("t") / 3600 % 5 < 1, F.col("a")).otherwise(F.col("a") + 0.1), "lag": F.when(F.col("t") / 3600 % 3 < 2, F.col("y") + 1),
         "c": F.when(F.col("t") / 3600 % 7 >= 1, F.col("c")),
     })
-    variants = {"full": ["a", "b", "c"], "few": ["b"]}
-    found, chosen = linear.predict_folds(rows, "y", variants, {"naive": "lag"}, [1, 2], forecast.cells(alpha=[0.01, 1.0], l1_ratio=[0.5]), ["series_id", "timestamp_utc", "hour_local"], 2)
+    net = partial(linear.search, grid=forecast.cells(alpha=[0.01, 1.0], l1_ratio=[0.5]), k=2)
+    found, chosen = linear.predict_folds(rows, "y", {"full": (net, ["a", "b", "c"]), "few": (net, ["b"])}, {"naive": "lag"}, [1, 2], ["series_id", "timestamp_utc", "hour_local"])
     assert {(r["fold"], r["model"]) for r in chosen.collect()} == {(1, "full"), (1, "few"), (2, "full"), (2, "few")}
     held = found.toPandas()
     cover = {r["fold"]: r.asDict() for r in linear.fold_coverage(found, "y", ["naive", "full", "few"]).collect()}

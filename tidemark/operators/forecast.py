@@ -95,16 +95,26 @@ def with_parts(df: DataFrame, k: int, unit: str = "rows") -> DataFrame:
     return ranked.withColumn("part", F.when((F.col("__r") < start) | (test == 0), -1).otherwise(F.floor((F.col("__r") - start) / test)).cast("int")).drop("__r", "__n")
 
 
+def complete_parts(df: DataFrame, features: list[str], label: str, k: int, unit: str) -> DataFrame:
+    """The rows of ``df`` that have all features and the label, written once with their ``part`` of with_parts(). A time
+    that a series has twice, fewer than 100 rows, or a fold without rows to train on or to test is a ValueError."""
+    rows = saved(with_parts(df.dropna(subset=[*features, label]).select("series_id", "timestamp_utc", *features, label), k, unit))
+    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+    if sum(sizes.values()) < LEAST_ROWS:
+        raise ValueError(f"fewer than {LEAST_ROWS} complete rows")
+    if rows.groupBy("series_id", "timestamp_utc").count().where("count > 1").take(1):
+        raise ValueError("a series has a time twice: folds in row order need one row a time")
+    if any(not sizes.get(i) for i in range(-1, k)):
+        raise ValueError(f"fewer rows than {k} folds need")
+    return rows
+
+
 def search(df: DataFrame, features: list[str], label: str, fit: Callable, grid: list[dict], k: int = 4, unit: str = "rows", at_once: int = 4) -> tuple[object, dict, DataFrame]:
     """The grid's cell with the lowest mean over folds of the mean absolute error, refitted on all rows: the model,
     the cell, and a table ``cell, fold, mae, parameters``. Rows that lack a feature or the label are left out;
     a time that a series has twice, or fewer than 100 rows, is a ValueError. Of equal cells the first wins. Fits
     are Spark jobs, ``at_once`` of them at a time; what comes to the driver is a number for each."""
-    rows = saved(with_parts(df.dropna(subset=[*features, label]).select("series_id", "timestamp_utc", *features, label), k, unit))
-    if rows.count() < LEAST_ROWS:
-        raise ValueError(f"fewer than {LEAST_ROWS} complete rows")
-    if rows.groupBy("series_id", "timestamp_utc").count().where("count > 1").take(1):
-        raise ValueError("a series has a time twice: folds in row order need one row a time")
+    rows = complete_parts(df, features, label, k, unit)
     judge = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="mae")
 
     def score(task: tuple[int, int]) -> float:

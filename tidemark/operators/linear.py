@@ -6,7 +6,7 @@ columns squared, by coordinate descent on the driver. A second pass scores all o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.metrics import extreme_flags, point_metrics
 from tidemark.sources.tables import saved
 
-from .forecast import LEAST_ROWS, cells, with_parts
+from .forecast import cells, complete_parts
 
 #: Columns that a search takes at most: the sums have as many entries as pairs of them.
 MOST_FEATURES = 100
@@ -192,19 +192,13 @@ def search(df: DataFrame, features: list[str], label: str, grid: list[dict], k:
     """forecast.search() for elastic nets, with the same result: the cell with the lowest mean over folds of the mean
     absolute error, refitted on all rows; the model, the cell, and a table ``cell, fold, mae, alpha, l1_ratio``.
 
-    ``grid``: cells of ``alpha`` and ``l1_ratio``. Rows that lack a feature or the label are left out, a time that a
-    series has twice, fewer than 100 rows or a fold without rows is a ValueError; of equal cells the first wins. Each fold
-    is standardized by its own training rows. The rows are read twice, whatever the grid's size."""
-    rows = saved(with_parts(df.dropna(subset=[*features, label]).select("series_id", "timestamp_utc", *features, label), k, unit))
-    if rows.count() < LEAST_ROWS:
-        raise ValueError(f"fewer than {LEAST_ROWS} complete rows")
-    if rows.groupBy("series_id", "timestamp_utc").count().where("count > 1").take(1):
-        raise ValueError("a series has a time twice: folds in row order need one row a time")
+    ``grid``: cells of ``alpha`` and ``l1_ratio``. Rows that lack a feature or the label are left out; the errors of
+    forecast.complete_parts() are raised; of equal cells the first wins. Each fold is standardized by its own training
+    rows. The rows are read twice, whatever the grid's size."""
+    rows = complete_parts(df, features, label, k, unit)
     by = moments(rows, [*features, label], "part")
-    before, trains = by.get(-1, Moments(0, np.zeros(len(features) + 1), np.zeros([len(features) + 1] * 2))), []
+    before, trains = by[-1], []
     for i in range(k):
-        if not before.n or i not in by:
-            raise ValueError(f"fold {i} has no rows to train on or none to test")
         trains.append(before)
         before = before + by[i]
     solved = solve([*trains, before], features, grid)
@@ -229,24 +223,25 @@ BUCKETS = {"negative": "{0} < 0", "above_200": "{0} > 200", "above_500": "{0} >
 
 
 def predict_folds(
-    df: DataFrame, label: str, variants: dict[str, list[str]], naive: dict[str, str], folds: list[int], grid: list[dict], keep: list[str], k: int = 4
+    df: DataFrame, label: str, variants: dict[str, tuple[Callable, list[str]]], naive: dict[str, str], folds: list[int], keep: list[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """The validation rows of each fold with a column for each model, and the chosen cells ``fold, model, alpha, l1_ratio``.
+    """The validation rows of each fold with a column for each model, and the chosen cells ``fold, model, parameters``.
 
-    For each of ``folds`` (a few) every variant (a name and its features) is searched on the rows of earlier folds (null:
-    before all) and predicts the fold's rows, null where a feature is. ``naive``: names and the columns that are their
+    For each of ``folds`` (a few) every variant is searched on the rows of earlier folds (null: before all) and predicts
+    the fold's rows, null where a feature is. A variant's name stands for its search, called with rows, features and label
+    (as search() or boosting.search() with their other arguments fixed), and its features. ``naive``: names and the columns that are their
     predictions. ``is_extreme``: further from the training rows' median than their 0.95 quantile of that distance."""
     rows, out, chosen = saved(df), None, []
     for fold in folds:
         train, test = rows.where(F.col("fold").isNull() | (F.col("fold") < fold)), rows.where(F.col("fold") == fold)
         made = extreme_flags(train.where(F.col(label).isNotNull()), test, label).withColumns({n: F.col(c) for n, c in naive.items()})
-        for name, features in variants.items():
-            model, cell, _ = search(train, features, label, grid, k)
+        for name, (searched, features) in variants.items():
+            model, cell, _ = searched(train, features, label)
             made = model.transform(made).withColumnRenamed("prediction", name)
-            chosen.append((fold, name, float(cell["alpha"]), float(cell["l1_ratio"])))
+            chosen.append((fold, name, ", ".join(f"{n} {v:.6g}" for n, v in sorted(cell.items()))))
         made = made.select(*keep, label, "fold", "is_extreme", *naive, *variants)
         out = made if out is None else out.unionByName(made)
-    return out, df.sparkSession.createDataFrame(chosen, "fold int, model string, alpha double, l1_ratio double")
+    return out, df.sparkSession.createDataFrame(chosen, "fold int, model string, parameters string")
 
 
 def fold_coverage(predictions: DataFrame, label: str, models: list[str]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import local_date
-from tidemark.operators import forecast, linear, timeseries
+from tidemark.operators import boosting, forecast, linear, timeseries
 from tidemark.sources.tables import saved
 
 from . import adapters as ad
@@ -99,6 +101,16 @@ register("ml_elasticnet", f"{KEY} price:f predicted:f", _searched(FULL, "v1", "r
 register("ml_elasticnet_v2", f"{KEY} price:f predicted:f", _searched(TIER1, "v2", "rows"))
 
 
+def _boosted(s: SparkSession, d: str) -> DataFrame:
+    """The whole grid over day-aligned folds, refitted and applied to the last folds."""
+    rows = saved(a8(s, d).select(*ROWS, "price", "fold", *FULL))
+    model, _, _ = boosting.search(rows.where("fold is null or fold < 4"), FULL, "price")
+    return forecast.predict_complete(model, rows.where("fold >= 4"), FULL, ROWS, "predicted")
+
+
+register("ml_gbt", f"{KEY} price:f predicted:f", _boosted)
+
+
 def _cell_scores(s: SparkSession, d: str) -> DataFrame:
     """Errors of each cell and fold; without an l1 part, so that SQL can solve the same systems."""
     train, _ = _train_and_test(s, d)
@@ -118,15 +130,16 @@ SELECT cell, i AS fold, avg(abs(y - (my + wa * (a - ma) / sa + wb * (b - mb) / s
 )
 
 # --- evaluation of folds: two naive rules, and the searched net on both information sets
-_NETS = {"net_full": FULL, "net_tier1": TIER1}
+_SEARCH = partial(linear.profile_search, profile=forecast.LINEAR_PROFILES["v1"])
+_NETS = {"net_full": (_SEARCH, FULL), "net_tier1": (_SEARCH, TIER1)}
 _NAIVE = {"lag_24": "price_lag_24", "lag_168": "price_lag_168"}
 _MODELS = [*_NAIVE, *_NETS]
-_FOLDS = [3, 4]
+_FOLDS = (3, 4)
 
 
-def _predicted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _predicted(s: SparkSession, d: str, variants: dict = _NETS, folds: tuple[int, ...] = _FOLDS) -> tuple[DataFrame, DataFrame]:
     rows = a8(s, d).select(*ROWS, "price", "fold", "hour_local", *FULL)
-    found, chosen = linear.predict_folds(rows, "price", _NETS, _NAIVE, _FOLDS, forecast.cells(**forecast.LINEAR_PROFILES["v1"]), [*ROWS, "hour_local"])
+    found, chosen = linear.predict_folds(rows, "price", variants, _NAIVE, list(folds), [*ROWS, "hour_local"])
     return saved(found), chosen
 
 
@@ -136,12 +149,15 @@ def _scores(s: SparkSession, d: str) -> DataFrame:
 
 _SCORES = "fold:i model:s grouping_key:s level:s n:i mae:f rmse:f median_ae:f"
 register("ml_fold_scores", _SCORES, _scores)
-register("ml_fold_cells", "fold:i model:s alpha:f l1_ratio:f", lambda s, d: _predicted(s, d)[1])
+register("ml_fold_cells", "fold:i model:s parameters:s", lambda s, d: _predicted(s, d)[1])
+# the same with boosted trees on both information sets, for the last fold
+_TREES = {"trees_full": (boosting.search, FULL), "trees_tier1": (boosting.search, TIER1)}
+register("ml_fold_scores_trees", _SCORES, lambda s, d: linear.fold_scores(_predicted(s, d, _NETS | _TREES, (4,))[0], "price", [*_MODELS, *_TREES]))
 # which rows all models predict depends on the predictors alone, so that SQL gives the naive rules' scores
 register(
     "ml_fold_scores_naive", _SCORES, lambda s, d: _scores(s, d).where(F.col("model").isin(*_NAIVE)),
     f"""{A8},
-md AS (SELECT f, median(price) AS c FROM a8 JOIN (SELECT unnest({_FOLDS}) AS f) ON fold IS NULL OR fold < f GROUP BY f),
+md AS (SELECT f, median(price) AS c FROM a8 JOIN (SELECT unnest({list(_FOLDS)}) AS f) ON fold IS NULL OR fold < f GROUP BY f),
 li AS (SELECT md.f, any_value(c) AS c, quantile_cont(abs(price - c), 0.95) AS l FROM a8 JOIN md ON fold IS NULL OR fold < md.f GROUP BY md.f),
 va AS (SELECT a8.*, abs(price - c) > l AS is_extreme FROM a8 JOIN li ON fold = f WHERE {_ALL_THERE}),
 k AS (SELECT fold, 'lag_24' AS model, price, price_lag_24 AS p, hour_local, is_extreme FROM va UNION ALL SELECT fold, 'lag_168', price, price_lag_168, hour_local, is_extreme FROM va),

@@ -402,7 +402,7 @@ def _searched(fit, grid: list[dict], k: int, unit: str):
 #: Grids of the queries: fewer cells than the profiles have.
 _NET, _RIDGE, _TREES = forecast.cells(alpha=[0.1, 1.0, 10.0], l1_ratio=[0.1, 0.9]), forecast.cells(alpha=[0.01, 1.0, 100.0], l1_ratio=[0.0]), forecast.cells(maxDepth=[2, 3], stepSize=[0.1, 0.3], maxIter=[8])
 register("ml_elasticnet_fits", f"{KEY} price:f predicted:f", _searched(forecast.elastic_net, _NET, 3, "rows"))
-register("ml_gbt", f"{KEY} price:f predicted:f", _searched(forecast.boosted_trees, _TREES, 2, "days"))
+register("ml_gbt_fits", f"{KEY} price:f predicted:f", _searched(forecast.boosted_trees, _TREES, 2, "days"))
 # without an l1 part the model has a closed form: for two standardized features a 2 x 2 system. Fold 3 is the refit
 _MOMENTS = "count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS r, covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb"
 _SOLVED = "((1 + al) * ca - r * cb) / ((1 + al) * (1 + al) - r * r) AS wa, ((1 + al) * cb - r * ca) / ((1 + al) * (1 + al) - r * r) AS wb"
