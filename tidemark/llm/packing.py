@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from .common import saved
+from .common import saved, slices
 
 CAPACITY, END_ID = 2048, 0
-#: Characters of text that are encoded together, longer texts alone.
-BATCH_CHARS = 1 << 24
+#: Bytes of text that are encoded together, longer texts alone.
+BATCH_BYTES = 1 << 24
 #: Words whose ids a worker remembers (those it meets first, among them the common ones).
 CACHE = 1_200_000
 #: Rows of the table of (part, length) that are broadcast at most (some 50 bytes each); larger ones are joined by shuffling.
@@ -163,11 +163,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
         names = [c.split()[0] for c in PIECES.split(", ")]
         for batch in batches:
-            # parts of about equal size: bytes up to each row, in units of BATCH_CHARS
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_CHARS
-            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
-            for at, to in zip(cuts, cuts[1:]):
-                part, rows = batch.slice(at, to - at), []
+            for part in slices(batch, "text", BATCH_BYTES):
+                rows = []
                 for doc_id, body in zip(part.column("doc_id").to_pylist(), enc.ids([t or "" for t in part.column("text").to_pylist()])):
                     body += end
                     for n, first in enumerate(range(0, len(body), capacity * width)):

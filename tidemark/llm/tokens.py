@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, saved
+from .common import new_path, saved, slices
 
 END_ID = 2
 BLOCK_BYTES, BLOCK_DOCS = 1 << 19, 2048
@@ -34,18 +35,21 @@ BLOCK_BYTES, BLOCK_DOCS = 1 << 19, 2048
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES, LEVEL = 1000, 8192, 64 * 1024, 3
 #: Pieces whose ids a worker remembers (those it meets first, among them the common ones).
 CACHE = 1_200_000
+#: Bytes of text that are encoded together, longer texts alone.
+BATCH_BYTES = 1 << 24
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     A byte-level BPE cuts texts before single spaces that stand before a non-space, and between a
-    letter and the sign that ends a piece; no merge crosses such a cut. So pieces between them are
-    encoded once and remembered. Texts with other spaces, or with a string that the tokenizer adds as
+    letter and the signs that end a piece; no merge crosses such a cut. So pieces between them are told
+    apart by pyarrow, and each different one is encoded once and remembered. Texts with other spaces, or with a string that the tokenizer adds as
     a token, go to the library whole.
     """
 
     #: A space with white space or nothing after it: the cut rule does not hold there.
     odd = re.compile(r" (?:\s|\Z)")
+    signs = ".,;:!?"
     #: New pieces are sent to the library many at a time, with this between them, which no token holds
     #: besides its own.
     between = "\0"
@@ -100,44 +104,61 @@ class Encoder:
         found = self.tokenizer.model.tokenize(shown)
         return array(self.code, [t.id for t in found]).tobytes()
 
+    def units(self, units: list[str]) -> pa.Array:
+        """Ids of each of some different pieces."""
+        found = list(map(self.cache.get, units))
+        new = {u for u, ids in zip(units, found) if ids is None}
+        if new:
+            made = {p: self.word(p) for p in new if p.isalpha() or p[0] == " " and p[1:].isalpha()}
+            other = new.difference(made)
+            # a sign at the start would be joined with the mark before it, and white space at the end be cut by
+            # the mark after it
+            alone = [p for p in other if p[0] != " " and not p[0].isalnum() or p[-1].isspace()]
+            joined = list(other.difference(alone))
+            made.update(zip(joined, self.pieces(joined)))
+            made.update(zip(alone, self.whole(alone)))
+            found = [made[u] if ids is None else ids for u, ids in zip(units, found)]
+            if len(self.cache) < CACHE:
+                self.cache.update(made)
+        return pa.array(found, pa.binary())
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are cut at spaces; a piece but a text's first has the space before it."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        flat = lists.flatten().dictionary_encode()
+        words = flat.dictionary.cast(pa.string())
+        # signs after a word of letters are a piece of their own
+        core = pc.utf8_rtrim(words, self.signs)
+        core = pc.if_else(pc.utf8_is_alpha(core), core, words)
+        ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1]
+        bounds = np.repeat(ends, 2)[:-1]
+        bounds[1::2] = ends[:-1] + pc.binary_length(core).to_numpy()
+        pairs = pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(bounds), words.buffers()[2])
+        tails = pc.take(pairs, pa.array(np.arange(1, 2 * len(words), 2))).dictionary_encode()
+        cores = core.dictionary_encode()
+        spaced = pc.take(self.units([" " + c for c in cores.dictionary.to_pylist()]), cores.indices)
+        known = pc.binary_join_element_wise(spaced, pc.take(self.units(tails.dictionary.to_pylist()), tails.indices), b"")
+        ids = pc.take(known.cast(pa.large_binary()), flat.indices)
+        place, at = lists.offsets.to_numpy(), np.frombuffer(ids.buffers()[1], np.int64)
+        firsts = pc.take(flat.dictionary, pc.take(flat.indices, pa.array(place[:-1]))).dictionary_encode()
+        heads = pc.take(self.units(firsts.dictionary.to_pylist()), firsts.indices).to_pylist()
+        body = ids.buffers()[2].to_pybytes() if ids.buffers()[2] else b""
+        return [h + body[i:j] for h, i, j in zip(heads, at[place[:-1] + 1].tolist(), at[place[1:]].tolist())]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of each text, without an end id."""
         out: list[bytes] = [b""] * len(texts)
         whole, cut = [], []
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self.cuts or self.odd.search(t) or self.between in t or any(a in t for a in self.added):
-                whole.append(i)
-            else:
-                cut.append((i, t.replace(" ", "\0 ").split("\0")))
+            if t:
+                odd = not self.cuts or self.odd.search(t) or self.between in t or any(a in t for a in self.added)
+                (whole if odd else cut).append(i)
         for i in range(0, len(whole), 64):
             for k, b in zip(whole[i : i + 64], self.whole([texts[k] for k in whole[i : i + 64]])):
                 out[k] = b
-        cache = self.cache
-        # one look at each piece: the ids of those known, and where the others stand
-        known = [list(map(cache.get, pieces)) for _, pieces in cut]
-        gaps = [[k for k, v in enumerate(got) if v is None] if None in got else [] for got in known]
-        new = {pieces[k] for (_, pieces), at in zip(cut, gaps) for k in at}
-        ended = [p for p in new if p[-1:] in ".,;:!?" and p[-2:-1].isalpha()]
-        new.difference_update(ended)
-        new.update(c for e in ended for c in (e[:-1], e[-1]) if c not in cache)
-        found = {p: self.word(p) for p in new if p.isalpha() or p[0] == " " and p[1:].isalpha()}
-        other = new.difference(found)
-        # a sign at the start would be joined with the mark before it, and white space at the end be cut by
-        # the mark after it
-        alone = [p for p in other if p[0] != " " and not p[0].isalnum() or p[-1].isspace()]
-        joined = list(other.difference(alone))
-        found.update(zip(joined, self.pieces(joined)))
-        found.update(zip(alone, self.whole(alone)))
-        for e in ended:
-            found[e] = (found.get(e[:-1]) or cache[e[:-1]]) + (found.get(e[-1]) or cache[e[-1]])
-        for (i, pieces), got, at in zip(cut, known, gaps):
-            for k in at:
-                got[k] = found[pieces[k]]
-            out[i] = b"".join(got)
-        if len(cache) < CACHE:
-            cache.update(found)
+        if cut:
+            for k, b in zip(cut, self._cut([texts[k] for k in cut])):
+                out[k] = b
         return out
 
 
@@ -209,8 +230,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, "text", BATCH_BYTES):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc_id, shard_of, body in zip(part.column("doc_id").to_pylist(), part.column("shard").to_pylist(), enc.ids(texts)):
                     shard = shard_of
