@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from . import scan
+
 DOCUMENT_SCHEMA = (
     "mRID string, TimeSeries array<struct<mRID: string, curveType: string, `classificationSequence_AttributeInstanceComponent.position`: int, "
     "Period: array<struct<timeInterval: struct<start: string, end: string>, resolution: string, Point: array<struct<position: int, `price.amount`: double, quantity: double>>>>>>"
@@ -69,10 +71,16 @@ def point_violations(periods: DataFrame, points: DataFrame) -> DataFrame:
     return both.select("period_id", F.explode(hit).alias("rule"))
 
 
-def period_gaps(periods: DataFrame) -> DataFrame:
-    """Gap and overlap of each period against the furthest end before it in its series (``frontier``)."""
-    w = Window.partitionBy("ts_uid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    front = F.max("end").over(w)
+def period_gaps(periods: DataFrame, long: bool = False) -> DataFrame:
+    """Gap and overlap of each period against the furthest end before it in its series (``frontier``). With ``long`` a
+    series is cut over many tasks (see scan)."""
+    if long:
+        periods = scan.with_prefix(periods, ["ts_uid"], ["start", "end"], {"__front": scan.running_max("end")}, own=False)
+        return _against(periods, F.col("__front")).drop("__front")
+    return _against(periods, F.max("end").over(Window.partitionBy("ts_uid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def _against(periods: DataFrame, front: Column) -> DataFrame:
     return periods.withColumns({"frontier": front, "gap": F.coalesce(F.col("start") > front, F.lit(False)), "overlap": F.coalesce(F.col("start") < front, F.lit(False))})
 
 

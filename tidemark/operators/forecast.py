@@ -34,6 +34,29 @@ def trailing_profile(df: DataFrame, value: str, window: int) -> DataFrame:
     return made.join(index, ["series_id", "k"]).select("series_id", F.col("day").alias("delivery_date"), "hour_local", "profile_pred")
 
 
+def trailing_profiles(df: DataFrame, value: str, windows: list[int]) -> DataFrame:
+    """``series_id, delivery_date, hour_local, window_days, profile_pred``: trailing_profile() for all of ``windows`` in one pass.
+    Sums and counts of each hour run along the series' days that have values, and a window is the difference of two
+    running values; no value is copied to the days that use it. Hours without values in a window have no row."""
+    local = local_time(F.col("timestamp_utc"))
+    rows = df.where(F.col(value).isNotNull()).select("series_id", F.to_date(local).alias("day"), F.hour(local).alias("hour_local"), F.col(value).cast("double").alias("v"))
+    # a row a day with all its hours
+    sums = rows.groupBy("series_id", "day", "hour_local").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    days = sums.groupBy("series_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("hour_local", F.struct("s", "n")))).alias("hours"))  # 24 at most
+    along = Window.partitionBy("series_id").orderBy("day")
+    indexed = days.withColumn("k", F.row_number().over(along))
+    grid = indexed.select("series_id", "day", "k", "hours", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour_local"))
+    each = Window.partitionBy("series_id", "hour_local").orderBy("k")
+    cell = F.col("hours")[F.col("hour_local")]
+    run = each.rowsBetween(Window.unboundedPreceding, -1)
+    through = grid.withColumns({"cs": F.coalesce(F.sum(cell["s"]).over(run), F.lit(0.0)), "cn": F.coalesce(F.sum(cell["n"]).over(run), F.lit(0))})
+    back = lambda c, w, none: F.coalesce(F.lag(c, w).over(each), none)
+    cells_ = [F.struct(F.lit(w).alias("window_days"), (F.col("cs") - back("cs", w, F.lit(0.0))).alias("s"), (F.col("cn") - back("cn", w, F.lit(0))).alias("n")) for w in windows]
+    made = through.select("series_id", F.col("day").alias("delivery_date"), "hour_local", F.array(*cells_).alias("cells"))
+    out = made.select("series_id", "delivery_date", "hour_local", F.explode("cells").alias("c")).where("c.n > 0")
+    return out.select("series_id", "delivery_date", "hour_local", "c.window_days", (F.col("c.s") / F.col("c.n")).alias("profile_pred"))
+
+
 def _fit(df: DataFrame, features: list[str], estimator) -> object:
     stages = [VectorAssembler(inputCols=features, outputCol="x_raw", handleInvalid="skip"), StandardScaler(inputCol="x_raw", outputCol="x", withMean=True), estimator]
     return Pipeline(stages=stages).fit(df)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import local_date
+from tidemark.sources.tables import saved
 
+from . import scan
 from .quantiles import quantile_of, quantiles, ranked_values, with_quantiles
 
 
@@ -94,21 +96,17 @@ def extremes(df: DataFrame, value: str, k: int = 10) -> DataFrame:
     return pick("highest", F.desc(value)).unionByName(pick("lowest", F.asc(value)))
 
 
-def with_average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the mean place (from 1) that a row's value and its equals have in their group."""
-    ranks = ranked_values(df, by, value)
-    same = F.col(value) == F.col("__value")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    side = ranks.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("value").alias("__value"), (F.col("first") + (F.col("n") + 1) / 2).alias(name))
-    return df.join(side, same).drop("__value", *[f"__{c}" for c in by])
-
-
-def correlations(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Pearson and Spearman (average ranks) by group, or overall without ``by``, over rows that have both."""
-    rows = df.dropna(subset=[x, y]).select(*by, x, y)
-    both = with_average_rank(with_average_rank(rows, by, x, "__rx"), by, y, "__ry")
-    return both.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("__rx", "__ry").alias("spearman"))
+def correlations(df: DataFrame, by: list[str], x: str, y: str, overall: bool = False) -> DataFrame:
+    """Pearson and Spearman (average ranks) by group, or overall without ``by``, over rows that have both; with ``overall`` the
+    groups and, their columns null, all rows. The input is read once, and ranks stay with their rows."""
+    there = df.dropna(subset=[x, y]).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    keys = [f"__k{i}" for i in range(len(by))]
+    level = lambda whole: F.struct(F.lit(whole).alias("__all"), *[(F.when(~F.lit(whole), F.col(c))).alias(k) for c, k in zip(by, keys)])
+    rows = there.select(F.explode(F.array(*[level(w) for w in ([False, True] if overall else [False])])).alias("__g"), "__x", "__y").select("__g.*", "__x", "__y")
+    first = scan.with_average_rank(saved(rows), ["__all", *keys], "__x", "__rx")
+    ranked = scan.with_average_rank(saved(first), ["__all", *keys], "__y", "__ry")
+    made = ranked.groupBy("__all", *keys).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("pearson"), F.corr("__rx", "__ry").alias("spearman"))
+    return made.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "n", "pearson", "spearman")
 
 
 def quantile_bins(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import draw
 from tidemark.sources.tables import saved
 
+from . import scan
 from .quantiles import numbered, quantile_of, ranked_values, with_quantiles
 
 DELTAS = [("S2", "S1"), ("S3", "S2"), ("S4", "S2"), ("S5", "S3")]
@@ -55,9 +56,11 @@ def value_capture(days: DataFrame, by: list[str]) -> DataFrame:
     return days.groupBy(*by).agg(F.sum("net_pnl").alias("net"), o.alias("oracle"), F.when(o > 0, F.sum("net_pnl") / o).alias("capture"))
 
 
-def drawdown(days: DataFrame, by: list[str], span: int = 5) -> DataFrame:
+def drawdown(days: DataFrame, by: list[str], span: int = 5, long: bool = False) -> DataFrame:
     """Largest drop from the running peak (which starts at the first cumulative value), worst day, worst
-    full ``span``-day sum (null under ``span`` days)."""
+    full ``span``-day sum (null under ``span`` days). With ``long`` a group is cut over many tasks (see scan)."""
+    if long:
+        return _long_drawdown(days, by, span)
     along = Window.partitionBy(*by).orderBy("delivery_date")
     run = days.withColumn("cum", F.sum("net_pnl").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     last = along.rowsBetween(-(span - 1), 0)
@@ -65,7 +68,30 @@ def drawdown(days: DataFrame, by: list[str], span: int = 5) -> DataFrame:
     return run.groupBy(*by).agg(F.max(F.col("peak") - F.col("cum")).alias("max_drawdown"), F.min("net_pnl").alias("worst_day"), F.min("sum_span").alias("worst_span"))
 
 
-def cumulative(days: DataFrame, by: list[str]) -> DataFrame:
+def _long_drawdown(days: DataFrame, by: list[str], span: int) -> DataFrame:
+    held = saved(days.select(*by, "delivery_date", "net_pnl"))
+    drops = scan.largest_drop(held, by, ["delivery_date"], "net_pnl")
+    # a full span's sum is a difference of running sums over numbered days
+    one = held.withColumns({"__one": F.lit(1), "__sum": F.coalesce("net_pnl", F.lit(0.0)), "__there": F.col("net_pnl").isNotNull().cast("int")})
+    run = saved(scan.with_prefix(one, by, ["delivery_date"], {"__place": scan.running_sum("__one"), "__total": scan.running_sum("__sum"), "__n": scan.running_sum("__there")}))
+    then = run.select(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)], (F.col("__place") + span).alias("__at"), F.col("__total").alias("__t0"), F.col("__n").alias("__n0"))
+    same = F.col("__place") == F.col("__at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__b{i}"))
+    full = F.col("__n") - F.coalesce("__n0", F.lit(0)) == span
+    sums = run.join(then, same, "left").withColumn("__sum_span", F.when((F.col("__place") >= span) & full, F.col("__total") - F.coalesce("__t0", F.lit(0.0))))
+    rest = sums.groupBy(*[F.col(c).alias(f"__b{i}") for i, c in enumerate(by)]).agg(F.min("net_pnl").alias("worst_day"), F.min("__sum_span").alias("worst_span"))
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__b{i}"))
+    return drops.join(rest, on).select(*by, F.col("largest_drop").alias("max_drawdown"), "worst_day", "worst_span")
+
+
+def cumulative(days: DataFrame, by: list[str], long: bool = False) -> DataFrame:
+    """The running sum of each group; with ``long`` a group is cut over many tasks (see scan)."""
+    if long:
+        made = scan.with_prefix(days.select(*by, "delivery_date", "net_pnl"), by, ["delivery_date"], {"cum_pnl": scan.running_sum("net_pnl")})
+        return made.select(*by, "delivery_date", "cum_pnl")
     along = Window.partitionBy(*by).orderBy("delivery_date").rowsBetween(Window.unboundedPreceding, 0)
     return days.select(*by, "delivery_date", F.sum("net_pnl").over(along).alias("cum_pnl"))
 

@@ -1,5 +1,5 @@
 """Operators on hourly series keyed by ``series_id, timestamp_utc``. Order matters only within a
-series (or a series and day), which is what windows are partitioned by; a lag is an equi-join."""
+series (or a series and day), which is what windows are partitioned by; a lag is a one-point window frame."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ZONE, cyclic, local_date, local_midnight, local_time, share_of
 
+from . import scan
+
 KEY = ["series_id", "timestamp_utc"]
 
 
@@ -83,7 +85,11 @@ def clip_range(df: DataFrame, start: Column, end: Column) -> DataFrame:
     return df.where((F.col("timestamp_utc") >= start) & (F.col("timestamp_utc") < end))
 
 
-def carry_forward(df: DataFrame, value: str) -> DataFrame:
+def carry_forward(df: DataFrame, value: str, long: bool = False) -> DataFrame:
+    """The last value up to each row; with ``long`` a series is cut over many tasks (see scan)."""
+    if long:
+        made = scan.with_prefix(df, ["series_id"], ["timestamp_utc"], {"__last": scan.last_value(value, ["timestamp_utc"])})
+        return made.withColumn(value, F.col("__last")).drop("__last")
     w = Window.partitionBy("series_id").orderBy("timestamp_utc").rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
 

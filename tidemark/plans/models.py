@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import local_date
-from tidemark.operators import boosting, forecast, linear, timeseries
+from tidemark.operators import boosting, forecast, linear, reports, timeseries
 from tidemark.sources.tables import saved
 
 from . import adapters as ad
-from .registry import _FEATURES, _METRIC, _MOMENTS, _RIDGE, _SOLVED, KEY, ROWS, _train_and_test, register
+from . import more
+from .registry import _FEATURES, _METRIC, _MOMENTS, _RIDGE, _SOLVED, KEY, ROWS, _train_and_test, register, register_like
 
 B = ad.berlin
 
@@ -174,3 +175,21 @@ register(
   count(*) FILTER ({_ALL_THERE}) AS n_net_full, count(*) FILTER (price IS NOT NULL AND {_TIER1_THERE}) AS n_net_tier1, count(*) FILTER ({_ALL_THERE}) AS n_common
 FROM a8 WHERE fold IN (3, 4) GROUP BY fold""",
 )
+
+# --- profiles of all windows in one pass
+_WINDOWS = list(range(3, 29))
+register(
+    "ml_trailing_profiles", "series_id:s delivery_date:d hour_local:i window_days:i profile_pred:f", lambda s, d: forecast.trailing_profiles(ad.a1(s, d), "price", _WINDOWS),
+    f"""{ad.A1},
+r AS (SELECT series_id, {B('t')}::DATE AS day, hour({B('t')}) AS h, price AS v FROM a1),
+i AS (SELECT series_id, day, row_number() OVER (PARTITION BY series_id ORDER BY day) AS k FROM (SELECT DISTINCT series_id, day FROM r)) ;;
+SELECT b.series_id, b.day AS delivery_date, h AS hour_local, w AS window_days, avg(v) AS profile_pred
+FROM r JOIN i a ON a.series_id = r.series_id AND a.day = r.day JOIN (SELECT unnest({_WINDOWS}) AS w) ON true JOIN i b ON b.series_id = a.series_id AND b.k > a.k AND b.k <= a.k + w
+GROUP BY ALL""",
+)
+
+# --- running values of series of any length, held against the SQL of the plain windows
+register_like("win_ffill_long", "win_ffill", lambda s, d: timeseries.carry_forward(saved(timeseries.regularize(ad.a1(s, d))), "price", long=True))
+register_like("win_frontier_long", "win_frontier", lambda s, d: more._spans(s, d, long=True))
+register_like("rep_cumulative_pnl_long", "rep_cumulative_pnl", lambda s, d: reports.cumulative(saved(ad.a7(s, d)), ["series_id", "strategy"], long=True))
+register_like("win_cumulative_drawdown_long", "win_cumulative_drawdown", lambda s, d: reports.drawdown(saved(ad.a7(s, d)), ["series_id", "strategy"], long=True))

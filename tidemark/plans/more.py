@@ -63,10 +63,11 @@ register("dec_point_validation", "period_id:s rule:s", lambda s, d: docs.point_v
 _SPAN = "sp AS (SELECT DISTINCT event_type AS ts_uid, date_trunc('hour', ts)::TIMESTAMP AS s, date_trunc('hour', ts)::TIMESTAMP + to_hours(1 + event_id % 3) AS e FROM events), fr AS (SELECT *, max(e) OVER (PARTITION BY ts_uid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS front FROM sp)"
 
 
-def _spans(s: SparkSession, d: str) -> DataFrame:
+def _spans(s: SparkSession, d: str, long: bool = False) -> DataFrame:
     start = F.date_trunc("hour", "ts")
     end = F.timestamp_seconds(F.unix_timestamp(start) + (1 + F.col("event_id") % 3) * 3600)
-    return docs.period_gaps(ad.events(s, d).select(F.col("event_type").alias("ts_uid"), start.alias("start"), end.alias("end")).distinct())
+    rows = ad.events(s, d).select(F.col("event_type").alias("ts_uid"), start.alias("start"), end.alias("end")).distinct()
+    return docs.period_gaps(saved(rows) if long else rows, long)
 
 
 register("aud_period_gaps", "ts_uid:s start:t end:t gap:b overlap:b", _spans, f"{_SPAN} ;; SELECT ts_uid, s AS start, e AS \"end\", coalesce(s > front, false) AS gap, coalesce(s < front, false) AS overlap FROM fr")

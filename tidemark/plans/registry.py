@@ -19,6 +19,7 @@ from . import adapters as ad
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_SPECS: dict[str, str] = {}
 KEY = "series_id:s timestamp_utc:t"
 ROWS = ["series_id", "timestamp_utc"]
 #: Added before rounding, so that a number halfway between two results rounds up in both engines.
@@ -44,12 +45,20 @@ def _sql_out(c: str, kind: str) -> str:
 def register(name: str, spec: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
     """``sql``: "CTEs ;; SELECT", the CTEs without WITH."""
     kinds = [x.split(":") for x in spec.split()]
+    _SPECS[name] = spec
     _QUERIES[name] = lambda spark, d: run(spark, d).select(*[_spark_out(c, k) for c, k in kinds])
     if sql:
         ctes, _, body = sql.rpartition(";;")
         _SQL[name] = (f"WITH {ctes.strip()} " if ctes.strip() else "") + f"SELECT {', '.join(_sql_out(c, k) for c, k in kinds)} FROM ({body.strip()}) last_step"
 
 
+def register_like(name: str, other: str, run: Callable[[SparkSession, str], DataFrame]) -> None:
+    """Another way to the rows of a registered query, held against the same SQL."""
+    columns = _SPECS[other]
+    register(name, columns, run)
+    _SQL[name] = _SQL[other]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _QUERIES
 
@@ -203,7 +212,7 @@ register("agg_seasonality_by_year", "year_local:i mean:f median:f std:f lo:f hi:
 register("agg_weekend_hour_profile", "weekend:i hour_local:i mean:f", lambda s, d: metrics.hour_profile(timeseries.add_local_columns(ad.a1(s, d))),
          f"{ad.A1} ;; SELECT (isodow({B('t')}) >= 6)::INT AS weekend, hour({B('t')}) AS hour_local, avg(price) AS mean FROM a1 GROUP BY 1, 2")
 _RANKS = "rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2.0"
-register("agg_corr", "wk:i n:i pearson:f spearman:f", lambda s, d: metrics.correlations(ad.a3(s, d).withColumn("wk", F.weekofyear("timestamp_utc")), ["wk"], "price", "load_mw").unionByName(metrics.correlations(ad.a3(s, d), [], "price", "load_mw").withColumn("wk", F.lit(None).cast("int"))),
+register("agg_corr", "wk:i n:i pearson:f spearman:f", lambda s, d: metrics.correlations(ad.a3(s, d).withColumn("wk", F.weekofyear("timestamp_utc")), ["wk"], "price", "load_mw", overall=True),
          f"{ad.A3}, b AS (SELECT weekofyear(t) AS wk, price AS x, load_mw AS y FROM a3 WHERE price IS NOT NULL AND load_mw IS NOT NULL), u AS (SELECT * FROM b UNION ALL SELECT NULL, x, y FROM b), "
          f"r AS (SELECT *, {_RANKS.format('wk', 'x')} AS rx, {_RANKS.format('wk', 'y')} AS ry FROM u) ;; SELECT wk, count(*) AS n, CASE WHEN count(*) > 1 THEN corr(x, y) END AS pearson, CASE WHEN count(*) > 1 THEN corr(rx, ry) END AS spearman FROM r GROUP BY 1")
 register("agg_quantile_bins", "bin:i median_x:f median_y:f mean_y:f n:i", lambda s, d: metrics.quantile_bins(ad.a3(s, d), "load_mw", "price", 20),
