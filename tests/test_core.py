@@ -142,14 +142,7 @@ def test_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_audit_dates_and_row_folds(spark):
-    from tidemark.operators import checks, splits
-
-    days = spark.createDataFrame([("a", f"2024-01-{d:02d}", n) for d, n in ((1, 5), (2, 1), (3, 9), (4, 2), (5, 3))] + [("b", "2024-01-01", 1)], "series_id string, delivery_date string, n int")
-    got = {(r.series_id, r.delivery_date): r.reason for r in checks.audit_dates(days, 5).collect()}
-    assert got == {("a", "2024-01-01"): "first", ("a", "2024-01-05"): "last", ("a", "2024-01-02"): "fewest", ("a", "2024-01-03"): "most", ("a", "2024-01-04"): "few", ("b", "2024-01-01"): "first"}
-    assert checks.audit_dates(days, 2).where("series_id = 'a'").count() == 2
-    assert checks.audit_dates(days.limit(0), 5).count() == 0
+def test_row_folds(spark):
     rows = spark.range(8).selectExpr("'a' AS series_id", "timestamp_seconds(id * 3600) AS timestamp_utc")
     folds = sorted((r.fold, r.train_rows, r.test_rows) for r in splits.row_cv(rows, 3).collect())
     assert folds == [(0, 2, 2), (1, 4, 2), (2, 6, 2)]

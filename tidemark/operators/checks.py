@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ZONE, draw
+from tidemark.sources.tables import saved
 
 
 def raise_on(violations: DataFrame) -> None:
@@ -106,9 +107,9 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def reproduction(saved: DataFrame, computed: DataFrame, keys: list[str], exact: list[str], close: list[str], tol: float = 1e-9) -> DataFrame:
+def reproduction(recorded: DataFrame, computed: DataFrame, keys: list[str], exact: list[str], close: list[str], tol: float = 1e-9) -> DataFrame:
     """Counts of one-sided rows, unequal exact columns (null-safe) and close columns beyond ``tol``."""
-    s = saved.select(*keys, *[F.col(c).alias(f"s_{c}") for c in exact + close], F.lit(True).alias("in_s"))
+    s = recorded.select(*keys, *[F.col(c).alias(f"s_{c}") for c in exact + close], F.lit(True).alias("in_s"))
     c = computed.select(*keys, *[F.col(x).alias(f"c_{x}") for x in exact + close], F.lit(True).alias("in_c"))
     both = s.join(c, keys, "full")
     paired = F.col("in_s").isNotNull() & F.col("in_c").isNotNull()
@@ -142,19 +143,6 @@ def availability(df: DataFrame, tiers: dict[str, int], needs: dict[str, list[str
     return long.groupBy("column").agg(F.sum("present").alias("n_present")).withColumn("tier", tier)
 
 
-def audit_dates(days: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` days of each series worth a look: first, last, of fewest and of most rows, then
-    those of few rows. ``days``: ``series_id, delivery_date, n``."""
-    by = Window.partitionBy("series_id")
-    rank = lambda *order: F.row_number().over(by.orderBy(*order))
-    ranked = days.withColumns({"first": rank("delivery_date"), "last": rank(F.desc("delivery_date")), "fewest": rank("n", "delivery_date"), "most": rank(F.desc("n"), "delivery_date")})
-    names = ["first", "last", "fewest", "most"]
-    reason, priority = F.lit("few"), F.lit(len(names))
-    for p, name in reversed(list(enumerate(names))):
-        reason, priority = F.when(F.col(name) == 1, name).otherwise(reason), F.when(F.col(name) == 1, p).otherwise(priority)
-    return ranked.withColumns({"reason": reason, "priority": priority}).withColumn("rn", rank("priority", "fewest")).where(F.col("rn") <= most).select("series_id", "delivery_date", "reason")
-
-
 def disagreement_dates(rows: DataFrame, dst: DataFrame, most: int) -> DataFrame:
     """At most ``most`` days of each series to look at where two sources disagree: affected days of ``dst``
     (``delivery_date``), first, last, of the largest and of the smallest gap, evenly spaced ones, then by
@@ -175,3 +163,66 @@ def disagreement_dates(rows: DataFrame, dst: DataFrame, most: int) -> DataFrame:
     placed = days.withColumns({"reason": reason, "priority": priority})
     within = F.when(F.col("priority") == len(rules), F.col("large")).otherwise(F.col("up"))
     return placed.withColumn("within", within).withColumn("rn", rank("priority", "within")).where(F.col("rn") <= most).select("series_id", "delivery_date", "reason")
+
+
+#: Ranges of keys' hashes whose sums are compared at a time; unequal ranges are cut once more.
+RANGES = 4096
+#: Unequal parts of ranges that are broadcast at most (8 bytes each).
+BROADCAST_PARTS = 1_000_000
+
+
+def _range_sums(df: DataFrame, at: list[str]) -> DataFrame:
+    """Rows and two sums of rows' hashes for each of ``at``: few rows, summed before they are shuffled."""
+    wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    return df.groupBy(*at).agg(F.count("*").alias("n"), wide("__h1").alias("s1"), wide("__h2").alias("s2"))
+
+
+def _unequal(a: DataFrame, b: DataFrame, at: list[str]) -> DataFrame:
+    both = _range_sums(a, at).withColumn("__one", F.lit(1)).unionByName(_range_sums(b, at).withColumn("__one", F.lit(-1)))
+    net = both.groupBy(*at).agg(F.sum(F.col("n") * F.col("__one")).alias("n"), *[F.sum(F.col(c) * F.col("__one")).alias(c) for c in ("s1", "s2")])
+    return net.where("n <> 0 or s1 <> 0 or s2 <> 0").select(*at)
+
+
+def table_diff(left: DataFrame, right: DataFrame, keys: list[str], ranges: int = RANGES) -> DataFrame:
+    """``*keys, side, columns``: the keys whose rows differ. ``side``: left or right (the key is on that side alone), changed
+    (``columns``: the names, sorted, whose values differ), or repeated (a side has the key several times, and the sides differ).
+
+    A hash tree over the keys: sums of rows' hashes of ``ranges`` ranges of keys' hashes are compared first, unequal ranges
+    are cut into as many again, and only rows of ranges that still differ are brought together. So equal tables are
+    read once and send a row for each range and task; nulls equal nulls, in keys too. Sides must have the same columns and
+    types (a ValueError); a difference of which two 64-bit sums are equal would be missed."""
+    if sorted(left.dtypes) != sorted(right.dtypes):
+        raise ValueError(f"columns differ: {sorted(set(left.dtypes) ^ set(right.dtypes))}")
+    columns = sorted(left.columns)
+    rest = [c for c in columns if c not in keys]
+    key = F.xxhash64(*[F.col(c) for c in sorted(keys)], *[F.col(c).isNull() for c in sorted(keys)])
+    row = [*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns]]
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumns({
+            "__range": F.pmod(key, F.lit(ranges)).cast("int"), "__part": F.pmod(F.floor(key / ranges), F.lit(ranges)).cast("int"),
+            "__h1": F.xxhash64(*row), "__h2": F.xxhash64(F.lit(1), *reversed(row)),
+        })
+
+    a, b = hashed(left), hashed(right)
+    first = [r[0] for r in _unequal(a, b, ["__range"]).collect()]  # as many as ranges at most
+    a, b = (x.where(F.col("__range").isin(first)) for x in (a, b))
+    if len(first) > ranges // 2:  # most ranges differ: so would most parts of them
+        found_a, found_b = a, b
+    else:
+        parts = saved(_unequal(a, b, ["__range", "__part"])) if first else None
+        if parts is None:
+            found_a, found_b = a, b
+        else:
+            told = F.broadcast(parts) if parts.count() <= BROADCAST_PARTS else parts
+            found_a, found_b = (x.join(told, ["__range", "__part"], "left_semi") for x in (a, b))
+    value = lambda n: F.max(F.when(F.col("__side") == n, F.struct(*rest))) if rest else F.lit(None)
+    count = lambda n: F.count(F.when(F.col("__side") == n, True))
+    sums = lambda n: F.sort_array(F.collect_list(F.when(F.col("__side") == n, F.col("__h1"))))
+    both = found_a.withColumn("__side", F.lit(0)).unionByName(found_b.withColumn("__side", F.lit(1)))
+    met = both.groupBy(*keys).agg(
+        count(0).alias("__n0"), count(1).alias("__n1"), sums(0).alias("__r0"), sums(1).alias("__r1"), value(0).alias("__v0"), value(1).alias("__v1"),
+    ).where("__r0 <> __r1")
+    side = F.when(F.col("__n1") == 0, "left").when(F.col("__n0") == 0, "right").when((F.col("__n0") > 1) | (F.col("__n1") > 1), "repeated").otherwise("changed")
+    names = F.array_compact(F.array(*[F.when(~F.col(f"__v0.`{c}`").eqNullSafe(F.col(f"__v1.`{c}`")), F.lit(c)) for c in rest])) if rest else F.array().cast("array<string>")
+    return met.select(*keys, side.alias("side"), F.when(side == "changed", names).alias("columns"))

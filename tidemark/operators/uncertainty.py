@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import local_date, winkler
+from tidemark.sources.tables import saved
+
+from . import quantiles as exact
+from . import scan
 
 QUANTILES = (0.1, 0.5, 0.9)
 
@@ -66,6 +74,88 @@ def hourly_quantiles(df: DataFrame, residual: str, days: int, least_days: int, q
     return out.withColumn("__q", q).withColumns({f"q{round(p * 100)}": base + F.get("__q", i) for i, p in enumerate(quantiles)}).drop("__gap", "__usual", "__q")
 
 
+def _sliding(at: np.ndarray, values: np.ndarray, asked: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The sorted values of the places in ``[x - width, x)`` for each x of ``asked``; ``at`` and ``asked`` ascend. Each value is
+    put in and taken out once."""
+    low, high = np.searchsorted(at, asked - width), np.searchsorted(at, asked)
+    held, lo, hi = np.empty(0), 0, 0
+    for a, b in zip(low.tolist(), high.tolist()):
+        if b > hi:
+            new = np.sort(values[hi:b])
+            held = np.insert(held, np.searchsorted(held, new), new)
+        if a > lo:
+            old = np.sort(values[lo:a])
+            first = np.searchsorted(held, old)
+            held = np.delete(held, first + np.arange(len(old)) - np.searchsorted(old, old))  # equal values one after the other
+        lo, hi = max(a, lo), max(b, hi)
+        yield held
+
+
+def _interpolated(held: np.ndarray, quantiles: tuple[float, ...]) -> list[float]:
+    place = np.array(quantiles) * (len(held) - 1)
+    low = np.floor(place).astype(int)
+    a, b = held[low], held[np.ceil(place).astype(int)]
+    return (a + (b - a) * (place - low)).tolist()
+
+
+def day_safe_quantiles_long(df: DataFrame, residual: str, window: int, least: int, quantiles=QUANTILES) -> DataFrame:
+    """day_safe_quantiles() for long windows and series: work for each row does not grow with ``window``. Days are cut into
+    blocks of ``window`` days; a day's residuals go to the two blocks whose days may use it, and a block's windows are
+    one sorted run that each day enters and leaves once. A block holds two windows of one series, whatever its length."""
+    rows = df.select("series_id", F.unix_date(local_date(F.col("timestamp_utc"))).alias("day"), finite(residual).alias("r")).where("r is not null")
+    days = rows.groupBy("series_id", "day").agg(F.collect_list("r").alias("values"))  # a day's hours
+    block = F.explode(F.array_distinct(F.array(F.floor((F.col("day") + 1) / window), F.floor((F.col("day") + window) / window))))
+    names = [f"q{round(q * 100)}" for q in quantiles]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("day")
+        sizes = part["values"].map(len).to_numpy()
+        at, values = np.repeat(part["day"].to_numpy(np.int64), sizes), np.concatenate(part["values"].tolist())
+        start = int(part["block"].iloc[0]) * window
+        asked = np.arange(max(start, at[0] + 1), min(start + window, at[-1] + window + 1))
+        known = part["day"].to_numpy()
+        n_days = np.searchsorted(known, asked) - np.searchsorted(known, asked - window)
+        out = [(d, *_interpolated(held, quantiles)) for d, n, held in zip(asked.tolist(), n_days.tolist(), _sliding(at, values, asked, window)) if n >= max(least, 1)]
+        made = pd.DataFrame(out, columns=["day", *names]).astype({"day": "int32"})
+        made.insert(0, "series_id", part["series_id"].iloc[0])
+        return made
+
+    made = days.select("*", block.alias("block")).groupBy("series_id", "block").applyInPandas(run, "series_id string, day int, " + ", ".join(f"{n} double" for n in names))
+    return made.select("series_id", F.date_from_unix_date("day").alias("delivery_date"), *names)
+
+
+def hourly_quantiles_long(df: DataFrame, residual: str, days: int, least_days: int, quantiles=QUANTILES, prediction: str | None = None) -> DataFrame:
+    """``series_id, timestamp_utc, q10, q50, ...`` of hourly_quantiles() for long windows and series, cut into blocks of ``days``
+    days as in day_safe_quantiles_long(); the usual gap between rows is found without a window over the series. ``df``
+    is read several times: write what is costly before."""
+    at = F.unix_timestamp("timestamp_utc")
+    rows = saved(df.select("series_id", "timestamp_utc", at.alias("at"), finite(residual).alias("r"), *([F.col(prediction).alias("p")] if prediction else [F.lit(0.0).alias("p")])))
+    gaps = scan.with_prefix(rows, ["series_id"], ["at"], {"before": scan.last_value("at", ["at"])}, own=False).select("series_id", ((F.col("at") - F.col("before")) / 3600).alias("gap"))
+    usual = exact.quantiles(saved(gaps), ["series_id"], "gap", {"usual": 0.5}).withColumnRenamed("series_id", "of")
+    least = F.greatest(F.lit(1), F.floor(F.lit(least_days * 24) / F.col("usual")))
+    width = days * 86400
+    # a row asks in its own block, and its residual is of use in that and the next
+    own, use = F.floor(F.col("at") / width), F.explode(F.sequence(F.floor((F.col("at") + 1) / width), F.floor((F.col("at") + width) / width)))
+    asks = rows.select("series_id", own.alias("block"), "at", "timestamp_utc", "p", F.lit(None).cast("double").alias("r"))
+    gives = rows.where("r is not null").select("series_id", use.alias("block"), "at", F.lit(None).cast("timestamp").alias("timestamp_utc"), F.lit(None).cast("double").alias("p"), "r")
+    names = [f"q{round(q * 100)}" for q in quantiles]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("at", kind="stable")
+        asking, giving = part[part["timestamp_utc"].notna()], part[part["timestamp_utc"].isna()]
+        held = _sliding(giving["at"].to_numpy(np.int64), giving["r"].to_numpy(), asking["at"].to_numpy(np.int64), width)
+        none = [None] * len(quantiles)
+        out = [(len(h), *([p + x for x in _interpolated(h, quantiles)] if len(h) else none)) for p, h in zip(asking["p"].tolist(), held)]
+        made = pd.DataFrame(out, columns=["n", *names], index=asking.index).astype({n: "float64" for n in names})
+        return pd.concat([asking[["series_id", "timestamp_utc"]], made], axis=1)
+
+    schema = "series_id string, timestamp_utc timestamp, n long, " + ", ".join(f"{n} double" for n in names)
+    found = asks.unionByName(gives).groupBy("series_id", "block").applyInPandas(run, schema)
+    return found.join(usual, F.col("series_id").eqNullSafe(F.col("of")), "left").select(
+        "series_id", "timestamp_utc", *[F.when(F.col("n") >= least, F.when(~F.isnan(n), F.col(n))).alias(n) for n in names]
+    )
+
+
 def _scores(a: Column, lo: Column, hi: Column, alpha: float) -> list[Column]:
     return [
         F.count("*").alias("n"), F.avg(((a >= lo) & (a <= hi)).cast("double")).alias("coverage"), F.avg((a < lo).cast("double")).alias("below"),

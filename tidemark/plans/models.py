@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import local_date
-from tidemark.operators import boosting, forecast, linear, reports, timeseries
+from tidemark.operators import boosting, forecast, linear, reports, timeseries, uncertainty
 from tidemark.sources.tables import saved
 
 from . import adapters as ad
@@ -193,3 +193,5 @@ register_like("win_ffill_long", "win_ffill", lambda s, d: timeseries.carry_forwa
 register_like("win_frontier_long", "win_frontier", lambda s, d: more._spans(s, d, long=True))
 register_like("rep_cumulative_pnl_long", "rep_cumulative_pnl", lambda s, d: reports.cumulative(saved(ad.a7(s, d)), ["series_id", "strategy"], long=True))
 register_like("win_cumulative_drawdown_long", "win_cumulative_drawdown", lambda s, d: reports.drawdown(saved(ad.a7(s, d)), ["series_id", "strategy"], long=True))
+register_like("unc_day_safe_quantiles_long", "unc_sequential_update", lambda s, d: uncertainty.day_safe_quantiles_long(ad.a5(s, d).where("fold is not null"), "residual", 7, 1))
+register_like("win_residual_quantile_hourly_long", "win_residual_quantile_hourly", lambda s, d: uncertainty.hourly_quantiles_long(saved(ad.a5(s, d)), "residual", 3, 1, prediction="pred_full"))

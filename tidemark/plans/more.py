@@ -200,6 +200,20 @@ register("src_jsonl_log", "chunk:s n:i", _round_trip(lambda r, p: r.select(F.col
 register("snk_manifest", "source:s n_rows:i first:t last:t", _round_trip(lambda r, p: tables.write_manifest(r, {"source": "events"}, p), lambda s, p: s.read.schema("source string, n_rows long, first timestamp, last timestamp").json(p)),
          f"{ad.A1} ;; SELECT 'events' AS source, count(*) AS n_rows, min(t) AS first, max(t) AS last FROM a1")
 
+def _bucketed(s: SparkSession, d: str) -> DataFrame:
+    """The hourly prices in folders of ten days, of which the second is written again with other prices."""
+    rows = ad.a1(s, d).withColumn("decade", F.floor((F.dayofmonth("timestamp_utc") - 1) / 10).cast("int"))
+    name = "series_" + tables.scratch(s).rpartition("-")[2]
+    tables.write_series(rows, name, part="decade", buckets=8)
+    tables.replace_parts(rows.where("decade = 1").withColumn("price", F.col("price") + 1000), name)
+    return s.table(name)
+
+
+register(
+    "snk_bucketed_series", f"{KEY} price:f", _bucketed,
+    f"{ad.A1} ;; SELECT series_id, t AS timestamp_utc, CASE WHEN day(t) BETWEEN 11 AND 20 THEN price + 1000 ELSE price END AS price FROM a1",
+)
+
 # --- streams over the files of a table, until what is there is read -----------------------------------
 
 
@@ -457,6 +471,23 @@ def _twice(s: SparkSession, d: str, change) -> tuple[DataFrame, DataFrame]:
 
 register("chk_reproduction", "field:s mismatches:i", lambda s, d: checks.reproduction(*_twice(s, d, lambda r: r.where("strategy <> 'S5'").withColumn("net_pnl", F.col("net_pnl") + F.when(F.col("strategy") == "S3", 0.01).otherwise(0.0))), ["series_id", "delivery_date", "strategy"], ["traded"], ["net_pnl", "gross_pnl"]),
          f"{ad.a7_sql()} ;; SELECT 'only_saved' AS field, count(*) FILTER (strategy = 'S5') AS mismatches FROM a7 UNION ALL SELECT 'only_computed', 0 UNION ALL SELECT 'traded', 0 UNION ALL SELECT 'net_pnl', count(*) FILTER (strategy = 'S3') FROM a7 UNION ALL SELECT 'gross_pnl', 0")
+def _table_diff(s: SparkSession, d: str) -> DataFrame:
+    """``events`` against a copy that lacks some rows, has others besides, and differs in a column or two of some."""
+    left = ad.events(s, d)
+    n = F.col("event_id")
+    kept = left.where(n % 1000 != 0).withColumns({"value": F.when(n % 777 == 0, F.col("value") + 1).otherwise(F.col("value")), "event_type": F.when(n % 1554 == 0, F.lit(None)).otherwise(F.col("event_type"))})
+    right = kept.unionByName(left.where(n % 1500 == 1).withColumn("event_id", n + 1_000_000_000))
+    return checks.table_diff(left, right, ["event_id"]).withColumn("columns", F.array_join("columns", ","))
+
+
+register(
+    "chk_table_diff", "event_id:i side:s columns:s", _table_diff,
+    """SELECT event_id, 'left' AS side, NULL AS columns FROM events WHERE event_id % 1000 = 0
+UNION ALL SELECT event_id + 1000000000, 'right', NULL FROM events WHERE event_id % 1500 = 1
+UNION ALL SELECT event_id, 'changed', CASE WHEN event_id % 1554 = 0 THEN 'event_type,value' ELSE 'value' END FROM events WHERE event_id % 777 = 0 AND event_id % 1000 <> 0""",
+)
+
+
 def _holed(s: SparkSession, d: str) -> DataFrame:
     """Hours of which some are there twice and some lack their price."""
     rows = ad.a1(s, d)

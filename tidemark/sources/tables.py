@@ -56,6 +56,25 @@ def write_overwrite(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def write_series(df: DataFrame, table: str, by: str = "series_id", order: str = "timestamp_utc", part: str | None = None, buckets: int = 64) -> None:
+    """Write a new catalog table of ``buckets`` buckets by series, each file sorted by series and time, in folders by ``part`` (a
+    column: a year, say). Windows and joins by series on it need no exchange. Its files lie in the shared folder."""
+    rows = df.repartition(buckets, by)  # a file a bucket and folder, not one for each task
+    writer = rows.write.mode("errorifexists").format("parquet").option("path", scratch(df.sparkSession)).bucketBy(buckets, by).sortBy(by, order)
+    (writer.partitionBy(part) if part else writer).saveAsTable(table)
+
+
+def replace_parts(df: DataFrame, table: str) -> None:
+    """Replace those folders of a table of write_series() that ``df`` has rows of, and no others."""
+    spark, key = df.sparkSession, "spark.sql.sources.partitionOverwriteMode"
+    old = spark.conf.get(key, "static")
+    spark.conf.set(key, "dynamic")
+    try:
+        df.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(key, old)
+
+
 def write_version(df: DataFrame, path: str) -> None:
     """Write once; an existing version is never replaced."""
     df.write.mode("errorifexists").parquet(path)
