@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import checks, timeseries
+from tidemark.operators import checks, decisions, timeseries, uncertainty
 from tidemark.sources import tables
 
 
@@ -75,3 +75,25 @@ def test_bucketed_series_need_no_exchange_and_are_replaced_by_folder(spark):
     got = {(r["year"], r["series_id"]): (r["n"], r["low"]) for r in spark.table(name).groupBy("year", "series_id").agg(F.count("*").alias("n"), F.min("price").alias("low")).collect()}
     assert got == {(2023, s): (48, 0.0) for s in "abc"} | {(2024, s): (48, 1048.0) for s in "ab"}
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_backtest_on_bucketed_series_needs_no_exchange(spark):
+    start = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(s, start + timedelta(hours=h), float(h * k % 97)) for k, s in ((31, "a"), (57, "b")) for h in range(24 * 12)], "series_id string, timestamp_utc timestamp, price double")
+    name = "bucketed_backtest_test"
+    tables.write_series(rows, name, buckets=3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        def judged(df):
+            lagged = timeseries.safe_lag(timeseries.carry_forward(df, "price"), "price", 24, "pred")
+            bounds = uncertainty.with_day_safe_bounds(lagged.withColumn("residual", F.col("price") - F.col("pred")), "pred", "residual", 3, 1)
+            common = decisions.on_common_days(bounds, ["price", "pred", "L", "U"])
+            return decisions.backtest(common, {"S1": ("pred", "pred"), "S2": ("L", "U")}, [(0.9, 5.0)])
+
+        found = judged(spark.table(name))
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        key = lambda r: tuple(map(str, r))
+        assert sorted(found.collect(), key=key) == sorted(judged(rows).collect(), key=key)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.sql(f"DROP TABLE {name}")

@@ -7,8 +7,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import columns as fn
 from tidemark.functions.columns import local_date
-from tidemark.operators import boosting, forecast, linear, reports, timeseries, uncertainty
+from tidemark.operators import boosting, forecast, linear, metrics, reports, timeseries, uncertainty
 from tidemark.sources.tables import saved
 
 from . import adapters as ad
@@ -195,3 +196,16 @@ register_like("rep_cumulative_pnl_long", "rep_cumulative_pnl", lambda s, d: repo
 register_like("win_cumulative_drawdown_long", "win_cumulative_drawdown", lambda s, d: reports.drawdown(saved(ad.a7(s, d)), ["series_id", "strategy"], long=True))
 register_like("unc_day_safe_quantiles_long", "unc_sequential_update", lambda s, d: uncertainty.day_safe_quantiles_long(ad.a5(s, d).where("fold is not null"), "residual", 7, 1))
 register_like("win_residual_quantile_hourly_long", "win_residual_quantile_hourly", lambda s, d: uncertainty.hourly_quantiles_long(saved(ad.a5(s, d)), "residual", 3, 1, prediction="pred_full"))
+
+# --- thresholds that the plain prices never pass: one series three times as high
+_HIGH = f"""{ad.A1.replace('a1 AS (', 'a0 AS (', 1)},
+a1 AS (SELECT series_id, t, CASE WHEN series_id = 'error' THEN price * 3 ELSE price END AS price FROM a0)"""
+
+
+def _high(s: SparkSession, d: str) -> DataFrame:
+    return ad.a1(s, d).withColumn("price", F.when(F.col("series_id") == "error", F.col("price") * 3).otherwise(F.col("price")))
+
+
+register_like("fn_conditional_bucket_high", "fn_conditional_bucket", lambda s, d: _high(s, d).withColumns(fn.buckets(F.col("price"))), {ad.A1: _HIGH})
+register_like("agg_day_flags_high", "agg_day_flags", lambda s, d: metrics.day_flags(_high(s, d)), {ad.A1: _HIGH})
+register_like("agg_count_share_high", "agg_count_share", lambda s, d: metrics.count_share(_high(s, d), ["series_id"]), {ad.A1: _HIGH})

@@ -52,11 +52,14 @@ def register(name: str, spec: str, run: Callable[[SparkSession, str], DataFrame]
         _SQL[name] = (f"WITH {ctes.strip()} " if ctes.strip() else "") + f"SELECT {', '.join(_sql_out(c, k) for c, k in kinds)} FROM ({body.strip()}) last_step"
 
 
-def register_like(name: str, other: str, run: Callable[[SparkSession, str], DataFrame]) -> None:
-    """Another way to the rows of a registered query, held against the same SQL."""
-    columns = _SPECS[other]
-    register(name, columns, run)
+def register_like(name: str, other: str, run: Callable[[SparkSession, str], DataFrame], instead: dict[str, str] | None = None) -> None:
+    """Another way to the rows of a registered query, held against the same SQL, or against that with parts of it replaced."""
+    register(name, _SPECS[other], run)
     _SQL[name] = _SQL[other]
+    for old, new in (instead or {}).items():
+        if old not in _SQL[name]:
+            raise ValueError(f"{name}: nothing to replace")
+        _SQL[name] = _SQL[name].replace(old, new)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
