@@ -265,4 +265,4 @@ def fold_scores(predictions: DataFrame, label: str, models: list[str], hour: str
     levels = F.array_compact(F.array(level("overall", F.lit(None)), level("hour", F.col(hour)), level("extreme", F.col("is_extreme")), *buckets))
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("prediction")) for m in models])).alias("m")
     long = rows.select("fold", label, each, levels.alias("levels")).select("fold", label, "m.*", F.explode("levels").alias("l")).select("fold", label, "model", "prediction", "l.*")
-    return point_metrics(saved(long), ["fold", "model", "grouping_key", "level"], label)
+    return point_metrics(long, ["fold", "model", "grouping_key", "level"], label)

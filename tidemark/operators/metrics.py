@@ -23,9 +23,9 @@ def long_predictions(df: DataFrame, models: list[str], keep: list[str]) -> DataF
 
 def point_metrics(df: DataFrame, by: list[str], actual: str = "price", prediction: str = "prediction") -> DataFrame:
     """Count, mean absolute error, root mean square error and median absolute error of each group. The median is
-    that of few large groups: see quantiles."""
+    that of few large groups: see quantiles. What the rows are made of is computed once."""
     e = F.col(actual) - F.col(prediction)
-    rows = df.select(*by, e.alias("__e"), F.abs(e).alias("__size"))
+    rows = saved(df.select(*by, e.alias("__e"), F.abs(e).alias("__size")))
     table = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("__size").alias("mae"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"))
     return with_quantiles(table, rows, by, "__size", {"median_ae": 0.5})
 
