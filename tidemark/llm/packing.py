@@ -8,6 +8,7 @@ join on their rank within their length.
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import re
@@ -186,7 +187,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     ``sequence`` on, from token ``offset`` of them. Sequences that are equally full are one group; a length takes at
     most one group in part, so that groups and steps are bounded by the capacity, whatever the counts."""
     slots: list[tuple[int, int, int, int, int, int]] = []
-    left_over: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by free tokens: first sequence, how many
+    groups: dict[int, list[tuple[int, int]]] = {}  # by free tokens: first sequence, how many
+    frees: list[int] = []  # those that have groups, ascending
     sequences = 0
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
@@ -194,23 +196,29 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
         def put(first: int, many: int, each: int, free: int) -> None:
             nonlocal left, rank
             slots.append((length, rank, rank + many * each, each, first, capacity - free))  # noqa: B023
-            left_over[free - each * length].append((first, many))  # noqa: B023
+            rest = free - each * length  # noqa: B023
+            if rest and rest not in groups:
+                bisect.insort(frees, rest)
+            if rest:
+                groups.setdefault(rest, []).append((first, many))
             rank, left = rank + many * each, left - many * each
 
-        for free in range(length, capacity):  # the fullest first; what is filled here has less than `length` free
-            while left and left_over[free]:
-                first, many = left_over[free].pop()
-                each = free // length
-                full = min(many, left // each)
-                if full:
-                    put(first, full, each, free)
-                if full < many and left:
-                    put(first + full, 1, left, free)
-                    full += 1
-                if full < many:
-                    left_over[free].append((first + full, many - full))
-            if not left:
-                break
+        while left and (at := bisect.bisect_left(frees, length)) < len(frees):
+            free = frees[at]  # the fullest that fits; what is filled here has less than `length` free, or is the last
+            first, many = groups[free].pop()
+            if not groups[free]:
+                del groups[free], frees[at]
+            each = free // length
+            full = min(many, left // each)
+            if full:
+                put(first, full, each, free)
+            if full < many and left:
+                put(first + full, 1, left, free)
+                full += 1
+            if full < many:
+                if free not in groups:
+                    bisect.insort(frees, free)
+                groups.setdefault(free, []).append((first + full, many - full))
         each = capacity // length
         for many, some in ((left // each, each), (1, left % each)):
             if many * some:
