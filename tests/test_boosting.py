@@ -70,6 +70,7 @@ def test_search_picks_the_best_cell_and_beats_plain_fits(spark, monkeypatch):
     mae = lambda m: m.transform(test).select(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]
     assert mae(model) < mae(forecast.boosted_trees(train, ["u", "v", "w"], "y", maxDepth=4, maxIter=20, stepSize=0.1))
     top = model.importances()
+    assert [(r["feature"], r["weight"]) for r in forecast.coefficients(model, ["u", "v", "w"]).collect()] == top
     assert abs(sum(w for _, w in top) - 1) < 1e-9 and {f for f, _ in top} == {"u", "v", "w"}
     assert model.transform(test.limit(1).withColumn("u", F.lit(None).cast("double"))).first()["prediction"] is None
     # a fold's error is that of its own rows by trees grown on the parts before
@@ -81,6 +82,8 @@ def test_search_picks_the_best_cell_and_beats_plain_fits(spark, monkeypatch):
     monkeypatch.setattr(boosting, "MOST_ROWS", 300)
     _, _, fewer = boosting.search(train, ["u", "v", "w"], "y", grid[:1], 2)
     assert fewer.count() == 2
+    drawn = boosting._sample(rows_ := forecast.complete_parts(train, ["u", "v", "w"], "y", 2, "days"))
+    assert drawn.count() == 300 and drawn.exceptAll(rows_).count() == 0 and boosting._sample(rows_).exceptAll(drawn).count() == 0
 
 
 def test_search_refuses_what_it_cannot_judge(spark):

@@ -97,6 +97,7 @@ def test_folds_are_scored_on_common_rows(spark):
     })
     net = partial(linear.search, grid=forecast.cells(alpha=[0.01, 1.0], l1_ratio=[0.5]), k=2)
     found, chosen = linear.predict_folds(rows, "y", {"full": (net, ["a", "b", "c"]), "few": (net, ["b"])}, {"naive": "lag"}, [1, 2], ["series_id", "timestamp_utc", "hour_local"])
+    assert all(sorted(c["feature"] for c in r["coefficients"]) == (["a", "b", "c"] if r["model"] == "full" else ["b"]) for r in chosen.collect())
     assert {(r["fold"], r["model"]) for r in chosen.collect()} == {(1, "full"), (1, "few"), (2, "full"), (2, "few")}
     held = found.toPandas()
     cover = {r["fold"]: r.asDict() for r in linear.fold_coverage(found, "y", ["naive", "full", "few"]).collect()}

@@ -174,10 +174,16 @@ def predict_complete(model, df: DataFrame, features: list[str], keys: list[str],
 
 def coefficients(model, features: list[str]) -> DataFrame:
     """``rank, feature, weight`` of a fitted model, largest magnitude first (ties by name): coefficients of
-    the standardized features, or importances of trees. As many rows as features."""
-    last = model.stages[-1]
-    weights = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
-    rows = sorted(zip(features, weights.toArray().tolist()), key=lambda x: (-abs(x[1]), x[0]))
+    the standardized features, or importances of trees; of Spark's models, linear.LinearModel or boosting.TreesModel.
+    As many rows as features."""
+    if hasattr(model, "importances"):
+        pairs = model.importances()
+    elif hasattr(model, "weights"):
+        pairs = zip(features, model.weights.tolist())
+    else:
+        last = model.stages[-1]
+        pairs = zip(features, (last.featureImportances if hasattr(last, "featureImportances") else last.coefficients).toArray().tolist())
+    rows = sorted(pairs, key=lambda x: (-abs(x[1]), x[0]))
     return SparkSession.active().createDataFrame([(n + 1, *r) for n, r in enumerate(rows)], "rank int, feature string, weight double")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.metrics import extreme_flags, point_metrics
 from tidemark.sources.tables import saved
 
-from .forecast import cells, complete_parts
+from .forecast import cells, coefficients, complete_parts
 
 #: Columns that a search takes at most: the sums have as many entries as pairs of them.
 MOST_FEATURES = 100
@@ -225,7 +225,8 @@ BUCKETS = {"negative": "{0} < 0", "above_200": "{0} > 200", "above_500": "{0} >
 def predict_folds(
     df: DataFrame, label: str, variants: dict[str, tuple[Callable, list[str]]], naive: dict[str, str], folds: list[int], keep: list[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """The validation rows of each fold with a column for each model, and the chosen cells ``fold, model, parameters``.
+    """The validation rows of each fold with a column for each model, and the chosen cells ``fold, model, parameters,
+    coefficients`` (an array of ``feature, weight`` as forecast.coefficients() ranks them).
 
     For each of ``folds`` (a few) every variant is searched on the rows of earlier folds (null: before all) and predicts
     the fold's rows, null where a feature is. A variant's name stands for its search, called with rows, features and label
@@ -238,10 +239,11 @@ def predict_folds(
         for name, (searched, features) in variants.items():
             model, cell, _ = searched(train, features, label)
             made = model.transform(made).withColumnRenamed("prediction", name)
-            chosen.append((fold, name, ", ".join(f"{n} {v:.6g}" for n, v in sorted(cell.items()))))
+            told = [(r["feature"], r["weight"]) for r in coefficients(model, features).collect()]
+            chosen.append((fold, name, ", ".join(f"{n} {v:.6g}" for n, v in sorted(cell.items())), told))
         made = made.select(*keep, label, "fold", "is_extreme", *naive, *variants)
         out = made if out is None else out.unionByName(made)
-    return out, df.sparkSession.createDataFrame(chosen, "fold int, model string, parameters string")
+    return out, df.sparkSession.createDataFrame(chosen, "fold int, model string, parameters string, coefficients array<struct<feature: string, weight: double>>")
 
 
 def fold_coverage(predictions: DataFrame, label: str, models: list[str]) -> DataFrame:

@@ -152,6 +152,10 @@ def _scores(s: SparkSession, d: str) -> DataFrame:
 _SCORES = "fold:i model:s grouping_key:s level:s n:i mae:f rmse:f median_ae:f"
 register("ml_fold_scores", _SCORES, _scores)
 register("ml_fold_cells", "fold:i model:s parameters:s", lambda s, d: _predicted(s, d)[1])
+register(
+    "ml_fold_coefficients", "fold:i model:s rank:i feature:s weight:f",
+    lambda s, d: _predicted(s, d)[1].select("fold", "model", F.posexplode("coefficients").alias("rank", "c")).select("fold", "model", F.expr("rank + 1").alias("rank"), "c.*"),
+)
 # the same with boosted trees on both information sets, for the last fold
 _TREES = {"trees_full": (boosting.search, FULL), "trees_tier1": (boosting.search, TIER1)}
 register("ml_fold_scores_trees", _SCORES, lambda s, d: linear.fold_scores(_predicted(s, d, _NETS | _TREES, (4,))[0], "price", [*_MODELS, *_TREES]))
