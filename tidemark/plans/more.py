@@ -55,11 +55,13 @@ def _documents(s: SparkSession, d: str) -> DataFrame:
 
 register("src_document_flatten", "period_id:s ts_uid:s curve_type:s start:t end:t resolution:s position:i value:f", lambda s, d: docs.flatten(_documents(s, d)),
          f"{PER} ;; SELECT period_id, ts_uid, ct AS curve_type, s AS start, e AS \"end\", 'PT60M' AS resolution, position, value FROM per JOIN pt USING (period_id)")
-register("dec_period_geometry", "period_id:s minutes:i n_positions:i", lambda s, d: docs.geometry(_points(s, d)[0]), f"{PER} ;; SELECT period_id, 60 AS minutes, 24 AS n_positions FROM per")
+register("dec_period_geometry", "period_id:s minutes:i n_positions:i", lambda s, d: docs.geometry(_points(s, d)[0]), f"{PER} ;; SELECT period_id, 60 AS minutes, "
+    f"24 AS n_positions FROM per")
 register("dec_block_expand", "period_id:s curve_type:s position:i timestamp_utc:t value:f is_synthesized:b", lambda s, d: docs.expand_blocks(*_points(s, d)),
          f"{BLK} ;; SELECT period_id, ct AS curve_type, place AS position, t AS timestamp_utc, value, place <> position AS is_synthesized FROM ex")
 register("dec_point_validation", "period_id:s rule:s", lambda s, d: docs.point_violations(*_points(s, d)),
-         f"{PER}, g AS (SELECT period_id, ct, count(*) AS n, min(position) AS lo FROM per JOIN pt USING (period_id) GROUP BY 1, 2) ;; SELECT period_id, 'a01_hole' AS rule FROM g WHERE ct = 'A01' AND n < 24 UNION ALL SELECT period_id, 'a03_start' FROM g WHERE ct = 'A03' AND lo <> 1")
+         f"{PER}, g AS (SELECT period_id, ct, count(*) AS n, min(position) AS lo FROM per JOIN pt USING (period_id) GROUP BY 1, 2) ;; SELECT period_id, "
+         f"'a01_hole' AS rule FROM g WHERE ct = 'A01' AND n < 24 UNION ALL SELECT period_id, 'a03_start' FROM g WHERE ct = 'A03' AND lo <> 1")
 _SPAN = "sp AS (SELECT DISTINCT event_type AS ts_uid, date_trunc('hour', ts)::TIMESTAMP AS s, date_trunc('hour', ts)::TIMESTAMP + to_hours(1 + event_id % 3) AS e FROM events), fr AS (SELECT *, max(e) OVER (PARTITION BY ts_uid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS front FROM sp)"
 
 
@@ -74,12 +76,16 @@ register("aud_period_gaps", "ts_uid:s start:t end:t gap:b overlap:b", _spans, f"
 register("win_frontier", "ts_uid:s start:t end:t frontier:t", _spans, f"{_SPAN} ;; SELECT ts_uid, s AS start, e AS \"end\", front AS frontier FROM fr")
 register("aud_curve_summary", "year:i minutes:i curve_type:s n_points:i n_synthesized:i n_periods:i n_series:i pct_synthesized:f",
          lambda s, d: docs.curve_summary(docs.expand_blocks(*_points(s, d)), _points(s, d)[0], F.year("timestamp_utc")),
-         f"{BLK}, p AS (SELECT year(t) AS year, ct, count(*) AS n_points, count(*) FILTER (place <> position) AS n_syn FROM ex GROUP BY 1, 2), q AS (SELECT year(s) AS year, ct, count(*) AS n_periods, count(DISTINCT ts_uid) AS n_series FROM per GROUP BY 1, 2) ;; SELECT year, 60 AS minutes, ct AS curve_type, n_points, n_syn AS n_synthesized, n_periods, n_series, 100.0 * n_syn / n_points AS pct_synthesized FROM p FULL JOIN q USING (year, ct)")
+         f"{BLK}, p AS (SELECT year(t) AS year, ct, count(*) AS n_points, count(*) FILTER (place <> position) AS n_syn FROM ex GROUP BY 1, 2), q "
+         f"AS (SELECT year(s) AS year, ct, count(*) AS n_periods, count(DISTINCT ts_uid) AS n_series FROM per GROUP BY 1, 2) ;; SELECT year, 60 AS minutes, "
+         f"ct AS curve_type, n_points, n_syn AS n_synthesized, n_periods, n_series, 100.0 * n_syn / n_points AS pct_synthesized FROM p FULL JOIN q USING (year, ct)")
 register("aud_curve_types_before", "curve_type:s", lambda s, d: docs.curve_types_before(_points(s, d)[0], ts("2024-01-14 23:00:00")),
          f"{PER} ;; SELECT DISTINCT ct AS curve_type FROM per WHERE s < TIMESTAMP '2024-01-14 23:00:00' ORDER BY 1")
 register("aud_series_shape", "ts_uid:s n_points:i curve_type:s sequence:i minutes:i n_first:i first_value:f last_value:f",
          lambda s, d: docs.series_shape(docs.expand_blocks(*_points(s, d)), ts("2024-01-10"), ts("2024-01-12")).select("ts_uid", "n_points", F.get("curve_types", 0).alias("curve_type"), F.get("sequences", 0).alias("sequence"), F.get("resolutions", 0).alias("minutes"), F.size("first_points").alias("n_first"), F.element_at("first_points", 1)["value"].alias("first_value"), F.element_at("first_points", -1)["value"].alias("last_value")),
-         f"{BLK}, r AS (SELECT *, row_number() OVER (PARTITION BY ts_uid ORDER BY t) AS rn FROM ex WHERE t >= TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-12') ;; SELECT ts_uid, count(*) AS n_points, min(ct) AS curve_type, min(sequence) AS sequence, 60 AS minutes, count(*) FILTER (rn <= 4) AS n_first, arg_min(value, rn) AS first_value, arg_max(value, rn) FILTER (rn <= 4) AS last_value FROM r GROUP BY 1")
+         f"{BLK}, r AS (SELECT *, row_number() OVER (PARTITION BY ts_uid ORDER BY t) AS rn FROM ex WHERE t >= TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-12') "
+         f";; SELECT ts_uid, count(*) AS n_points, min(ct) AS curve_type, min(sequence) AS sequence, 60 AS minutes, count(*) FILTER (rn <= 4) AS n_first, "
+         f"arg_min(value, rn) AS first_value, arg_max(value, rn) FILTER (rn <= 4) AS last_value FROM r GROUP BY 1")
 
 
 def _paths(s: SparkSession, d: str, odd: int) -> DataFrame:
@@ -87,7 +93,8 @@ def _paths(s: SparkSession, d: str, odd: int) -> DataFrame:
 
 
 register("aud_attribute_diff", "path:s text:s n_a:i n_b:i", lambda s, d: docs.attribute_diff(_paths(s, d, 1), _paths(s, d, 0)),
-         "SELECT event_type AS path, strftime(ts, '%Y-%m-%d %H') AS text, count(*) FILTER (event_id % 2 = 1) AS n_a, count(*) FILTER (event_id % 2 = 0) AS n_b FROM events GROUP BY 1, 2 HAVING n_a <> n_b")
+         "SELECT event_type AS path, strftime(ts, '%Y-%m-%d %H') AS text, count(*) FILTER (event_id % 2 = 1) AS n_a, count(*) FILTER (event_id % 2 = 0) AS n_b "
+         "FROM events GROUP BY 1, 2 HAVING n_a <> n_b")
 
 
 def _sequence_documents(s: SparkSession, d: str) -> DataFrame:
@@ -169,7 +176,8 @@ def _sequenced(s: SparkSession, d: str) -> DataFrame:
 
 _SEQ = "sq AS (SELECT event_id, date_trunc('hour', ts) AS t, value, nullif(event_id % 3, 0) AS sequence FROM events), k AS (SELECT * FROM sq WHERE sequence IS NULL OR sequence = 1)"
 _DUP = "SELECT '{0}' AS stage, t >= TIMESTAMP '2024-01-14 23:00:00' AS post, count(*) AS n_keys, sum(n) AS n_rows FROM (SELECT t, count(*) AS n FROM {1} GROUP BY 1 HAVING n > 1) GROUP BY 2"
-register("aud_selection_effect", "stage:s post:b n_keys:i n_rows:i", lambda s, d: docs.selection_effect(_sequenced(s, d), ts("2024-01-14 23:00:00")), f"{_SEQ} ;; {_DUP.format('before', 'sq')} UNION ALL {_DUP.format('after', 'k')}")
+register("aud_selection_effect", "stage:s post:b n_keys:i n_rows:i", lambda s, d: docs.selection_effect(_sequenced(s, d), ts("2024-01-14 23:00:00")), f"{_SEQ} "
+    f";; {_DUP.format('before', 'sq')} UNION ALL {_DUP.format('after', 'k')}")
 register("sel_sequence", "event_id:i value:f", lambda s, d: docs.select_sequence(_sequenced(s, d)), f"{_SEQ} ;; SELECT event_id, value FROM k")
 
 # --- outputs, written into the shared folder and read back ------------------------------------------
@@ -193,11 +201,14 @@ register("src_csv_series", "timestamp_utc:t price:f fold:s",
          _round_trip(lambda r, p: [r.where(F.col("series_id") == n).drop("series_id").write.option("header", True).csv(f"{p}/{n}.csv") for n in ("view", "click")],
                      lambda s, p: tables.read_csv_series(s, [f"{p}/view.csv", f"{p}/click.csv"], "timestamp_utc timestamp, price double", ["timestamp_utc", "price"])),
          f"{ad.A1} ;; SELECT t AS timestamp_utc, price, series_id AS fold FROM a1 WHERE series_id IN ('view', 'click')")
-register("snk_ingestion_log", "series_id:s raw_row_count:i", _round_trip(lambda r, p: tables.write_ingestion_log(r, "series_id", p), lambda s, p: s.read.json(p)), f"{ad.A1} ;; SELECT series_id, count(*) AS raw_row_count FROM a1 GROUP BY 1")
+register("snk_ingestion_log", "series_id:s raw_row_count:i", _round_trip(lambda r, p: tables.write_ingestion_log(r, "series_id", p), lambda s, p: s.read.json(p)), f"{ad.A1} "
+    f";; SELECT series_id, count(*) AS raw_row_count FROM a1 GROUP BY 1")
 register("src_jsonl_log", "chunk:s n:i", _round_trip(lambda r, p: r.select(F.col("series_id").alias("data_type"), F.date_format("timestamp_utc", "yyyy-MM-dd").alias("chunk")).write.json(p),
-                                                     lambda s, p: tables.read_jsonl_log(s, p, "data_type string, chunk string", "view").groupBy("chunk").agg(F.count("*").alias("n"))),
+                                                     lambda s, p: tables.read_jsonl_log(s, p, "data_type string, "
+                                                     "chunk string", "view").groupBy("chunk").agg(F.count("*").alias("n"))),
          f"{ad.A1} ;; SELECT strftime(t, '%Y-%m-%d') AS chunk, count(*) AS n FROM a1 WHERE series_id = 'view' GROUP BY 1")
-register("snk_manifest", "source:s n_rows:i first:t last:t", _round_trip(lambda r, p: tables.write_manifest(r, {"source": "events"}, p), lambda s, p: s.read.schema("source string, n_rows long, first timestamp, last timestamp").json(p)),
+register("snk_manifest", "source:s n_rows:i first:t last:t", _round_trip(lambda r, p: tables.write_manifest(r, {"source": "events"}, p), lambda s, p: s.read.schema("source string, "
+    "n_rows long, first timestamp, last timestamp").json(p)),
          f"{ad.A1} ;; SELECT 'events' AS source, count(*) AS n_rows, min(t) AS first, max(t) AS last FROM a1")
 
 def _bucketed(s: SparkSession, d: str) -> DataFrame:
@@ -231,7 +242,8 @@ def _streamed(change):
 
 # an hour is given out when the watermark, two hours before the last event, has passed its end
 register("str_resample_hourly", f"{KEY} value:f n:i", _streamed(lambda r: streaming.resample_hourly_stream(r, "value")),
-         "SELECT event_type AS series_id, date_trunc('hour', ts) AS timestamp_utc, avg(value) AS value, count(*) AS n FROM events, (SELECT max(ts) AS last FROM events) GROUP BY 1, 2, last HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= last - INTERVAL 2 HOUR")
+         "SELECT event_type AS series_id, date_trunc('hour', ts) AS timestamp_utc, avg(value) AS value, count(*) AS n FROM events, (SELECT max(ts) AS last FROM events) "
+         "GROUP BY 1, 2, last HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= last - INTERVAL 2 HOUR")
 register("str_dedupe", KEY, _streamed(lambda r: streaming.dedupe_stream(r.withColumn("timestamp_utc", F.date_trunc("second", "timestamp_utc")), ROWS)),
          "SELECT DISTINCT event_type AS series_id, date_trunc('second', ts) AS timestamp_utc FROM events")
 
@@ -241,7 +253,9 @@ register("fn_bool_coerce", "event_id:i flag:b", lambda s, d: ad.events(s, d).wit
 register("fn_numeric_coerce", "event_id:i number:f", lambda s, d: ad.events(s, d).withColumn("number", fn.numeric_coerce(F.when(F.col("event_id") % 4 == 0, F.col("value").cast("string")).when(F.col("event_id") % 4 == 1, "NaN").when(F.col("event_id") % 4 == 2, "abc").otherwise("-Infinity"))),
          "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN value END AS number FROM events")
 register("fn_classify_match", "timestamp_utc:t match:s", lambda s, d: ad.a6(s, d).withColumn("match", fn.classify_match(F.col("price_ref"), F.col("price_seq1"), F.col("price_seq2"), 0.01)),
-         f"{ad.A6} ;; SELECT t AS timestamp_utc, CASE WHEN price_ref IS NULL THEN 'no_data' WHEN a AND b THEN 'both' WHEN a THEN 'seq1' WHEN b THEN 'seq2' ELSE 'neither' END AS match FROM (SELECT *, coalesce(abs(price_ref - price_seq1) <= 0.01, false) AS a, coalesce(abs(price_ref - price_seq2) <= 0.01, false) AS b FROM a6)")
+         f"{ad.A6} ;; SELECT t AS timestamp_utc, CASE WHEN price_ref IS NULL THEN 'no_data' WHEN a "
+         f"AND b THEN 'both' WHEN a THEN 'seq1' WHEN b THEN 'seq2' ELSE 'neither' END AS match FROM (SELECT *, coalesce(abs(price_ref - price_seq1) <= 0.01, "
+         f"false) AS a, coalesce(abs(price_ref - price_seq2) <= 0.01, false) AS b FROM a6)")
 register("fn_string_date", f"{KEY} month:s label:s", lambda s, d: ad.a1(s, d).withColumns({"month": F.date_format(fn.local_time(F.col("timestamp_utc")), "yyyy-MM"), "label": F.concat("series_id", F.lit(" "), F.date_format(fn.local_time(F.col("timestamp_utc")), "HH:mm"))}),
          f"{ad.A1} ;; SELECT series_id, t AS timestamp_utc, strftime({B('t')}, '%Y-%m') AS month, series_id || ' ' || strftime({B('t')}, '%H:%M') AS label FROM a1")
 _CELLS = [(e, c) for e in (0.80, 0.85, 0.90) for c in (5.0, 10.0, 15.0)]
@@ -255,7 +269,10 @@ def _grid(s: SparkSession, d: str) -> DataFrame:
 
 register("win_in_buckets", f"{KEY} lagged:f r_mean:f r_std:f",
          lambda s, d: timeseries.in_buckets(timeseries.regularize(ad.a1(s, d)), 7, 48, lambda r: timeseries.rolling_stats(timeseries.safe_lag(r, "price", 24, "lagged"), "lagged", 24, "r")),
-         f"{ad.REG}, lg AS (SELECT r.series_id, r.t, p.price AS lagged FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id AND p.t + INTERVAL 24 HOUR = r.t) ;; SELECT series_id, t AS timestamp_utc, lagged, CASE WHEN count(lagged) OVER w >= 19 THEN avg(lagged) OVER w END AS r_mean, CASE WHEN count(lagged) OVER w >= 19 THEN stddev_samp(lagged) OVER w END AS r_std FROM lg WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)")
+         f"{ad.REG}, lg AS (SELECT r.series_id, r.t, p.price AS lagged FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id AND p.t + INTERVAL 24 HOUR = r.t) "
+         f";; SELECT series_id, t AS timestamp_utc, lagged, CASE WHEN count(lagged) OVER w >= 19 THEN avg(lagged) OVER w END AS r_mean, CASE WHEN count(lagged) "
+         f"OVER w >= 19 THEN stddev_samp(lagged) OVER w END AS r_std FROM lg WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 23 HOUR PRECEDING "
+         f"AND CURRENT ROW)")
 register("jn_cross_grid", f"{_DAYS} eta:f c:f", _grid, f"{ad.A1}, {_CELL_SQL} ;; SELECT series_id, d AS delivery_date, eta, c FROM dd, cells")
 register("fn_degradation_cost", f"{_DAYS} eta:f c:f cost:f", _grid, f"{ad.A1}, {_CELL_SQL} ;; SELECT series_id, d AS delivery_date, eta, c, c * (1 + eta) AS cost FROM dd, cells")
 
@@ -264,23 +281,30 @@ register("jn_self_lag", f"{KEY} lagged:f", lambda s, d: joins.lag_join(timeserie
          f"{ad.REG} ;; SELECT r.series_id, r.t AS timestamp_utc, p.price AS lagged FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id AND p.t + INTERVAL 6 HOUR = r.t")
 _two = lambda s, d: [ad.a1(s, d).where(F.col("series_id") == n).select("timestamp_utc", "price") for n in ("purchase", "view")]
 _TWO = f"{ad.A1}, p AS (SELECT t, price AS purchase FROM a1 WHERE series_id = 'purchase'), v AS (SELECT t, price AS view FROM a1 WHERE series_id = 'view')"
-register("jn_inner_two_models", "timestamp_utc:t purchase:f view:f", lambda s, d: joins.two_models(*_two(s, d), ("purchase", "view"), "price"), f"{_TWO} ;; SELECT t AS timestamp_utc, purchase, view FROM p JOIN v USING (t)")
+register("jn_inner_two_models", "timestamp_utc:t purchase:f view:f", lambda s, d: joins.two_models(*_two(s, d), ("purchase", "view"), "price"), f"{_TWO} "
+    f";; SELECT t AS timestamp_utc, purchase, view FROM p JOIN v USING (t)")
 register("jn_outer_indicator", "timestamp_utc:t side:s", lambda s, d: joins.one_sided(*_two(s, d), ["timestamp_utc"]),
-         f"{_TWO} ;; SELECT t AS timestamp_utc, CASE WHEN purchase IS NULL THEN 'right' ELSE 'left' END AS side FROM p FULL JOIN v USING (t) WHERE purchase IS NULL OR view IS NULL")
+         f"{_TWO} ;; SELECT t AS timestamp_utc, CASE WHEN purchase IS NULL THEN 'right' ELSE 'left' END AS side FROM p FULL JOIN v USING (t) "
+         f"WHERE purchase IS NULL OR view IS NULL")
 register("set_grid_difference", "timestamp_utc:t side:s", lambda s, d: checks.set_difference(*[x.select("timestamp_utc") for x in _two(s, d)]),
-         f"{_TWO} ;; SELECT t AS timestamp_utc, 'left' AS side FROM (SELECT t FROM p EXCEPT SELECT t FROM v) UNION ALL SELECT t, 'right' FROM (SELECT t FROM v EXCEPT SELECT t FROM p)")
+         f"{_TWO} ;; SELECT t AS timestamp_utc, 'left' AS side FROM (SELECT t FROM p EXCEPT SELECT t FROM v) UNION ALL SELECT t, 'right' FROM (SELECT t "
+         f"FROM v EXCEPT SELECT t FROM p)")
 register("set_day_equality", "n_different:i", lambda s, d: checks.set_difference(*[x.select(fn.local_date(F.col("timestamp_utc")).alias("day")).distinct() for x in _two(s, d)]).agg(F.count("*").alias("n_different")),
-         f"{_TWO} ;; SELECT count(*) FILTER (p.d IS NULL OR v.d IS NULL) AS n_different FROM (SELECT DISTINCT {B('t')}::DATE AS d FROM p) p FULL JOIN (SELECT DISTINCT {B('t')}::DATE AS d FROM v) v ON p.d = v.d")
-register("jn_semi_days", f"{KEY} price:f", lambda s, d: ad.a5(s, d).join(decisions.common_days(ad.a5(s, d), ad.REQUIRED), ["series_id", "delivery_date"], "left_semi"), f"{ad.a7_sql()} ;; SELECT series_id, t AS timestamp_utc, price FROM placed")
+         f"{_TWO} ;; SELECT count(*) FILTER (p.d IS NULL OR v.d IS NULL) AS n_different FROM (SELECT DISTINCT {B('t')}::DATE AS d FROM p) p FULL "
+         f"JOIN (SELECT DISTINCT {B('t')}::DATE AS d FROM v) v ON p.d = v.d")
+register("jn_semi_days", f"{KEY} price:f", lambda s, d: ad.a5(s, d).join(decisions.common_days(ad.a5(s, d), ad.REQUIRED), ["series_id", "delivery_date"], "left_semi"), f"{ad.a7_sql()} "
+    f";; SELECT series_id, t AS timestamp_utc, price FROM placed")
 
 
 register("jn_range_window", f"{_DAYS} n:i total:f", lambda s, d: joins.trailing_days(ad.a1(s, d), "price", 7),
-         f"{ad.A1}, x AS (SELECT series_id, price, {B('t')}::DATE AS d, unnest(generate_series(1, 7)) AS k FROM a1) ;; SELECT series_id, (d + k::INT)::DATE AS delivery_date, count(*) AS n, sum(price) AS total FROM x GROUP BY 1, 2")
+         f"{ad.A1}, x AS (SELECT series_id, price, {B('t')}::DATE AS d, unnest(generate_series(1, 7)) AS k FROM a1) ;; SELECT series_id, "
+         f"(d + k::INT)::DATE AS delivery_date, count(*) AS n, sum(price) AS total FROM x GROUP BY 1, 2")
 register("win_first_appearance_order", "series_id:s first_seen:t n:i", lambda s, d: joins.by_first_appearance(ad.a1(s, d)),
          f"{ad.A1} ;; SELECT series_id, min(t) AS first_seen, count(*) AS n FROM a1 GROUP BY 1")
 register("srt_select_min_score", "series_id:s hour_local:i score:f",
          lambda s, d: joins.lowest(timeseries.add_local_columns(ad.a1(s, d)).groupBy("series_id", "hour_local").agg(F.round(F.avg("price"), 6).alias("v")), ["series_id"], "hour_local", F.col("v")),
-         f"{ad.A1}, h AS (SELECT series_id, hour({B('t')}) AS h, round(avg(price), 6) AS score FROM a1 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score, h) AS rn FROM h) ;; SELECT series_id, h AS hour_local, score FROM r WHERE rn = 1")
+         f"{ad.A1}, h AS (SELECT series_id, hour({B('t')}) AS h, round(avg(price), 6) AS score FROM a1 GROUP BY 1, 2), r AS (SELECT *, row_number() "
+         f"OVER (PARTITION BY series_id ORDER BY score, h) AS rn FROM h) ;; SELECT series_id, h AS hour_local, score FROM r WHERE rn = 1")
 def _audit_dates(s: SparkSession, d: str) -> DataFrame:
     rows = forecast.day_of(ad.a6(s, d)).withColumns({"series_id": F.lit("events"), "abs_diff": F.abs(F.col("price_seq1") - F.col("price_seq2"))})
     return checks.disagreement_dates(rows.where("abs_diff > 0.01"), timeseries.dst_days(rows), 6)
@@ -307,11 +331,16 @@ def _weeks(s: SparkSession, d: str) -> DataFrame:
 
 
 register("spl_validate", "name:s other:s rule:s", lambda s, d: splits.violations(_weeks(s, d)),
-         f"{ad.A1}, {_W} ;; SELECT name, NULL AS other, 'order' AS rule FROM w UNION ALL SELECT a.name, b.name, 'overlap' FROM w a JOIN w b ON a.name < b.name AND b.wk < a.wk + INTERVAL 8 DAY")
+         f"{ad.A1}, {_W} ;; SELECT name, NULL AS other, 'order' AS rule FROM w UNION ALL SELECT a.name, b.name, 'overlap' FROM w a JOIN w b ON a.name < b.name "
+         f"AND b.wk < a.wk + INTERVAL 8 DAY")
 register("spl_final_and_holdout", "role:s series_id:s n:i price:f", lambda s, d: splits.final_and_holdout(ad.a1(s, d), ts("2024-01-22")).groupBy("role", "series_id").agg(F.count("*").alias("n"), F.sum("price").alias("price")),
-         f"{ad.A1} ;; SELECT CASE WHEN t < TIMESTAMP '2024-01-22' THEN 'final_train' ELSE 'holdout' END AS role, series_id, count(*) AS n, sum(price) AS price FROM a1 GROUP BY 1, 2")
+         f"{ad.A1} ;; SELECT CASE WHEN t < TIMESTAMP '2024-01-22' THEN 'final_train' ELSE 'holdout' END AS role, series_id, count(*) AS n, sum(price) AS price FROM a1 "
+         f"GROUP BY 1, 2")
 register("spl_row_cv", "series_id:s fold:i train_rows:i test_rows:i test_start:t test_end:t", lambda s, d: splits.row_cv(ad.a1(s, d), 3),
-         f"{ad.A1}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS n FROM a1), f AS (SELECT *, n // 4 AS test, n - (3 - fold) * (n // 4) AS st FROM r, (SELECT unnest([0, 1, 2]) AS fold)) ;; SELECT series_id, fold, count(*) FILTER (r < st) AS train_rows, count(*) FILTER (r >= st AND r < st + test) AS test_rows, min(t) FILTER (r >= st AND r < st + test) AS test_start, max(t) FILTER (r >= st AND r < st + test) AS test_end FROM f GROUP BY 1, 2")
+         f"{ad.A1}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS n FROM a1), f "
+         f"AS (SELECT *, n // 4 AS test, n - (3 - fold) * (n // 4) AS st FROM r, (SELECT unnest([0, 1, 2]) AS fold)) ;; SELECT series_id, fold, "
+         f"count(*) FILTER (r < st) AS train_rows, count(*) FILTER (r >= st AND r < st + test) AS test_rows, min(t) FILTER (r >= st AND r < st + test) AS test_start, "
+         f"max(t) FILTER (r >= st AND r < st + test) AS test_end FROM f GROUP BY 1, 2")
 def _stacked(s: SparkSession, d: str) -> DataFrame:
     rows = saved(ad.a5(s, d))
     return splits.stack_folds({str(n): rows.where(F.col("fold") == n) for n in (2, 3)})
@@ -328,7 +357,8 @@ def _naive(s: SparkSession, d: str) -> DataFrame:
 
 _NAIVE = f"{ad.REG}, nv AS (SELECT r.series_id, r.t, CASE WHEN {B('(r.t - INTERVAL 24 HOUR)')}::DATE < {B('r.t')}::DATE THEN p.price END AS lag_24, q.price AS lag_168, isodow({B('r.t')}) AS dow FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id AND p.t + INTERVAL 24 HOUR = r.t LEFT JOIN reg q ON q.series_id = r.series_id AND q.t + INTERVAL 168 HOUR = r.t)"
 register("ml_naive", f"{KEY} lag_24:f lag_168:f", _naive, f"{_NAIVE} ;; SELECT series_id, t AS timestamp_utc, lag_24, lag_168 FROM nv")
-register("ml_weekday_naive", f"{KEY} weekday_pred:f", _naive, f"{_NAIVE} ;; SELECT series_id, t AS timestamp_utc, CASE WHEN dow BETWEEN 2 AND 5 THEN lag_24 ELSE lag_168 END AS weekday_pred FROM nv")
+register("ml_weekday_naive", f"{KEY} weekday_pred:f", _naive, f"{_NAIVE} ;; SELECT series_id, t AS timestamp_utc, CASE WHEN dow BETWEEN 2 "
+    f"AND 5 THEN lag_24 ELSE lag_168 END AS weekday_pred FROM nv")
 def _evaluated(s: SparkSession, d: str) -> DataFrame:
     """The lag and a linear model fitted on the folds before, on the same rows."""
     rows, features = ad.a5(s, d).select(*ROWS, "price", "pred_full", "pred_alt", "fold"), ["pred_full", "pred_alt"]
@@ -338,17 +368,24 @@ def _evaluated(s: SparkSession, d: str) -> DataFrame:
 
 
 register("ml_evaluate_fold", "model:s fold:i n:i mae:f rmse:f median_ae:f", _evaluated,
-         f"{ad.A5}, cr AS (SELECT coalesce(fold, 0) AS f, price AS y, pred_full AS a, pred_alt AS b FROM a5 WHERE price IS NOT NULL AND pred_full IS NOT NULL AND pred_alt IS NOT NULL), "
-         "mo AS (SELECT i, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS bb FROM cr JOIN (SELECT unnest([2, 3, 4]) AS i) ON f < i GROUP BY i), "
+         f"{ad.A5}, cr AS (SELECT coalesce(fold, 0) AS f, price AS y, pred_full AS a, pred_alt AS b FROM a5 WHERE price IS NOT NULL AND pred_full IS NOT NULL "
+         f"AND pred_alt IS NOT NULL), "
+         "mo AS (SELECT i, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, "
+         "y) AS bb FROM cr JOIN (SELECT unnest([2, 3, 4]) AS i) ON f < i GROUP BY i), "
          "so AS (SELECT *, (ay * vb - bb * ab) / (va * vb - ab * ab) AS wa, (bb * va - ay * ab) / (va * vb - ab * ab) AS wb FROM mo), "
-         f"k AS (SELECT 'lag' AS model, f AS fold, y AS price, a AS p FROM cr WHERE f >= 2 UNION ALL SELECT 'linear', f, y, my + wa * (a - ma) + wb * (b - mb) FROM cr JOIN so ON so.i = cr.f) ;; SELECT model, fold, {_METRIC} FROM k GROUP BY 1, 2")
+         f"k AS (SELECT 'lag' AS model, f AS fold, y AS price, a AS p FROM cr WHERE f >= 2 UNION ALL SELECT 'linear', f, y, my + wa * (a - ma) + wb * (b - mb) FROM cr "
+         f"JOIN so ON so.i = cr.f) ;; SELECT model, fold, {_METRIC} FROM k GROUP BY 1, 2")
 
 # --- uncertainty ------------------------------------------------------------------------------------
 register("unc_interval_score", f"{KEY} score:f", lambda s, d: ad.a5(s, d).where("L is not null and price is not null").withColumn("score", fn.winkler(F.col("price"), F.col("L"), F.col("U"), 0.2)),
-         f"{ad.A5} ;; SELECT series_id, t AS timestamp_utc, (u - l) + (greatest(l - price, 0) + greatest(price - u, 0)) * 10 AS score FROM a5 WHERE l IS NOT NULL AND price IS NOT NULL")
-register("unc_day_safe_offset", f"{_DAYS} q10:f q50:f q90:f", lambda s, d: uncertainty.day_safe_quantiles(ad.a5(s, d), "residual", 7, 1), f"{ad.A5} ;; SELECT series_id, d AS delivery_date, q10, q50, q90 FROM q")
+         f"{ad.A5} ;; SELECT series_id, t AS timestamp_utc, (u - l) + (greatest(l - price, 0) + greatest(price - u, 0)) * 10 AS score FROM a5 WHERE l IS NOT NULL "
+         f"AND price IS NOT NULL")
+register("unc_day_safe_offset", f"{_DAYS} q10:f q50:f q90:f", lambda s, d: uncertainty.day_safe_quantiles(ad.a5(s, d), "residual", 7, 1), f"{ad.A5} "
+    f";; SELECT series_id, d AS delivery_date, q10, q50, q90 FROM q")
 register("unc_sequential_update", f"{_DAYS} q10:f q50:f q90:f", lambda s, d: uncertainty.day_safe_quantiles(ad.a5(s, d).where("fold is not null"), "residual", 7, 1),
-         f"{ad.A5}, f AS (SELECT series_id, d, residual AS r, unnest(generate_series(1, 7)) AS k FROM rolled WHERE isfinite(residual) AND fold IS NOT NULL) ;; SELECT series_id, (d + k::INT)::DATE AS delivery_date, quantile_cont(r, 0.1) AS q10, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 0.9) AS q90 FROM f GROUP BY 1, 2")
+         f"{ad.A5}, f AS (SELECT series_id, d, residual AS r, unnest(generate_series(1, 7)) AS k FROM rolled WHERE isfinite(residual) AND fold IS NOT NULL) "
+         f";; SELECT series_id, (d + k::INT)::DATE AS delivery_date, quantile_cont(r, 0.1) AS q10, quantile_cont(r, 0.5) AS q50, quantile_cont(r, 0.9) AS q90 FROM f "
+         f"GROUP BY 1, 2")
 
 
 def _sequential_stream(s: SparkSession, d: str) -> DataFrame:
@@ -400,10 +437,12 @@ def _crossed(s: SparkSession, d: str, pairs: list[tuple[str, str]]) -> DataFrame
     return uncertainty.calibration(long, ["point", "envelope"])
 
 
-_CROSS = lambda pairs: "x AS (" + " UNION ALL ".join(f"SELECT '{p}' AS point, '{e}' AS envelope, price, pred_{p} + {'q' if e == 'full' else 'a'}10 AS l, pred_{p} + {'q' if e == 'full' else 'a'}90 AS u FROM tt" for p, e in pairs) + ")"
+_CROSS = lambda pairs: "x AS (" + " UNION ALL ".join(f"SELECT '{p}' AS point, '{e}' AS envelope, price, pred_{p} + {'q' if e == 'full' else 'a'}10 AS l, "
+    f"pred_{p} + {'q' if e == 'full' else 'a'}90 AS u FROM tt" for p, e in pairs) + ")"
 _SAME, _ALL = [("full", "full"), ("alt", "alt")], [(p, e) for p in ("full", "alt") for e in ("full", "alt")]
 for _name, _pairs in (("unc_tier_compare", _SAME), ("unc_point_envelope_cross", _ALL)):
-    register(_name, f"point:s envelope:s n:i {_CAL}", lambda s, d, p=_pairs: _crossed(s, d, p), f"{_TIERS}, {_CROSS(_pairs)} ;; SELECT point, envelope, {_CALSQL} FROM x WHERE l IS NOT NULL AND price IS NOT NULL GROUP BY 1, 2")
+    register(_name, f"point:s envelope:s n:i {_CAL}", lambda s, d, p=_pairs: _crossed(s, d, p), f"{_TIERS}, {_CROSS(_pairs)} ;; SELECT point, envelope, {_CALSQL} "
+        f"FROM x WHERE l IS NOT NULL AND price IS NOT NULL GROUP BY 1, 2")
 register("jn_left_attach_bounds", f"{KEY} f10:f f90:f a10:f a90:f", _tiers, f"{_TIERS} ;; SELECT series_id, t AS timestamp_utc, q10 AS f10, q90 AS f90, a10, a90 FROM tt")
 
 # --- decisions, reports, checks ---------------------------------------------------------------------
@@ -428,9 +467,12 @@ def _all_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 register("jn_self_pair_theta", f"{_DAYS} n_pairs:i n_paying:i mean_score:f", _all_pairs,
-         f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, count(*) AS n_pairs, count(*) FILTER (score > 0) AS n_paying, avg(score) AS mean_score FROM pairs WHERE strategy = 'S1' GROUP BY 1, 2")
-register("st_realized", f"{_DAYS} gross_pnl:f net_pnl:f", lambda s, d: ad.a7(s, d).where("strategy = 'S2'"), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, gross_pnl, net_pnl FROM a7 WHERE strategy = 'S2'")
-register("st_oracle", f"{_DAYS} oracle_pnl:f", lambda s, d: ad.a7(s, d).where("strategy = 'S0'"), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, net_pnl AS oracle_pnl FROM done WHERE strategy = 'oracle'")
+         f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, count(*) AS n_pairs, count(*) FILTER (score > 0) AS n_paying, avg(score) AS mean_score FROM pairs "
+         f"WHERE strategy = 'S1' GROUP BY 1, 2")
+register("st_realized", f"{_DAYS} gross_pnl:f net_pnl:f", lambda s, d: ad.a7(s, d).where("strategy = 'S2'"), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, "
+    f"gross_pnl, net_pnl FROM a7 WHERE strategy = 'S2'")
+register("st_oracle", f"{_DAYS} oracle_pnl:f", lambda s, d: ad.a7(s, d).where("strategy = 'S0'"), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, "
+    f"net_pnl AS oracle_pnl FROM done WHERE strategy = 'oracle'")
 def _swapped(days: DataFrame) -> DataFrame:
     """Results of which some days' pairs are turned over and some results lifted above the oracle's."""
     day, high = F.dayofmonth("delivery_date"), F.col("oracle_pnl") + 0.01
@@ -439,11 +481,16 @@ def _swapped(days: DataFrame) -> DataFrame:
 
 
 register("st_invariants", f"{_DAYS} strategy:s", lambda s, d: decisions.invariant_violations(_swapped(ad.a7(s, d))),
-         f"{ad.a7_sql()}, sw AS (SELECT series_id, d, strategy, CASE WHEN day(d) % 4 = 1 THEN j ELSE i END AS i, CASE WHEN day(d) % 4 = 1 THEN i ELSE j END AS j, CASE WHEN strategy = 'S3' AND day(d) % 6 = 2 THEN oracle_pnl + 0.01 ELSE net_pnl END AS net_pnl, oracle_pnl FROM a7) ;; SELECT series_id, d AS delivery_date, strategy FROM sw WHERE i >= j OR net_pnl > oracle_pnl + 1e-6")
-register("st_invariants_clean", f"{_DAYS} strategy:s", lambda s, d: decisions.invariant_violations(ad.a7(s, d)), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, strategy FROM a7 WHERE i >= j OR net_pnl > oracle_pnl + 1e-6")
+         f"{ad.a7_sql()}, sw AS (SELECT series_id, d, strategy, CASE WHEN day(d) % 4 = 1 THEN j ELSE i END AS i, CASE WHEN day(d) % 4 = 1 THEN i ELSE j END AS j, "
+         f"CASE WHEN strategy = 'S3' AND day(d) % 6 = 2 THEN oracle_pnl + 0.01 ELSE net_pnl END AS net_pnl, oracle_pnl FROM a7) ;; SELECT series_id, "
+         f"d AS delivery_date, strategy FROM sw WHERE i >= j OR net_pnl > oracle_pnl + 1e-6")
+register("st_invariants_clean", f"{_DAYS} strategy:s", lambda s, d: decisions.invariant_violations(ad.a7(s, d)), f"{ad.a7_sql()} ;; SELECT series_id, "
+    f"d AS delivery_date, strategy FROM a7 WHERE i >= j OR net_pnl > oracle_pnl + 1e-6")
 register("st_input_checks", f"{_DAYS} n_hours:i n_price:i n_L:i", lambda s, d: decisions.input_violations(ad.a5(s, d), ["price", "L"]),
-         f"{ad.A5} ;; SELECT series_id, d AS delivery_date, count(*) AS n_hours, count(price) AS n_price, count(l) AS n_L FROM a5 GROUP BY 1, 2 HAVING n_hours NOT IN (23, 24, 25) OR n_price < n_hours OR n_L < n_hours")
-register("risk_loss", f"{_DAYS} strategy:s loss:f", lambda s, d: reports.losses(ad.a7(s, d)), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, strategy, -net_pnl AS loss FROM a7")
+         f"{ad.A5} ;; SELECT series_id, d AS delivery_date, count(*) AS n_hours, count(price) AS n_price, count(l) AS n_L FROM a5 GROUP BY 1, "
+         f"2 HAVING n_hours NOT IN (23, 24, 25) OR n_price < n_hours OR n_L < n_hours")
+register("risk_loss", f"{_DAYS} strategy:s loss:f", lambda s, d: reports.losses(ad.a7(s, d)), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, strategy, "
+    f"-net_pnl AS loss FROM a7")
 
 
 def _changes(s: SparkSession, d: str) -> DataFrame:
@@ -459,10 +506,13 @@ register("top_changes", "series_id:s column:s pct:f", lambda s, d: reports.large
          f'{_DIFF}, r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY abs(pct) DESC, series_id) AS rn FROM df) ;; SELECT * FROM r WHERE rn <= 3')
 _SHOWN = lambda c, kind: fn.display(F.col(c) + F.lit(1.2345e-9), kind).alias(c)
 register("fn_display_format", "strategy:s net:s hit_rate:s traded_days:s", lambda s, d: reports.primary_table(ad.a7(s, d), ["strategy"]).select("strategy", _SHOWN("net", "eur"), _SHOWN("hit_rate", "percent"), fn.display(F.col("traded_days"), "count").alias("traded_days")),
-         f"{ad.a7_sql()}, p AS (SELECT strategy, sum(net_pnl) + 1.2345e-9 AS net, avg((net_pnl > 0)::INT) FILTER (traded) + 1.2345e-9 AS hit, count(*) FILTER (traded) AS n FROM a7 GROUP BY 1) ;; "
+         f"{ad.a7_sql()}, p AS (SELECT strategy, sum(net_pnl) + 1.2345e-9 AS net, avg((net_pnl > 0)::INT) FILTER (traded) + 1.2345e-9 AS hit, "
+         f"count(*) FILTER (traded) AS n FROM a7 GROUP BY 1) ;; "
          "SELECT strategy, format('EUR {{:,.2f}}', net) AS net, coalesce(format('{{:.1f}}%', hit * 100), 'N/A') AS hit_rate, format('{{:,}}', n) AS traded_days FROM p".replace("{{", "{").replace("}}", "}"))
 register("chk_pnl_rows", "rule:s violations:i", lambda s, d: checks.pnl_violations(saved(ad.broken(ad.a7(s, d))), "2024-01-25"),
-         f"{ad.a7_sql()}, {ad.BROKEN} ;; SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) AS violations FROM br WHERE {c}" for r, c in {"null_day": "d IS NULL", "holdout": "d >= DATE '2024-01-25'", "not_finite": "NOT isfinite(net_pnl)", "s0": "strategy = 'S0' AND net_pnl <> 0"}.items())
+         f"{ad.a7_sql()}, {ad.BROKEN} ;; SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) AS violations FROM br "
+         f"WHERE {c}" for r, c in {"null_day": "d IS NULL", "holdout": "d >= DATE '2024-01-25'", "not_finite": "NOT isfinite(net_pnl)", "s0": "strategy = 'S0' "
+         "AND net_pnl <> 0"}.items())
          + " UNION ALL SELECT 'duplicate_day', sum(n - 1) FROM (SELECT count(*) AS n FROM br GROUP BY series_id, d, strategy HAVING count(*) > 1)) WHERE violations > 0")
 def _twice(s: SparkSession, d: str, change) -> tuple[DataFrame, DataFrame]:
     rows = saved(ad.a7(s, d))
@@ -470,7 +520,8 @@ def _twice(s: SparkSession, d: str, change) -> tuple[DataFrame, DataFrame]:
 
 
 register("chk_reproduction", "field:s mismatches:i", lambda s, d: checks.reproduction(*_twice(s, d, lambda r: r.where("strategy <> 'S5'").withColumn("net_pnl", F.col("net_pnl") + F.when(F.col("strategy") == "S3", 0.01).otherwise(0.0))), ["series_id", "delivery_date", "strategy"], ["traded"], ["net_pnl", "gross_pnl"]),
-         f"{ad.a7_sql()} ;; SELECT 'only_saved' AS field, count(*) FILTER (strategy = 'S5') AS mismatches FROM a7 UNION ALL SELECT 'only_computed', 0 UNION ALL SELECT 'traded', 0 UNION ALL SELECT 'net_pnl', count(*) FILTER (strategy = 'S3') FROM a7 UNION ALL SELECT 'gross_pnl', 0")
+         f"{ad.a7_sql()} ;; SELECT 'only_saved' AS field, count(*) FILTER (strategy = 'S5') AS mismatches FROM a7 UNION ALL SELECT 'only_computed', 0 "
+         f"UNION ALL SELECT 'traded', 0 UNION ALL SELECT 'net_pnl', count(*) FILTER (strategy = 'S3') FROM a7 UNION ALL SELECT 'gross_pnl', 0")
 def _table_diff(s: SparkSession, d: str) -> DataFrame:
     """``events`` against a copy that lacks some rows, has others besides, and differs in a column or two of some."""
     left = ad.events(s, d)
@@ -540,9 +591,12 @@ hh AS (SELECT k, date_trunc('hour', t) AS t, avg(v) AS v FROM dd GROUP BY 1, 2),
 g AS (SELECT k, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM hh WHERE k = 'load_mw' OR t >= {_CUT} GROUP BY 1 UNION SELECT k, t FROM hh),
 cl AS (SELECT g.t, max(v) FILTER (g.k = 'price') AS price, max(v) FILTER (g.k = 'load_mw') AS load_mw FROM g LEFT JOIN hh ON hh.k = g.k AND hh.t = g.t WHERE g.t >= TIMESTAMP '2024-01-02' AND g.t < TIMESTAMP '2024-01-29' GROUP BY 1)"""
 register("cln_build", "timestamp_utc:t price:f load_mw:f post:i delivery_date:d hour_local:i weekend:i", _build,
-         f"{_BUILD} ;; SELECT t AS timestamp_utc, price, load_mw, (t >= {_CUT})::INT AS post, {B('t')}::DATE AS delivery_date, hour({B('t')}) AS hour_local, (isodow({B('t')}) >= 6)::INT AS weekend FROM cl")
+         f"{_BUILD} ;; SELECT t AS timestamp_utc, price, load_mw, (t >= {_CUT})::INT AS post, {B('t')}::DATE AS delivery_date, hour({B('t')}) AS hour_local, "
+         f"(isodow({B('t')}) >= 6)::INT AS weekend FROM cl")
 register("cln_report", "dataset:s n_raw:i n_keys:i n_duplicates:i n_clean:i n_missing:i", lambda s, d: timeseries.cleaning_report(_raw(s, d), saved(_build(s, d))),
-         f"{_BUILD}, rr AS (SELECT k AS dataset, count(*) AS n_raw, count(DISTINCT t) AS n_keys FROM ra GROUP BY 1), cc AS (SELECT 'price' AS dataset, count(price) AS n_clean, count(*) - count(price) AS n_missing FROM cl UNION ALL SELECT 'load_mw', count(load_mw), count(*) - count(load_mw) FROM cl) ;; SELECT *, n_raw - n_keys AS n_duplicates FROM rr JOIN cc USING (dataset)")
+         f"{_BUILD}, rr AS (SELECT k AS dataset, count(*) AS n_raw, count(DISTINCT t) AS n_keys FROM ra GROUP BY 1), cc AS (SELECT 'price' AS dataset, "
+         f"count(price) AS n_clean, count(*) - count(price) AS n_missing FROM cl UNION ALL SELECT 'load_mw', count(load_mw), count(*) - count(load_mw) FROM cl) "
+         f";; SELECT *, n_raw - n_keys AS n_duplicates FROM rr JOIN cc USING (dataset)")
 
 
 def _benchmark(s: SparkSession, d: str) -> DataFrame:
@@ -550,7 +604,9 @@ def _benchmark(s: SparkSession, d: str) -> DataFrame:
 
 
 register("rep_benchmark_summary", "model:s mae:f rmse:f net:f capture:f", _benchmark,
-         f"{ad.a7_sql()}, {_LONG}, pm AS (SELECT model, {_METRIC} FROM k GROUP BY 1), pv AS (SELECT CASE strategy WHEN 'S1' THEN 'pred_full' ELSE 'pred_alt' END AS model, sum(net_pnl) AS net, sum(net_pnl) / sum(oracle_pnl) AS capture FROM a7 WHERE strategy IN ('S1', 'S2') GROUP BY 1) ;; SELECT model, mae, rmse, net, capture FROM pm JOIN pv USING (model)")
+         f"{ad.a7_sql()}, {_LONG}, pm AS (SELECT model, {_METRIC} FROM k GROUP BY 1), pv "
+         f"AS (SELECT CASE strategy WHEN 'S1' THEN 'pred_full' ELSE 'pred_alt' END AS model, sum(net_pnl) AS net, sum(net_pnl) / sum(oracle_pnl) AS capture FROM a7 "
+         f"WHERE strategy IN ('S1', 'S2') GROUP BY 1) ;; SELECT model, mae, rmse, net, capture FROM pm JOIN pv USING (model)")
 
 
 _WIDTHS = (3, 5, 7)
@@ -582,14 +638,18 @@ pb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, d, s
 pt2 AS (SELECT s, sum(CASE WHEN score > 0 THEN {ad.ETA} * p_j - p_i - {ad.C} * (1 + {ad.ETA}) ELSE 0 END) AS x FROM pb GROUP BY 1),
 tot AS (SELECT max(x) FILTER (s = 'S1') AS base, max(x) FILTER (s = 'S2') AS most FROM pt2)"""
 register("rep_profile_window_table", "window_days:i n:i mae:f pnl:f full_minus:f gain:f share_of_gain:f", _profile_windows,
-         f"{_PROFILES} ;; SELECT w AS window_days, n, mae, x AS pnl, most - x AS full_minus, x - base AS gain, CASE WHEN most <> base THEN (x - base) / (most - base) END AS share_of_gain FROM er LEFT JOIN pt2 ON pt2.s = 'p' || w, tot")
+         f"{_PROFILES} ;; SELECT w AS window_days, n, mae, x AS pnl, most - x AS full_minus, x - base AS gain, "
+         f"CASE WHEN most <> base THEN (x - base) / (most - base) END AS share_of_gain FROM er LEFT JOIN pt2 ON pt2.s = 'p' || w, tot")
 
 
 def _recorded(s: SparkSession, d: str, odd: bool) -> DataFrame:
     """What runs recorded: rows of each series, of all events or of those with an odd id."""
     rows = ad.events(s, d).where(F.col("event_id") % 2 == 1) if odd else ad.events(s, d)
-    return rows.groupBy(F.col("event_type").alias("run")).agg(F.count("*").alias("rows"), F.count_distinct(F.date_trunc("day", "ts")).alias("days")).selectExpr("run", "stack(2, 'rows', cast(rows AS string), 'days', cast(days AS string)) AS (field, value)")
+    return rows.groupBy(F.col("event_type").alias("run")).agg(F.count("*").alias("rows"), F.count_distinct(F.date_trunc("day", "ts")).alias("days")).selectExpr("run", "stack(2, "
+        "'rows', cast(rows AS string), 'days', cast(days AS string)) AS (field, value)")
 
 
 register("chk_lineage", "run:s field:s value:s found:s", lambda s, d: checks.lineage(_recorded(s, d, True), _recorded(s, d, False)),
-         "g AS (SELECT event_type AS run, count(*) AS a, count(*) FILTER (event_id % 2 = 1) AS b, count(DISTINCT date_trunc('day', ts)) AS c, count(DISTINCT date_trunc('day', ts)) FILTER (event_id % 2 = 1) AS e FROM events GROUP BY 1) ;; SELECT * FROM (SELECT run, 'rows' AS field, a::VARCHAR AS value, b::VARCHAR AS found FROM g UNION ALL SELECT run, 'days', c::VARCHAR, e::VARCHAR FROM g) WHERE value <> found")
+         "g AS (SELECT event_type AS run, count(*) AS a, count(*) FILTER (event_id % 2 = 1) AS b, count(DISTINCT date_trunc('day', ts)) AS c, "
+         "count(DISTINCT date_trunc('day', ts)) FILTER (event_id % 2 = 1) AS e FROM events GROUP BY 1) ;; SELECT * FROM (SELECT run, 'rows' AS field, "
+         "a::VARCHAR AS value, b::VARCHAR AS found FROM g UNION ALL SELECT run, 'days', c::VARCHAR, e::VARCHAR FROM g) WHERE value <> found")

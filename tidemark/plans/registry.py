@@ -94,13 +94,15 @@ u AS (SELECT 'overall' AS grouping_key, NULL::INT AS level, n, same FROM p UNION
 ;; SELECT grouping_key, level, count(*) AS n_keys, sum(n) AS n_rows, count(*) FILTER (same) AS n_identical, count(*) FILTER (NOT same) AS n_different FROM u GROUP BY 1, 2""")
 register("aud_duplicate_profile", "series_id:s timestamp_utc:t n:i n_values:i lo:f hi:f identical:b",
          lambda s, d: docs.duplicate_profile(ad.events(s, d).select(F.col("event_type").alias("series_id"), F.date_trunc("minute", "ts").alias("timestamp_utc"), "value"), ROWS, "value"),
-         "SELECT event_type AS series_id, date_trunc('minute', ts) AS timestamp_utc, count(*) AS n, count(DISTINCT value) AS n_values, min(value) AS lo, max(value) AS hi, count(DISTINCT value) <= 1 AS identical FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+         "SELECT event_type AS series_id, date_trunc('minute', ts) AS timestamp_utc, count(*) AS n, count(DISTINCT value) AS n_values, min(value) AS lo, "
+         "max(value) AS hi, count(DISTINCT value) <= 1 AS identical FROM events GROUP BY 1, 2 HAVING count(*) > 1")
 register("chk_unique_key", "series_id:s timestamp_utc:t n:i",
          lambda s, d: checks.duplicate_keys(ad.events(s, d).select(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("timestamp_utc")), ROWS),
          "SELECT event_type AS series_id, date_trunc('hour', ts) AS timestamp_utc, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
 register("cln_duplicate_fraction", "n_rows:i n_keys:i duplicate_fraction:f too_many:b",
          lambda s, d: timeseries.duplicate_fraction(ad.events(s, d).select(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("timestamp_utc")), ROWS),
-         "SELECT sum(n) AS n_rows, count(*) AS n_keys, 1 - count(*) / sum(n) AS duplicate_fraction, 1 - count(*) / sum(n) > 0.01 AS too_many FROM (SELECT count(*) AS n FROM events GROUP BY event_type, date_trunc('hour', ts))")
+         "SELECT sum(n) AS n_rows, count(*) AS n_keys, 1 - count(*) / sum(n) AS duplicate_fraction, 1 - count(*) / sum(n) > 0.01 AS too_many FROM (SELECT count(*) AS n "
+         "FROM events GROUP BY event_type, date_trunc('hour', ts))")
 register("cln_resample_hourly", f"{KEY} value:f user_id:i",
          lambda s, d: timeseries.resample_hourly(ad.events(s, d).groupBy(F.col("event_type").alias("series_id"), F.col("ts").alias("timestamp_utc")).agg(F.avg("value").alias("value"), F.min("user_id").alias("user_id")), "value", ("user_id",)),
          """e AS (SELECT event_type AS series_id, ts, avg(value) AS value, min(user_id) AS user_id FROM events GROUP BY 1, 2),
@@ -120,25 +122,35 @@ register("cln_regime_flag", f"{KEY} post:i", lambda s, d: timeseries.regime_flag
          f"{ad.A1} ;; SELECT series_id, t AS timestamp_utc, (t >= TIMESTAMP '2024-01-14 23:00:00')::INT AS post FROM a1")
 _LOCAL_SPEC = f"{KEY} delivery_timestamp_local:t delivery_date:d hour_local:i dow_local:i month_local:i weekend:i"
 _LOCAL_SQL = "series_id, t AS timestamp_utc, lt AS delivery_timestamp_local, lt::DATE AS delivery_date, hour(lt) AS hour_local, isodow(lt) - 1 AS dow_local, month(lt) AS month_local, (isodow(lt) >= 6)::INT AS weekend"
-register("cln_local_time", _LOCAL_SPEC, lambda s, d: timeseries.add_local_columns(ad.a4(s, d)), f"{ad.A4} ;; SELECT {_LOCAL_SQL} FROM (SELECT 'orders' AS series_id, t, {B('t')} AS lt FROM a4)")
+register("cln_local_time", _LOCAL_SPEC, lambda s, d: timeseries.add_local_columns(ad.a4(s, d)), f"{ad.A4} ;; SELECT {_LOCAL_SQL} FROM (SELECT 'orders' AS series_id, t, "
+    f"{B('t')} AS lt FROM a4)")
 register("ts_dst_days", "delivery_date:d offsets:i hours:i", lambda s, d: timeseries.dst_days(ad.a4(s, d)),
-         f"{ad.A4} ;; SELECT {B('t')}::DATE AS delivery_date, count(DISTINCT epoch({B('t')}) - epoch(t)) AS offsets, count(DISTINCT t) AS hours FROM a4 GROUP BY 1 HAVING offsets > 1")
+         f"{ad.A4} ;; SELECT {B('t')}::DATE AS delivery_date, count(DISTINCT epoch({B('t')}) - epoch(t)) AS offsets, count(DISTINCT t) AS hours FROM a4 "
+         f"GROUP BY 1 HAVING offsets > 1")
 register("ts_decision_cutoff", "delivery_date:d cutoff:t start_utc:t",
          lambda s, d: ad.a4(s, d).select(fn.local_date(F.col("timestamp_utc")).alias("delivery_date")).distinct().withColumns({"cutoff": fn.decision_cutoff(F.col("delivery_date")), "start_utc": fn.local_midnight(F.col("delivery_date"))}),
-         f"{ad.A4} ;; SELECT d AS delivery_date, ((d - INTERVAL 1 DAY + INTERVAL '11:45' HOUR TO MINUTE) AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS cutoff, (d::TIMESTAMP AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS start_utc FROM (SELECT DISTINCT {B('t')}::DATE AS d FROM a4)".replace("INTERVAL '11:45' HOUR TO MINUTE", "INTERVAL 705 MINUTE"))
+         f"{ad.A4} ;; SELECT d AS delivery_date, ((d - INTERVAL 1 DAY + INTERVAL '11:45' HOUR TO MINUTE) AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS cutoff, "
+         f"(d::TIMESTAMP AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS start_utc FROM (SELECT DISTINCT {B('t')}::DATE AS d "
+         f"FROM a4)".replace("INTERVAL '11:45' HOUR TO MINUTE", "INTERVAL 705 MINUTE"))
 register("ts_date_range", "first_day:d start_utc:t end_utc:t",
          lambda s, d: ad.a4(s, d).agg(F.min("timestamp_utc").alias("lo"), F.max("timestamp_utc").alias("hi")).select(fn.local_date(F.col("lo")).alias("first_day"), fn.local_midnight(fn.local_date(F.col("lo"))).alias("start_utc"), fn.local_midnight(F.trunc(fn.local_date(F.col("hi")), "month")).alias("end_utc")),
-         f"{ad.A4} ;; SELECT lo::DATE AS first_day, (lo::DATE::TIMESTAMP AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS start_utc, (date_trunc('month', hi)::TIMESTAMP AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS end_utc FROM (SELECT {B('min(t)')} AS lo, {B('max(t)')} AS hi FROM a4)")
+         f"{ad.A4} ;; SELECT lo::DATE AS first_day, (lo::DATE::TIMESTAMP AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS start_utc, (date_trunc('month', "
+         f"hi)::TIMESTAMP AT TIME ZONE 'Europe/Berlin') AT TIME ZONE 'UTC' AS end_utc FROM (SELECT {B('min(t)')} AS lo, {B('max(t)')} AS hi FROM a4)")
 register("ts_chunk_windows", "chunk_start:t chunk_end:t", lambda s, d: timeseries.chunk_windows(ad.a4(s, d).agg(F.min("timestamp_utc").alias("start"), F.max("timestamp_utc").alias("end")), 365),
-         f"{ad.A4} ;; SELECT x AS chunk_start, least(x + INTERVAL 365 DAY, hi) AS chunk_end FROM (SELECT hi, unnest(generate_series(lo, hi - INTERVAL 1 SECOND, INTERVAL 365 DAY)) AS x FROM (SELECT min(t) AS lo, max(t) AS hi FROM a4))")
+         f"{ad.A4} ;; SELECT x AS chunk_start, least(x + INTERVAL 365 DAY, hi) AS chunk_end FROM (SELECT hi, unnest(generate_series(lo, hi - INTERVAL 1 SECOND, "
+         f"INTERVAL 365 DAY)) AS x FROM (SELECT min(t) AS lo, max(t) AS hi FROM a4))")
 register("ts_interval_position", f"{KEY} position:i", lambda s, d: timeseries.interval_position(ad.a2(s, d)),
-         f"SELECT event_type AS series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS timestamp_utc, (epoch({B('time_bucket(INTERVAL 15 MINUTE, ts)')}) - epoch({B('time_bucket(INTERVAL 15 MINUTE, ts)')}::DATE::TIMESTAMP)) / 900 + 1 AS position FROM events GROUP BY ALL")
+         f"SELECT event_type AS series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS timestamp_utc, "
+         f"(epoch({B('time_bucket(INTERVAL 15 MINUTE, ts)')}) - epoch({B('time_bucket(INTERVAL 15 MINUTE, ts)')}::DATE::TIMESTAMP)) / 900 + 1 AS position FROM events "
+         f"GROUP BY ALL")
 register("ts_regularize_grid", f"{KEY} price:f", lambda s, d: timeseries.regularize(ad.a1(s, d)), f"{ad.REG} ;; SELECT series_id, t AS timestamp_utc, price FROM reg")
 register("cln_coverage_gaps", KEY, lambda s, d: timeseries.coverage_gaps(ad.a1(s, d), ts("2024-01-01"), ts("2024-01-31")),
-         f"{ad.A1}, h AS (SELECT DISTINCT series_id, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS t FROM a1) ;; SELECT series_id, t AS timestamp_utc FROM h EXCEPT SELECT series_id, t FROM a1")
+         f"{ad.A1}, h AS (SELECT DISTINCT series_id, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS t FROM a1) "
+         f";; SELECT series_id, t AS timestamp_utc FROM h EXCEPT SELECT series_id, t FROM a1")
 register("cln_clip_range", f"{KEY} price:f", lambda s, d: timeseries.clip_range(ad.a1(s, d), ts("2024-01-05"), ts("2024-01-20")),
          f"{ad.A1} ;; SELECT series_id, t AS timestamp_utc, price FROM a1 WHERE t >= TIMESTAMP '2024-01-05' AND t < TIMESTAMP '2024-01-20'")
-register("prj_pivot_types", "timestamp_utc:t price:f load_mw:f wind_on_mw:f wind_off_mw:f solar_mw:f", lambda s, d: timeseries.pivot_types(ad.typed(s, d), list(ad.TYPES)).withColumnsRenamed(ad.TYPES), f"{ad.A3} ;; SELECT t AS timestamp_utc, price, load_mw, wind_on_mw, wind_off_mw, solar_mw FROM a3")
+register("prj_pivot_types", "timestamp_utc:t price:f load_mw:f wind_on_mw:f wind_off_mw:f solar_mw:f", lambda s, d: timeseries.pivot_types(ad.typed(s, d), list(ad.TYPES)).withColumnsRenamed(ad.TYPES), f"{ad.A3} "
+    f";; SELECT t AS timestamp_utc, price, load_mw, wind_on_mw, wind_off_mw, solar_mw FROM a3")
 
 
 def _outer_merge(s: SparkSession, d: str) -> DataFrame:
@@ -147,13 +159,16 @@ def _outer_merge(s: SparkSession, d: str) -> DataFrame:
 
 
 register("cln_outer_merge", "timestamp_utc:t p:f l:f w:f", _outer_merge,
-         f"{ad.A1}, p AS (SELECT t, price AS p FROM a1 WHERE series_id = 'purchase'), l AS (SELECT t, price AS l FROM a1 WHERE series_id = 'view'), w AS (SELECT t, price AS w FROM a1 WHERE series_id = 'click') ;; SELECT t AS timestamp_utc, p, l, w FROM p FULL JOIN l USING (t) FULL JOIN w USING (t)")
+         f"{ad.A1}, p AS (SELECT t, price AS p FROM a1 WHERE series_id = 'purchase'), l AS (SELECT t, price AS l FROM a1 WHERE series_id = 'view'), w AS (SELECT t, "
+         f"price AS w FROM a1 WHERE series_id = 'click') ;; SELECT t AS timestamp_utc, p, l, w FROM p FULL JOIN l USING (t) FULL JOIN w USING (t)")
 register("set_distinct_days", "series_id:s n:i", lambda s, d: joins.distinct_days(ad.a1(s, d)),
          f"{ad.A1} ;; SELECT series_id, count(DISTINCT {B('t')}::DATE) AS n FROM a1 GROUP BY 1")
 
 # --- features ---------------------------------------------------------------------------------------
 register("fn_fundamentals", "timestamp_utc:t wind_total:f solar_filled:f residual_load:f renewable_share:f", lambda s, d: timeseries.fundamentals(ad.a3(s, d)),
-         f"{ad.A3} ;; SELECT t AS timestamp_utc, wind_on_mw + wind_off_mw AS wind_total, coalesce(solar_mw, 0) AS solar_filled, load_mw - (wind_on_mw + wind_off_mw) - coalesce(solar_mw, 0) AS residual_load, CASE WHEN load_mw > 0 THEN (wind_on_mw + wind_off_mw + coalesce(solar_mw, 0)) / load_mw END AS renewable_share FROM a3")
+         f"{ad.A3} ;; SELECT t AS timestamp_utc, wind_on_mw + wind_off_mw AS wind_total, coalesce(solar_mw, 0) AS solar_filled, "
+         f"load_mw - (wind_on_mw + wind_off_mw) - coalesce(solar_mw, 0) AS residual_load, CASE WHEN load_mw > 0 THEN (wind_on_mw + wind_off_mw + coalesce(solar_mw, "
+         f"0)) / load_mw END AS renewable_share FROM a3")
 _TERMS = [f"{n}_{f}" for n in ("hour", "dow", "month", "weekend_hour") for f in ("sin", "cos")]
 register("fn_cyclic", f"{KEY} " + " ".join(f"{n}:f" for n in _TERMS), lambda s, d: timeseries.calendar_terms(timeseries.add_local_columns(ad.a4(s, d))),
          f"{ad.A4}, l AS (SELECT t, hour({B('t')}) AS h, isodow({B('t')}) - 1 AS w, month({B('t')}) AS m FROM a4) ;; SELECT 'orders' AS series_id, t AS timestamp_utc, "
@@ -163,10 +178,16 @@ register("fn_conditional_bucket", f"{KEY} negative:b above_200:b above_500:b", l
          f"{ad.A1} ;; SELECT series_id, t AS timestamp_utc, price < 0 AS negative, price > 200 AS above_200, price > 500 AS above_500 FROM a1")
 for _h in (24, 48):
     register("win_safe_lag" if _h == 24 else f"win_safe_lag_{_h}", f"{KEY} price:f lagged:f", lambda s, d, h=_h: timeseries.safe_lag(timeseries.regularize(ad.a1(s, d)), "price", h, "lagged"),
-             f"{ad.REG} ;; SELECT r.series_id, r.t AS timestamp_utc, r.price, CASE WHEN {B(f'(r.t - INTERVAL {_h} HOUR)')}::DATE < {B('r.t')}::DATE THEN p.price END AS lagged FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id AND p.t + INTERVAL {_h} HOUR = r.t")
+             f"{ad.REG} ;; SELECT r.series_id, r.t AS timestamp_utc, r.price, "
+             f"CASE WHEN {B(f'(r.t - INTERVAL {_h} HOUR)')}::DATE < {B('r.t')}::DATE THEN p.price END AS lagged FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id "
+             f"AND p.t + INTERVAL {_h} HOUR = r.t")
 register("win_rolling_mean_std", f"{KEY} roll_mean:f roll_std:f",
          lambda s, d: timeseries.rolling_stats(timeseries.safe_lag(timeseries.regularize(ad.a1(s, d)), "price", 24, "lagged"), "lagged", 24, "roll"),
-         f"{ad.REG}, lg AS (SELECT r.series_id, r.t, {B('(r.t - INTERVAL 24 HOUR)')}::DATE < {B('r.t')}::DATE AS safe, CASE WHEN {B('(r.t - INTERVAL 24 HOUR)')}::DATE < {B('r.t')}::DATE THEN p.price END AS lagged FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id AND p.t + INTERVAL 24 HOUR = r.t) ;; SELECT series_id, t AS timestamp_utc, CASE WHEN safe AND count(lagged) OVER w >= 19 THEN avg(lagged) OVER w END AS roll_mean, CASE WHEN safe AND count(lagged) OVER w >= 19 THEN stddev_samp(lagged) OVER w END AS roll_std FROM lg WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)")
+         f"{ad.REG}, lg AS (SELECT r.series_id, r.t, {B('(r.t - INTERVAL 24 HOUR)')}::DATE < {B('r.t')}::DATE AS safe, "
+         f"CASE WHEN {B('(r.t - INTERVAL 24 HOUR)')}::DATE < {B('r.t')}::DATE THEN p.price END AS lagged FROM reg r LEFT JOIN reg p ON p.series_id = r.series_id "
+         f"AND p.t + INTERVAL 24 HOUR = r.t) ;; SELECT series_id, t AS timestamp_utc, CASE WHEN safe AND count(lagged) OVER w >= 19 THEN avg(lagged) "
+         f"OVER w END AS roll_mean, CASE WHEN safe AND count(lagged) OVER w >= 19 THEN stddev_samp(lagged) OVER w END AS roll_std FROM lg WINDOW w "
+         f"AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 23 HOUR PRECEDING AND CURRENT ROW)")
 register("win_ffill", f"{KEY} price:f", lambda s, d: timeseries.carry_forward(timeseries.regularize(ad.a1(s, d)), "price"),
          f"{ad.REG} ;; SELECT series_id, t AS timestamp_utc, last_value(price IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS price FROM reg")
 register("chk_information_set", "column:s violations:i", lambda s, d: timeseries.information_set_violations(timeseries.safe_lag(timeseries.regularize(ad.a1(s, d)), "price", 24, "lag_24"), {"lag_24": 24, "price": 0}),
@@ -176,9 +197,14 @@ register("chk_information_set", "column:s violations:i", lambda s, d: timeseries
 _FOLDS = [("f1", "2024-01-01", "2024-01-08", "2024-01-08", "2024-01-15"), ("f2", "2024-01-01", "2024-01-15", "2024-01-15", "2024-01-22"), ("f3", "2024-01-01", "2024-01-22", "2024-01-22", "2024-01-29")]
 _FOLD_SQL = "folds AS (SELECT n AS fold, a::TIMESTAMP AS a, b::TIMESTAMP AS b, c::TIMESTAMP AS c, e::TIMESTAMP AS e FROM (VALUES " + ", ".join(str(f) for f in _FOLDS) + ") v(n, a, b, c, e))"
 register("spl_fold_assign", "fold:s role:s series_id:s n:i price:f", lambda s, d: splits.assign(ad.a1(s, d), splits.fold_table(s, _FOLDS)).groupBy("fold", "role", "series_id").agg(F.count("*").alias("n"), F.sum("price").alias("price")),
-         f"{ad.A1}, {_FOLD_SQL} ;; SELECT fold, CASE WHEN t < b THEN 'train' ELSE 'val' END AS role, series_id, count(*) AS n, sum(price) AS price FROM a1 JOIN folds ON (t >= a AND t < b) OR (t >= c AND t < e) GROUP BY ALL")
+         f"{ad.A1}, {_FOLD_SQL} ;; SELECT fold, CASE WHEN t < b THEN 'train' ELSE 'val' END AS role, series_id, count(*) AS n, sum(price) AS price FROM a1 "
+         f"JOIN folds ON (t >= a AND t < b) OR (t >= c AND t < e) GROUP BY ALL")
 register("spl_day_aligned_cv", "series_id:s fold:i test_start:d test_end:d train_days:i test_days:i", lambda s, d: splits.day_aligned_cv(ad.a1(s, d), 3),
-         f"{ad.A1}, days AS (SELECT DISTINCT series_id, {B('t')}::DATE AS day FROM a1), r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY day) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS n FROM days), f AS (SELECT *, n // 4 AS test, n - (3 - fold) * (n // 4) AS st FROM r, (SELECT unnest([0, 1, 2]) AS fold)) ;; SELECT series_id, fold, min(day) FILTER (r >= st AND r < st + test) AS test_start, max(day) FILTER (r >= st AND r < st + test) AS test_end, count(*) FILTER (r < st) AS train_days, count(*) FILTER (r >= st AND r < st + test) AS test_days FROM f GROUP BY 1, 2")
+         f"{ad.A1}, days AS (SELECT DISTINCT series_id, {B('t')}::DATE AS day FROM a1), r AS (SELECT *, row_number() "
+         f"OVER (PARTITION BY series_id ORDER BY day) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS n FROM days), f AS (SELECT *, n // 4 AS test, "
+         f"n - (3 - fold) * (n // 4) AS st FROM r, (SELECT unnest([0, 1, 2]) AS fold)) ;; SELECT series_id, fold, min(day) FILTER (r >= st "
+         f"AND r < st + test) AS test_start, max(day) FILTER (r >= st AND r < st + test) AS test_end, count(*) FILTER (r < st) AS train_days, count(*) FILTER (r >= st "
+         f"AND r < st + test) AS test_days FROM f GROUP BY 1, 2")
 register("chk_no_holdout", "series_id:s n:i first:t", lambda s, d: checks.holdout_rows(ad.a1(s, d), ts("2024-01-25")),
          f"{ad.A1} ;; SELECT series_id, count(*) AS n, min(t) AS first FROM a1 WHERE t >= TIMESTAMP '2024-01-25' GROUP BY 1")
 
@@ -193,43 +219,65 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
 
 
 _METRIC = "count(*) AS n, avg(abs(price - p)) AS mae, sqrt(avg((price - p) ** 2)) AS rmse, median(abs(price - p)) AS median_ae"
-register("agg_point_metrics", "series_id:s model:s n:i mae:f rmse:f median_ae:f", lambda s, d: metrics.point_metrics(_scored(s, d), ["series_id", "model"]), f"{ad.A5}, {_LONG} ;; SELECT series_id, model, {_METRIC} FROM k GROUP BY 1, 2")
-register("agg_metrics_by_group", "model:s hour_local:i n:i mae:f rmse:f median_ae:f", lambda s, d: metrics.point_metrics(_scored(s, d), ["model", "hour_local"]), f"{ad.A5}, {_LONG} ;; SELECT model, hour({B('t')}) AS hour_local, {_METRIC} FROM k GROUP BY 1, 2")
-register("agg_coverage_counts", "n_rows:i n_pred_full:i n_pred_alt:i n_common:i", lambda s, d: metrics.coverage_counts(ad.a5(s, d), _MODELS), f"{ad.A5} ;; SELECT count(*) AS n_rows, count(pred_full) AS n_pred_full, count(pred_alt) AS n_pred_alt, count(*) FILTER (pred_full IS NOT NULL AND pred_alt IS NOT NULL) AS n_common FROM a5")
+register("agg_point_metrics", "series_id:s model:s n:i mae:f rmse:f median_ae:f", lambda s, d: metrics.point_metrics(_scored(s, d), ["series_id", "model"]), f"{ad.A5}, "
+    f"{_LONG} ;; SELECT series_id, model, {_METRIC} FROM k GROUP BY 1, 2")
+register("agg_metrics_by_group", "model:s hour_local:i n:i mae:f rmse:f median_ae:f", lambda s, d: metrics.point_metrics(_scored(s, d), ["model", "hour_local"]), f"{ad.A5}, "
+    f"{_LONG} ;; SELECT model, hour({B('t')}) AS hour_local, {_METRIC} FROM k GROUP BY 1, 2")
+register("agg_coverage_counts", "n_rows:i n_pred_full:i n_pred_alt:i n_common:i", lambda s, d: metrics.coverage_counts(ad.a5(s, d), _MODELS), f"{ad.A5} "
+    f";; SELECT count(*) AS n_rows, count(pred_full) AS n_pred_full, count(pred_alt) AS n_pred_alt, count(*) FILTER (pred_full IS NOT NULL "
+    f"AND pred_alt IS NOT NULL) AS n_common FROM a5")
 _COLS3 = ["price", "load_mw", "wind_on_mw", "wind_off_mw", "solar_mw"]
 _U3 = "u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v FROM a3" for c in _COLS3) + ")"
 _PCT = metrics.PERCENTILES
 register("agg_describe", "column:s n:i mean:f std:f lo:f " + " ".join(f"p{q}:f" for q in _PCT) + " hi:f", lambda s, d: metrics.describe(ad.a3(s, d), _COLS3),
-         f"{ad.A3}, {_U3} ;; SELECT \"column\", count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS lo, " + ", ".join(f"quantile_cont(v, {q / 100}) AS p{q}" for q in _PCT) + ", max(v) AS hi FROM u GROUP BY 1")
-register("agg_missingness", "column:s n_missing:i pct_missing:f", lambda s, d: metrics.missingness(ad.a3(s, d), _COLS3), f"{ad.A3}, {_U3} ;; SELECT \"column\", count(*) - count(v) AS n_missing, (count(*) - count(v)) * 100.0 / count(*) AS pct_missing FROM u GROUP BY 1")
+         f"{ad.A3}, {_U3} ;; SELECT \"column\", count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS lo, " + ", ".join(f"quantile_cont(v, "
+         f"{q / 100}) AS p{q}" for q in _PCT) + ", max(v) AS hi FROM u GROUP BY 1")
+register("agg_missingness", "column:s n_missing:i pct_missing:f", lambda s, d: metrics.missingness(ad.a3(s, d), _COLS3), f"{ad.A3}, "
+    f"{_U3} ;; SELECT \"column\", count(*) - count(v) AS n_missing, (count(*) - count(v)) * 100.0 / count(*) AS pct_missing FROM u GROUP BY 1")
 _SHARES = {"negative": "price < 0", "zero": "price = 0", "above_200": "price > 200", "above_500": "price > 500"}
 register("agg_count_share", "series_id:s " + " ".join(f"n_{k}:i share_{k}:f" for k in _SHARES), lambda s, d: metrics.count_share(timeseries.regularize(ad.a1(s, d)), ["series_id"]),
-         f"{ad.REG} ;; SELECT series_id, " + ", ".join(f"count(*) FILTER ({c}) AS n_{k}, count(*) FILTER ({c}) / count(price) AS share_{k}" for k, c in _SHARES.items()) + " FROM reg GROUP BY 1")
+         f"{ad.REG} ;; SELECT series_id, " + ", ".join(f"count(*) FILTER ({c}) AS n_{k}, "
+         f"count(*) FILTER ({c}) / count(price) AS share_{k}" for k, c in _SHARES.items()) + " FROM reg GROUP BY 1")
 register("agg_seasonality", "grouping_key:s level:i mean:f std:f n:i", lambda s, d: metrics.seasonality(timeseries.add_local_columns(ad.a1(s, d)), "price", ["hour_local", "dow_local", "month_local"]),
-         f"{ad.A1}, l AS (SELECT price, {B('t')} AS lt FROM a1), u AS (SELECT price, 'hour_local' AS grouping_key, hour(lt) AS level FROM l UNION ALL SELECT price, 'dow_local', isodow(lt) - 1 FROM l UNION ALL SELECT price, 'month_local', month(lt) FROM l) ;; SELECT grouping_key, level, avg(price) AS mean, stddev_samp(price) AS std, count(price) AS n FROM u GROUP BY 1, 2")
+         f"{ad.A1}, l AS (SELECT price, {B('t')} AS lt FROM a1), u AS (SELECT price, 'hour_local' AS grouping_key, hour(lt) AS level FROM l UNION ALL SELECT price, "
+         f"'dow_local', isodow(lt) - 1 FROM l UNION ALL SELECT price, 'month_local', month(lt) FROM l) ;; SELECT grouping_key, level, avg(price) AS mean, "
+         f"stddev_samp(price) AS std, count(price) AS n FROM u GROUP BY 1, 2")
 register("agg_regime_compare", "post:i mean:f median:f std:f lo:f hi:f n:i", lambda s, d: metrics.profile(timeseries.regime_flag(ad.a1(s, d), ts("2024-01-14 23:00:00")), ["post"]),
-         f"{ad.A1} ;; SELECT (t >= TIMESTAMP '2024-01-14 23:00:00')::INT AS post, avg(price) AS mean, median(price) AS median, stddev_samp(price) AS std, min(price) AS lo, max(price) AS hi, count(*) AS n FROM a1 GROUP BY 1")
+         f"{ad.A1} ;; SELECT (t >= TIMESTAMP '2024-01-14 23:00:00')::INT AS post, avg(price) AS mean, median(price) AS median, stddev_samp(price) AS std, "
+         f"min(price) AS lo, max(price) AS hi, count(*) AS n FROM a1 GROUP BY 1")
 register("agg_seasonality_by_year", "year_local:i mean:f median:f std:f lo:f hi:f n:i",
          lambda s, d: metrics.profile(read_table(s, d, "orders").select(F.year("o_orderdate").alias("year_local"), F.col("o_totalprice").cast("double").alias("price")), ["year_local"]),
-         "SELECT year(o_orderdate) AS year_local, avg(p) AS mean, median(p) AS median, stddev_samp(p) AS std, min(p) AS lo, max(p) AS hi, count(p) AS n FROM (SELECT o_orderdate, o_totalprice::DOUBLE AS p FROM orders) GROUP BY 1")
+         "SELECT year(o_orderdate) AS year_local, avg(p) AS mean, median(p) AS median, stddev_samp(p) AS std, min(p) AS lo, max(p) AS hi, count(p) AS n "
+         "FROM (SELECT o_orderdate, o_totalprice::DOUBLE AS p FROM orders) GROUP BY 1")
 register("agg_weekend_hour_profile", "weekend:i hour_local:i mean:f", lambda s, d: metrics.hour_profile(timeseries.add_local_columns(ad.a1(s, d))),
          f"{ad.A1} ;; SELECT (isodow({B('t')}) >= 6)::INT AS weekend, hour({B('t')}) AS hour_local, avg(price) AS mean FROM a1 GROUP BY 1, 2")
 _RANKS = "rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2.0"
 register("agg_corr", "wk:i n:i pearson:f spearman:f", lambda s, d: metrics.correlations(ad.a3(s, d).withColumn("wk", F.weekofyear("timestamp_utc")), ["wk"], "price", "load_mw", overall=True),
-         f"{ad.A3}, b AS (SELECT weekofyear(t) AS wk, price AS x, load_mw AS y FROM a3 WHERE price IS NOT NULL AND load_mw IS NOT NULL), u AS (SELECT * FROM b UNION ALL SELECT NULL, x, y FROM b), "
-         f"r AS (SELECT *, {_RANKS.format('wk', 'x')} AS rx, {_RANKS.format('wk', 'y')} AS ry FROM u) ;; SELECT wk, count(*) AS n, CASE WHEN count(*) > 1 THEN corr(x, y) END AS pearson, CASE WHEN count(*) > 1 THEN corr(rx, ry) END AS spearman FROM r GROUP BY 1")
+         f"{ad.A3}, b AS (SELECT weekofyear(t) AS wk, price AS x, load_mw AS y FROM a3 WHERE price IS NOT NULL AND load_mw IS NOT NULL), u AS (SELECT * FROM b "
+         f"UNION ALL SELECT NULL, x, y FROM b), "
+         f"r AS (SELECT *, {_RANKS.format('wk', 'x')} AS rx, {_RANKS.format('wk', 'y')} AS ry FROM u) ;; SELECT wk, count(*) AS n, CASE WHEN count(*) > 1 THEN corr(x, "
+         f"y) END AS pearson, CASE WHEN count(*) > 1 THEN corr(rx, ry) END AS spearman FROM r GROUP BY 1")
 register("agg_quantile_bins", "bin:i median_x:f median_y:f mean_y:f n:i", lambda s, d: metrics.quantile_bins(ad.a3(s, d), "load_mw", "price", 20),
-         f"{ad.A3}, r AS (SELECT load_mw AS x, price AS y FROM a3 WHERE load_mw IS NOT NULL AND price IS NOT NULL), e AS (SELECT list_distinct(quantile_cont(x, [i / 20.0 FOR i IN range(21)])) AS edges FROM r), b AS (SELECT x, y, greatest(len([v FOR v IN edges IF v < x]) - 1, 0) AS bin FROM r, e) ;; SELECT bin, median(x) AS median_x, median(y) AS median_y, avg(y) AS mean_y, count(*) AS n FROM b GROUP BY 1".replace("quantile_cont(x, [i / 20.0 FOR i IN range(21)])", "quantile_cont(x, [" + ", ".join(str(i / 20) for i in range(21)) + "])"))
+         f"{ad.A3}, r AS (SELECT load_mw AS x, price AS y FROM a3 WHERE load_mw IS NOT NULL AND price IS NOT NULL), e AS (SELECT list_distinct(quantile_cont(x, "
+         f"[i / 20.0 FOR i IN range(21)])) AS edges FROM r), b AS (SELECT x, y, greatest(len([v FOR v IN edges IF v < x]) - 1, 0) AS bin FROM r, e) ;; SELECT bin, "
+         f"median(x) AS median_x, median(y) AS median_y, avg(y) AS mean_y, count(*) AS n FROM b GROUP BY 1".replace("quantile_cont(x, "
+         "[i / 20.0 FOR i IN range(21)])", "quantile_cont(x, [" + ", ".join(str(i / 20) for i in range(21)) + "])"))
 register("agg_extreme_threshold", f"{KEY} is_extreme:b", lambda s, d: metrics.extreme_flags(ad.a1(s, d).where(F.col("timestamp_utc") < ts("2024-01-15")), ad.a1(s, d), "price"),
-         f"{ad.A1}, tr AS (SELECT price FROM a1 WHERE t < TIMESTAMP '2024-01-15'), c AS (SELECT median(price) AS c FROM tr), l AS (SELECT quantile_cont(abs(price - c), 0.95) AS l FROM tr, c) ;; SELECT series_id, t AS timestamp_utc, abs(price - c) > l AS is_extreme FROM a1, c, l")
+         f"{ad.A1}, tr AS (SELECT price FROM a1 WHERE t < TIMESTAMP '2024-01-15'), c AS (SELECT median(price) AS c FROM tr), l AS (SELECT quantile_cont(abs(price - c), "
+         f"0.95) AS l FROM tr, c) ;; SELECT series_id, t AS timestamp_utc, abs(price - c) > l AS is_extreme FROM a1, c, l")
 register("agg_day_flags", "series_id:s delivery_date:d any_negative:b any_above_200:b any_above_500:b", lambda s, d: metrics.day_flags(ad.a1(s, d)),
-         f"{ad.A1} ;; SELECT series_id, {B('t')}::DATE AS delivery_date, bool_or(price < 0) AS any_negative, bool_or(price > 200) AS any_above_200, bool_or(price > 500) AS any_above_500 FROM a1 GROUP BY 1, 2")
+         f"{ad.A1} ;; SELECT series_id, {B('t')}::DATE AS delivery_date, bool_or(price < 0) AS any_negative, bool_or(price > 200) AS any_above_200, "
+         f"bool_or(price > 500) AS any_above_500 FROM a1 GROUP BY 1, 2")
 _RQ = metrics.RESIDUAL_QUANTILES
 register("agg_residual_summary", "series_id:s n:i mean:f median:f std:f " + " ".join(f"q{q:02d}:f" for q in _RQ) + " worst_10:f worst_5:f", lambda s, d: metrics.residual_summary(ad.a5(s, d), ["series_id"], "residual"),
-         f"{ad.A5}, r AS (SELECT series_id, residual AS v, row_number() OVER (PARTITION BY series_id ORDER BY residual) AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM a5 WHERE residual IS NOT NULL) ;; SELECT series_id, count(*) AS n, avg(v) AS mean, median(v) AS median, stddev_samp(v) AS std, "
-         + ", ".join(f"quantile_cont(v, {q / 100}) AS q{q:02d}" for q in _RQ) + ", avg(v) FILTER (rn <= greatest(1, floor(n * 0.1))) AS worst_10, avg(v) FILTER (rn <= greatest(1, floor(n * 0.05))) AS worst_5 FROM r GROUP BY 1")
+         f"{ad.A5}, r AS (SELECT series_id, residual AS v, row_number() OVER (PARTITION BY series_id ORDER BY residual) AS rn, count(*) "
+         f"OVER (PARTITION BY series_id) AS n FROM a5 WHERE residual IS NOT NULL) ;; SELECT series_id, count(*) AS n, avg(v) AS mean, median(v) AS median, "
+         f"stddev_samp(v) AS std, "
+         + ", ".join(f"quantile_cont(v, {q / 100}) AS q{q:02d}" for q in _RQ) + ", avg(v) FILTER (rn <= greatest(1, floor(n * 0.1))) AS worst_10, "
+         "avg(v) FILTER (rn <= greatest(1, floor(n * 0.05))) AS worst_5 FROM r GROUP BY 1")
 register("top_k_extremes", "side:s series_id:s timestamp_utc:t price:f", lambda s, d: metrics.extremes(ad.a1(s, d), "price"),
-         f"{ad.A1} ;; SELECT 'highest' AS side, series_id, t AS timestamp_utc, price FROM (SELECT * FROM a1 ORDER BY price DESC, t, series_id LIMIT 10) UNION ALL SELECT 'lowest', series_id, t, price FROM (SELECT * FROM a1 ORDER BY price, t, series_id LIMIT 10)")
+         f"{ad.A1} ;; SELECT 'highest' AS side, series_id, t AS timestamp_utc, price FROM (SELECT * FROM a1 ORDER BY price DESC, t, series_id LIMIT 10) "
+         f"UNION ALL SELECT 'lowest', series_id, t, price FROM (SELECT * FROM a1 ORDER BY price, t, series_id LIMIT 10)")
 
 # --- sequence comparison ----------------------------------------------------------------------------
 def _sequences(s: SparkSession, d: str) -> list[DataFrame]:
@@ -240,26 +288,36 @@ _CMP = f"{ad.A6}, cm AS (SELECT *, abs(price_seq1 - price_seq2) AS diff, CASE WH
 register("jn_sequence_compare", "timestamp_utc:t price_seq1:f price_seq2:f diff:f coverage:s", lambda s, d: docs.compare_sequences(*_sequences(s, d)).where("disagrees or coverage <> 'both'"),
          f"{_CMP} ;; SELECT t AS timestamp_utc, price_seq1, price_seq2, diff, coverage FROM cm WHERE diff > 0.01 OR coverage <> 'both'")
 register("jn_sequence_coverage", "n_both:i n_seq1_only:i n_seq2_only:i n_disagree:i", lambda s, d: docs.sequence_coverage(docs.compare_sequences(*_sequences(s, d))),
-         f"{_CMP} ;; SELECT count(*) FILTER (coverage = 'both') AS n_both, count(*) FILTER (coverage = 'seq1_only') AS n_seq1_only, count(*) FILTER (coverage = 'seq2_only') AS n_seq2_only, count(*) FILTER (diff > 0.01) AS n_disagree FROM cm")
-register("jn_sequence2_only", "timestamp_utc:t", lambda s, d: joins.only_in(*_sequences(s, d)[::-1], ["timestamp_utc"]), f"{ad.A6} ;; SELECT t AS timestamp_utc FROM a6 WHERE price_seq1 IS NULL AND price_seq2 IS NOT NULL")
+         f"{_CMP} ;; SELECT count(*) FILTER (coverage = 'both') AS n_both, count(*) FILTER (coverage = 'seq1_only') AS n_seq1_only, "
+         f"count(*) FILTER (coverage = 'seq2_only') AS n_seq2_only, count(*) FILTER (diff > 0.01) AS n_disagree FROM cm")
+register("jn_sequence2_only", "timestamp_utc:t", lambda s, d: joins.only_in(*_sequences(s, d)[::-1], ["timestamp_utc"]), f"{ad.A6} ;; SELECT t AS timestamp_utc FROM a6 "
+    f"WHERE price_seq1 IS NULL AND price_seq2 IS NOT NULL")
 _MATCHED = lambda s, d: docs.compare_sequences(*_sequences(s, d)).where("disagrees").join(ad.a6(s, d).where("hour(timestamp_utc) <> 3").select("timestamp_utc", "price_ref"), "timestamp_utc", "left").withColumn("match", fn.classify_match(F.col("price_ref"), F.col("price_seq1"), F.col("price_seq2"), 0.01))
 _MATCH_SQL = f"{_CMP}, ma AS (SELECT CASE WHEN hour(t) = 3 THEN 'no_data' WHEN a AND b THEN 'both' WHEN a THEN 'seq1' WHEN b THEN 'seq2' ELSE 'neither' END AS match FROM (SELECT *, abs(price_ref - price_seq1) <= 0.01 AS a, abs(price_ref - price_seq2) <= 0.01 AS b FROM cm WHERE diff > 0.01))"
-register("jn_reference_crosscheck", "match:s n:i", lambda s, d: _MATCHED(s, d).groupBy("match").agg(F.count("*").alias("n")), f"{_MATCH_SQL} ;; SELECT match, count(*) AS n FROM ma GROUP BY 1")
+register("jn_reference_crosscheck", "match:s n:i", lambda s, d: _MATCHED(s, d).groupBy("match").agg(F.count("*").alias("n")), f"{_MATCH_SQL} ;; SELECT match, "
+    f"count(*) AS n FROM ma GROUP BY 1")
 register("jn_reference_verdict", "n_seq1:i n_seq2:i n_neither:i n_both:i n_no_data:i verdict:s", lambda s, d: docs.reference_verdict(_MATCHED(s, d)),
-         f"{_MATCH_SQL}, nn AS (SELECT " + ", ".join(f"count(*) FILTER (match = '{m}') AS n_{m}" for m in ("seq1", "seq2", "neither", "both", "no_data")) + " FROM ma), al AS (SELECT *, n_seq1 + n_seq2 + n_neither AS a FROM nn) ;; "
-         "SELECT *, CASE WHEN a = 0 THEN 'nothing' WHEN n_seq1 / a > 0.95 AND n_seq2 / a < 0.05 THEN 'seq1' WHEN n_seq2 / a > 0.95 AND n_seq1 / a < 0.05 THEN 'seq2' ELSE 'mixed' END AS verdict FROM al")
+         f"{_MATCH_SQL}, nn AS (SELECT " + ", ".join(f"count(*) FILTER (match = '{m}') AS n_{m}" for m in ("seq1", "seq2", "neither", "both", "no_data")) + " FROM ma), "
+         "al AS (SELECT *, n_seq1 + n_seq2 + n_neither AS a FROM nn) ;; "
+         "SELECT *, CASE WHEN a = 0 THEN 'nothing' WHEN n_seq1 / a > 0.95 AND n_seq2 / a < 0.05 THEN 'seq1' WHEN n_seq2 / a > 0.95 "
+         "AND n_seq1 / a < 0.05 THEN 'seq2' ELSE 'mixed' END AS verdict FROM al")
 
 # --- uncertainty ------------------------------------------------------------------------------------
-register("unc_residuals", f"{KEY} fold:i residual:f", lambda s, d: uncertainty.residuals(ad.a5(s, d).drop("residual"), "pred_full"), f"{ad.A5} ;; SELECT series_id, t AS timestamp_utc, fold, residual FROM a5 WHERE fold IS NOT NULL")
+register("unc_residuals", f"{KEY} fold:i residual:f", lambda s, d: uncertainty.residuals(ad.a5(s, d).drop("residual"), "pred_full"), f"{ad.A5} ;; SELECT series_id, "
+    f"t AS timestamp_utc, fold, residual FROM a5 WHERE fold IS NOT NULL")
 register("unc_day_safe_quantiles", f"{KEY} L:f U:f", ad.a5, f"{ad.A5} ;; SELECT series_id, t AS timestamp_utc, l AS L, u AS U FROM a5")
 _CAL = "coverage:f below:f above:f width:f interval_score:f"
 _CALSQL = "count(*) AS n, avg((price BETWEEN l AND u)::INT) AS coverage, avg((price < l)::INT) AS below, avg((price > u)::INT) AS above, avg(u - l) AS width, avg((u - l) + (greatest(l - price, 0) + greatest(price - u, 0)) * 10) AS interval_score"
-register("unc_calibration", f"series_id:s n:i {_CAL}", lambda s, d: uncertainty.calibration(ad.a5(s, d), ["series_id"]), f"{ad.A5} ;; SELECT series_id, {_CALSQL} FROM a5 WHERE l IS NOT NULL AND price IS NOT NULL GROUP BY 1")
-register("unc_calibration_by_fold", f"fold:i n:i {_CAL}", lambda s, d: uncertainty.calibration(ad.a5(s, d).where("fold is not null"), ["fold"]), f"{ad.A5} ;; SELECT fold, {_CALSQL} FROM a5 WHERE l IS NOT NULL AND price IS NOT NULL AND fold IS NOT NULL GROUP BY 1")
+register("unc_calibration", f"series_id:s n:i {_CAL}", lambda s, d: uncertainty.calibration(ad.a5(s, d), ["series_id"]), f"{ad.A5} ;; SELECT series_id, {_CALSQL} "
+    f"FROM a5 WHERE l IS NOT NULL AND price IS NOT NULL GROUP BY 1")
+register("unc_calibration_by_fold", f"fold:i n:i {_CAL}", lambda s, d: uncertainty.calibration(ad.a5(s, d).where("fold is not null"), ["fold"]), f"{ad.A5} "
+    f";; SELECT fold, {_CALSQL} FROM a5 WHERE l IS NOT NULL AND price IS NOT NULL AND fold IS NOT NULL GROUP BY 1")
 register("unc_calibration_group", f"model:s grouping_key:s level:s n:i {_CAL}",
          lambda s, d: uncertainty.calibration_sets(_crossed_bounds(s, d), {"full": ("full_L", "full_U"), "alt": ("alt_L", "alt_U")}, {"hour": F.hour(fn.local_time(F.col("timestamp_utc"))), "week": F.weekofyear(fn.local_time(F.col("timestamp_utc"))), "month": F.date_format(fn.local_time(F.col("timestamp_utc")), "yyyy-MM")}),
-         f"{ad.A5}, {ad.QA}, b AS (SELECT a5.series_id, a5.t, price, 'full' AS model, l, u FROM a5 UNION ALL SELECT a5.series_id, a5.t, price, 'alt', pred_alt + a10, pred_alt + a90 FROM a5 JOIN qa ON qa.series_id = a5.series_id AND qa.d = a5.d), "
-         f"g AS (SELECT *, 'overall' AS grouping_key, NULL::VARCHAR AS level FROM b UNION ALL SELECT *, 'hour', hour({B('t')})::VARCHAR FROM b UNION ALL SELECT *, 'week', weekofyear({B('t')})::VARCHAR FROM b UNION ALL SELECT *, 'month', strftime({B('t')}, '%Y-%m') FROM b) ;; "
+         f"{ad.A5}, {ad.QA}, b AS (SELECT a5.series_id, a5.t, price, 'full' AS model, l, u FROM a5 UNION ALL SELECT a5.series_id, a5.t, price, 'alt', pred_alt + a10, "
+         f"pred_alt + a90 FROM a5 JOIN qa ON qa.series_id = a5.series_id AND qa.d = a5.d), "
+         f"g AS (SELECT *, 'overall' AS grouping_key, NULL::VARCHAR AS level FROM b UNION ALL SELECT *, 'hour', hour({B('t')})::VARCHAR FROM b UNION ALL SELECT *, "
+         f"'week', weekofyear({B('t')})::VARCHAR FROM b UNION ALL SELECT *, 'month', strftime({B('t')}, '%Y-%m') FROM b) ;; "
          f"SELECT model, grouping_key, level, {_CALSQL} FROM g WHERE l IS NOT NULL AND u IS NOT NULL AND price IS NOT NULL GROUP BY 1, 2, 3")
 _QW = "qw AS (SELECT series_id, w, (d + k::INT)::DATE AS d, quantile_cont(r, 0.1) AS lo, quantile_cont(r, 0.9) AS hi, count(DISTINCT d) AS nd FROM (SELECT series_id, d, residual AS r, w, unnest(generate_series(1, w)) AS k FROM rolled, (SELECT unnest([5, 7, 10]) AS w) WHERE isfinite(residual)) GROUP BY 1, 2, 3 HAVING nd >= greatest(1, w // 4)), cand AS (SELECT r.series_id, r.t, r.price, r.fold, ww.w, pred_full + lo AS l, pred_full + hi AS u FROM rolled r CROSS JOIN (SELECT unnest([5, 7, 10]) AS w) ww LEFT JOIN qw ON qw.series_id = r.series_id AND qw.d = r.d AND qw.w = ww.w)"
 _OK = "l IS NOT NULL AND u IS NOT NULL AND price IS NOT NULL"
@@ -277,24 +335,36 @@ def _common(s: SparkSession, d: str) -> DataFrame:
     return saved(uncertainty.from_common_start(_candidates(s, d), 3))
 
 
-register("unc_window_candidate", f"window_days:i n:i n_warmup:i {_CAL}", lambda s, d: uncertainty.window_scores(_candidates(s, d)), f"{ad.A5}, {_QW} ;; SELECT *, w AS window_days FROM {_SCORED('cand')}")
-register("unc_window_common", f"window_days:i n:i n_warmup:i {_CAL}", lambda s, d: uncertainty.window_scores(_common(s, d)), f"{ad.A5}, {_QW}, {_START} ;; SELECT *, w AS window_days FROM {_SCORED('com')}")
+register("unc_window_candidate", f"window_days:i n:i n_warmup:i {_CAL}", lambda s, d: uncertainty.window_scores(_candidates(s, d)), f"{ad.A5}, {_QW} ;; SELECT *, "
+    f"w AS window_days FROM {_SCORED('cand')}")
+register("unc_window_common", f"window_days:i n:i n_warmup:i {_CAL}", lambda s, d: uncertainty.window_scores(_common(s, d)), f"{ad.A5}, {_QW}, {_START} ;; SELECT *, "
+    f"w AS window_days FROM {_SCORED('com')}")
 register("unc_window_selection", "window_days:i interval_score:f equal_n:b", lambda s, d: uncertainty.select_window(uncertainty.calibration(_common(s, d), ["window_days"])),
          f"{ad.A5}, {_QW}, {_START} ;; SELECT arg_min(w, interval_score) AS window_days, min(interval_score) AS interval_score, min(n) = max(n) AS equal_n FROM {_SCORED('com')}")
 register("unc_window_off_nominal", "series_id:s window_days:i fold:i coverage:f off:f", lambda s, d: uncertainty.off_nominal(uncertainty.calibration(_common(s, d).where("fold is not null"), ["series_id", "window_days", "fold"])),
-         f"{ad.A5}, {_QW}, {_START}, sc AS (SELECT series_id, w, fold, {_CALSQL} FROM com WHERE {_OK} AND fold IS NOT NULL GROUP BY 1, 2, 3) ;; SELECT series_id, w AS window_days, fold, coverage, abs(coverage - 0.8) AS off FROM sc WHERE abs(coverage - 0.8) > 0.03")
-register("unc_common_start", "window_days:i first_valid:t common_start:t", lambda s, d: uncertainty.common_start(_candidates(s, d), 3), f"{ad.A5}, {_QW}, {_START} ;; SELECT w AS window_days, first_valid, start AS common_start FROM fv, cs")
+         f"{ad.A5}, {_QW}, {_START}, sc AS (SELECT series_id, w, fold, {_CALSQL} FROM com WHERE {_OK} AND fold IS NOT NULL GROUP BY 1, 2, 3) ;; SELECT series_id, "
+         f"w AS window_days, fold, coverage, abs(coverage - 0.8) AS off FROM sc WHERE abs(coverage - 0.8) > 0.03")
+register("unc_common_start", "window_days:i first_valid:t common_start:t", lambda s, d: uncertainty.common_start(_candidates(s, d), 3), f"{ad.A5}, {_QW}, {_START} "
+    f";; SELECT w AS window_days, first_valid, start AS common_start FROM fv, cs")
 register("win_rolling_coverage", f"{KEY} coverage:f width:f n:i", lambda s, d: uncertainty.rolling_coverage(ad.a5(s, d), 5),
-         f"{ad.A5}, k AS (SELECT * FROM a5 WHERE price IS NOT NULL AND l IS NOT NULL AND u IS NOT NULL) ;; SELECT series_id, t AS timestamp_utc, avg((price BETWEEN l AND u)::INT) OVER w AS coverage, avg(u - l) OVER w AS width, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 431999 SECOND PRECEDING AND CURRENT ROW)")
+         f"{ad.A5}, k AS (SELECT * FROM a5 WHERE price IS NOT NULL AND l IS NOT NULL AND u IS NOT NULL) ;; SELECT series_id, t AS timestamp_utc, avg((price BETWEEN l "
+         f"AND u)::INT) OVER w AS coverage, avg(u - l) OVER w AS width, count(*) OVER w AS n FROM k WINDOW w "
+         f"AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 431999 SECOND PRECEDING AND CURRENT ROW)")
 register("win_worst_window", f"{KEY} coverage:f n:i", lambda s, d: uncertainty.worst_window(uncertainty.rolling_coverage(ad.a5(s, d), 5)),
-         f"{ad.A5}, k AS (SELECT * FROM a5 WHERE price IS NOT NULL AND l IS NOT NULL AND u IS NOT NULL), r AS (SELECT series_id, t, avg((price BETWEEN l AND u)::INT) OVER w AS coverage, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 431999 SECOND PRECEDING AND CURRENT ROW)), x AS (SELECT *, max(n) OVER (PARTITION BY series_id) AS most FROM r) ;; SELECT series_id, t AS timestamp_utc, coverage, n FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY coverage, t) AS rn FROM x WHERE n >= most / 2) WHERE rn = 1")
+         f"{ad.A5}, k AS (SELECT * FROM a5 WHERE price IS NOT NULL AND l IS NOT NULL AND u IS NOT NULL), r AS (SELECT series_id, t, avg((price BETWEEN l AND u)::INT) "
+         f"OVER w AS coverage, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN INTERVAL 431999 SECOND PRECEDING "
+         f"AND CURRENT ROW)), x AS (SELECT *, max(n) OVER (PARTITION BY series_id) AS most FROM r) ;; SELECT series_id, t AS timestamp_utc, coverage, n FROM (SELECT *, "
+         f"row_number() OVER (PARTITION BY series_id ORDER BY coverage, t) AS rn FROM x WHERE n >= most / 2) WHERE rn = 1")
 register("win_latest_offsets", "series_id:s q_lo:f q_hi:f",
          lambda s, d: uncertainty.latest_offsets(ad.a5(s, d).withColumns({"q_lo": F.col("L") - F.col("pred_full"), "q_hi": F.col("U") - F.col("pred_full")}), ["q_lo", "q_hi"]),
          f"{ad.A5} ;; SELECT series_id, arg_max(l - pred_full, t) AS q_lo, arg_max(u - pred_full, t) AS q_hi FROM a5 WHERE l IS NOT NULL GROUP BY 1")
 register("win_residual_quantile_hourly", f"{KEY} q10:f q50:f q90:f", lambda s, d: uncertainty.hourly_quantiles(ad.a5(s, d), "residual", 3, 1, prediction="pred_full"),
-         f"{ad.A5}, gp AS (SELECT series_id, median(g) AS g FROM (SELECT series_id, (epoch(t) - epoch(lag(t) OVER (PARTITION BY series_id ORDER BY t))) / 3600 AS g FROM a5) GROUP BY 1) ;; SELECT a5.series_id, t AS timestamp_utc, "
-         + ", ".join(f"CASE WHEN count(residual) OVER w >= greatest(1, floor(24 / g)) THEN pred_full + quantile_cont(residual, {q}) OVER w END AS q{round(q * 100)}" for q in (0.1, 0.5, 0.9))
-         + " FROM a5 JOIN gp ON gp.series_id = a5.series_id WINDOW w AS (PARTITION BY a5.series_id ORDER BY t RANGE BETWEEN INTERVAL 72 HOUR PRECEDING AND INTERVAL 1 SECOND PRECEDING)")
+         f"{ad.A5}, gp AS (SELECT series_id, median(g) AS g FROM (SELECT series_id, (epoch(t) - epoch(lag(t) OVER (PARTITION BY series_id ORDER BY t))) / 3600 AS g "
+         f"FROM a5) GROUP BY 1) ;; SELECT a5.series_id, t AS timestamp_utc, "
+         + ", ".join(f"CASE WHEN count(residual) OVER w >= greatest(1, floor(24 / g)) THEN pred_full + quantile_cont(residual, {q}) "
+         f"OVER w END AS q{round(q * 100)}" for q in (0.1, 0.5, 0.9))
+         + " FROM a5 JOIN gp ON gp.series_id = a5.series_id WINDOW w AS (PARTITION BY a5.series_id ORDER BY t RANGE BETWEEN INTERVAL 72 HOUR PRECEDING "
+         "AND INTERVAL 1 SECOND PRECEDING)")
 
 
 
@@ -320,45 +390,75 @@ WINDOW w AS (PARTITION BY od.series_id ORDER BY t RANGE BETWEEN INTERVAL 72 HOUR
 
 # --- decisions and reports --------------------------------------------------------------------------
 _DAYS = "series_id:s delivery_date:d"
-register("st_common_days", f"{_DAYS} n_hours:i", lambda s, d: decisions.common_days(ad.a5(s, d), ad.REQUIRED), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, n_hours FROM days")
+register("st_common_days", f"{_DAYS} n_hours:i", lambda s, d: decisions.common_days(ad.a5(s, d), ad.REQUIRED), f"{ad.a7_sql()} ;; SELECT series_id, d AS delivery_date, "
+    f"n_hours FROM days")
 register("st_common_days_unfilled", f"{_DAYS} n_hours:i", lambda s, d: decisions.common_days(forecast.day_of(timeseries.regularize(ad.a1(s, d))), ["price"]),
          f"{ad.REG} ;; SELECT series_id, {B('t')}::DATE AS delivery_date, count(*) AS n_hours FROM reg GROUP BY 1, 2 HAVING bool_and(price IS NOT NULL)")
 register("st_backtest", f"{_DAYS} strategy:s traded:b i:i j:i gross_pnl:f net_pnl:f oracle_pnl:f n_hours:i", ad.a7, f"{ad.a7_sql()} ;; SELECT *, d AS delivery_date FROM a7")
 _CELLS = [(e, c) for e in (0.80, 0.85, 0.90) for c in (5.0, 10.0, 15.0)]
 _DELTA = ", ".join(f"sum(CASE WHEN strategy = '{a}' THEN net_pnl ELSE 0 END) - sum(CASE WHEN strategy = '{b}' THEN net_pnl ELSE 0 END) AS delta_{a}_{b}" for a, b in reports.DELTAS)
 _DELTA_SPEC = " ".join(f"delta_{a}_{b}:f" for a, b in reports.DELTAS)
-register("st_grid", f"eta:f c:f {_DELTA_SPEC}", lambda s, d: reports.named_deltas(ad.a7(s, d, _CELLS), ["eta", "c"]), f"{ad.a7_sql(_CELLS)} ;; SELECT eta, c, {_DELTA} FROM a7 GROUP BY 1, 2")
+register("st_grid", f"eta:f c:f {_DELTA_SPEC}", lambda s, d: reports.named_deltas(ad.a7(s, d, _CELLS), ["eta", "c"]), f"{ad.a7_sql(_CELLS)} ;; SELECT eta, c, {_DELTA} "
+    f"FROM a7 GROUP BY 1, 2")
 register("st_verdict", "primary_delta:f positive_cells:i cells:i verdict:s", lambda s, d: reports.verdict(reports.named_deltas(ad.a7(s, d, _CELLS), ["eta", "c"]), "delta_S2_S1", "eta = 0.85 and c = 10"),
-         f"{ad.a7_sql(_CELLS)}, g AS (SELECT eta, c, {_DELTA} FROM a7 GROUP BY 1, 2), v AS (SELECT max(delta_S2_S1) FILTER (eta = 0.85 AND c = 10) AS primary_delta, count(*) FILTER (delta_S2_S1 > 0) AS positive_cells, count(*) AS cells FROM g) ;; SELECT *, CASE WHEN primary_delta <= 0 THEN 'FAILURE' WHEN positive_cells = cells THEN 'CONFIRMATION' ELSE 'PARTIAL' END AS verdict FROM v")
+         f"{ad.a7_sql(_CELLS)}, g AS (SELECT eta, c, {_DELTA} FROM a7 GROUP BY 1, 2), v AS (SELECT max(delta_S2_S1) FILTER (eta = 0.85 AND c = 10) AS primary_delta, "
+         f"count(*) FILTER (delta_S2_S1 > 0) AS positive_cells, count(*) AS cells FROM g) ;; SELECT *, "
+         f"CASE WHEN primary_delta <= 0 THEN 'FAILURE' WHEN positive_cells = cells THEN 'CONFIRMATION' ELSE 'PARTIAL' END AS verdict FROM v")
 register("fn_sign_label", "sign:s n:i", lambda s, d: reports.named_deltas(ad.a7(s, d, _CELLS), ["eta", "c"]).groupBy(fn.sign_label(F.round("delta_S2_S1", 6)).alias("sign")).agg(F.count("*").alias("n")),
-         f"{ad.a7_sql(_CELLS)}, g AS (SELECT eta, c, {_DELTA} FROM a7 GROUP BY 1, 2) ;; SELECT CASE WHEN round(delta_S2_S1, 6) > 0 THEN '+' WHEN round(delta_S2_S1, 6) < 0 THEN '-' ELSE '0' END AS sign, count(*) AS n FROM g GROUP BY 1")
+         f"{ad.a7_sql(_CELLS)}, g AS (SELECT eta, c, {_DELTA} FROM a7 GROUP BY 1, 2) ;; SELECT CASE WHEN round(delta_S2_S1, 6) > 0 THEN '+' WHEN round(delta_S2_S1, "
+         f"6) < 0 THEN '-' ELSE '0' END AS sign, count(*) AS n FROM g GROUP BY 1")
 register("rep_primary_table", "strategy:s traded_days:i idle_days:i gross:f net:f mean_net:f median_net:f profitable_rate:f hit_rate:f worst:f", lambda s, d: reports.primary_table(ad.a7(s, d), ["strategy"]),
-         f"{ad.a7_sql()} ;; SELECT strategy, count(*) FILTER (traded) AS traded_days, count(*) FILTER (NOT traded) AS idle_days, sum(gross_pnl) AS gross, sum(net_pnl) AS net, avg(net_pnl) AS mean_net, median(net_pnl) AS median_net, avg((net_pnl > 0)::INT) AS profitable_rate, avg((net_pnl > 0)::INT) FILTER (traded) AS hit_rate, min(net_pnl) AS worst FROM a7 GROUP BY 1")
-register("rep_named_deltas", f"series_id:s {_DELTA_SPEC}", lambda s, d: reports.named_deltas(ad.a7(s, d), ["series_id"]), f"{ad.a7_sql()} ;; SELECT series_id, {_DELTA} FROM a7 GROUP BY 1")
-register("rep_value_capture", "strategy:s net:f oracle:f capture:f", lambda s, d: reports.value_capture(ad.a7(s, d), ["strategy"]), f"{ad.a7_sql()} ;; SELECT strategy, sum(net_pnl) AS net, sum(oracle_pnl) AS oracle, CASE WHEN sum(oracle_pnl) > 0 THEN sum(net_pnl) / sum(oracle_pnl) END AS capture FROM a7 GROUP BY 1")
+         f"{ad.a7_sql()} ;; SELECT strategy, count(*) FILTER (traded) AS traded_days, count(*) FILTER (NOT traded) AS idle_days, sum(gross_pnl) AS gross, "
+         f"sum(net_pnl) AS net, avg(net_pnl) AS mean_net, median(net_pnl) AS median_net, avg((net_pnl > 0)::INT) AS profitable_rate, "
+         f"avg((net_pnl > 0)::INT) FILTER (traded) AS hit_rate, min(net_pnl) AS worst FROM a7 GROUP BY 1")
+register("rep_named_deltas", f"series_id:s {_DELTA_SPEC}", lambda s, d: reports.named_deltas(ad.a7(s, d), ["series_id"]), f"{ad.a7_sql()} ;; SELECT series_id, {_DELTA} "
+    f"FROM a7 GROUP BY 1")
+register("rep_value_capture", "strategy:s net:f oracle:f capture:f", lambda s, d: reports.value_capture(ad.a7(s, d), ["strategy"]), f"{ad.a7_sql()} ;; SELECT strategy, "
+    f"sum(net_pnl) AS net, sum(oracle_pnl) AS oracle, CASE WHEN sum(oracle_pnl) > 0 THEN sum(net_pnl) / sum(oracle_pnl) END AS capture FROM a7 GROUP BY 1")
 _FLAGS = ["any_negative", "any_above_200", "any_above_500", "post"]
 register("rep_split", f"flag:s is_set:b n_days:i {_DELTA_SPEC}",
          lambda s, d: reports.split_by_flags(reports.with_day_flags(ad.a7(s, d), metrics.day_flags(ad.complete(s, d)), "2024-01-15"), _FLAGS),
-         f"{ad.a7_sql()}, fl AS (SELECT series_id, d, bool_or(price < 0) AS any_negative, bool_or(price > 200) AS any_above_200, bool_or(price > 500) AS any_above_500, d >= DATE '2024-01-15' AS post FROM placed GROUP BY 1, 2), "
+         f"{ad.a7_sql()}, fl AS (SELECT series_id, d, bool_or(price < 0) AS any_negative, bool_or(price > 200) AS any_above_200, bool_or(price > 500) AS any_above_500, "
+         f"d >= DATE '2024-01-15' AS post FROM placed GROUP BY 1, 2), "
          "z AS (SELECT a7.*, any_negative, any_above_200, any_above_500, post FROM a7 JOIN fl ON fl.series_id = a7.series_id AND fl.d = a7.d), "
-         "zz AS (" + " UNION ALL ".join(f"SELECT '{f}' AS flag, {f} AS is_set, strategy, net_pnl FROM z" for f in _FLAGS) + f") ;; SELECT flag, is_set, count(*) FILTER (strategy = 'S0') AS n_days, {_DELTA} FROM zz GROUP BY 1, 2")
+         "zz AS (" + " UNION ALL ".join(f"SELECT '{f}' AS flag, {f} AS is_set, strategy, net_pnl FROM z" for f in _FLAGS) + f") ;; SELECT flag, is_set, "
+         f"count(*) FILTER (strategy = 'S0') AS n_days, {_DELTA} FROM zz GROUP BY 1, 2")
 _CAT = "CASE WHEN NOT p.traded AND NOT q.traded THEN 'both_abstain' WHEN NOT q.traded THEN 'point_only' WHEN NOT p.traded THEN 'uncertainty_only' WHEN p.i = q.i AND p.j = q.j THEN 'same_pair' ELSE 'different_pair' END"
 register("rep_decompose", "series_id:s n_days:i " + " ".join(f"n_{c}:i" for c in reports.CATEGORIES) + " profits_forgone:f losses_avoided:f pair_effect:f reverse_effect:f total_gap:f reconciles:b", lambda s, d: reports.decompose(ad.a7(s, d), "S2", "S4", ["series_id"]),
-         f"{ad.a7_sql()}, z AS (SELECT p.series_id, {_CAT} AS k, p.net_pnl AS a, q.net_pnl - p.net_pnl AS x FROM a7 p JOIN a7 q ON p.series_id = q.series_id AND p.d = q.d AND p.strategy = 'S2' AND q.strategy = 'S4') ;; SELECT series_id, count(*) AS n_days, "
+         f"{ad.a7_sql()}, z AS (SELECT p.series_id, {_CAT} AS k, p.net_pnl AS a, q.net_pnl - p.net_pnl AS x FROM a7 p JOIN a7 q ON p.series_id = q.series_id "
+         f"AND p.d = q.d AND p.strategy = 'S2' AND q.strategy = 'S4') ;; SELECT series_id, count(*) AS n_days, "
          + ", ".join(f"count(*) FILTER (k = '{c}') AS n_{c}" for c in reports.CATEGORIES)
-         + ", sum(CASE WHEN k = 'point_only' AND a > 0 THEN a ELSE 0 END) AS profits_forgone, sum(CASE WHEN k = 'point_only' AND a < 0 THEN -a ELSE 0 END) AS losses_avoided, sum(CASE WHEN k = 'different_pair' THEN x ELSE 0 END) AS pair_effect, sum(CASE WHEN k = 'uncertainty_only' THEN x ELSE 0 END) AS reverse_effect, sum(x) AS total_gap, true AS reconciles FROM z GROUP BY 1")
-register("rep_cumulative_pnl", f"series_id:s strategy:s delivery_date:d cum_pnl:f", lambda s, d: reports.cumulative(ad.a7(s, d), ["series_id", "strategy"]), f"{ad.a7_sql()} ;; SELECT series_id, strategy, d AS delivery_date, sum(net_pnl) OVER (PARTITION BY series_id, strategy ORDER BY d ROWS UNBOUNDED PRECEDING) AS cum_pnl FROM a7")
+         + ", sum(CASE WHEN k = 'point_only' AND a > 0 THEN a ELSE 0 END) AS profits_forgone, sum(CASE WHEN k = 'point_only' "
+         "AND a < 0 THEN -a ELSE 0 END) AS losses_avoided, sum(CASE WHEN k = 'different_pair' THEN x ELSE 0 END) AS pair_effect, "
+         "sum(CASE WHEN k = 'uncertainty_only' THEN x ELSE 0 END) AS reverse_effect, sum(x) AS total_gap, true AS reconciles FROM z GROUP BY 1")
+register("rep_cumulative_pnl", f"series_id:s strategy:s delivery_date:d cum_pnl:f", lambda s, d: reports.cumulative(ad.a7(s, d), ["series_id", "strategy"]), f"{ad.a7_sql()} "
+    f";; SELECT series_id, strategy, d AS delivery_date, sum(net_pnl) OVER (PARTITION BY series_id, strategy ORDER BY d ROWS UNBOUNDED PRECEDING) AS cum_pnl FROM a7")
 register("win_cumulative_drawdown", "series_id:s strategy:s max_drawdown:f worst_day:f worst_span:f", lambda s, d: reports.drawdown(ad.a7(s, d), ["series_id", "strategy"]),
-         f"{ad.a7_sql()}, k AS (SELECT series_id, strategy, d, net_pnl, sum(net_pnl) OVER (PARTITION BY series_id, strategy ORDER BY d ROWS UNBOUNDED PRECEDING) AS cum, CASE WHEN count(*) OVER w5 = 5 THEN sum(net_pnl) OVER w5 END AS s5 FROM a7 WINDOW w5 AS (PARTITION BY series_id, strategy ORDER BY d ROWS 4 PRECEDING)), p AS (SELECT *, max(cum) OVER (PARTITION BY series_id, strategy ORDER BY d ROWS UNBOUNDED PRECEDING) AS peak FROM k) ;; SELECT series_id, strategy, max(peak - cum) AS max_drawdown, min(net_pnl) AS worst_day, min(s5) AS worst_span FROM p GROUP BY 1, 2")
-_TOP = ", ".join(f"sum(net_pnl) FILTER (rn <= ceil(n * {p} / 100.0)) AS top_{p}, CASE WHEN sum(net_pnl) > 0 THEN sum(net_pnl) FILTER (rn <= ceil(n * {p} / 100.0)) / sum(net_pnl) END AS share_{p}" for p in (1, 5, 10))
+         f"{ad.a7_sql()}, k AS (SELECT series_id, strategy, d, net_pnl, sum(net_pnl) OVER (PARTITION BY series_id, "
+         f"strategy ORDER BY d ROWS UNBOUNDED PRECEDING) AS cum, CASE WHEN count(*) OVER w5 = 5 THEN sum(net_pnl) OVER w5 END AS s5 FROM a7 WINDOW w5 "
+         f"AS (PARTITION BY series_id, strategy ORDER BY d ROWS 4 PRECEDING)), p AS (SELECT *, max(cum) OVER (PARTITION BY series_id, "
+         f"strategy ORDER BY d ROWS UNBOUNDED PRECEDING) AS peak FROM k) ;; SELECT series_id, strategy, max(peak - cum) AS max_drawdown, min(net_pnl) AS worst_day, "
+         f"min(s5) AS worst_span FROM p GROUP BY 1, 2")
+_TOP = ", ".join(f"sum(net_pnl) FILTER (rn <= ceil(n * {p} / 100.0)) AS top_{p}, "
+    f"CASE WHEN sum(net_pnl) > 0 THEN sum(net_pnl) FILTER (rn <= ceil(n * {p} / 100.0)) / sum(net_pnl) END AS share_{p}" for p in (1, 5, 10))
 register("top_share", "series_id:s strategy:s total:f top_1:f share_1:f top_5:f share_5:f top_10:f share_10:f", lambda s, d: reports.concentration(ad.a7(s, d), ["series_id", "strategy"]),
-         f"{ad.a7_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id, strategy ORDER BY net_pnl DESC, d) AS rn, count(*) OVER (PARTITION BY series_id, strategy) AS n FROM a7) ;; SELECT series_id, strategy, sum(net_pnl) AS total, {_TOP} FROM r GROUP BY 1, 2")
+         f"{ad.a7_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id, strategy ORDER BY net_pnl DESC, d) AS rn, count(*) OVER (PARTITION BY series_id, "
+         f"strategy) AS n FROM a7) ;; SELECT series_id, strategy, sum(net_pnl) AS total, {_TOP} FROM r GROUP BY 1, 2")
 register("risk_var_es", "strategy:s level:f var:f es:f n_total:i n_tail:f low_precision:b", lambda s, d: reports.var_es(ad.a7(s, d), ["strategy"]),
-         f"{ad.a7_sql()}, l AS (SELECT strategy, -net_pnl AS x, row_number() OVER (PARTITION BY strategy ORDER BY -net_pnl DESC) AS rn, count(*) OVER (PARTITION BY strategy) AS n FROM a7), k AS (SELECT *, (1 - level) * n AS m FROM l, (SELECT unnest([0.9::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS level)), v AS (SELECT strategy, quantile_cont(x, [0.9, 0.95, 0.99]) AS q FROM l GROUP BY 1) ;; SELECT k.strategy, level, any_value(CASE WHEN level = 0.9 THEN q[1] WHEN level = 0.95 THEN q[2] ELSE q[3] END) AS var, sum(greatest(0, least(1, m - (rn - 1))) * x) / any_value(m) AS es, any_value(n) AS n_total, any_value(m) AS n_tail, any_value(m) < 20 AS low_precision FROM k JOIN v ON v.strategy = k.strategy GROUP BY 1, 2")
-register("risk_descriptive", "strategy:s mean_loss:f median_loss:f worst_loss:f best_loss:f", lambda s, d: reports.descriptive_losses(ad.a7(s, d), ["strategy"]), f"{ad.a7_sql()} ;; SELECT strategy, avg(-net_pnl) AS mean_loss, median(-net_pnl) AS median_loss, max(-net_pnl) AS worst_loss, min(-net_pnl) AS best_loss FROM a7 GROUP BY 1")
+         f"{ad.a7_sql()}, l AS (SELECT strategy, -net_pnl AS x, row_number() OVER (PARTITION BY strategy ORDER BY -net_pnl DESC) AS rn, count(*) "
+         f"OVER (PARTITION BY strategy) AS n FROM a7), k AS (SELECT *, (1 - level) * n AS m FROM l, (SELECT unnest([0.9::DOUBLE, 0.95::DOUBLE, "
+         f"0.99::DOUBLE]) AS level)), v AS (SELECT strategy, quantile_cont(x, [0.9, 0.95, 0.99]) AS q FROM l GROUP BY 1) ;; SELECT k.strategy, level, "
+         f"any_value(CASE WHEN level = 0.9 THEN q[1] WHEN level = 0.95 THEN q[2] ELSE q[3] END) AS var, sum(greatest(0, least(1, "
+         f"m - (rn - 1))) * x) / any_value(m) AS es, any_value(n) AS n_total, any_value(m) AS n_tail, any_value(m) < 20 AS low_precision FROM k "
+         f"JOIN v ON v.strategy = k.strategy GROUP BY 1, 2")
+register("risk_descriptive", "strategy:s mean_loss:f median_loss:f worst_loss:f best_loss:f", lambda s, d: reports.descriptive_losses(ad.a7(s, d), ["strategy"]), f"{ad.a7_sql()} "
+    f";; SELECT strategy, avg(-net_pnl) AS mean_loss, median(-net_pnl) AS median_loss, max(-net_pnl) AS worst_loss, min(-net_pnl) AS best_loss FROM a7 GROUP BY 1")
 _CON = "con AS (SELECT d, sum(CASE WHEN strategy = 'S2' THEN net_pnl WHEN strategy = 'S1' THEN -net_pnl ELSE 0 END) AS x FROM a7 GROUP BY 1)"
-register("bs_contrast_stats", "n:i total:f mean:f sd:f wins:i losses:i ties:i", lambda s, d: reports.contrast_stats(reports.contrast(ad.a7(s, d), "S2", "S1")), f"{ad.a7_sql()}, {_CON} ;; SELECT count(*) AS n, sum(x) AS total, avg(x) AS mean, stddev_samp(x) AS sd, count(*) FILTER (x > 1e-9) AS wins, count(*) FILTER (x < -1e-9) AS losses, count(*) FILTER (abs(x) <= 1e-9) AS ties FROM con")
-register("agg_monthly_sum", "month:s n:i delta:f", lambda s, d: reports.monthly(reports.contrast(ad.a7(s, d), "S2", "S1")), f"{ad.a7_sql()}, {_CON} ;; SELECT strftime(d, '%Y-%m') AS month, count(*) AS n, sum(x) AS delta FROM con GROUP BY 1")
+register("bs_contrast_stats", "n:i total:f mean:f sd:f wins:i losses:i ties:i", lambda s, d: reports.contrast_stats(reports.contrast(ad.a7(s, d), "S2", "S1")), f"{ad.a7_sql()}, "
+    f"{_CON} ;; SELECT count(*) AS n, sum(x) AS total, avg(x) AS mean, stddev_samp(x) AS sd, count(*) FILTER (x > 1e-9) AS wins, count(*) FILTER (x < -1e-9) AS losses, "
+    f"count(*) FILTER (abs(x) <= 1e-9) AS ties FROM con")
+register("agg_monthly_sum", "month:s n:i delta:f", lambda s, d: reports.monthly(reports.contrast(ad.a7(s, d), "S2", "S1")), f"{ad.a7_sql()}, {_CON} "
+    f";; SELECT strftime(d, '%Y-%m') AS month, count(*) AS n, sum(x) AS delta FROM con GROUP BY 1")
 register("bs_block_ci", "reps:i low:f high:f", lambda s, d: reports.block_bootstrap(reports.contrast(ad.a7(s, d), "S2", "S1"), 7, 20000, 11), f"""{ad.a7_sql()}, {_CON},
 nb AS (SELECT row_number() OVER (ORDER BY d) - 1 AS k, x FROM con), sz AS (SELECT count(*) AS n, (count(*) + 6) // 7 AS blocks FROM con),
 dr AS (SELECT id, blk, {DRAW("'11/' || id || '/' || blk")} % n AS start, n, blocks FROM sz, range(20000) r(id), range(100000) b(blk) WHERE blk < blocks),
@@ -367,10 +467,14 @@ tt AS (SELECT id, sum(x) AS total FROM el JOIN nb USING (k) GROUP BY id) ;; SELE
 #: Thresholds of the decision score; the rule compared is the one on bounds (S4).
 _TAUS = [0.0, 20.0, 30.0, 40.0, 42.5, 50.0, 60.0]
 register("st_threshold_frontier", "series_id:s strategy:s tau:f trades:i pnl:f hit_rate:f worst:f max_drawdown:f overlap:i threshold_only:i other_only:i", lambda s, d: reports.threshold_frontier(ad.a7(s, d), "score", _TAUS, ["series_id", "strategy"], "S4"),
-         f"{ad.a7_sql()}, k AS (SELECT a.*, tau, coalesce(a.score > tau, false) AS hot, o.traded AS too FROM a7 a JOIN a7 o ON o.strategy = 'S4' AND o.series_id = a.series_id AND o.d = a.d CROSS JOIN (SELECT unnest({_TAUS}::DOUBLE[]) AS tau)), "
-         "x AS (SELECT *, CASE WHEN hot THEN net_pnl ELSE 0 END AS v, sum(CASE WHEN hot THEN net_pnl ELSE 0 END) OVER w AS cum FROM k WINDOW w AS (PARTITION BY series_id, strategy, tau ORDER BY d ROWS UNBOUNDED PRECEDING)), "
+         f"{ad.a7_sql()}, k AS (SELECT a.*, tau, coalesce(a.score > tau, false) AS hot, o.traded AS too FROM a7 a JOIN a7 o ON o.strategy = 'S4' "
+         f"AND o.series_id = a.series_id AND o.d = a.d CROSS JOIN (SELECT unnest({_TAUS}::DOUBLE[]) AS tau)), "
+         "x AS (SELECT *, CASE WHEN hot THEN net_pnl ELSE 0 END AS v, sum(CASE WHEN hot THEN net_pnl ELSE 0 END) OVER w AS cum FROM k WINDOW w "
+         "AS (PARTITION BY series_id, strategy, tau ORDER BY d ROWS UNBOUNDED PRECEDING)), "
          "y AS (SELECT *, max(cum) OVER (PARTITION BY series_id, strategy, tau ORDER BY d ROWS UNBOUNDED PRECEDING) AS peak FROM x) ;; "
-         "SELECT series_id, strategy, tau, count(*) FILTER (hot) AS trades, sum(v) AS pnl, avg((net_pnl > 0)::INT) FILTER (hot) AS hit_rate, min(v) AS worst, min(cum - peak) AS max_drawdown, count(*) FILTER (hot AND too) AS overlap, count(*) FILTER (hot AND NOT too) AS threshold_only, count(*) FILTER (NOT hot AND too) AS other_only FROM y GROUP BY 1, 2, 3")
+         "SELECT series_id, strategy, tau, count(*) FILTER (hot) AS trades, sum(v) AS pnl, avg((net_pnl > 0)::INT) FILTER (hot) AS hit_rate, min(v) AS worst, "
+         "min(cum - peak) AS max_drawdown, count(*) FILTER (hot AND too) AS overlap, count(*) FILTER (hot AND NOT too) AS threshold_only, count(*) FILTER (NOT hot "
+         "AND too) AS other_only FROM y GROUP BY 1, 2, 3")
 _TN = {c: f"try_cast({c} AS DOUBLE)" for c in ("i", "j")}
 _RULES_SQL = {
     "null_day": "d IS NULL", "n_hours": "n_hours NOT IN (23, 24, 25)", "traded_no_flag": "traded NOT IN ('true', 'false')", "not_finite": "NOT isfinite(net_pnl)",
@@ -382,16 +486,24 @@ _RULES_SQL = {
 }
 _TWICE = "SELECT 'duplicate_day' AS rule, sum(n - 1) AS violations FROM (SELECT count(*) AS n FROM br GROUP BY series_id, d, strategy HAVING count(*) > 1)"
 register("chk_backtest_rows", "rule:s violations:i", lambda s, d: checks.backtest_violations(saved(ad.broken(ad.a7(s, d)))),
-         f"{ad.a7_sql()}, {ad.BROKEN} ;; SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) AS violations FROM br WHERE {c}" for r, c in _RULES_SQL.items()) + f" UNION ALL {_TWICE}) WHERE violations > 0")
-register("chk_backtest_rows_clean", "rule:s violations:i", lambda s, d: checks.backtest_violations(ad.a7(s, d)), f"{ad.a7_sql()} ;; SELECT 'none' AS rule, count(*) AS violations FROM a7 WHERE n_hours NOT IN (23, 24, 25) HAVING count(*) > 0")
-register("rep_backtest_summary", "strategy:s total:f trading_days:i profitable_days:i", lambda s, d: reports.backtest_summary(ad.a7(s, d), ["strategy"]), f"{ad.a7_sql()} ;; SELECT strategy, sum(net_pnl) AS total, count(*) FILTER (traded) AS trading_days, count(*) FILTER (net_pnl > 0) AS profitable_days FROM a7 GROUP BY 1")
+         f"{ad.a7_sql()}, {ad.BROKEN} ;; SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) AS violations FROM br "
+         f"WHERE {c}" for r, c in _RULES_SQL.items()) + f" UNION ALL {_TWICE}) WHERE violations > 0")
+register("chk_backtest_rows_clean", "rule:s violations:i", lambda s, d: checks.backtest_violations(ad.a7(s, d)), f"{ad.a7_sql()} ;; SELECT 'none' AS rule, "
+    f"count(*) AS violations FROM a7 WHERE n_hours NOT IN (23, 24, 25) HAVING count(*) > 0")
+register("rep_backtest_summary", "strategy:s total:f trading_days:i profitable_days:i", lambda s, d: reports.backtest_summary(ad.a7(s, d), ["strategy"]), f"{ad.a7_sql()} "
+    f";; SELECT strategy, sum(net_pnl) AS total, count(*) FILTER (traded) AS trading_days, count(*) FILTER (net_pnl > 0) AS profitable_days FROM a7 GROUP BY 1")
 
 # --- forecasts --------------------------------------------------------------------------------------
 register("ml_trailing_profile", "series_id:s delivery_date:d hour_local:i profile_pred:f", lambda s, d: forecast.trailing_profile(ad.a1(s, d), "price", 5),
-         f"{ad.A1}, r AS (SELECT series_id, {B('t')}::DATE AS day, hour({B('t')}) AS h, price AS v FROM a1), i AS (SELECT series_id, day, row_number() OVER (PARTITION BY series_id ORDER BY day) AS k FROM (SELECT DISTINCT series_id, day FROM r)) ;; SELECT b.series_id, b.day AS delivery_date, h AS hour_local, avg(v) AS profile_pred FROM r JOIN i a ON a.series_id = r.series_id AND a.day = r.day JOIN i b ON b.series_id = a.series_id AND a.k BETWEEN b.k - 5 AND b.k - 1 GROUP BY 1, 2, 3")
+         f"{ad.A1}, r AS (SELECT series_id, {B('t')}::DATE AS day, hour({B('t')}) AS h, price AS v FROM a1), i AS (SELECT series_id, day, row_number() "
+         f"OVER (PARTITION BY series_id ORDER BY day) AS k FROM (SELECT DISTINCT series_id, day FROM r)) ;; SELECT b.series_id, b.day AS delivery_date, "
+         f"h AS hour_local, avg(v) AS profile_pred FROM r JOIN i a ON a.series_id = r.series_id AND a.day = r.day JOIN i b ON b.series_id = a.series_id "
+         f"AND a.k BETWEEN b.k - 5 AND b.k - 1 GROUP BY 1, 2, 3")
 register("ml_promotion_rule", "base_mae:f challenger_mae:f improvement:f promoted:b", lambda s, d: forecast.promotion(metrics.point_metrics(_scored(s, d).where("fold is not null"), ["model", "fold"]), "pred_full", "pred_alt"),
-         f"{ad.A5}, {_LONG}, w AS (SELECT avg(abs(price - p)) FILTER (model = 'pred_full') AS b, avg(abs(price - p)) FILTER (model = 'pred_alt') AS c FROM k WHERE fold IS NOT NULL) ;; SELECT b AS base_mae, c AS challenger_mae, 1 - c / b AS improvement, 1 - c / b >= 0.01 AS promoted FROM w")
-register("agg_weighted_mae", "model:s mae:f", lambda s, d: metrics.weighted_mae(metrics.point_metrics(_scored(s, d).where("fold is not null"), ["model", "fold"]), ["model"]), f"{ad.A5}, {_LONG} ;; SELECT model, avg(abs(price - p)) AS mae FROM k WHERE fold IS NOT NULL GROUP BY 1")
+         f"{ad.A5}, {_LONG}, w AS (SELECT avg(abs(price - p)) FILTER (model = 'pred_full') AS b, avg(abs(price - p)) FILTER (model = 'pred_alt') AS c FROM k "
+         f"WHERE fold IS NOT NULL) ;; SELECT b AS base_mae, c AS challenger_mae, 1 - c / b AS improvement, 1 - c / b >= 0.01 AS promoted FROM w")
+register("agg_weighted_mae", "model:s mae:f", lambda s, d: metrics.weighted_mae(metrics.point_metrics(_scored(s, d).where("fold is not null"), ["model", "fold"]), ["model"]), f"{ad.A5}, "
+    f"{_LONG} ;; SELECT model, avg(abs(price - p)) AS mae FROM k WHERE fold IS NOT NULL GROUP BY 1")
 
 
 _FEATURES = ["pred_full", "pred_alt"]
@@ -419,13 +531,19 @@ register("ml_gbt_fits", f"{KEY} price:f predicted:f", _searched(forecast.boosted
 _MOMENTS = "count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS r, covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb"
 _SOLVED = "((1 + al) * ca - r * cb) / ((1 + al) * (1 + al) - r * r) AS wa, ((1 + al) * cb - r * ca) / ((1 + al) * (1 + al) - r * r) AS wb"
 register("ml_ridge", f"{KEY} price:f predicted:f", _searched(forecast.elastic_net, _RIDGE, 3, "rows"),
-         f"{ad.A5}, tr AS (SELECT series_id, t, price AS y, pred_full AS a, pred_alt AS b, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS n FROM a5 WHERE (fold IS NULL OR fold < 4) AND price IS NOT NULL AND pred_full IS NOT NULL AND pred_alt IS NOT NULL), "
+         f"{ad.A5}, tr AS (SELECT series_id, t, price AS y, pred_full AS a, pred_alt AS b, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS r, count(*) "
+         f"OVER (PARTITION BY series_id) AS n FROM a5 WHERE (fold IS NULL OR fold < 4) AND price IS NOT NULL AND pred_full IS NOT NULL AND pred_alt IS NOT NULL), "
          "pt AS (SELECT *, CASE WHEN r < n - 3 * (n // 4) THEN -1 ELSE (r - (n - 3 * (n // 4))) // (n // 4) END AS part FROM tr), "
-         f"mo AS (SELECT i, {_MOMENTS} FROM pt JOIN (SELECT unnest([0, 1, 2, 3]) AS i) ON part < i GROUP BY i), so AS (SELECT *, {_SOLVED} FROM mo, (SELECT unnest([0.01, 1.0, 100.0]::DOUBLE[]) AS al)), "
-         "er AS (SELECT al, i, avg(abs(y - (my + wa * (a - ma) / sa + wb * (b - mb) / sb))) AS mae FROM so JOIN pt ON part = i GROUP BY 1, 2), ch AS (SELECT arg_min(al, mae) AS al FROM (SELECT al, avg(mae) AS mae FROM er GROUP BY 1)) ;; "
-         "SELECT series_id, t AS timestamp_utc, price, my + wa * (pred_full - ma) / sa + wb * (pred_alt - mb) / sb AS predicted FROM a5 CROSS JOIN (SELECT so.* FROM so JOIN ch ON ch.al = so.al WHERE i = 3) WHERE fold = 4")
+         f"mo AS (SELECT i, {_MOMENTS} FROM pt JOIN (SELECT unnest([0, 1, 2, 3]) AS i) ON part < i GROUP BY i), so AS (SELECT *, {_SOLVED} FROM mo, "
+         f"(SELECT unnest([0.01, 1.0, 100.0]::DOUBLE[]) AS al)), "
+         "er AS (SELECT al, i, avg(abs(y - (my + wa * (a - ma) / sa + wb * (b - mb) / sb))) AS mae FROM so JOIN pt ON part = i GROUP BY 1, 2), ch "
+         "AS (SELECT arg_min(al, mae) AS al FROM (SELECT al, avg(mae) AS mae FROM er GROUP BY 1)) ;; "
+         "SELECT series_id, t AS timestamp_utc, price, my + wa * (pred_full - ma) / sa + wb * (pred_alt - mb) / sb AS predicted FROM a5 CROSS JOIN (SELECT so.* FROM so "
+         "JOIN ch ON ch.al = so.al WHERE i = 3) WHERE fold = 4")
 register("chk_dataset_fingerprint", "n:i fingerprint:s", lambda s, d: checks.fingerprint(read_table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))),
-         f"SELECT count(*) AS n, sum({DRAW("o_custkey::VARCHAR || '/' || strftime(o_orderdate, '%Y-%m-%d') || '/' || o_orderkey::VARCHAR || '/' || o_orderstatus")}::HUGEINT)::VARCHAR AS fingerprint FROM orders")
+         f"SELECT count(*) AS n, "
+         f"sum({DRAW("o_custkey::VARCHAR || '/' || strftime(o_orderdate, '%Y-%m-%d') || '/' || o_orderkey::VARCHAR || '/' || o_orderstatus")}::HUGEINT)::VARCHAR AS fingerprint "
+         f"FROM orders")
 register("smp_random", f"{KEY} price:f", lambda s, d: ad.a1(s, d).orderBy(fn.draw(F.col("series_id"), F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss"), F.lit(42))).limit(500),
          f"{ad.A1} ;; SELECT series_id, t AS timestamp_utc, price FROM a1 ORDER BY {DRAW(_SECOND)} LIMIT 500")
 
@@ -451,11 +569,13 @@ def _predicted(s: SparkSession, d: str) -> DataFrame:
 # without a penalty the elastic net is least squares, which SQL's covariances give
 _TRAIN = "tr AS (SELECT price AS y, pred_full AS a, pred_alt AS b FROM a5 WHERE (fold IS NULL OR fold < 4) AND price IS NOT NULL AND pred_full IS NOT NULL AND pred_alt IS NOT NULL)"
 register("ml_predict_complete", f"{KEY} price:f predicted:f", _predicted,
-         f"{ad.A5}, co AS (SELECT regr_slope(price, pred_full) AS k, regr_intercept(price, pred_full) AS c FROM a5 WHERE (fold IS NULL OR fold < 4) AND price IS NOT NULL AND pred_full IS NOT NULL) ;; "
+         f"{ad.A5}, co AS (SELECT regr_slope(price, pred_full) AS k, regr_intercept(price, pred_full) AS c FROM a5 WHERE (fold IS NULL OR fold < 4) "
+         f"AND price IS NOT NULL AND pred_full IS NOT NULL) ;; "
          "SELECT series_id, t AS timestamp_utc, price, c + k * pred_full AS predicted FROM a5, co WHERE fold IS NULL OR fold = 4")
 register("ml_coefficients", "rank:i feature:s weight:f", lambda s, d: forecast.coefficients(_least_squares(s, d, ["pred_full", "pred_alt"])[1], ["pred_full", "pred_alt"]),
          f"{ad.A5}, {_TRAIN}, m AS (SELECT var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS ab, covar_samp(a, y) AS ay, covar_samp(b, y) AS by_ FROM tr), "
-         "w AS (SELECT 'pred_full' AS feature, sqrt(va) * (ay * vb - by_ * ab) / (va * vb - ab * ab) AS weight FROM m UNION ALL SELECT 'pred_alt', sqrt(vb) * (by_ * va - ay * ab) / (va * vb - ab * ab) FROM m) ;; "
+         "w AS (SELECT 'pred_full' AS feature, sqrt(va) * (ay * vb - by_ * ab) / (va * vb - ab * ab) AS weight FROM m UNION ALL SELECT 'pred_alt', "
+         "sqrt(vb) * (by_ * va - ay * ab) / (va * vb - ab * ab) FROM m) ;; "
          "SELECT row_number() OVER (ORDER BY abs(weight) DESC, feature) AS rank, feature, weight FROM w")
 register("chk_availability_tier", "column:s tier:i n_present:i",
          lambda s, d: checks.availability(ad.a3(s, d).withColumn("wind_mw", F.col("wind_on_mw") + F.col("wind_off_mw")), {"load_mw": 1, "wind_on_mw": 2, "wind_off_mw": 2, "solar_mw": 2}, {"wind_mw": ["wind_on_mw", "wind_off_mw"]}),
