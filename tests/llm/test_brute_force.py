@@ -280,6 +280,35 @@ def test_declared_language_stands_anywhere_in_the_tag(spark):
 
 
 # --- op6 --------------------------------------------------------------------------------------------
+def plain_statistics(text):
+    """The statistics by counting characters and words one by one."""
+    words = text.split()
+    data = list(text.encode())
+    count = lambda keep: sum(1 for c in data if keep(c))
+    upper, lower = count(lambda c: 65 <= c <= 90), count(lambda c: 97 <= c <= 122)
+    digits, wide = count(lambda c: 48 <= c <= 57), count(lambda c: c > 127)
+    space, stops = count(lambda c: c == 32 or 9 <= c <= 13), count(lambda c: chr(c) in ".,;:?'\"-")
+    sizes, n, nw = [len(w) for w in words], len(data), len(words)
+    mean = sum(sizes) / nw
+    lines = text.split("\n")
+    follow = list(zip(words, words[1:]))
+    return [
+        math.log(1 + n), math.log(1 + nw), mean, math.sqrt(sum((x - mean) ** 2 for x in sizes) / nw), math.sqrt(max(sizes)), len(set(words)) / nw, len(set(words)) / math.sqrt(nw),
+        sum(a == b for a, b in follow) / nw, max(words.count(w) for w in words) / nw, len(set(follow)) / (nw - 1) if nw > 1 else 1.0, upper / max(1, upper + lower), digits / n,
+        (n - upper - lower - digits - wide - space - stops) / n, text.count("!") / n, stops / n, wide / n, sum(not w[-1].isalnum() for w in words) / nw,
+        sum(not w[0].isalnum() for w in words) / nw, math.log(1 + len(lines)), len(set(lines)) / len(lines), math.log(1 + sum(map(len, lines)) / len(lines)),
+    ]
+
+
+def test_statistics_equal_counts_one_by_one():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcAB 12.,!?-'\"\n\té中🙂;:") for _ in range(rng.randint(1, 200))) for _ in range(300)] + ["a", "a a a", "!", "x\ny\nx", "é"]
+    for t in texts:
+        if t.split():
+            assert quality.statistics(t) == pytest.approx(plain_statistics(t), abs=1e-12), t
+    assert quality.statistics(None) == quality.statistics("") == quality.statistics(" \n") == [0.0] * quality.STATISTICS
+
+
 def test_normal_equations_and_pooling_equal_a_direct_solve(spark):
     rng = random.Random(12)
     table = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 60))) + ("!" * (i % 5)), i % 2) for i in range(240)]
