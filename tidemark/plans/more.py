@@ -613,13 +613,12 @@ _WIDTHS = (3, 5, 7)
 
 
 def _profile_windows(s: SparkSession, d: str) -> DataFrame:
-    rows, out = saved(timeseries.add_local_columns(ad.a1(s, d)).select("series_id", "timestamp_utc", "delivery_date", "hour_local", "price")), None
+    rows = saved(timeseries.add_local_columns(ad.a1(s, d)).select("series_id", "timestamp_utc", "delivery_date", "hour_local", "price"))
     hours, key = saved(ad.complete(s, d)).drop("n_hours").withColumn("hour_local", F.hour(fn.local_time(F.col("timestamp_utc")))), ["series_id", "delivery_date", "hour_local"]
-    for w in _WIDTHS:
-        made = saved(forecast.trailing_profile(rows, "price", w))
-        score = rows.join(made, key).groupBy(F.lit(w).alias("window_days")).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("price") - F.col("profile_pred"))).alias("mae"))
-        out = score if out is None else out.unionByName(score)
-        hours = hours.join(made.withColumnRenamed("profile_pred", f"p{w}"), key, "left")
+    made = saved(forecast.trailing_profiles(rows, "price", list(_WIDTHS)))
+    out = rows.join(made, key).groupBy("window_days").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("price") - F.col("profile_pred"))).alias("mae"))
+    wide = made.groupBy(*key).pivot("window_days", list(_WIDTHS)).agg(F.first("profile_pred")).withColumnsRenamed({str(w): f"p{w}" for w in _WIDTHS})
+    hours = hours.join(wide, key, "left")
     # P&L beside those of S2 (full) and S1 (lag 24), on days that all of them forecast whole
     hours = decisions.on_common_days(hours, [f"p{w}" for w in _WIDTHS])
     rules = {n: ad.RULES[n] for n in ("S1", "S2")} | {f"p{w}": (f"p{w}", f"p{w}") for w in _WIDTHS}
