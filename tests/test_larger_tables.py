@@ -1,11 +1,10 @@
 """Queries on tables larger than the given ones, made by repeating rows with shifted keys."""
 
-import os
-
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tidemark.operators import documents as docs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -27,9 +26,17 @@ def sql_rows(folder, name):
     return con.sql(__spark_entry__.oracle_sql()[name]).fetchall()
 
 
-@pytest.mark.parametrize("name", ["cln_dedupe"])
+@pytest.mark.parametrize("name", ["cln_dedupe", "aud_sequence_diff"])
 def test_repeated_events_give_the_rows_of_the_sql(spark, tmp_path, name):
     folder = repeated(spark, tmp_path, 3)
     got = [tuple(r) for r in __spark_entry__.queries()[name](spark, folder).collect()]
     want = sql_rows(folder, name)
     assert got and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_documents_are_not_parsed_below_what_makes_them(spark):
+    """A filter that is inferred from the parsed document must not be pushed to the rows that a document is grouped from."""
+    made = spark.range(1000).groupBy((F.col("id") % 3).alias("n")).agg(F.lit(1)).select("n", F.concat(F.lit("<D><mRID>"), F.col("n").cast("string"), F.lit("</mRID></D>")).alias("xml"))
+    plan = docs.paths(made, ["n"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "from_xml" in plan
+    assert "from_xml" not in plan[plan.index("Aggregate"):].split("\n", 1)[1]

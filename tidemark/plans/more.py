@@ -117,7 +117,7 @@ def _sequence_documents(s: SparkSession, d: str) -> DataFrame:
 
 
 register("aud_sequence_diff", "day:d path:s text:s n_a:i n_b:i",
-         lambda s, d: docs.sequence_diff(docs.paths(_sequence_documents(s, d), ["day"], day=(ts("2024-01-01"), ts("2024-02-01"))), ["day"]),
+         lambda s, d: docs.sequence_diff(saved(docs.paths(_sequence_documents(s, d), ["day"], day=(ts("2024-01-01"), ts("2024-02-01")))), ["day"]),
          """dy AS (SELECT DISTINCT ts::DATE AS d, day(ts::DATE) AS n FROM events), ok AS (SELECT * FROM dy WHERE n % 7 <> 0),
 df AS (SELECT d, 'mRID' AS path, unnest(['a', 'b']) AS text, unnest([1, 0]) AS n_a, unnest([0, 1]) AS n_b FROM ok WHERE n % 2 = 1 AND n % 5 <> 0
   UNION ALL SELECT d, 'curveType', unnest(['A03', 'A01']), unnest([1, 0]), unnest([0, 1]) FROM ok WHERE n % 3 = 0 AND n % 5 <> 0
