@@ -358,3 +358,28 @@ def test_pipeline(spark):
             assert simhash.near_duplicates(done).select("component_id").distinct().count() == done.count()
     out = corpus_pipeline.run(spark, SF)
     assert rows(out) == rows(done) and os.path.isdir(SF)
+
+
+def test_an_encoder_stays_small():
+    """What a worker holds while it encodes, in a process of its own: texts of many new words, told in MB over the start."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from public_tokenizers import path
+from tidemark.llm import tokens
+from tidemark.llm.common import slices
+import pyarrow as pa
+rng = random.Random(3)
+texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(2000)) for _ in range(1800)]
+batch = pa.record_batch({"text": texts})
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+e, before = tokens.encoder(path("byte_bpe_50k.json")), peak()
+for part in slices(batch, "text", tokens.BATCH_BYTES):
+    e.ids(part.column("text").to_pylist())
+print(peak() - before, len(e.cache))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    grown, held = map(int, out.stdout.split())
+    assert grown < 300 and held <= tokens.CACHE

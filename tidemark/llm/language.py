@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,13 +105,13 @@ def identify(rows: DataFrame, model: np.ndarray, languages: tuple[str, ...] = LA
     rest = columns_of(rows, ("text", "language", "posterior", "kept"))
     rows = rows.select("host", "declared", "text", F.struct(*rest).alias(carried))
 
-    @F.pandas_udf("array<double>")
-    def likelihoods(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def likelihoods(texts: pa.Array) -> pa.Array:
         out = []
-        for t in texts:
-            b = trigrams(t)
+        for t in texts:  # one at a time, so that a batch's texts are not held twice
+            b = trigrams(t.as_py())
             out.append(model[:, b].sum(1, dtype=np.float64) * TEMPER if len(b) else np.zeros(0))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.list_(pa.float64()))
 
     got = saved(rows.select("host", "declared", carried, likelihoods("text").alias("__ll")), "likelihoods")
     ll = [F.get("__ll", i) for i in range(k)]

@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,11 @@ BLOCK_BYTES, BLOCK_DOCS = 1 << 19, 2048
 #: Documents whose ids train the dictionary (those of the smallest hashes of their ids), ids of each
 #: that are used, bytes of the dictionary, and compression level.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES, LEVEL = 1000, 8192, 64 * 1024, 3
-#: Pieces whose ids a worker remembers (those it meets first, among them the common ones).
-CACHE = 1_200_000
-#: Bytes of text that are encoded together, longer texts alone.
-BATCH_BYTES = 1 << 24
+#: Pieces whose ids a worker remembers at most (those it meets first, among them the common ones): some 50 MB.
+CACHE = 200_000
+#: Bytes of text that are encoded together, longer texts alone: what an executor's workers hold of them at once takes
+#: some twenty times as many.
+BATCH_BYTES = 1 << 21
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
@@ -118,8 +120,7 @@ class Encoder:
             made.update(zip(joined, self.pieces(joined)))
             made.update(zip(alone, self.whole(alone)))
             found = [made[u] if ids is None else ids for u, ids in zip(units, found)]
-            if len(self.cache) < CACHE:
-                self.cache.update(made)
+            self.cache.update(islice(made.items(), max(0, CACHE - len(self.cache))))
         return pa.array(found, pa.binary())
 
     def _cut(self, texts: list[str]) -> list[bytes]:
