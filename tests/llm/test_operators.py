@@ -114,6 +114,20 @@ def test_token_pieces_equal_whole_texts():
         assert got == e.whole([t])[0], repr(t)
 
 
+def test_pieces_end_at_lines_and_signs():
+    """What is encoded grows with the different words, not with the pairs of words at lines' ends or with the signs after them."""
+    from public_tokenizers import path as place
+
+    e = tokens.Encoder(place("byte_bpe_50k.json"))
+    words = [a + b for a in "bcdfg" for b in ("an", "\u00e9lu", "or", "um")]
+    texts = [f"in {a}{sign}\n{b}$$$ it" for a in words for b in words for sign in ("", ".", "***")]
+    assert e.ids(texts) == e.whole(texts)
+    assert len(e.cache) < 4 * len(words)  # 20 words, each with and without a space before it, signs and the rest; not 1,200
+    odd = [f"a{x}\n{y}b" + z for x in ("", "\n", "\t", "\u00a0", ".", "'") for y in ("", "\n", "\r", "\u2028", "'s", "\x1c") for z in ("", "\n", "\n c", "\n\nc", "'s")]
+    odd += ["x " + t for t in odd]
+    assert e.ids(odd) == e.whole(odd)
+
+
 def license_words(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)

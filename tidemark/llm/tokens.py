@@ -11,10 +11,12 @@ shard's first token stands in the whole.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -43,15 +45,18 @@ BATCH_BYTES = 1 << 21
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    A byte-level BPE cuts texts before single spaces that stand before a non-space, and between a
-    letter and the signs that end a piece; no merge crosses such a cut. So pieces between them are told
-    apart by pyarrow, and each different one is encoded once and remembered. Texts with other spaces, or with a string that the tokenizer adds as
-    a token, go to the library whole.
+    A byte-level BPE cuts texts before single spaces that stand before a non-space, on both sides of a
+    line's end between two non-spaces, and between a letter and the signs that end a piece; no merge crosses
+    such a cut. So pieces between them are told apart by pyarrow, and each different one is encoded once and
+    remembered. Texts with other spaces, or with a string that the tokenizer adds as a token, go to the
+    library whole.
     """
 
     #: A space with white space or nothing after it: the cut rule does not hold there.
     odd = re.compile(r" (?:\s|\Z)")
-    signs = ".,;:!?"
+    #: White space beside a line's end, or any but a space: the second cut rule may not hold there.
+    mixed = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\n\n|\A\n|\n\z"
+    signs = string.punctuation
     #: New pieces are sent to the library many at a time, with this between them, which no token holds
     #: besides its own.
     between = "\0"
@@ -72,8 +77,8 @@ class Encoder:
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         # byte-level models show bytes that are no printable characters as those from U+0100 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.shown = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in printable)}
-        self.space = chr(self.shown[32])
+        others = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in printable)}
+        self.shown = "".join(chr(others.get(b, b)) for b in range(256))
         if self.cuts:
             (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
             spelled = self.tokenizer.id_to_token(self.mark)
@@ -96,29 +101,33 @@ class Encoder:
                 at = end + 1
         return out
 
-    def word(self, piece: str) -> bytes:
-        """Ids of a piece of letters after at most one space: one unit for the merges of the library's
+    def words(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of some pieces of letters after at most one space: one unit for the merges of the library's
         model, which takes bytes as printable characters."""
-        if piece.isascii():  # letters are shown as they are
-            shown = self.space + piece[1:] if piece[0] == " " else piece
-        else:
-            shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
-        found = self.tokenizer.model.tokenize(shown)
-        return array(self.code, [t.id for t in found]).tobytes()
+        joined = "\n".join(pieces).encode("utf-8", "surrogatepass")
+        shown = codecs.charmap_decode(joined, "strict", self.shown)[0].split(self.shown[10]) if pieces else []
+        ids, ends, tokenize = array(self.code), [0], self.tokenizer.model.tokenize
+        for s in shown:
+            ids.fromlist([t.id for t in tokenize(s)])
+            ends.append(len(ids) * ids.itemsize)
+        body = ids.tobytes()
+        return [body[i:j] for i, j in zip(ends, ends[1:])]
 
     def units(self, units: list[str]) -> pa.Array:
         """Ids of each of some different pieces."""
         found = list(map(self.cache.get, units))
-        new = {u for u, ids in zip(units, found) if ids is None}
+        new = [u for u, ids in zip(units, found) if ids is None]
         if new:
-            made = {p: self.word(p) for p in new if p.isalpha() or p[0] == " " and p[1:].isalpha()}
-            other = new.difference(made)
-            # a sign at the start would be joined with the mark before it, and white space at the end be cut by
-            # the mark after it
-            alone = [p for p in other if p[0] != " " and not p[0].isalnum() or p[-1].isspace()]
-            joined = list(other.difference(alone))
-            made.update(zip(joined, self.pieces(joined)))
-            made.update(zip(alone, self.whole(alone)))
+            letters = [p for p in new if p.isalpha() or p[0] == " " and p[1:].isalpha()]
+            made = dict(zip(letters, self.words(letters)))
+            if len(made) < len(new):
+                other = [p for p in new if p not in made]
+                # a sign at the start would be joined with the mark before it, and white space at the end be cut by
+                # the mark after it
+                alone = [p for p in other if p[0] != " " and not p[0].isalnum() or p[-1].isspace()]
+                joined = list(set(other).difference(alone))
+                made.update(zip(joined, self.pieces(joined)))
+                made.update(zip(alone, self.whole(alone)))
             found = [made[u] if ids is None else ids for u, ids in zip(units, found)]
             self.cache.update(islice(made.items(), max(0, CACHE - len(self.cache))))
         return pa.array(found, pa.binary())
@@ -128,17 +137,30 @@ class Encoder:
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         flat = lists.flatten().dictionary_encode()
         words = flat.dictionary.cast(pa.string())
+        kept = pc.and_(pc.match_substring(words, "\n"), pc.match_substring_regex(words, self.mixed))
+        lines = pc.split_pattern(pc.if_else(kept, "", words), "\n")
+        parts, first = lines.flatten(), lines.offsets.to_numpy()
         # signs after a word of letters are a piece of their own
-        core = pc.utf8_rtrim(words, self.signs)
-        core = pc.if_else(pc.utf8_is_alpha(core), core, words)
-        ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1]
+        core = pc.utf8_rtrim(parts, self.signs)
+        core = pc.if_else(pc.utf8_is_alpha(core), core, parts)
+        ends = np.frombuffer(parts.buffers()[1], np.int32)[: len(parts) + 1]
         bounds = np.repeat(ends, 2)[:-1]
         bounds[1::2] = ends[:-1] + pc.binary_length(core).to_numpy()
-        pairs = pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(bounds), words.buffers()[2])
-        tails = pc.take(pairs, pa.array(np.arange(1, 2 * len(words), 2))).dictionary_encode()
-        cores = core.dictionary_encode()
-        spaced = pc.take(self.units([" " + c for c in cores.dictionary.to_pylist()]), cores.indices)
-        known = pc.binary_join_element_wise(spaced, pc.take(self.units(tails.dictionary.to_pylist()), tails.indices), b"")
+        pairs = pa.StringArray.from_buffers(2 * len(parts), pa.py_buffer(bounds), parts.buffers()[2])
+        tails = pc.take(pairs, pa.array(np.arange(1, 2 * len(parts), 2))).dictionary_encode()
+        # a word's first part has the space before it, each other one a line's end
+        later = np.ones(len(parts), np.int8)
+        later[first[:-1]] = 0
+        later = pa.array(later)
+        cores = pc.binary_join_element_wise(pc.take(pa.array([" ", ""]), later), core, "").dictionary_encode()
+        before = pc.take(pa.concat_arrays([pa.array([b""]), self.units(["\n"])]), later)
+        found = [pc.take(self.units(a.dictionary.to_numpy(zero_copy_only=False).tolist()), a.indices) for a in (cores, tails)]
+        made = pc.binary_join_element_wise(before, *found, b"")
+        # the ids of a word are those of its parts, which stand one after the other
+        at = np.frombuffer(made.buffers()[1], np.int32)[first]
+        known = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(at), made.buffers()[2]])
+        if pc.any(kept).as_py():
+            known = pc.replace_with_mask(known, kept, self.units([" " + w for w in pc.filter(words, kept).to_pylist()]))
         ids = pc.take(known.cast(pa.large_binary()), flat.indices)
         place, at = lists.offsets.to_numpy(), np.frombuffer(ids.buffers()[1], np.int64)
         firsts = pc.take(flat.dictionary, pc.take(flat.indices, pa.array(place[:-1]))).dictionary_encode()
