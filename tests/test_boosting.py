@@ -52,6 +52,25 @@ def test_edge_cases_of_growing():
     assert np.abs(boosting.grow(x, y, 3, 20, 0.2, 1.0).value - boosting.grow(x, y, 3, 60, 0.2, 1.0).value[:20]).max() == 0  # a longer fit holds the shorter
 
 
+def test_sums_are_as_wide_as_the_bins_there_are(monkeypatch):
+    """A feature of two values takes three bins of a node's sums, not as many as the widest feature; sums are made once a level."""
+    asked, plain = [], np.bincount
+    monkeypatch.setattr(boosting.np, "bincount", lambda key, weights=None, minlength=0: asked.append((len(key), minlength)) or plain(key, weights, minlength))
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=1000), rng.integers(0, 2, (1000, 20))])
+    boosting.grow(x, x[:, 0] + x[:, 1], 2, 5, 0.1, 1.0)
+    sums = [most for rows, most in asked if rows == 1000 * 21]
+    assert len(sums) == 5 * 2 and max(sums) <= 2 * (boosting.BINS + 20 * 3)
+
+
+def test_medians_of_leaves():
+    rng = np.random.default_rng(4)
+    values, leaf = np.round(rng.normal(size=500), 1), rng.integers(0, 40, 500)
+    leaf[leaf == 7] = 8  # an empty leaf
+    want = [np.median(values[leaf == k]) if (leaf == k).any() else 0.0 for k in range(40)]
+    np.testing.assert_array_equal(boosting._medians(values, leaf, 40), want)
+
+
 def table(spark, n=900):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(n, 3))

@@ -54,11 +54,15 @@ class Trees:
 
 
 def _medians(values: np.ndarray, leaf: np.ndarray, leaves: int) -> np.ndarray:
-    order = np.lexsort((values, leaf))
-    sizes = np.bincount(leaf, minlength=leaves)
-    first = np.cumsum(sizes) - sizes
-    at = lambda k: values[order[np.minimum(first + k, len(order) - 1)]]
-    return np.where(sizes > 0, (at(np.maximum(sizes - 1, 0) // 2) + at(sizes // 2)) / 2, 0.0)
+    by = values[np.argsort(leaf.astype(np.uint16), kind="stable")]  # a leaf's values side by side, in no order
+    ends = np.cumsum(np.bincount(leaf, minlength=leaves)).tolist()
+    out = np.zeros(leaves)
+    for k, (i, j) in enumerate(zip([0, *ends], ends)):
+        if j > i:
+            middle = sorted({(j - i - 1) // 2, (j - i) // 2})
+            part = np.partition(by[i:j], middle)
+            out[k] = (part[middle[0]] + part[middle[-1]]) / 2
+    return out
 
 
 def grow(x: np.ndarray, y: np.ndarray, max_depth: int, n_estimators: int, learning_rate: float, subsample: float, seed: int = 42) -> Trees:
@@ -68,37 +72,47 @@ def grow(x: np.ndarray, y: np.ndarray, max_depth: int, n_estimators: int, learni
         raise ValueError(f"a depth of 1 to {MOST_DEPTH}")
     n, p = x.shape
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for c in x.T]
-    bins = np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)]).astype(np.int64)
-    width = max(map(len, edges)) + 1
-    top = np.array([len(e) for e in edges])
-    table = np.full((p, width), np.inf)
-    for f, e in enumerate(edges):
-        table[f, : len(e)] = e
+    # bins of all features are numbered through; above a feature's last bin there is no bound
+    width = np.array([len(e) + 1 for e in edges])
+    size, feature = int(width.sum()), np.repeat(np.arange(p), width)
+    bound = np.concatenate([[*e, np.inf] for e in edges])
+    held = np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)]) + (np.cumsum(width) - width)
     rng, inner, leaves = np.random.default_rng(seed), 2**max_depth - 1, 2**max_depth
     out = Trees(float(np.median(y)), np.zeros((n_estimators, inner), np.int32), np.full((n_estimators, inner), np.inf), np.zeros((n_estimators, leaves)), np.zeros((n_estimators, inner)))
-    made, row, shift = np.full(n, out.start), np.arange(n), np.arange(p) * width
-    open_cut = np.arange(width - 1)[None, :] < top[:, None]
+    made, row = np.full(n, out.start), np.arange(n)
+    # a row's weight holds its sign and, far above it, a one, so that one sum of them (whole numbers below 2**53) is both
+    one = float(1 << (n.bit_length() + 1))
+    if p * n * one >= 2**53:
+        raise ValueError("too many rows for one fit")
     for t in range(n_estimators):
         rest = y - made
         mine = row if subsample >= 1 else np.flatnonzero(rng.random(n) < subsample)
-        sign, held = np.sign(rest[mine]), (bins[mine] + shift)
+        own = held if subsample >= 1 else held[mine]
+        weight = np.repeat(np.sign(rest[mine]) + one, p)
         node = np.zeros(n, np.int64)
         for level in range(max_depth):
             nodes, base = 2**level, 2**level - 1
-            key = (node[mine, None] * (p * width) + held).ravel()
-            total = np.bincount(key, np.repeat(sign, p), nodes * p * width).reshape(nodes, p, width)
-            count = np.bincount(key, minlength=nodes * p * width).reshape(nodes, p, width)
-            left, n_left = total.cumsum(axis=2)[:, :, :-1], count.cumsum(axis=2)[:, :, :-1]
-            all_, n_all = total.sum(axis=2, keepdims=True), count.sum(axis=2, keepdims=True)
-            gain = left**2 / (n_left + 1) + (all_ - left) ** 2 / (n_all - n_left + 1) - all_**2 / (n_all + 1)
-            gain = np.where((n_left > 0) & (n_left < n_all) & open_cut, gain, -1.0).reshape(nodes, -1)
+            key = own if level == 0 else node[mine, None] * size + own
+            below = np.bincount(key.ravel(), weight, nodes * size).reshape(nodes, size).cumsum(axis=1)
+            whole = below[:, width[0] - 1, None].copy()  # each feature's bins hold all of a node's rows
+            below -= feature * whole
+            n_left, n_all = np.rint(below / one), np.rint(whole / one)
+            left, all_ = np.subtract(below, n_left * one, out=below), whole - n_all * one
+            # left**2 / (n_left + 1) + (all_ - left)**2 / (n_all - n_left + 1) - all_**2 / (n_all + 1), in place; 0 where a side has no rows
+            gain = left * left
+            gain /= np.add(n_left, 1, out=n_left)
+            right = np.subtract(all_, left, out=left)
+            right *= right
+            right /= np.subtract(n_all + 2, n_left, out=n_left)
+            gain += right
+            gain -= all_**2 / (n_all + 1)
             best = gain.argmax(axis=1)
             won = gain[np.arange(nodes), best]
-            f, cut = np.where(won > 1e-12, best // (width - 1), 0), np.where(won > 1e-12, best % (width - 1), width)
+            f, cut = np.where(won > 1e-12, feature[best], 0), np.where(won > 1e-12, best, size)
             out.feature[t, base : base + nodes] = f
-            out.bound[t, base : base + nodes] = np.where(won > 1e-12, table[f, np.minimum(cut, width - 1)], np.inf)
+            out.bound[t, base : base + nodes] = np.where(won > 1e-12, bound[best], np.inf)
             out.gain[t, base : base + nodes] = np.maximum(won, 0)
-            node = 2 * node + (bins[row, f[node]] > cut[node])
+            node = 2 * node + (held[row, f[node]] > cut[node])
         out.value[t] = learning_rate * _medians(rest[mine], node[mine], leaves)
         made += out.value[t, node]
     return out
