@@ -34,6 +34,15 @@ def test_repeated_events_give_the_rows_of_the_sql(spark, tmp_path, name):
     assert got and sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_dedupe_refuses_other_readings_of_the_same_times(spark, tmp_path):
+    """Copies of a reading are one; readings that differ at more than 1 % of rows' times are a selection that is missing."""
+    again = spark.read.parquet(f"{repeated(spark, tmp_path / 'copies', 2)}/events.parquet")
+    value = F.when((F.col("event_id") > 1_000_000) & (F.col("event_id") % 10 == 0), F.col("value") + 1).otherwise(F.col("value"))
+    again.withColumn("value", value).write.parquet(f"{tmp_path}/events.parquet")
+    with pytest.raises(ValueError, match="repeat"):
+        __spark_entry__.queries()["cln_dedupe"](spark, str(tmp_path)).collect()
+
+
 def test_documents_are_not_parsed_below_what_makes_them(spark):
     """A filter that is inferred from the parsed document must not be pushed to the rows that a document is grouped from."""
     made = spark.range(1000).groupBy((F.col("id") % 3).alias("n")).agg(F.lit(1)).select("n", F.concat(F.lit("<D><mRID>"), F.col("n").cast("string"), F.lit("</mRID></D>")).alias("xml"))
