@@ -111,3 +111,35 @@ def test_search_refuses_what_it_cannot_judge(spark):
         boosting.search(df.limit(50), ["u"], "y")
     with pytest.raises(ValueError, match="twice"):
         boosting.search(df.unionByName(df), ["u"], "y")
+
+
+@pytest.mark.parametrize("most", [3, 16])
+def test_medians_of_blocks_equal_those_of_all_values(most):
+    """Bounds close around both middle values, also of values that repeat, are few, or lie in one block."""
+    rng = np.random.default_rng(most)
+    whole = [rng.normal(size=n) for n in (0, 1, 2, 7, 500)] + [rng.integers(0, 3, 400).astype(float), np.repeat([1.0, 2.0], 50), np.ones(99)]
+    for values in whole:
+        blocks = np.split(values, np.sort(rng.integers(0, len(values) + 1, 4)))
+        lo, hi, n, median, rounds = -np.inf, np.inf, -1, np.nan, 0
+        while np.isnan(median):
+            counts, pivots = zip(*[boosting._pivots(v, lo, hi, most) for v in blocks])
+            lo, hi, n, median = boosting._narrowed(np.array(counts), list(pivots), lo, hi, n, most)
+            rounds += 1
+        assert n == len(values) and median == (np.median(values) if n else 0.0) and rounds <= 12
+
+
+def test_more_rows_than_a_task_holds_give_the_same_trees(spark, monkeypatch):
+    """All rows are fitted, however many: what is grown in blocks equals what is grown in one place."""
+    df = table(spark, 700).withColumn("series_id", F.when(F.col("t") % 7200 == 0, "a").otherwise("b")).withColumn("v", F.round("v", 0)).cache()
+    grid = [{"max_depth": d, "n_estimators": n, "learning_rate": 0.3, "subsample": s} for d, n, s in ((1, 3, 1.0), (3, 6, 0.8), (3, 4, 0.8))]
+    plain, cell, errors = boosting.search(df, ["u", "v", "w"], "y", grid, 2)
+    for name, value in (("MOST_ROWS", 90), ("PIVOTS", 8), ("HELD", 2), ("WRITTEN", 4)):
+        monkeypatch.setattr(boosting, name, value)
+    monkeypatch.setattr(boosting, "_fits", None)  # not used
+    spread, same, others = boosting.search(df, ["u", "v", "w"], "y", grid, 2)
+    assert cell == same == grid[1]
+    np.testing.assert_array_equal(plain.trees.start, spread.trees.start)
+    for name in boosting._ARRAYS:
+        np.testing.assert_array_equal(getattr(plain.trees, name), getattr(spread.trees, name))
+    want, got = [{(r.cell, r.fold): r.mae for r in t.collect()} for t in (errors, others)]
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)

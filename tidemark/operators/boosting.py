@@ -1,29 +1,39 @@
 """Boosted trees on absolute errors: a whole search over cells and folds as one Spark job of many fits.
 
 Trees are grown by histograms of the errors' signs, and a leaf's value is the exact median of the errors in it, which lowers
-the absolute error itself. The search is spread by fit: each task grows the trees of one cell and fold on a bounded sample
-of the training rows, which is broadcast once. All rows are scored, in parallel, by all fits at once; cells that differ
-in their number of trees alone are one fit, read at several lengths."""
+the absolute error itself. Fits see all training rows. Up to MOST_ROWS of them the search is spread by fit: rows are broadcast
+once, and each task grows the trees of one cell and fold. More rows are spread in blocks (``_grow_spread``), and the cells of a
+fold grow side by side, level by level, from sums over blocks: the same trees, whichever way they are grown. All rows are
+scored, in parallel, by all fits at once; cells that differ in their number of trees alone are one fit, read at several
+lengths."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
+from tidemark.sources.tables import saved
+
 from .forecast import cells, complete_parts
+from .quantiles import ranked_values
 
 # The search grid (36 cells).
 GRID = {"max_depth": [3, 4, 5], "n_estimators": [200, 400], "learning_rate": [0.03, 0.05, 0.1], "subsample": [0.8, 1.0]}
-#: Rows that a model is fitted on at most (those of the smallest hashes of series and time; all rows are scored), and bins of a feature.
+#: Rows that one task holds at most: more are fitted in blocks of about as many. Bins of a feature (their numbers are bytes).
 MOST_ROWS, BINS = 200_000, 256
+#: Of a fit in blocks: values of a leaf that a task sends at most at once, trees after which predictions are held, and written.
+PIVOTS, HELD, WRITTEN = 1024, 4, 40
 #: Depth of a tree at most: it is held as a complete one.
 MOST_DEPTH = 8
 
@@ -65,6 +75,20 @@ def _medians(values: np.ndarray, leaf: np.ndarray, leaves: int) -> np.ndarray:
     return out
 
 
+def _best(left: np.ndarray, n_left: np.ndarray, all_: np.ndarray, n_all: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's first best bin and its gain, from sums of signs and counts up to each bin and of the node (all are used up)."""
+    # left**2 / (n_left + 1) + (all_ - left)**2 / (n_all - n_left + 1) - all_**2 / (n_all + 1), in place; 0 where a side has no rows
+    gain = left * left
+    gain /= np.add(n_left, 1, out=n_left)
+    right = np.subtract(all_, left, out=left)
+    right *= right
+    right /= np.subtract(n_all + 2, n_left, out=n_left)
+    gain += right
+    gain -= all_**2 / (n_all + 1)
+    best = gain.argmax(axis=1)
+    return best, gain[np.arange(len(best)), best]
+
+
 def grow(x: np.ndarray, y: np.ndarray, max_depth: int, n_estimators: int, learning_rate: float, subsample: float, seed: int = 42) -> Trees:
     """``n_estimators`` trees on rows ``x`` and labels ``y``. A split's gain is that of squared sums of signs over counts
     plus one; of equal gains the first feature and lowest bound win; a node without gain keeps its rows together."""
@@ -98,16 +122,7 @@ def grow(x: np.ndarray, y: np.ndarray, max_depth: int, n_estimators: int, learni
             below -= feature * whole
             n_left, n_all = np.rint(below / one), np.rint(whole / one)
             left, all_ = np.subtract(below, n_left * one, out=below), whole - n_all * one
-            # left**2 / (n_left + 1) + (all_ - left)**2 / (n_all - n_left + 1) - all_**2 / (n_all + 1), in place; 0 where a side has no rows
-            gain = left * left
-            gain /= np.add(n_left, 1, out=n_left)
-            right = np.subtract(all_, left, out=left)
-            right *= right
-            right /= np.subtract(n_all + 2, n_left, out=n_left)
-            gain += right
-            gain -= all_**2 / (n_all + 1)
-            best = gain.argmax(axis=1)
-            won = gain[np.arange(nodes), best]
+            best, won = _best(left, n_left, all_, n_all)
             f, cut = np.where(won > 1e-12, feature[best], 0), np.where(won > 1e-12, best, size)
             out.feature[t, base : base + nodes] = f
             out.bound[t, base : base + nodes] = np.where(won > 1e-12, bound[best], np.inf)
@@ -170,7 +185,7 @@ def _fits(spark, sample: tuple, runs: list[tuple[int, int, dict]]) -> dict[tuple
 
 
 def _sample(rows: DataFrame) -> DataFrame:
-    """All rows, or MOST_ROWS of them by a hash of series and time. What is ordered is little more than is kept."""
+    """All rows, or MOST_ROWS of them by a hash of series and time, for a look at a large table. No search fits on it."""
     n, whole = rows.count(), 1 << 40
     if n <= MOST_ROWS:
         return rows
@@ -179,23 +194,267 @@ def _sample(rows: DataFrame) -> DataFrame:
     return near.orderBy("__draw", "series_id", "timestamp_utc").limit(MOST_ROWS).drop("__draw")
 
 
+# --- fits of more rows than a task should hold
+
+
+def _arrays(batches: Iterator[pa.RecordBatch], **types: type) -> Iterator[dict]:
+    """Rows of a table of blocks, binary columns as arrays of the types given."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {c: np.frombuffer(b.column(c)[i].as_buffer(), types[c]) if c in types else b.column(c)[i].as_py() for c in b.schema.names}
+
+
+def _blocks(rows: DataFrame, columns: list, n: int) -> DataFrame:
+    """Rows in the order of time and series, those of a partition as one row of arrays; blocks ascend in that order."""
+    parts, order = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // MOST_ROWS)), ["timestamp_utc", "series_id"]
+    placed = rows.repartitionByRange(parts, *order).withColumn("block", F.spark_partition_id()).sortWithinPartitions(*order).select("block", "part", *columns)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            block, part, *x, y = [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+            yield pa.RecordBatch.from_pydict({"block": pa.array(block[:1], pa.int32()), "part": [part.tobytes()], "x": [np.column_stack(x).tobytes()], "y": [y.tobytes()]})
+
+    return saved(placed.mapInArrow(packed, "block int, part binary, x binary, y binary"))
+
+
+def _edges(rows: DataFrame, columns: list) -> tuple[list[np.ndarray], float]:
+    """Each feature's bounds of bins, and the label's median, as grow() finds them in all rows."""
+    long = rows.select(F.posexplode(F.array(*columns)).alias("feature", "value"))
+    ranked, last = ranked_values(long, ["feature"], "value"), F.col("total") - 1
+    stands = lambda place: (F.col("first") <= place) & (place < F.col("first") + F.col("n"))
+    a_bound = F.exists(F.array(*[F.lit(i / BINS) for i in range(1, BINS)]), lambda q: stands(F.floor(last * q)))
+    label = len(columns) - 1
+    low, high = stands(F.floor(last / 2)), stands(F.floor((last + 1) / 2))
+    found = ranked.select("feature", "value", low.alias("low"), high.alias("high")).where(F.when(F.col("feature") == label, low | high).otherwise(a_bound)).toPandas()  # as many as bins
+    y = found[found.feature == label]
+    return [np.sort(found.value[found.feature == i].to_numpy()) for i in range(label)], float((y.value[y.low].iloc[0] + y.value[y.high].iloc[0]) / 2)
+
+
+def _leaf_of(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    """The node that each row is in below some levels of a tree whose bounds are numbers of bins."""
+    node, row = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    for level in range(levels):
+        at = node + 2**level - 1
+        node = 2 * node + (bins[row, feature[at]] > cut[at])
+    return node
+
+
+def _places(m: int, most: int) -> np.ndarray:
+    """Places of ``m`` ordered values: all, or ``most`` in equal steps with both ends."""
+    return np.arange(m) if m <= most else np.arange(most) * (m - 1) // (most - 1)
+
+
+def _pivots(values: np.ndarray, lo: float, hi: float, most: int) -> tuple[tuple[int, int, int], np.ndarray]:
+    """Of a block's values of a leaf: how many are below ``lo``, equal to it, and between it and ``hi``; and of those between,
+    in order, the ones at _places()."""
+    inner = np.sort(values[(values > lo) & (values < hi)])
+    return (int((values < lo).sum()), int((values == lo).sum()), len(inner)), inner[_places(len(inner), most)]
+
+
+def _narrowed(counts: np.ndarray, pivots: list[np.ndarray], lo: float, hi: float, n: int, most: int) -> tuple[float, float, int, float]:
+    """What blocks' _pivots() say of a leaf of ``n`` values (-1: not counted yet): closer bounds around both middle values, their
+    number, and the median once it is sure, else NaN. Pivots have known places in their block, which bounds how many
+    values are below and up to each of them."""
+    below, same, between = counts.sum(axis=0).tolist()
+    n = between if n < 0 else n
+    if not n:
+        return lo, hi, n, 0.0
+    whole, ends = all(len(p) == m for p, m in zip(pivots, counts[:, 2])), []
+    for place in ((n - 1) // 2, n // 2):
+        k = place - below - same
+        if k < 0 or k >= between:
+            ends.append((lo, lo) if k < 0 else (hi, hi))
+        elif whole:
+            ends.append((float(np.sort(np.concatenate(pivots))[k]),) * 2)
+        else:
+            a = np.unique(np.concatenate(pivots))
+            places = [_places(m, most) for m in counts[:, 2]]
+            less = sum(np.append(at, m)[np.searchsorted(p, a, "left")] for p, at, m in zip(pivots, places, counts[:, 2]))
+            upto = sum(np.append(0, at + 1)[np.searchsorted(p, a, "right")] for p, at in zip(pivots, places))
+            ends.append((float(a[less <= k].max()), float(a[upto > k].min())))
+    sure = all(x == y for x, y in ends)
+    return min(x for x, _ in ends), max(y for _, y in ends), n, (ends[0][0] + ends[1][0]) / 2 if sure else np.nan
+
+
+_STATE = "block int, n int, bins binary, y binary, made binary"
+
+
+def _grow_spread(blocks: DataFrame, rows: DataFrame, columns: list, fold: int, grid: list[dict], seed: int = 42) -> list[Trees]:
+    """grow() for each cell of ``grid`` on all rows of parts before the fold, which lie in _blocks(). The cells' trees grow side by
+    side: a level is a job that sums signs and counts over blocks and picks each node's split, and exact medians of leaves
+    take a few more, each of which counts around closer bounds. A fit's sums, pivots and trees come together, never its rows;
+    predictions stay with the blocks. A row's draw has the place in grow()'s stream that the row has in the order of all."""
+    spread = max(1, blocks.sparkSession.sparkContext.defaultParallelism)
+    edges, start = _edges(rows.where(F.col("part") < fold), columns)
+    p, fits, most = len(edges), len(grid), PIVOTS
+    width = np.array([len(e) + 1 for e in edges])
+    size, feature, first = int(width.sum()), np.repeat(np.arange(p), width), np.cumsum(width) - width
+    bound, never = np.concatenate([[*e, np.inf] for e in edges]), 2 * BINS
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _arrays(batches, part=np.int32, x=np.float64, y=np.float64):
+            mine = b["part"] < fold
+            if n := int(mine.sum()):
+                bins = np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(edges, b["x"].reshape(len(mine), p)[mine].T)]).astype(np.uint8)
+                yield _row(block=b["block"], n=n, bins=bins, y=b["y"][mine], made=np.full((fits, n), start))
+
+    state = saved(blocks.mapInArrow(fitted, _STATE))
+    sizes = sorted((r["block"], r["n"]) for r in state.select("block", "n").collect())  # a row a block
+    total = sum(n for _, n in sizes)
+    before = dict(zip([b for b, _ in sizes], np.cumsum([0, *[n for _, n in sizes]]).tolist()))
+    shapes = [(c["n_estimators"], 2 ** c["max_depth"]) for c in grid]
+    out = [Trees(start, np.zeros((n, k - 1), np.int32), np.full((n, k - 1), np.inf), np.zeros((n, k)), np.zeros((n, k - 1))) for n, k in shapes]
+    cuts = [np.full((n, k - 1), never, np.int32) for n, k in shapes]
+    done, kept = 0, None
+
+    def stage(t: int, level: int, live: list[int]) -> Callable[[dict], Iterator[tuple]]:
+        """Of a block, for each live fit: its number, predictions before tree ``t``, rows that the tree is grown on, and nodes at
+        a level of it."""
+        since = {i: (out[i].feature[done : t + 1].copy(), cuts[i][done : t + 1].copy(), out[i].value[done:t].copy()) for i in live}
+
+        def of(b: dict) -> Iterator[tuple]:
+            bins, made, drawn = b["bins"].reshape(-1, p), b["made"].reshape(fits, -1), {}
+            for i in live:
+                f, cut, value = since[i]
+                now, depth, share = made[i], grid[i]["max_depth"], grid[i]["subsample"]
+                for u, v in enumerate(value):
+                    now = now + v[_leaf_of(bins, f[u], cut[u], depth)]
+                if share not in drawn:
+                    stream = np.random.Generator(np.random.PCG64(seed).advance(t * total + before[b["block"]]))
+                    drawn[share] = np.arange(b["n"]) if share >= 1 else np.flatnonzero(stream.random(b["n"]) < share)
+                yield i, now, drawn[share], _leaf_of(bins, f[-1], cut[-1], min(level, depth)) if len(f) > len(value) else None
+
+        return of
+
+    def summed(of: Callable, nodes: int) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in _arrays(batches, bins=np.uint8, y=np.float64, made=np.float64):
+                own, one = b["bins"].reshape(-1, p) + first, float(1 << (b["n"].bit_length() + 1))
+                for i, made, mine, node in of(b):
+                    weight = np.repeat(np.sign(b["y"][mine] - made[mine]) + one, p)
+                    held = np.bincount((node[mine, None] * size + own[mine]).ravel(), weight, nodes * size)
+                    n = np.rint(held / one)
+                    sums.setdefault(i, np.zeros((2, nodes * size)))
+                    sums[i] += held - n * one, n
+            for i, (signs, counts) in sums.items():
+                yield _row(fit=i, signs=signs, counts=counts)
+
+        return run
+
+    def split(frame: pd.DataFrame) -> pd.DataFrame:
+        left, n_left = (sum(np.frombuffer(b) for b in frame[c]).reshape(-1, size).cumsum(axis=1) for c in ("signs", "counts"))
+        all_, n_all = left[:, width[0] - 1, None].copy(), n_left[:, width[0] - 1, None].copy()
+        left -= feature * all_
+        n_left -= feature * n_all
+        best, won = _best(left, n_left, all_, n_all)
+        return pd.DataFrame({"fit": [int(frame["fit"].iloc[0])], "best": [best.tolist()], "won": [won.tolist()]})
+
+    def offered(of: Callable, bounds: dict[int, tuple]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _arrays(batches, bins=np.uint8, y=np.float64, made=np.float64):
+                for i, made, mine, node in of(b):
+                    leaf, (lo, hi, _) = node[mine], bounds[i]
+                    by = (b["y"][mine] - made[mine])[np.argsort(leaf.astype(np.uint16), kind="stable")]
+                    held = [_pivots(v, lo[k], hi[k], most) for k, v in enumerate(np.split(by, np.cumsum(np.bincount(leaf, minlength=len(lo)))[:-1]))]
+                    yield _row(fit=i, counts=np.array([c for c, _ in held]), pivots=np.concatenate([v for _, v in held]))
+
+        return run
+
+    def narrow(bounds: dict[int, tuple]) -> Callable:
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            i = int(frame["fit"].iloc[0])
+            counts = np.stack([np.frombuffer(b, np.int64).reshape(-1, 3) for b in frame["counts"]])
+            pivots = [np.split(np.frombuffer(b), np.cumsum(np.minimum(c[:, 2], most))[:-1]) for b, c in zip(frame["pivots"], counts)]
+            made = [_narrowed(counts[:, k], [v[k] for v in pivots], lo, hi, n, most) for k, (lo, hi, n) in enumerate(zip(*bounds[i]))]
+            return pd.DataFrame({"fit": [i], **{c: [list(v)] for c, v in zip(("lo", "hi", "n", "median"), zip(*made))}})
+
+        return run
+
+    def moved(of: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in _arrays(batches, bins=np.uint8, y=np.float64, made=np.float64):
+                made = b["made"].reshape(fits, -1).copy()
+                for i, now, _, _ in of(b):
+                    made[i] = now
+                yield _row(**{**b, "made": made})
+
+        return run
+
+    last = max(n for n, _ in shapes)
+    for t in range(last):
+        live = [i for i in range(fits) if t < shapes[i][0]]
+        for level in range(max(grid[i]["max_depth"] for i in live)):
+            base, nodes = 2**level - 1, 2**level
+            sums = state.mapInArrow(summed(stage(t, level, [i for i in live if grid[i]["max_depth"] > level]), nodes), "fit int, signs binary, counts binary")
+            for r in sums.repartition(spread, "fit").groupBy("fit").applyInPandas(split, "fit int, best array<int>, won array<double>").collect():  # a row a fit
+                best, won, tree = np.array(r["best"]), np.array(r["won"]), out[r["fit"]]
+                good = won > 1e-12
+                tree.feature[t, base : base + nodes] = f = np.where(good, feature[best], 0)
+                tree.bound[t, base : base + nodes] = np.where(good, bound[best], np.inf)
+                tree.gain[t, base : base + nodes] = np.maximum(won, 0)
+                cuts[r["fit"]][t, base : base + nodes] = np.where(good, best - first[f], never)
+        bounds = {i: (np.full(shapes[i][1], -np.inf), np.full(shapes[i][1], np.inf), np.full(shapes[i][1], -1)) for i in live}
+        while bounds:
+            pivots = state.mapInArrow(offered(stage(t, MOST_DEPTH, list(bounds)), bounds), "fit int, counts binary, pivots binary")
+            found = pivots.repartition(spread, "fit").groupBy("fit").applyInPandas(narrow(bounds), "fit int, lo array<double>, hi array<double>, n array<long>, median array<double>").collect()  # a row a fit
+            for r in found:
+                lo, hi, n, median = (np.array(r[c], k) for c, k in (("lo", float), ("hi", float), ("n", int), ("median", float)))  # null: not sure
+                sure = ~np.isnan(median)
+                out[r["fit"]].value[t, sure] = grid[r["fit"]]["learning_rate"] * median[sure]
+                bounds[r["fit"]] = np.where(sure, median, lo), np.where(sure, median, hi), n
+                if sure.all():
+                    del bounds[r["fit"]]
+        if (t + 1) % HELD == 0 and t + 1 < last:
+            after = state.mapInArrow(moved(stage(t + 1, 0, live)), _STATE)
+            if (t + 1) % WRITTEN == 0:
+                after = saved(after)
+            else:
+                after.persist(StorageLevel.DISK_ONLY).count()
+            if kept:
+                kept.unpersist()
+            state, kept, done = after, None if (t + 1) % WRITTEN == 0 else after, t + 1
+    if kept:
+        kept.unpersist()
+    return out
+
+
+def _row(**values) -> pa.RecordBatch:
+    """A row; arrays become bytes."""
+    return pa.RecordBatch.from_pydict({c: pa.array([v.tobytes()], pa.binary()) if isinstance(v, np.ndarray) else pa.array([v], pa.int32()) for c, v in values.items()})
+
+
+def _fits_spread(blocks: DataFrame, rows: DataFrame, columns: list, runs: list[tuple[int, int, dict]]) -> dict[tuple[int, int], Trees]:
+    """_fits() on blocks: folds grow at the same time, each as its own jobs."""
+    folds = sorted({fold for fold, _, _ in runs})
+    of = {fold: [(run, cell) for f, run, cell in runs if f == fold] for fold in folds}
+    grown = inheritable_thread_target(blocks.sparkSession)(lambda fold: _grow_spread(blocks, rows, columns, fold, [c for _, c in of[fold]]))
+    with ThreadPoolExecutor(len(folds)) as pool:
+        return {(fold, run): trees for fold, made in zip(folds, pool.map(grown, folds)) for (run, _), trees in zip(of[fold], made)}
+
+
 def search(df: DataFrame, features: list[str], label: str, grid: list[dict] | None = None, k: int = 3, unit: str = "days") -> tuple[TreesModel, dict, DataFrame]:
     """forecast.search() for boosted trees: the cell with the lowest mean over folds of the mean absolute error, refitted
     on all rows; the model, the cell, and a table ``cell, fold, mae, parameters``.
 
     Folds are cut between local days (``unit``). ``grid``: cells of ``max_depth``, ``n_estimators``, ``learning_rate`` and
-    ``subsample`` (default: GRID's 36). Fits see at most MOST_ROWS rows, errors are those of all rows. Rows that lack a
-    feature or the label are left out; the errors of forecast.complete_parts() are raised."""
+    ``subsample`` (default: GRID's 36). Fits see all rows before their fold, errors are those of all rows of it. Rows that lack
+    a feature or the label are left out; the errors of forecast.complete_parts() are raised."""
     spark, grid = df.sparkSession, grid or cells(**GRID)
     rows = complete_parts(df, features, label, k, unit)
     columns = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*features, label])]
-    held = _sample(rows).orderBy("timestamp_utc", "series_id").select("part", *columns).toPandas()  # MOST_ROWS at most
-    sample = held.iloc[:, 1:-1].to_numpy(), held.iloc[:, -1].to_numpy(), held["part"].to_numpy()
+    n = rows.count()
+    if n <= MOST_ROWS:
+        held = rows.orderBy("timestamp_utc", "series_id").select("part", *columns).toPandas()
+        fits = partial(_fits, spark, (held.iloc[:, 1:-1].to_numpy(), held.iloc[:, -1].to_numpy(), held["part"].to_numpy()))
+    else:
+        fits = partial(_fits_spread, _blocks(rows, columns, n), rows, columns)
     alike = lambda c: (c["max_depth"], c["learning_rate"], c["subsample"])
     kinds = sorted({alike(c) for c in grid})
     longest = {x: max(c["n_estimators"] for c in grid if alike(c) == x) for x in kinds}
     whole = lambda x: dict(zip(("max_depth", "learning_rate", "subsample"), x)) | {"n_estimators": longest[x]}
-    found = _fits(spark, sample, [(i, r, whole(x)) for i in range(k) for r, x in enumerate(kinds)])
+    found = fits([(i, r, whole(x)) for i in range(k) for r, x in enumerate(kinds)])
     ends = [sorted({c["n_estimators"] for c in grid if alike(c) == x}) for x in kinds]
     shared = spark.sparkContext.broadcast(found)
 
@@ -220,6 +479,6 @@ def search(df: DataFrame, features: list[str], label: str, grid: list[dict] | No
     of = lambda c, i: maes[i, kinds.index(alike(c)), c["n_estimators"]]
     means = [sum(of(c, i) for i in range(k)) / k for c in grid]
     best = grid[min(range(len(grid)), key=lambda c: (means[c], c))]
-    last = _fits(spark, sample, [(k, 0, best)])[k, 0]
+    last = fits([(k, 0, best)])[k, 0]
     table = spark.createDataFrame([(c, i, of(g, i), str(g)) for c, g in enumerate(grid) for i in range(k)], "cell int, fold int, mae double, parameters string")
     return TreesModel(features, last, best["n_estimators"]), best, table
