@@ -30,8 +30,9 @@ from .quantiles import ranked_values
 
 # The search grid (36 cells).
 GRID = {"max_depth": [3, 4, 5], "n_estimators": [200, 400], "learning_rate": [0.03, 0.05, 0.1], "subsample": [0.8, 1.0]}
-#: Rows that one task holds at most: more are fitted in blocks of about as many. Bins of a feature (their numbers are bytes).
-MOST_ROWS, BINS = 200_000, 256
+#: Rows that one task fits at most: more are fitted in blocks. Rows of a block, rows that are summed at once, and bins of a feature
+#: (whose numbers are bytes).
+MOST_ROWS, BLOCK_ROWS, AT_ONCE, BINS = 400_000, 200_000, 1 << 16, 256
 #: Of a fit in blocks: values of a leaf that a task sends at most at once, trees after which predictions are held, and written.
 PIVOTS, HELD, WRITTEN = 1024, 4, 40
 #: Depth of a tree at most: it is held as a complete one.
@@ -89,6 +90,22 @@ def _best(left: np.ndarray, n_left: np.ndarray, all_: np.ndarray, n_all: np.ndar
     return best, gain[np.arange(len(best)), best]
 
 
+def _binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    bins = np.empty(x.shape, np.uint8)
+    for i, e in enumerate(edges):
+        bins[:, i] = np.searchsorted(e, x[:, i], "left")
+    return bins
+
+
+def _sums(bins: np.ndarray, first: np.ndarray, node: np.ndarray, weight: np.ndarray, nodes: int, size: int) -> np.ndarray:
+    """Sums of rows' weights in each bin of each node, ``AT_ONCE`` rows at a time."""
+    out = np.zeros(nodes * size)
+    for i in range(0, len(bins), AT_ONCE):
+        some = slice(i, i + AT_ONCE)
+        out += np.bincount((bins[some] + (node[some, None] * size + first)).ravel(), np.repeat(weight[some], bins.shape[1]), nodes * size)
+    return out
+
+
 def grow(x: np.ndarray, y: np.ndarray, max_depth: int, n_estimators: int, learning_rate: float, subsample: float, seed: int = 42) -> Trees:
     """``n_estimators`` trees on rows ``x`` and labels ``y``. A split's gain is that of squared sums of signs over counts
     plus one; of equal gains the first feature and lowest bound win; a node without gain keeps its rows together."""
@@ -98,9 +115,9 @@ def grow(x: np.ndarray, y: np.ndarray, max_depth: int, n_estimators: int, learni
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for c in x.T]
     # bins of all features are numbered through; above a feature's last bin there is no bound
     width = np.array([len(e) + 1 for e in edges])
-    size, feature = int(width.sum()), np.repeat(np.arange(p), width)
+    size, feature, first = int(width.sum()), np.repeat(np.arange(p), width), np.cumsum(width) - width
     bound = np.concatenate([[*e, np.inf] for e in edges])
-    held = np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)]) + (np.cumsum(width) - width)
+    bins = _binned(x, edges)
     rng, inner, leaves = np.random.default_rng(seed), 2**max_depth - 1, 2**max_depth
     out = Trees(float(np.median(y)), np.zeros((n_estimators, inner), np.int32), np.full((n_estimators, inner), np.inf), np.zeros((n_estimators, leaves)), np.zeros((n_estimators, inner)))
     made, row = np.full(n, out.start), np.arange(n)
@@ -111,23 +128,23 @@ def grow(x: np.ndarray, y: np.ndarray, max_depth: int, n_estimators: int, learni
     for t in range(n_estimators):
         rest = y - made
         mine = row if subsample >= 1 else np.flatnonzero(rng.random(n) < subsample)
-        own = held if subsample >= 1 else held[mine]
-        weight = np.repeat(np.sign(rest[mine]) + one, p)
+        own = bins if subsample >= 1 else bins[mine]
+        weight = np.sign(rest[mine]) + one
         node = np.zeros(n, np.int64)
         for level in range(max_depth):
             nodes, base = 2**level, 2**level - 1
-            key = own if level == 0 else node[mine, None] * size + own
-            below = np.bincount(key.ravel(), weight, nodes * size).reshape(nodes, size).cumsum(axis=1)
+            below = _sums(own, first, node[mine], weight, nodes, size).reshape(nodes, size).cumsum(axis=1)
             whole = below[:, width[0] - 1, None].copy()  # each feature's bins hold all of a node's rows
             below -= feature * whole
             n_left, n_all = np.rint(below / one), np.rint(whole / one)
             left, all_ = np.subtract(below, n_left * one, out=below), whole - n_all * one
             best, won = _best(left, n_left, all_, n_all)
-            f, cut = np.where(won > 1e-12, feature[best], 0), np.where(won > 1e-12, best, size)
+            f = np.where(won > 1e-12, feature[best], 0)
+            cut = np.where(won > 1e-12, best - first[f], BINS)
             out.feature[t, base : base + nodes] = f
             out.bound[t, base : base + nodes] = np.where(won > 1e-12, bound[best], np.inf)
             out.gain[t, base : base + nodes] = np.maximum(won, 0)
-            node = 2 * node + (held[row, f[node]] > cut[node])
+            node = 2 * node + (bins[row, f[node]] > cut[node])
         out.value[t] = learning_rate * _medians(rest[mine], node[mine], leaves)
         made += out.value[t, node]
     return out
@@ -206,7 +223,7 @@ def _arrays(batches: Iterator[pa.RecordBatch], **types: type) -> Iterator[dict]:
 
 def _blocks(rows: DataFrame, columns: list, n: int) -> DataFrame:
     """Rows in the order of time and series, those of a partition as one row of arrays; blocks ascend in that order."""
-    parts, order = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // MOST_ROWS)), ["timestamp_utc", "series_id"]
+    parts, order = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCK_ROWS)), ["timestamp_utc", "series_id"]
     placed = rows.repartitionByRange(parts, *order).withColumn("block", F.spark_partition_id()).sortWithinPartitions(*order).select("block", "part", *columns)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +240,9 @@ def _edges(rows: DataFrame, columns: list) -> tuple[list[np.ndarray], float]:
     long = rows.select(F.posexplode(F.array(*columns)).alias("feature", "value"))
     ranked, last = ranked_values(long, ["feature"], "value"), F.col("total") - 1
     stands = lambda place: (F.col("first") <= place) & (place < F.col("first") + F.col("n"))
-    a_bound = F.exists(F.array(*[F.lit(i / BINS) for i in range(1, BINS)]), lambda q: stands(F.floor(last * q)))
+    # bounds stand at the places last * i div BINS, and the first of them from a value's first place on is that of this i
+    i = F.greatest(F.lit(1), F.ceil(F.col("first") * BINS / F.greatest(last, F.lit(1))))
+    a_bound = (i < BINS) & stands(F.floor(last * i / BINS))
     label = len(columns) - 1
     low, high = stands(F.floor(last / 2)), stands(F.floor((last + 1) / 2))
     found = ranked.select("feature", "value", low.alias("low"), high.alias("high")).where(F.when(F.col("feature") == label, low | high).otherwise(a_bound)).toPandas()  # as many as bins
@@ -290,14 +309,13 @@ def _grow_spread(blocks: DataFrame, rows: DataFrame, columns: list, fold: int, g
     p, fits, most = len(edges), len(grid), PIVOTS
     width = np.array([len(e) + 1 for e in edges])
     size, feature, first = int(width.sum()), np.repeat(np.arange(p), width), np.cumsum(width) - width
-    bound, never = np.concatenate([[*e, np.inf] for e in edges]), 2 * BINS
+    bound, never = np.concatenate([[*e, np.inf] for e in edges]), BINS
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _arrays(batches, part=np.int32, x=np.float64, y=np.float64):
             mine = b["part"] < fold
             if n := int(mine.sum()):
-                bins = np.column_stack([np.searchsorted(e, c, "left") for e, c in zip(edges, b["x"].reshape(len(mine), p)[mine].T)]).astype(np.uint8)
-                yield _row(block=b["block"], n=n, bins=bins, y=b["y"][mine], made=np.full((fits, n), start))
+                yield _row(block=b["block"], n=n, bins=_binned(b["x"].reshape(len(mine), p)[mine], edges), y=b["y"][mine], made=np.full((fits, n), start))
 
     state = saved(blocks.mapInArrow(fitted, _STATE))
     sizes = sorted((r["block"], r["n"]) for r in state.select("block", "n").collect())  # a row a block
@@ -331,10 +349,9 @@ def _grow_spread(blocks: DataFrame, rows: DataFrame, columns: list, fold: int, g
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for b in _arrays(batches, bins=np.uint8, y=np.float64, made=np.float64):
-                own, one = b["bins"].reshape(-1, p) + first, float(1 << (b["n"].bit_length() + 1))
+                bins, one = b["bins"].reshape(-1, p), float(1 << (b["n"].bit_length() + 1))
                 for i, made, mine, node in of(b):
-                    weight = np.repeat(np.sign(b["y"][mine] - made[mine]) + one, p)
-                    held = np.bincount((node[mine, None] * size + own[mine]).ravel(), weight, nodes * size)
+                    held = _sums(bins[mine], first, node[mine], np.sign(b["y"][mine] - made[mine]) + one, nodes, size)
                     n = np.rint(held / one)
                     sums.setdefault(i, np.zeros((2, nodes * size)))
                     sums[i] += held - n * one, n
